@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from tidalframe.llm import simhash
+from tidalframe.llm import quality_rules, simhash
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.query,
     "op3_simhash_near_dedup": simhash.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": quality_rules.SQL,
+}
