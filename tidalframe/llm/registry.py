@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidalframe.llm import classifier, quality_rules, simhash
+from tidalframe.llm import classifier, packing, quality_rules, simhash
 
 QUERIES = {
+    "op6_packing": packing.query,
     "op9_quality_classifier": classifier.query,
     "op1_quality_rules": quality_rules.query,
     "op3_simhash_near_dedup": simhash.query,
