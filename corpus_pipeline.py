@@ -4,16 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidalframe.llm import simhash
+from tidalframe.llm import classifier, packing, quality_rules, simhash
 from tidalframe.llm.common import written
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labelled ones among them, scores below its threshold go."""
+    return classifier.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or lie beyond their group's fences go."""
+    return quality_rules.kept_only(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
     return simhash.one_of_each(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, cut into the pieces of padded sequences."""
+    return packing.packed(docs)
+
+
+STAGES = [("quality_classifier", quality_classifier), ("quality_rules", rules), ("near_dedup", near_dedup), ("packing", pack)]
 
 #: SQL can express neither the trained classifier nor the packing; tests compare each stage with a plain version.
 ORACLE_SQL: str | None = None
