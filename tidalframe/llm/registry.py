@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidalframe.llm import classifier, packing, quality_rules, simhash, token_store
+from tidalframe.llm import byte_bpe, classifier, packing, quality_rules, simhash, token_store
 
 QUERIES = {
+    "op5_byte_bpe": byte_bpe.query,
     "op2_token_store": token_store.query,
     "op6_packing": packing.query,
     "op9_quality_classifier": classifier.query,

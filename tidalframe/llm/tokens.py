@@ -13,6 +13,9 @@ import re
 from functools import lru_cache
 
 import numpy as np
+from tokenizers import Tokenizer
+
+os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
 
 _PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
@@ -25,12 +28,8 @@ class CachedEncoder:
     word_mode: the vocabulary drops white space (else each piece keeps it and is lossless in bytes).
     """
 
-    def __init__(self, path: str, word_mode: bool, capacity: int = 300_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+    def __init__(self, tokenizer: Tokenizer, word_mode: bool, capacity: int = 300_000):
+        self.tokenizer = tokenizer
         self.tokenizer.model._resize_cache(0)
         self.word_mode, self.capacity, self.cache = word_mode, capacity, {}
         if word_mode:
@@ -91,4 +90,6 @@ class CachedEncoder:
 @lru_cache(maxsize=4)
 def cached_encoder(path: str, word_mode: bool) -> CachedEncoder:
     """One per worker process: Spark reuses its Python workers, and so the words learned."""
-    return CachedEncoder(path, word_mode)
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return CachedEncoder(tokenizer, word_mode)
