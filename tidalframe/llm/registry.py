@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidalframe.llm import byte_bpe, classifier, packing, quality_rules, simhash, token_store
+from tidalframe.llm import byte_bpe, classifier, packing, quality_rules, simhash, token_store, topk
 
 QUERIES = {
+    "op7_top_k": topk.query,
     "op5_byte_bpe": byte_bpe.query,
     "op2_token_store": token_store.query,
     "op6_packing": packing.query,
@@ -15,4 +16,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.SQL,
+    "op7_top_k": topk.SQL,
 }
