@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidalframe.llm import byte_bpe, classifier, packing, quality_rules, simhash, token_store, topk
+from tidalframe.llm import byte_bpe, classifier, packing, quality_rules, simhash, token_store, topk, url_filter
 
 QUERIES = {
+    "op8_url_filter": url_filter.query,
     "op7_top_k": topk.query,
     "op5_byte_bpe": byte_bpe.query,
     "op2_token_store": token_store.query,
