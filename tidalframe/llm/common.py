@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,7 +70,7 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose text column holds at most about `limit` bytes (one row at least)."""
     for batch in batches:
-        sizes = [x or 0 for x in pa.compute.binary_length(batch.column(column)).to_pylist()]
+        sizes = [x or 0 for x in pc.binary_length(batch.column(column)).to_pylist()]
         start = held = 0
         for i, size in enumerate(sizes):
             if held and held + size > limit:

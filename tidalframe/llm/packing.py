@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tidalframe.llm.common import slices
-from tidalframe.llm.tokens import cached_encoder
+from tidalframe.llm.tokens import cached_encoder, with_end
 
 
 @dataclass(frozen=True)
@@ -65,12 +65,13 @@ def cut_points(ends: np.ndarray, sentences: np.ndarray, s: Settings) -> tuple[np
 def best_cuts(points: np.ndarray, penalty: np.ndarray, s: Settings) -> list[int]:
     """Indices into points where the cheapest packing cuts, the last point included."""
     n = points.size
-    shortcuts: dict[int, list[int]] = {}
-    for k in range(s.capacity.bit_length()):
-        if (length := 1 << k) <= s.capacity:
-            at = np.searchsorted(points, points - length)
-            for j in np.flatnonzero(points[at] == points - length).tolist():
-                shortcuts.setdefault(j, []).append(int(at[j]))
+    powers = [1 << k for k in range(s.capacity.bit_length())]
+    before = [np.searchsorted(points, points - length) for length in powers]
+    hits = [np.flatnonzero(points[at] == points - length) for at, length in zip(before, powers)]
+    to, source = np.concatenate(hits), np.concatenate([at[h] for at, h in zip(before, hits)])
+    order = np.argsort(to, kind="stable")
+    ahead = np.searchsorted(to[order], np.arange(n + 1)).tolist()  # the power-of-two transitions into j
+    source = source[order].tolist()
     place, extra = points.tolist(), (penalty + s.sequence_cost).tolist()
     cost, back = [0.0] * n, [0] * n
     queue: deque[tuple[float, int]] = deque([(0.0, 0)])
@@ -80,7 +81,7 @@ def best_cuts(points: np.ndarray, penalty: np.ndarray, s: Settings) -> list[int]
             queue.popleft()
         least, i = queue[0]
         least += s.capacity - p
-        for x in shortcuts.get(j, ()):
+        for x in source[ahead[j] : ahead[j + 1]]:
             if cost[x] < least:
                 least, i = cost[x], x
         cost[j] = least = least + extra[j]
@@ -124,33 +125,28 @@ def packed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         for token, i in encoder.tokenizer.get_vocab(with_added_tokens=False).items():
             ends_sentence[i] = token[-1] in ".!?Ċ"  # the last is the vocabulary's newline
         base, used = TaskContext.get().partitionId() << 40, 0
-        end = np.array([s.end_id], "<u4").tobytes()
-        ids: list[pa.Array] = []
-        raw: list[bytes] = []
-        held = 0
+        names: list[pa.Array] = []
+        ids: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal used, held
-            lengths = np.array([len(x) // 4 for x in raw], np.int64)
-            stream = b"".join(raw)
-            marks = ends_sentence[np.frombuffer(stream, "<u4")]
-            doc, start, length, window, offset = pack(lengths, marks, s)
+            nonlocal used
+            lengths, tokens = np.concatenate(counts), np.concatenate(ids)
+            stream = memoryview(tokens.astype("<u4", copy=False)).cast("B")
+            doc, start, length, window, offset = pack(lengths, ends_sentence[tokens], s)
             at = ((np.cumsum(lengths) - lengths)[doc] + start) * 4
             crc = [zlib.crc32(stream[a:b]) for a, b in zip(at.tolist(), (at + length * 4).tolist())]
-            columns = [pa.concat_arrays(ids).take(pa.array(doc)), start, length, np.array(crc, np.int64), lengths[doc], base + used + window, offset]
+            columns = [pa.concat_arrays(names).take(pa.array(doc)), start, length, np.array(crc, np.int64), lengths[doc], base + used + window, offset]
             used += int(window[-1]) + 1
-            ids.clear(), raw.clear()
-            held = 0
+            names.clear(), ids.clear(), counts.clear()
             return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], schema.names)
 
-        for batch in slices(batches, "text", 4 << 20):
-            texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
-            raw.extend(x + end for x in encoder.encode(texts))
-            ids.append(batch.column("doc_id"))
-            held += sum(map(len, raw[-len(texts) :])) // 4
-            if held >= s.chunk:
+        for batch in slices(batches, "text", 16 << 20):
+            found, n = with_end(*encoder.encode(batch.column("text")), s.end_id)
+            names.append(batch.column("doc_id")), ids.append(found), counts.append(n)
+            if sum(x.size for x in ids) >= s.chunk:
                 yield flush()
-        if raw:
+        if names:
             yield flush()
 
     return docs.mapInArrow(run, schema)

@@ -28,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidalframe.llm.common import slices, work_path
-from tidalframe.llm.tokens import cached_encoder
+from tidalframe.llm.common import slices, work_path, written
+from tidalframe.llm.tokens import cached_encoder, with_end
 
 
 @dataclass(frozen=True)
@@ -49,15 +49,12 @@ def write(docs: DataFrame, path: str, s: Settings = Settings()) -> None:
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seen = cached_encoder(s.tokenizer, True), TaskContext.get().partitionId(), 0
-        end = np.array([s.end_id], "<u4").tobytes()
-        for batch in slices(batches, "text", 4 << 20):
-            raw = [x + end for x in encoder.encode(["" if t is None else t for t in batch.column("text").to_pylist()])]
-            counts = np.array([len(x) // 4 for x in raw], np.int64)
+        for batch in slices(batches, "text", 16 << 20):
+            found, counts = with_end(*encoder.encode(batch.column("text")), s.end_id)
             stops = np.cumsum(counts)
-            offsets = np.concatenate(([0], stops)).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], stops)).astype(np.int32)), pa.array(found.view(np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.full(len(raw), part, np.int32)), pa.array(seen + stops - counts), pa.array(counts), ids],
+                [batch.column("doc_id"), pa.array(np.full(counts.size, part, np.int32)), pa.array(seen + stops - counts), pa.array(counts), ids],
                 ["doc_id", "part", "local_start", "n_tokens", "ids"],
             )
             seen += int(stops[-1])
@@ -80,7 +77,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(STORED).orc(path)
     totals = spark.read.schema(STORED).orc(path).groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row per file
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    base = totals.select("part", F.coalesce(before, F.lit(0)).alias("base"))
+    # written, so its few bytes are known before the join with the ids is planned
+    base = written(totals.select("part", F.coalesce(before, F.lit(0)).alias("base")), "parts")
     return rows.join(base, "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 

@@ -1,37 +1,43 @@
 """Token ids of whole texts by the tokenizers library, each distinct word encoded once per worker.
 
-A text is cut only where both vocabularies' rules cut it anyway: before white
-space that follows something else. What lies between two such places always has
-the same ids, so it is encoded once and remembered. Texts with white space other
-than space and newline are encoded as they are.
+A text is cut only where both kinds of vocabulary cut it anyway: before a space or
+newline that follows something else, and between a letter and closing signs. What lies
+between two such places always has the same ids, so Arrow splits a batch and finds its
+distinct pieces, the library encodes those that the worker hasn't met, and numpy puts
+the ids of the texts together. Where white space is part of the tokens, texts with
+other white space, or two such characters in a row, are encoded as they are.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
 
-_PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
+#: White space that isn't a lone space or newline (RE2 has no class for all of it).
+_UNUSUAL = "[\\t\\v\\f\\r\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|[ \\n][ \\n]"
+#: Latin letters that stay letters when normalised and lower-cased.
+_LETTER_LAST = "[A-Za-z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{12f}\\x{131}-\\x{17f}]$"
+_SIGNS = ".,;:!?*%$#&|"
 _JOINED = 1000
 
 
 class CachedEncoder:
-    """encode(texts): for each text its ids as little-endian unsigned 32-bit bytes.
+    """encode(texts): the ids of all texts in one array, and how many each text has.
 
     word_mode: the vocabulary drops white space (else each piece keeps it and is lossless in bytes).
     """
 
-    def __init__(self, tokenizer: Tokenizer, word_mode: bool, capacity: int = 300_000):
+    def __init__(self, tokenizer: Tokenizer, word_mode: bool, capacity: int = 400_000):
         self.tokenizer = tokenizer
         self.tokenizer.model._resize_cache(0)
-        self.word_mode, self.capacity, self.cache = word_mode, capacity, {}
+        self.word_mode, self.capacity, self.cache = word_mode, capacity, {"": b""}
         if word_mode:
             self.mark, self.mark_id = next((c, ids[0]) for c in "•¿¤§¶" if len(ids := self._ids([c])[0]) == 1)
         else:
@@ -43,48 +49,96 @@ class CachedEncoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, missing: list[str]) -> None:
-        """Encode pieces, many joined in one text, and cut the ids apart again."""
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(ids, dtype="<u4").tobytes() for ids in self._ids(texts)]
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece: many are joined in one text, and the ids cut apart again."""
         if self.word_mode:
-            joinable = [p for p in missing if self.mark not in p and not _OTHER_SPACE.search(p)]
+            joinable = [p[:1].strip() != "" and p[-1].strip() != "" and self.mark not in p for p in pieces]
         else:
-            joinable = [p for p in missing if p[0] in " \n" and p[-1] not in " \n"]
-        groups = [joinable[i : i + _JOINED] for i in range(0, len(joinable), _JOINED)]
+            joinable = [p[0] in " \n" and p[-1] not in " \n" for p in pieces]
+        alone = [p for p, j in zip(pieces, joinable) if not j]
+        joined = [p for p, j in zip(pieces, joinable) if j] if alone else pieces
+        groups = [joined[i : i + _JOINED] for i in range(0, len(joined), _JOINED)]
         glue = f" {self.mark} " if self.word_mode else ""
-        for pieces, ids in zip(groups, self._ids([glue.join(g) for g in groups])):
+        found: list[bytes] = []
+        for group, ids in zip(groups, self._ids([glue.join(g) for g in groups])):
             ids = np.array(ids, dtype="<u4")
             if self.word_mode:
                 at = np.flatnonzero(ids == self.mark_id)
                 starts, ends = np.concatenate(([0], at + 1)), np.concatenate((at, [ids.size]))
             else:
-                ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(p.encode()) for p in pieces])) + 1
+                sizes = pc.binary_length(pa.array(group)).to_numpy()
+                ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(sizes)) + 1
                 starts = np.concatenate(([0], ends[:-1]))
             raw = ids.tobytes()
-            for p, a, b in zip(pieces, (starts * 4).tolist(), (ends * 4).tolist()):
-                self.cache[p] = raw[a:b]
-        alone = list(set(missing).difference(joinable))
-        for p, ids in zip(alone, self._ids(alone)):
-            self.cache[p] = np.array(ids, dtype="<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cache = self.cache
-        out: list[bytes | None] = [None] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
-        for i, text in enumerate(texts):
-            if _OTHER_SPACE.search(text):
-                out[i] = np.array(self._ids([text])[0], dtype="<u4").tobytes()
-            elif self.word_mode:
-                cut.append((i, [w for w in text.replace("\n", " ").split(" ") if w]))
-            else:
-                cut.append((i, _PIECES.findall(text)))
-        missing = list({p for _, pieces in cut for p in pieces if p not in cache})
-        if len(cache) + len(missing) > self.capacity:
-            cache.clear()
-            missing = list({p for _, pieces in cut for p in pieces})
-        self._learn(missing)
-        for i, pieces in cut:
-            out[i] = b"".join(map(cache.__getitem__, pieces))
-        return out
+            found += [raw[a:b] for a, b in zip((starts * 4).tolist(), (ends * 4).tolist())]
+        if not alone:
+            return found
+        rest, lone = iter(found), iter(self._alone(alone))
+        return [next(rest if j else lone) for j in joinable]
+
+    def _looked_up(self, keys: list[str], uses: np.ndarray) -> list[bytes]:
+        """The ids of each key; those used more than once in this batch are remembered."""
+        found = list(map(self.cache.get, keys))
+        missing = [i for i, x in enumerate(found) if x is None]
+        if len(self.cache) + len(missing) > self.capacity:
+            self.cache = {"": b""}
+        for i, ids in zip(missing, self._pieces([keys[i] for i in missing])):
+            found[i] = ids
+        self.cache.update((keys[i], found[i]) for i in missing if uses[i] > 1)
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """A null text counts as empty."""
+        texts = pc.fill_null(texts, "")
+        if not len(texts):
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        whole: list[int] = []
+        if self.word_mode:
+            lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        else:
+            unusual = pc.match_substring_regex(texts, _UNUSUAL)
+            whole = np.flatnonzero(unusual.to_numpy(zero_copy_only=False)).tolist()
+            lists = pc.split_pattern(pc.replace_substring(pc.if_else(unusual, "", texts), "\n", " \n"), " ")
+        counts = pc.list_value_length(lists).to_numpy()
+        first = np.cumsum(counts) - counts
+        pieces = lists.flatten().dictionary_encode()
+        codes, words = pieces.indices.to_numpy().copy(), pieces.dictionary
+        leading: list[str] = []
+        if not self.word_mode:  # a text's first piece has no space before it
+            leading = words.take(pa.array(codes[first])).to_pylist()
+            codes[first] = len(words) + np.arange(len(leading))
+        # signs after a letter are a token of their own: words = stems + tails
+        stems = pc.utf8_rtrim(words, characters=_SIGNS)
+        signed = pc.and_(pc.less(pc.binary_length(stems), pc.binary_length(words)), pc.match_substring_regex(stems, _LETTER_LAST))
+        at = np.flatnonzero(signed.to_numpy(zero_copy_only=False))
+        lengths = pc.utf8_length(stems.take(pa.array(at))).to_pylist()
+        tails = pa.array([w[n:] for w, n in zip(words.take(pa.array(at)).to_pylist(), lengths)], pa.string()).dictionary_encode()
+        stems = pc.if_else(signed, stems, words).dictionary_encode()
+        named = stems.dictionary
+        if not self.word_mode:
+            named = pc.if_else(pc.starts_with(named, "\n"), named, pc.binary_join_element_wise(" ", named, ""))
+        keys = [*named.to_pylist(), *tails.dictionary.to_pylist(), *leading]
+        stem = np.concatenate((stems.indices.to_numpy(), len(keys) - len(leading) + np.arange(len(leading))))
+        tail = np.full(stem.size, len(keys))
+        tail[at] = len(named) + tails.indices.to_numpy()
+        uses = np.bincount(stem[codes], minlength=len(keys)) + np.bincount(tail[at], minlength=len(keys))
+        raw = [*self._looked_up(keys, uses), b""]
+        if whole:
+            for i, ids in zip(whole, self._alone(texts.take(pa.array(whole)).to_pylist())):
+                raw[stem[codes[first[i]]]] = ids
+        flat, sizes = _gather(np.frombuffer(b"".join(raw), "<u4"), np.fromiter(map(len, raw), np.int64, len(raw)) // 4, np.stack((stem, tail), 1).ravel())
+        flat, sizes = _gather(flat, sizes.reshape(-1, 2).sum(axis=1), codes)
+        return flat, np.add.reduceat(sizes, first)
+
+
+def _gather(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """flat holds groups of the given sizes; the groups that codes name, one after the other, and their sizes."""
+    picked = sizes[codes]
+    shift = (np.cumsum(sizes) - sizes)[codes] - (np.cumsum(picked) - picked)
+    return flat[np.repeat(shift, picked) + np.arange(picked.sum())], picked
 
 
 @lru_cache(maxsize=4)
@@ -93,3 +147,8 @@ def cached_encoder(path: str, word_mode: bool) -> CachedEncoder:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     return CachedEncoder(tokenizer, word_mode)
+
+
+def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with an end id after each text's ids."""
+    return np.insert(ids, np.cumsum(counts), np.uint32(end_id)), counts + 1
