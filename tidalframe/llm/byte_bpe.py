@@ -77,49 +77,54 @@ def byte_table(s: Settings) -> list[bytes]:
     return table
 
 
-def encoded(docs: DataFrame, s: Settings = Settings(), offsets: bool = True) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_tokens, ids and byte_ends (little-endian unsigned 32-bit integers)."""
+def decoded_bytes(ids: np.ndarray, counts: np.ndarray, s: Settings) -> list[bytes]:
+    """The bytes of each text, from the ids of all."""
+    table, ends = byte_table(s), np.cumsum(counts)
+    return [b"".join(map(table.__getitem__, ids[a:b].tolist())) for a, b in zip((ends - counts).tolist(), ends.tolist())]
+
+
+def encoded(docs: DataFrame, s: Settings = Settings(), offsets: bool = True, decoded: bool = False) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_tokens, ids and byte_ends (little-endian unsigned 32-bit integers).
+
+    decoded: also the bytes that the ids decode to, in the same pass.
+    """
     docs = docs.select("doc_id", "text")
-    names = ["doc_id", "n_tokens", "ids", *["byte_ends"] * offsets]
-    kinds = T.StructType.fromDDL("n_tokens long, ids binary" + ", byte_ends binary" * offsets)
+    names = ["doc_id", "n_tokens", "ids", *["byte_ends"] * offsets, *["decoded"] * decoded]
+    kinds = T.StructType.fromDDL("n_tokens long, ids binary" + ", byte_ends binary" * offsets + ", decoded binary" * decoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(s)
-        for batch in slices(batches, "text", 4 << 20):
-            raw = own.encode(["" if t is None else t for t in batch.column("text").to_pylist()])
-            columns = [batch.column("doc_id"), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array(raw, pa.binary())]
+        for batch in slices(batches, "text", 8 << 20):
+            ids, counts = own.encode(batch.column("text"))
+            at = pa.array(np.concatenate(([0], np.cumsum(counts) * 4)).astype(np.int32))
+            binary = lambda x: pa.Array.from_buffers(pa.binary(), counts.size, [None, at.buffers()[1], pa.py_buffer(x.astype("<u4").tobytes())])  # noqa: E731, B023
+            columns = [batch.column("doc_id"), pa.array(counts), binary(ids)]
             if offsets:
-                columns.append(pa.array([np.cumsum(own.width[np.frombuffer(x, "<u4")]).astype("<u4").tobytes() for x in raw], pa.binary()))
+                ends = np.cumsum(own.width[ids])
+                before = np.concatenate(([0], ends))[np.cumsum(counts) - counts]
+                columns.append(binary(ends - np.repeat(before, counts)))
+            if decoded:
+                columns.append(pa.array(decoded_bytes(ids, counts, s), pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.mapInArrow(run, T.StructType([docs.schema["doc_id"], *kinds.fields]))
 
 
-def decode(s: Settings = Settings()):
-    """An Arrow function: ids (as encoded() gives them) -> the exact bytes."""
-
-    @F.arrow_udf("binary")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table = byte_table(s)
-        for ids in batches:
-            yield pa.array([b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in as_bytes(ids)], pa.binary())
-
-    return run
-
-
-def decode_text(s: Settings = Settings()):
-    """An Arrow function: ids -> text. Tokens may split characters: only bytes that no
-    neighbour completes become the replacement character."""
+def decode(s: Settings = Settings(), kind: str = "binary"):
+    """An Arrow function: ids (as encoded() gives them) -> the exact bytes, or, of kind
+    "string", the text: tokens may split characters, and only bytes that no neighbour
+    completes become the replacement character."""
 
-    @F.arrow_udf("string")
+    @F.arrow_udf(kind)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table = byte_table(s)
         for ids in batches:
-            yield pa.array([b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist())).decode("utf-8", "replace") for x in as_bytes(ids)], pa.string())
+            raw = [np.frombuffer(x, "<u4") for x in as_bytes(ids)]
+            found = decoded_bytes(np.concatenate([np.empty(0, "<u4"), *raw]), np.array([x.size for x in raw], np.int64), s)
+            yield pa.array(found, pa.binary()) if kind == "binary" else pa.array([x.decode("utf-8", "replace") for x in found], pa.string())
 
     return run
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    ids = encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"), offsets=False)
-    return ids.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(decode()("ids"), 256).alias("decoded_sha256"))
+    ids = encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"), offsets=False, decoded=True)
+    return ids.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
