@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidalframe.llm import byte_bpe, chat, classifier, packing, quality_rules, simhash, token_store, topk, url_filter
+from tidalframe.llm import byte_bpe, chat, classifier, ngram_lm, packing, quality_rules, simhash, token_store, topk, url_filter
 
 QUERIES = {
+    "op10_ngram_lm": ngram_lm.query,
     "op4_chat_windows": chat.query,
     "op8_url_filter": url_filter.query,
     "op7_top_k": topk.query,
