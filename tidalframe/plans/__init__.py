@@ -1,0 +1 @@
+"""Queries over the star-schema tables, each with the SQL that gives the same rows."""
