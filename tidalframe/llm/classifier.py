@@ -4,8 +4,9 @@ Words: runs of letters and digits, and runs of other signs, each hashed to one o
 `buckets` rows; an all-capitals word also counts as the word <upper>. Every bucket has
 a fixed sparse random index vector; its context vector is the sum of the index vectors
 of its neighbours in the training texts, gathered in Spark as integer sums, so the
-order of tasks doesn't matter. A text's vector is the mean of its words' index and
-context vectors. A two-layer numpy network turns it into a score; a temperature fitted
+order of tasks doesn't matter. A text's vector pools its words' index and context
+vectors: their mean over all words and over the distinct ones, with the text's length,
+how far few words make it up and how often neighbours agree. A two-layer numpy network turns it into a score; a temperature fitted
 on rows the network hasn't seen calibrates it.
 
 The fit uses at most about `max_rows` labelled rows (chosen by a hash of the id) with
@@ -107,14 +108,28 @@ def context_vectors(train: DataFrame, s: Settings) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)
 
 
+LAGS = (1, 2)
+
+
+def width(table: np.ndarray) -> int:
+    return 2 * table.shape[1] + 2 + len(LAGS)
+
+
 def pooled(text: bytes, table: np.ndarray, words: Words) -> np.ndarray:
-    """Mean of the words' rows; equal words are counted once and weighted."""
-    counts = Counter(buckets_of(text, words).tolist())
-    if not counts:
-        return np.zeros(table.shape[1], np.float32)
+    """Mean of the words' rows and mean of the distinct words' rows, how far a few words
+    make up the text (root of the sum of squared shares), its length (log), and how often
+    words agree with their neighbours."""
+    found = buckets_of(text, words)
+    if not found.size:
+        return np.zeros(width(table), np.float32)
+    alike = [(found[k:] == found[:-k]).mean() if found.size > k else 0.0 for k in LAGS]
+    counts = Counter(found.tolist())
     ids = np.fromiter(counts, np.int64, len(counts))
-    weights = np.fromiter(counts.values(), np.float32, len(counts))
-    return weights @ table[ids] / weights.sum()
+    shares = np.fromiter(counts.values(), np.float32, len(counts))
+    n = shares.sum()
+    shares /= n
+    weights = np.stack((shares, np.full(len(ids), 1 / len(ids), np.float32)))
+    return np.concatenate(((weights @ table[ids]).ravel(), [np.sqrt((shares**2).sum()), np.log1p(n), *alike])).astype(np.float32)
 
 
 @dataclass
@@ -192,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
 
     key = train.schema["doc_id"].dataType.simpleString()
     rows = sorted(train.mapInArrow(vectors, f"doc_id {key}, quality int, x binary").collect(), key=lambda r: (r["doc_id"], r["x"]))
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], np.float64).reshape(len(rows), model.table.shape[1])
+    x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], np.float64).reshape(len(rows), width(model.table))
     y = np.array([float(r["quality"] > 0) for r in rows])
     if len(set(y.tolist())) < 2:
         model.constant = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
@@ -215,7 +230,7 @@ def score(docs: DataFrame, model: Model, text: str | Column = "text") -> Column:
         model, words = shared.value, Words(shared.value.settings.buckets)
         for texts in batches:
             raw = as_bytes(texts)
-            x = np.array([pooled(t, model.table, words) for t in raw], np.float64).reshape(len(raw), model.table.shape[1])
+            x = np.array([pooled(t, model.table, words) for t in raw], np.float64).reshape(len(raw), width(model.table))
             yield pa.array(model.scores(x), pa.float64())
 
     return scored(text if isinstance(text, Column) else F.col(text))
