@@ -48,7 +48,7 @@ TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
 
 def escaped(text: Column) -> Column:
     """The text with one more backslash in each thing that looks like a control string, escaped ones included."""
-    return F.regexp_replace(F.regexp_replace(text, r"<(\\*)(?=\||/?s>)", r"<$1\\\\"), r"\[(\\*)(?=/?INST\])", r"[$1\\\\")
+    return F.regexp_replace(F.regexp_replace(text, r"<(\\*)(?=\||/?s>)", r"<$1\\"), r"\[(\\*)(?=/?INST\])", r"[$1\\")
 
 
 def unescaped(text: str) -> str:
