@@ -5,8 +5,9 @@ in a written table. Rates per thousand words go into a mergeable quantile sketch
 every power of two (a value is off by at most 1/32). Sketches merge by adding counts,
 so the sketch of a language and of everything are sums of the finer ones, and a group
 with too few documents to trust is judged by the next wider one. A rate may reach the
-fence, median + `spread` * (upper quantile - median) of its group, which is never
-below the rate's floor. Measures and fences are then joined and the rules applied.
+fence, median + `spread` * (upper quantile - median) of its group (the median as the
+last value of its bin, so that a rate all documents share is within it), which is
+never below the rate's floor. Measures and fences are then joined and the rules applied.
 
 Nulls and edges: a null or blank text has no words and fails the base rule; null
 languages or sources form groups of their own; repeated rows are judged one by one.
@@ -81,6 +82,11 @@ def _bin_floor(b: Column) -> Column:
     return ((b % 64) * F.pow(F.lit(2.0), shift)).cast("long")
 
 
+def _bin_last(b: Column) -> Column:
+    """The largest value of a bin."""
+    return ((b % 64 + 1) * F.pow(F.lit(2.0), F.floor(b / 64)) - 1).cast("long")
+
+
 def sketches(rates: DataFrame) -> DataFrame:
     """(lang, source, symbol_rate, ...) -> (lang, source, measure, bin, n): one mergeable sketch per group and measure."""
     long = rates.select(
@@ -98,9 +104,9 @@ def fences(sketch: DataFrame, by: list[str], spread: float = 6.0, upper: float =
         f"aggregate(bins, struct(cast(0 as long) as seen, cast(null as long) as bin), (a, e) -> "
         f"struct(a.seen + e.n as seen, case when a.bin is null and a.seen + e.n >= {q} * rows then e.bin else a.bin end as bin)).bin"
     )
-    middle, high = _bin_floor(at(0.5)), _bin_floor(at(upper))
+    middle, high, top = _bin_floor(at(0.5)), _bin_floor(at(upper)), _bin_last(at(0.5))
     floor = F.element_at(F.create_map(*[F.lit(x) for r, (_, f) in RATES.items() for x in (r, f)]), F.col("measure"))
-    fence = F.greatest(floor.cast("double"), middle + spread * (high - middle))
+    fence = F.greatest(floor.cast("double"), top + spread * (high - middle))
     return grouped.select(*by, "measure", "rows", fence.alias("fence")).groupBy(*by).agg(
         F.max("rows").alias("rows"), *[F.max(F.when(F.col("measure") == r, F.col("fence"))).alias(r) for r in RATES]
     )
@@ -170,8 +176,8 @@ merged as (select 1 as k, lang, source, measure, bin, n from sk
      union all select 3, null, null, measure, bin, sum(n) from sk group by measure, bin),
 run as (select *, sum(n) over (partition by k, lang, source, measure order by bin) as seen, sum(n) over (partition by k, lang, source, measure) as rows from merged),
 q as (select k, lang, source, measure, max(rows)::bigint as rows, min(bin) filter (where seen >= 0.5 * rows) as q50, min(bin) filter (where seen >= 0.75 * rows) as q75 from run group by all),
-fl as (select k, lang, source, measure, rows, (q50 % 64) << (q50 // 64)::int as m, (q75 % 64) << (q75 // 64)::int as h from q),
-fe as (select k, lang, source, measure, rows, greatest(case measure when 'symbol_rate' then 100 when 'dup_line_rate' then 50 else 20000 end, m + 6 * (h - m))::double as fence from fl),
+fl as (select k, lang, source, measure, rows, (q50 % 64) << (q50 // 64)::int as m, ((q50 % 64 + 1) << (q50 // 64)::int) - 1 as top, (q75 % 64) << (q75 // 64)::int as h from q),
+fe as (select k, lang, source, measure, rows, greatest(case measure when 'symbol_rate' then 100 when 'dup_line_rate' then 50 else 20000 end, top + 6 * (h - m))::double as fence from fl),
 pick as (select a.lang, a.source, a.measure, case when a.rows >= 200 then a.fence when b.rows >= 200 then b.fence else c.fence end as fence
      from fe a join fe b on a.k = 1 and b.k = 2 and a.lang is not distinct from b.lang and a.measure = b.measure join fe c on c.k = 3 and c.measure = a.measure),
 fences as (select lang, source, max(fence) filter (where measure = 'symbol_rate') as fence_symbol_rate, max(fence) filter (where measure = 'dup_line_rate') as fence_dup_line_rate,

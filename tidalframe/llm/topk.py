@@ -12,8 +12,9 @@ Integers are summed in doubles, which is exact below 2**53; beyond, in Python in
 Then each query's best of all blocks are ranked. Ties go to the smaller vec_id.
 
 Nulls and edges: a vector that is null, empty or has null or non-finite components
-takes no part; vectors meet only those of their own length. Rows that share a vec_id are rows of their own: a query skips only
-its own row. A null vec_id is no query, and as a candidate loses ties.
+takes no part; vectors meet only those of their own length. Rows that share a vec_id
+are rows of their own: a query skips only its own row. A null vec_id is no query, and
+as a candidate loses ties. A score that a long can't hold raises an error.
 """
 
 from __future__ import annotations
