@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidalframe.plans import segment_queries, signal_queries
+from tidalframe.plans import document_queries, matrix_queries, segment_queries, signal_queries
 
-_MODULES = (signal_queries, segment_queries)
+_MODULES = (signal_queries, segment_queries, matrix_queries, document_queries)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}
