@@ -114,3 +114,35 @@ def test_elias_fano_holds_its_values(high):
         assert (there == np.isin(asked, distinct)).all()
         if distinct.size:
             assert (at[there] == np.searchsorted(distinct, asked)[there]).all()
+
+
+def whole_model(rows):
+    """The bigram model of words counted plainly: every training word is a context and a successor."""
+    train = [tokens(t) for i, t in rows if not held(i)]
+    c, pairs, before = Counter(w for t in train for w in t), Counter(), Counter()
+    for t in train:
+        pairs.update(zip(["START", *t], t))
+        before.update(["START", *t[:-1]])
+    n, v = sum(c.values()), len(c)
+    p1 = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
+    return lambda text: sum(math.log10((pairs[h, w] + 20 * p1(w)) / (before[h] + 20)) for h, w in zip(["START", *tokens(text)], tokens(text)))
+
+
+@pytest.mark.parametrize("share_bits", [0, 6, 16])
+def test_every_word_is_a_context_and_a_successor(spark, share_bits):
+    """Whatever number of words is broadcast, no word's own bigrams are lost."""
+    rng = random.Random(4)
+    rows = [*corpus(2), *[(2000 + i, f"once{i} twice{i} once{i} odd{rng.randrange(9)}") for i in range(200)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_lm.scored(docs, remainder("doc_id", 5) != 1, ngram_lm.Settings(batch_bytes=20_000, share_bits=share_bits, whole=True)).collect()
+    assert len(got) == len(rows)
+    by, score = {r["doc_id"]: r for r in got}, whole_model(rows)
+    for i, t in rows:
+        assert by[i]["score"] == pytest.approx(score(t), abs=0.0002 * (1 + len(tokens(t))))
+
+
+def test_the_query_scores_with_bigrams_of_every_word(spark, sf_dir):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    by, score = {r["doc_id"]: r["score"] for r in ngram_lm.query(spark, sf_dir).collect()}, whole_model(rows)
+    for i, t in rows:
+        assert by[i] == pytest.approx(score(t), abs=0.0002 * (1 + len(tokens(t))))

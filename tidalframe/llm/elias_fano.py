@@ -82,14 +82,17 @@ class EliasFano:
         high = np.minimum(x >> np.uint64(self.width), np.uint64(self.top + 1)).astype(np.int64)
         low = x & np.uint64((1 << self.width) - 1)
         at, stop = self._starts(high), self._starts(high + 1)
-        same = np.zeros(x.size, bool)
+        end = stop.copy()
         open_ = np.flatnonzero(at < stop)
-        while open_.size:
-            here = self.lows(at[open_])
-            same[open_] = here == low[open_]
-            open_ = open_[here < low[open_]]
-            at[open_] += 1
+        while open_.size:  # halves the run of values with this high part
+            middle = (at[open_] + stop[open_]) >> 1
+            below = self.lows(middle) < low[open_]
+            at[open_[below]] = middle[below] + 1
+            stop[open_[~below]] = middle[~below]
             open_ = open_[at[open_] < stop[open_]]
+        same = np.zeros(x.size, bool)
+        inside = np.flatnonzero(at < end)
+        same[inside] = self.lows(at[inside]) == low[inside]
         return at, same
 
 

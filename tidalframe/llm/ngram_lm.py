@@ -1,28 +1,40 @@
 """Operator 10: language-model scores from an Elias-Fano n-gram trie.
 
-The model is a class-based bigram model. Words that make up at least 1 / 2**share_bits of
-the training tokens (so 2**share_bits words at most) are classes of their own; all others
-share the class RARE, and START stands before a text. With training counts c, N tokens
-and V distinct ones,
+The model is a word bigram model: every word of the training texts is a context and a
+successor of its own, so what is counted grows with the input. START stands before a
+text. With training counts c, N tokens and V distinct ones,
 
     P1(w)    = (c(w) + 0.5) / (N + 0.5 (V + 1)), also for the one unknown word
-    P(g | h) = (c(h, g) + mu P1(g)) / (c(h) + mu)   for classes g after h
-    P(w | h) = P(g | h), times P1(w) / P1(RARE) if w is rare
-
-so every context's probabilities sum to one.
-
-Plan. One pass counts words (written, with their counts). The frequent ones, a table of
-bounded size, are broadcast; they are the hot keys, and what concerns them alone is
-worked out where the text is. A second pass deals everything else once: each task packs,
-for a run of texts (a batch), the distinct keys - rare words, and class pairs - with
-their training counts and where they occur, one row per shard. Keys are dealt by hash and
-stand once per batch, so no key is hot. A shard adds up the counts, builds its trie in a
+    P(w | h) = (c(h, w) + mu P1(w)) / (c(h) + mu)
+
+so every context's probabilities sum to one. Without `Settings.whole` words below
+1 / 2**share_bits of the tokens share one class RARE instead, as context and as
+successor, with P(w | h) = P(RARE | h) P1(w) / P1(RARE); the query doesn't use this.
+
+Plan. One pass counts words (written, with their counts). The frequent ones (at least
+1 / 2**share_bits of the tokens, so 2**share_bits words at most) are broadcast with their
+counts and are called classes; this is a shortcut for the hot keys and changes no
+probability. A second pass deals everything else once: each task packs, for a run of
+texts (a batch), the distinct keys with their training counts and where they occur, one
+row per shard:
+
+    WORDS   a rare word, dealt by its hash
+    PAIRS   a class after a class, dealt by the pair's hash
+    BEFORE  what stands before a rare word, dealt as that word
+    AFTER   a class after a rare word, dealt as that word
+
+A pair with a rare word lies where that word's count is, and a rare word has at most
+N / 2**share_bits of them; a pair of classes lies anywhere. Keys stand once per batch, so
+no context or successor is hot. A shard adds up the counts, builds its trie in a
 memory-mapped scratch file and answers the questions of all batches; answers are sums per
-text, so they come back small, and are added up batch by batch.
-
-Trie of a shard: level one has the rare words' hashes as an Elias-Fano sequence, with
-exact counts as an Elias-Fano sequence of running sums. Level two has, for each context
-class, a monotone pointer to its successors; a successor is stored relative to its
+text (numerators and contexts' denominators apart), one per batch and shard, so they come
+back small, and are added up batch by batch.
+
+Trie of a shard: the words level has the rare words' hashes as an Elias-Fano sequence,
+with exact counts as an Elias-Fano sequence of running sums. A word's place in it begins
+the keys of its successors (then the class) and of its predecessors (then as many bits of
+their hash as fit in 64), Elias-Fano sequences with exact counts. Classes have, for each
+context, a monotone pointer to its successors; a successor is stored relative to its
 context (context * classes + class keeps the level monotone), and the smoothed log10
 probability as a 16-bit code. A question looks up the context's range and searches the
 successor in it.
@@ -55,9 +67,10 @@ END = b"\n"  # no word has a newline
 class Settings:
     share_bits: int = 16
     mu: float = 20.0
-    batch_bytes: int = 8 << 20
-    shard_tokens: int = 1 << 21
+    batch_bytes: int = 4 << 20
+    shard_tokens: int = 1 << 20
     lowest: float = -12.0
+    whole: bool = False  # every word is a context and a successor of its own
 
 
 class Keys(dict):
@@ -157,8 +170,9 @@ def _values(raw: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-WORDS, PAIRS, LOCAL = 0, 1, 2
-PACKED = "shard int, batch long, kind int, keys binary, trained binary, uses binary, texts binary, times binary"
+WORDS, PAIRS, LOCAL, BEFORE, AFTER = 0, 1, 2, 3, 4
+START_KEY = np.uint64(xxhash.xxh64_intdigest(b"\n\n"))  # no word has a newline
+PACKED = "shard int, batch long, kind int, keys binary, trained binary, uses binary, texts binary, times binary, owners binary"
 ANSWER = "batch long, texts binary, score binary, base binary, known binary, ids binary, missing binary, tokens binary, held binary"
 
 
@@ -167,17 +181,20 @@ def _shard_of(keys: np.ndarray, kind: int, shards: int) -> np.ndarray:
     return ((mixed >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
 
 
-def _packed(keys: np.ndarray, texts: np.ndarray, training: np.ndarray, kind: int, shards: int) -> Iterator[tuple]:
-    """One row per shard: distinct keys, their training counts, in how many texts each is, which, how often."""
-    if not keys.size:
+def _packed(items: np.ndarray, texts: np.ndarray, training: np.ndarray, kind: int, described) -> Iterator[tuple]:
+    """One row per shard: distinct keys, their training counts, in how many texts each is, which, how often.
+
+    items: a number per occurrence; described(distinct items) -> their shards, keys and owners (None if they have none).
+    """
+    if not items.size:
         return
-    distinct, at = np.unique(keys, return_inverse=True)
+    distinct, at = np.unique(items, return_inverse=True)
+    shard, keys, owners = described(distinct)
     n_texts = training.size
     where, times = np.unique(at * n_texts + texts, return_counts=True)
     key_of, text_of = where // n_texts, where % n_texts
     trained = np.bincount(key_of, weights=times * training[text_of], minlength=distinct.size).astype(np.uint32)
     uses = np.bincount(key_of, minlength=distinct.size).astype(np.uint32)
-    shard = _shard_of(distinct, kind, shards)
     order = np.argsort(shard, kind="stable")
     # the uses of each key, in the keys' new order
     starts = np.cumsum(uses, dtype=np.int64) - uses
@@ -190,7 +207,7 @@ def _packed(keys: np.ndarray, texts: np.ndarray, training: np.ndarray, kind: int
     for a, b in zip(cuts.tolist(), stops.tolist()):
         x, y = int(ends[a] - moved[a]), int(ends[b - 1])
         mine = order[a:b]
-        yield (int(shard[mine[0]]), kind, _planes(distinct[mine]), _planes(trained[mine]), _planes(moved[a:b]), _planes(text_of[x:y]), _planes(times[x:y]))
+        yield (int(shard[mine[0]]), kind, _planes(keys[mine]), _planes(trained[mine]), _planes(moved[a:b]), _planes(text_of[x:y]), _planes(times[x:y]), None if owners is None else _planes(owners[mine]))
 
 
 def _asked(docs: DataFrame, shared, s: Settings, shards: int) -> DataFrame:
@@ -205,25 +222,47 @@ def _asked(docs: DataFrame, shared, s: Settings, shards: int) -> DataFrame:
             training = batch.column("training").to_numpy(zero_copy_only=False).astype(bool)
             tokens, counts = token_keys(batch.column("text"), keys)
             text = np.repeat(np.arange(counts.size), counts)
-            found = np.searchsorted(t.frequent, tokens)
-            known = np.zeros(tokens.size, bool)
+            words, at = np.unique(tokens, return_inverse=True)
+            found = np.searchsorted(t.frequent, words)
+            known = np.zeros(words.size, bool)
             if t.frequent.size:
-                known = t.frequent[np.minimum(found, t.frequent.size - 1)] == tokens
-            kind = np.where(known, found + 2, RARE)
-            context = np.concatenate(([START], kind[:-1]))
-            context[np.cumsum(counts) - counts] = START
-            pairs = context.astype(np.uint64) * np.uint64(t.classes) + kind.astype(np.uint64)
-            rows = [*_packed(tokens[~known], text[~known], training, WORDS, shards), *_packed(pairs, text, training, PAIRS, shards)]
+                known = t.frequent[np.minimum(found, t.frequent.size - 1)] == words
+            rare = words[~known]
+            rank, home = np.cumsum(~known) - 1, _shard_of(rare, WORDS, shards)
+            kind, known = np.where(known, found + 2, RARE)[at], known[at]
+            context, first = np.concatenate(([START], kind[:-1])), np.cumsum(counts) - counts
+            context[first] = START
+            # places whose pair is one of classes, has a rare successor, or a rare context only
+            pair, before, after = np.ones(tokens.size, bool), ~known, known & (context == RARE)
+            if s.whole:
+                pair = ~before & ~after
+            rows = [*_packed(rank[at[~known]], text[~known], training, WORDS, lambda d: (home[d], rare[d], None))]
+            pairs = context[pair].astype(np.uint64) * np.uint64(t.classes) + kind[pair].astype(np.uint64)
+            rows += _packed(pairs, text[pair], training, PAIRS, lambda d: (_shard_of(d, PAIRS, shards), d, None))
+            sums = np.zeros(counts.size)
+            if s.whole:
+                # an owner is known by its place in the batch's row of words for its shard
+                order = np.argsort(home, kind="stable")
+                place = np.empty(rare.size, np.uint32)
+                place[order] = np.arange(rare.size) - np.searchsorted(home[order], home[order])
+                last, keys_of = np.concatenate(([0], at[:-1])), np.append(words, START_KEY)
+                last[first] = words.size
+                n = words.size + 1
+                rows += _packed(rank[at[before]] * n + last[before], text[before], training, BEFORE, lambda d: (home[d // n], keys_of[d % n], place[d // n]))
+                owned = rank[last[after]] * t.classes + kind[after]
+                rows += _packed(owned, text[after], training, AFTER, lambda d: (home[d // t.classes], (d % t.classes).astype(np.uint32), place[d // t.classes]))
+                mixed = before & (context != RARE)  # the denominators of classes before rare words
+                sums = np.bincount(text[mixed], weights=-np.log10(t.class_counts[context[mixed]] + s.mu), minlength=counts.size)
             # what needs no other shard: frequent words' base scores, and the ids
-            sums = np.bincount(text, weights=base[kind], minlength=counts.size)
+            bases = np.bincount(text, weights=base[kind], minlength=counts.size)
             hits = np.bincount(text, weights=known, minlength=counts.size).astype(np.int64)
             missing = ids.is_null().to_numpy(zero_copy_only=False)
             values = ids.fill_null(0).to_numpy()
-            rows.append((number % shards, LOCAL, _planes(values), _planes(missing.view(np.uint8)), _planes(counts), _planes(sums), _planes(hits) + _planes((~training).view(np.uint8))))
+            rows.append((number % shards, LOCAL, _planes(values), _planes(missing.view(np.uint8)), _planes(counts), _planes(bases), _planes(hits) + _planes((~training).view(np.uint8)), _planes(sums)))
             columns = list(zip(*rows))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array(columns[1], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[2:]]],
-                ["shard", "batch", "kind", "keys", "trained", "uses", "texts", "times"],
+                ["shard", "batch", "kind", "keys", "trained", "uses", "texts", "times", "owners"],
             )
             number += 1
 
@@ -273,6 +312,32 @@ class Trie:
         return out
 
 
+class Neighbours:
+    """Successors or predecessors of the words level: keys that begin with the word's place, with exact counts."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        seen = counts > 0
+        self.keys = EliasFano(keys[seen])
+        (self.counts,) = mapped([self.keys], [counts[seen].astype(np.uint32)])
+
+    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
+        at, there = self.keys.successor(keys)
+        out = np.zeros(keys.size, np.int64)
+        out[there] = self.counts[at[there]]
+        return out
+
+
+def _owned(r: dict, places: np.ndarray, n_words: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in Neighbours of a row's pairs, and whether the owner is in the words level (else it has none)."""
+    owner = places[r["owners"]]
+    if r["kind"] == AFTER:
+        keys = np.maximum(owner, 0).astype(np.uint64) * np.uint64(classes) + r["keys"].astype(np.uint64)
+    else:
+        cut = np.uint64(max(1, n_words).bit_length())
+        keys = (np.maximum(owner, 0).astype(np.uint64) << (np.uint64(64) - cut)) | (r["keys"] >> cut)
+    return keys, owner >= 0
+
+
 def _level(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of all batches with their summed training counts."""
     keys = np.concatenate([np.empty(0, np.uint64), *[r["keys"] for r in rows]])
@@ -282,30 +347,65 @@ def _level(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _answers(shared, s: Settings):
+    end = np.uint64(xxhash.xxh64_intdigest(END))
+
     def run(table: pa.Table) -> pa.Table:
         t: Tables = shared.value
-        rows, out = [], []
-        for r in table.to_pylist():
+        batches, out = {}, []
+        for r in (x for part in table.to_batches(max_chunksize=64) for x in part.to_pylist()):
             if r["kind"] == LOCAL:
                 n = len(r["uses"]) // 8
-                out.append({"batch": r["batch"], "ids": r["keys"], "missing": r["trained"], "tokens": r["uses"], "base": r["texts"], "known": r["times"][: 8 * n], "held": r["times"][8 * n :]})
-            else:
-                rows.append({"batch": r["batch"], "kind": r["kind"], "keys": _values(r["keys"], "<u8"), "trained": _values(r["trained"], "<u4"), "uses": _values(r["uses"], "<u4"), "texts": r["texts"], "times": r["times"]})
-        words, pairs = [r for r in rows if r["kind"] == WORDS], [r for r in rows if r["kind"] == PAIRS]
-        if rows:
-            trie = Trie(_level(words), _level(pairs), t, s)
-        for r in rows:
-            texts, times = _values(r["texts"], "<u4"), _values(r["times"], "<u4")
-            there, at = np.unique(texts, return_inverse=True)
-            add = lambda values: np.bincount(at, weights=np.repeat(values, r["uses"]) * times, minlength=there.size)  # noqa: E731, B023
-            answer = {"batch": r["batch"], "texts": _planes(there.astype("<u4"))}
-            if r["kind"] == WORDS:
-                counts = trie.word_counts(r["keys"])
-                base = t.base(counts)
-                answer |= {"base": _planes(add(base)), "known": _planes(add(counts > 0).astype("<u4"))}
+                out.append({"batch": r["batch"], "ids": r["keys"], "missing": r["trained"], "tokens": r["uses"], "base": r["texts"], "score": r["owners"], "known": r["times"][: 8 * n], "held": r["times"][8 * n :]})
             else:
-                answer["score"] = _planes(add(trie.pair_scores(r["keys"])))
-            out.append(answer)
+                row = {"kind": r["kind"], "keys": _values(r["keys"], "<u4" if r["kind"] == AFTER else "<u8"), "trained": _values(r["trained"], "<u4"), "uses": _values(r["uses"], "<u4"), "texts": r["texts"], "times": r["times"]}
+                if r["owners"] is not None:
+                    row["owners"] = _values(r["owners"], "<u4")
+                batches.setdefault(r["batch"], {})[r["kind"]] = row
+        of = lambda kind: [b[kind] for b in batches.values() if kind in b]
+        trie = Trie(_level(of(WORDS)), _level(of(PAIRS)), t, s)
+        for b in batches.values():
+            if WORDS in b:
+                b["counts"], (at, there) = trie.word_counts(b[WORDS]["keys"]), trie.words.successor(b[WORDS]["keys"])
+                b["places"] = np.where(there, at, -1)
+            for kind in (BEFORE, AFTER):
+                if kind in b:
+                    b[kind]["found"] = _owned(b[kind], b["places"], trie.words.n, t.classes)
+                    if kind == BEFORE:
+                        del b[kind]["keys"]  # the found ones stand for them
+        neighbours = {}
+        for kind in (BEFORE, AFTER):
+            rows = [{"keys": r["found"][0][r["found"][1]], "trained": r["trained"][r["found"][1]]} for r in of(kind)]
+            neighbours[kind] = Neighbours(*_level(rows))
+
+        def pair_counts(r: dict) -> np.ndarray:
+            keys, there = r["found"]
+            return np.where(there, neighbours[r["kind"]].pair_counts(keys), 0)
+
+        for number, b in batches.items():
+            rows = [b[kind] for kind in (WORDS, PAIRS, BEFORE, AFTER) if kind in b]
+            at = [_values(r["texts"], "<u4") for r in rows]
+            size = max(int(x.max()) for x in at) + 1
+            score, base, known, there = np.zeros(size), np.zeros(size), np.zeros(size), np.zeros(size, bool)
+            for r, texts in zip(rows, at):
+                times = _values(r["times"], "<u4")
+                add = lambda values: np.bincount(texts, weights=np.repeat(values, r["uses"]) * times, minlength=size)  # noqa: E731, B023
+                there[texts] = True
+                if r["kind"] == WORDS:
+                    of_words = t.base(b["counts"])
+                    base += add(of_words)
+                    known += add(b["counts"] > 0)
+                    if s.whole:  # a rare word stands before something, unless it is the end token
+                        score += add(np.where(r["keys"] == end, 0.0, -np.log10(b["counts"] + s.mu)))
+                    else:  # a rare word's share of its class: its P1 over the class's
+                        score += add(of_words - np.log10(t.class_base[RARE]))
+                elif r["kind"] == PAIRS:
+                    score += add(trie.pair_scores(r["keys"]))
+                elif r["kind"] == BEFORE:
+                    score += add(np.log10(pair_counts(r) + s.mu * 10 ** t.base(b["counts"][r["owners"]])))
+                else:
+                    score += add(np.log10(pair_counts(r) + s.mu * t.class_base[r["keys"]]))
+            pick = np.flatnonzero(there)
+            out.append({"batch": number, "texts": _planes(pick.astype("<u4")), "score": _planes(score[pick]), "base": _planes(base[pick]), "known": _planes(known[pick].astype("<u4"))})
         names = ["batch", "texts", "score", "base", "known", "ids", "missing", "tokens", "held"]
         return pa.table({n: pa.array([r.get(n) for r in out], pa.int64() if n == "batch" else pa.binary()) for n in names})
 
@@ -320,18 +420,13 @@ def _summed(shared):
         local = next(r for r in rows if r["ids"] is not None)
         ids, missing = _values(local["ids"], "<i8"), _values(local["missing"], "u1").astype(bool)
         base, known, tokens = _values(local["base"], "<f8").copy(), _values(local["known"], "<i8").copy(), _values(local["tokens"], "<i8")
-        # a rare word's share of its class: its P1 over the class's; the P1 is part of the base answers
-        score = -np.log10(t.class_base[RARE]) * (tokens - known)
-        order = lambda r: (r["score"] or b"", r["base"] or b"", r["texts"] or b"")  # noqa: E731  sums don't depend on arrival
+        score = _values(local["score"], "<f8").copy()
+        order = lambda r: (r["score"], r["base"], r["texts"])  # noqa: E731  sums don't depend on arrival
         for r in sorted((r for r in rows if r["ids"] is None), key=order):
             at = _values(r["texts"], "<u4")
-            if r["score"] is not None:
-                score[at] += _values(r["score"], "<f8")
-            else:
-                found = _values(r["base"], "<f8")
-                base[at] += found
-                score[at] += found
-                known[at] += _values(r["known"], "<u4")
+            score[at] += _values(r["score"], "<f8")
+            base[at] += _values(r["base"], "<f8")
+            known[at] += _values(r["known"], "<u4")
         n = ids.size
         return pa.table(
             {
@@ -366,4 +461,4 @@ def scored(docs: DataFrame, is_training: Column, s: Settings = Settings()) -> Da
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return scored(docs, remainder("doc_id", 5) != 1)
+    return scored(docs, remainder("doc_id", 5) != 1, Settings(whole=True))
