@@ -194,3 +194,18 @@ def test_options_treat_none_as_default():
     assert config.options("segment", silence_ratio=0, smoothing=None) == config.DEFAULTS["segment"] | {"silence_ratio": 0}
     with pytest.raises(ValueError):
         config.options("segment", nothing=1)
+
+
+def test_silhouette_measures_every_row(spark):
+    rng = np.random.default_rng(12)
+    x, c = rng.normal(size=(1700, 3)), rng.integers(0, 3, 1700)
+    x[:, 0] += c * rng.random(1700)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    n = np.array([(c == k).sum() for k in range(3)])
+    sums = np.stack([d[:, c == k].sum(axis=1) for k in range(3)], axis=1)
+    own = np.arange(3)[None] == c[:, None]
+    a, b = (sums[own] / (n[c] - 1)), np.where(own, np.inf, sums / n).min(axis=1)
+    want = ((b - a) / np.maximum(a, b)).mean()
+    df = spark.createDataFrame([(i, int(k), v.tolist()) for i, (k, v) in enumerate(zip(c, x))], "id long, cluster int, vec array<double>")
+    assert cluster.silhouette(df, "vec", "id").first()["silhouette"] == pytest.approx(want, abs=1e-9)
+    assert cluster.silhouette(df, "vec", "id", limit=1500).first()["silhouette"] != pytest.approx(want, abs=1e-9)

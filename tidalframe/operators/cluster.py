@@ -164,16 +164,21 @@ def davies_bouldin(labelled: DataFrame, vec: str, centroids: Centroids) -> DataF
     return worst.agg((F.coalesce(F.sum("r"), F.lit(0.0)) / k).alias("db"))
 
 
-def silhouette(labelled: DataFrame, vec: str, key: str, limit: int = 1500) -> DataFrame:
-    """Mean silhouette (plain Euclidean) of a repeatable sample of at most `limit` rows.
+def silhouette(labelled: DataFrame, vec: str, key: str, limit: int | None = None, block: int = 1024) -> DataFrame:
+    """Mean silhouette (plain Euclidean) of all rows, or of a repeatable sample of at most `limit`.
 
-    A single member has a = 0; without another cluster a point is passed over. The sample
-    is bounded, so it is broadcast and each of its points meets all others once.
+    A single member has a = 0; without another cluster a point is passed over. Rows are dealt
+    into blocks of about `block`; each pair of blocks meets once for either side, and sums of
+    distance per point and cluster are merged by key.
     """
     points = labelled.select(F.col(key).alias("key"), "cluster", F.transform(vec, lambda x: x.cast("double")).alias("v"))
-    points = points.orderBy(F.xxhash64(F.lit(0), F.col("key")), "key").limit(limit)
-    other = F.broadcast(points.select(F.col("key").alias("okey"), F.col("cluster").alias("ocluster"), F.col("v").alias("ov")))
-    pairs = points.join(other, F.col("key") != F.col("okey"))
+    if limit is not None:
+        points = points.orderBy(F.xxhash64(F.lit(0), F.col("key")), "key").limit(limit)
+    blocks = max(1, -(-points.count() // block))
+    own, every = F.pmod(F.xxhash64("key"), F.lit(blocks)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    left = points.select("key", "cluster", "v", own.alias("i"), every.alias("j"))
+    right = points.select(F.col("key").alias("okey"), F.col("cluster").alias("ocluster"), F.col("v").alias("ov"), own.alias("j"), every.alias("i"))
+    pairs = left.join(right.hint("merge"), ["i", "j"]).where(F.col("key") != F.col("okey"))
     apart = pairs.groupBy("key", "cluster", "ocluster").agg(F.avg(F.sqrt(distance2(F.col("v"), F.col("ov")))).alias("d"))
     per = apart.groupBy("key", "cluster").agg(F.coalesce(F.max(F.when(F.col("cluster") == F.col("ocluster"), F.col("d"))), F.lit(0.0)).alias("a"), F.min(F.when(F.col("cluster") != F.col("ocluster"), F.col("d"))).alias("b"))
     s = (F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-12))
