@@ -209,3 +209,17 @@ def test_silhouette_measures_every_row(spark):
     df = spark.createDataFrame([(i, int(k), v.tolist()) for i, (k, v) in enumerate(zip(c, x))], "id long, cluster int, vec array<double>")
     assert cluster.silhouette(df, "vec", "id").first()["silhouette"] == pytest.approx(want, abs=1e-9)
     assert cluster.silhouette(df, "vec", "id", limit=1500).first()["silhouette"] != pytest.approx(want, abs=1e-9)
+
+
+def test_a_long_session_is_exported_line_by_line(spark):
+    sessions = spark.createDataFrame([(1, "long"), (2, "short")], "session long, name string")
+    refs = spark.range(20_000).selectExpr("if(id % 1000 = 0, 2, 1) as session", "id as pos", "id as recording")
+    recs = spark.range(20_000).where("id % 7 <> 0").selectExpr("id", "concat('r', id) as name", "encode(repeat(id, 20), 'utf-8') as blob")
+    out = documents.export_sessions(sessions, refs, recs).cache()
+    kept = [i for i in range(20_000) if i % 7]
+    assert out.count() == len(kept) + 2 and out.agg(F.max(F.length("json"))).first()[0] < 300
+    names, rows = documents.import_sessions(out)
+    assert {(r["session"], r["name"]) for r in names.collect()} == {(1, "long"), (2, "short")}
+    for session in (1, 2):
+        mine = [i for i in kept if (i % 1000 == 0) == (session == 2)]
+        assert [(r["pos"], r["id"], bytes(r["blob"]).decode()) for r in rows.where(F.col("session") == session).orderBy("pos").collect()] == [(n, i, str(i) * 20) for n, i in enumerate(mine)]

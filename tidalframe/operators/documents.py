@@ -111,24 +111,40 @@ def next_trimmed_name(recordings: DataFrame) -> DataFrame:
     return per.select("base", F.concat("base", F.lit(" Trimmed "), (F.col("n") + 1).cast("string")).alias("next_name"))
 
 
+_RUN = 4096
+
+
+def _places(refs: DataFrame) -> DataFrame:
+    """refs (session, pos, recording) with pos counted from 0 without gaps in each session.
+
+    Runs of _RUN positions are numbered apart and moved by the rows before them, so a long
+    session isn't one task's.
+    """
+    rows = refs.withColumn("_run", F.coalesce(F.floor(F.col("pos") / _RUN), F.lit(-1)))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("session", "_run").orderBy("pos", "recording")) - 1)
+    before = F.sum("count").over(Window.partitionBy("session").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = rows.groupBy("session", "_run").count().select("session", "_run", F.coalesce(before, F.lit(0)).alias("_before"))
+    return rows.join(offsets, ["session", "_run"]).select("session", (F.col("_before") + F.col("_n")).cast("int").alias("pos"), "recording")
+
+
 def export_sessions(sessions: DataFrame, refs: DataFrame, recordings: DataFrame) -> DataFrame:
-    """session, json: name, its recordings in order with their content in base64; dangling references are dropped."""
-    rec = recordings.select(F.col("id").alias("recording"), F.col("name").alias("rec_name"), base64(F.col("blob")).alias("blob64"))
-    entry = F.struct("pos", F.col("recording").alias("id"), F.col("rec_name").alias("name"), F.col("blob64").alias("blobBase64"))
-    lists = refs.join(rec, "recording").groupBy("session").agg(F.array_sort(F.collect_list(entry)).alias("l"))
-    clean = F.expr("transform(l, x -> struct(x.id as id, x.name as name, x.blobBase64 as blobBase64))")
-    out = sessions.join(lists, "session", "left").select("session", "name", F.coalesce(clean, F.expr("cast(array() as array<struct<id:bigint,name:string,blobBase64:string>>)")).alias("recordings"))
-    return out.select("session", F.to_json(F.struct("name", "recordings")).alias("json"))
+    """session, pos, json: a line with the name and without pos for each session, and one for each of its
+    recordings in order, with its content in base64; dangling references are dropped."""
+    rec = recordings.select(F.col("id").alias("recording"), "name", base64(F.col("blob")).alias("blob64"))
+    placed = _places(refs.select("session", "pos", "recording").join(rec.select("recording"), "recording", "left_semi").join(sessions.select("session"), "session", "left_semi"))
+    entry = F.to_json(F.struct(F.col("recording").alias("id"), "name", F.col("blob64").alias("blobBase64")))
+    lines = placed.join(rec, "recording").select("session", "pos", entry.alias("json"))
+    return sessions.select("session", F.lit(None).cast("int").alias("pos"), F.to_json(F.struct("name")).alias("json")).unionByName(lines)
 
 
-SESSION_JSON = "name string, recordings array<struct<id:bigint,name:string,blobBase64:string>>"
+ENTRY_JSON = "id bigint, name string, blobBase64 string"
 
 
 def import_sessions(exported: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(session, json) -> session names, and (session, pos, id, name, blob) rows."""
-    read = exported.select("session", F.from_json("json", SESSION_JSON).alias("j"))
-    rows = read.select("session", F.posexplode("j.recordings").alias("pos", "r"))
-    return read.select("session", "j.name"), rows.select("session", "pos", "r.id", "r.name", F.unbase64("r.blobBase64").alias("blob"))
+    """(session, pos, json) -> session names, and (session, pos, id, name, blob) rows."""
+    names = exported.where("pos is null").select("session", F.from_json("json", "name string")["name"].alias("name"))
+    rows = exported.where("pos is not null").select("session", "pos", F.from_json("json", ENTRY_JSON).alias("r"))
+    return names, rows.select("session", "pos", "r.id", "r.name", F.unbase64("r.blobBase64").alias("blob"))
 
 
 def split_embedded(sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
