@@ -64,6 +64,25 @@ def test_encoders_equal_the_libraries_on_odd_texts(texts):
     assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [TIKTOKEN.encode_ordinary(t) for t in texts]
 
 
+@pytest.mark.parametrize("name,word_mode", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+@pytest.mark.parametrize("special", [False, True])
+def test_special_strings_are_text_or_tokens(name, word_mode, special):
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    plain.encode_special_tokens = not special
+    rng = random.Random(6)
+    parts = ["a", " ", "  ", "\n", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", "é", ".", "x<|endoftext|>y "]
+    texts = [None, "", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(400))]
+    flat, counts = cached_encoder(public_tokenizers.path(name), word_mode, special).encode(pa.array(texts, pa.string()))
+    assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_token_store_parts_rows_that_are_alike(spark, tmp_path):
+    rows = spark.range(0, 4000, 1, 8).selectExpr("7L as doc_id", "repeat('same text ', 50) as text")
+    token_store.write(rows, str(tmp_path / "t"))
+    stored = spark.read.orc(str(tmp_path / "t"))
+    assert stored.count() == 4000 and stored.select("part").distinct().count() > 1
+
+
 LIBRARY = {name: library(name) for name in ("word_bpe_49k.json", "byte_bpe_50k.json")}
 TIKTOKEN = own_tiktoken()
 

@@ -16,7 +16,10 @@ memory doesn't grow with the partition. A sequence's id is its task's partition
 shifted, plus a count, and a task that runs again gives the same ids.
 
 Nulls and edges: a null text counts as empty, and an empty document is its end token
-alone. A null id is passed on. Repeated rows are packed each for itself.
+alone. A null id is passed on. Repeated rows are packed each for itself. Other columns
+of docs, whatever their names, take no part; an empty table has no pieces; a long text
+is a batch of its own and may fill many sequences. What spells a special token is
+ordinary text unless `special_strings` is set.
 """
 
 from __future__ import annotations
@@ -47,7 +50,9 @@ class Settings:
     hard_penalty: float = 16.0
     sequence_cost: float = 8.0
     grid: int = 64
-    chunk: int = 1 << 20
+    chunk: int = 1 << 19
+    slice_bytes: int = 2 << 20
+    special_strings: bool = False
 
 
 def cut_points(ends: np.ndarray, sentences: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +125,7 @@ def packed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(PIECES).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = cached_encoder(s.tokenizer, False)
+        encoder = cached_encoder(s.tokenizer, False, s.special_strings)
         ends_sentence = np.zeros(encoder.width.size, bool)
         for token, i in encoder.tokenizer.get_vocab(with_added_tokens=False).items():
             ends_sentence[i] = token[-1] in ".!?Ċ"  # the last is the vocabulary's newline
@@ -141,7 +146,7 @@ def packed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             names.clear(), ids.clear(), counts.clear()
             return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], schema.names)
 
-        for batch in slices(batches, "text", 16 << 20):
+        for batch in slices(batches, "text", s.slice_bytes):
             found, n = with_end(*encoder.encode(batch.column("text")), s.end_id)
             names.append(batch.column("doc_id")), ids.append(found), counts.append(n)
             if sum(x.size for x in ids) >= s.chunk:

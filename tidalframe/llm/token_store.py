@@ -7,11 +7,14 @@ before the row in its part. Each file has stripes of bounded size, so Spark read
 stripes in parallel, row indexes every `index_stride` rows, and Bloom filters on doc_id:
 `lookup` reads only stripes and row groups that can hold the wanted ids.
 
-The text is dealt by ranges of (id, text hash) before it is encoded, so the ids, which
-are larger, are never shuffled, and many rows with one id still spread over tasks.
+The text is dealt by ranges of (id, text hash, a seeded number) before it is encoded, so
+the ids, which are larger, are never shuffled, and many rows with one id, even with one
+text, still spread over tasks.
 
 Nulls and edges: a null text counts as empty and has the end token only; null ids come
-first; repeated rows are stored each.
+first; repeated rows are stored each. Other columns of docs, whatever their names, take
+no part; an empty table is stored as one; a long text is a batch and a row of its own.
+What spells a special token is ordinary text unless `special_strings` is set.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ class Settings:
     stripe_bytes: int = 16 << 20
     index_stride: int = 1000
     bloom_fpp: float = 0.01
+    slice_bytes: int = 2 << 20
+    special_strings: bool = False
 
 
 STORED = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
@@ -48,8 +53,8 @@ def write(docs: DataFrame, path: str, s: Settings = Settings()) -> None:
     """Encode docs (doc_id, text) and write the ids to path."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seen = cached_encoder(s.tokenizer, True), TaskContext.get().partitionId(), 0
-        for batch in slices(batches, "text", 16 << 20):
+        encoder, part, seen = cached_encoder(s.tokenizer, True, s.special_strings), TaskContext.get().partitionId(), 0
+        for batch in slices(batches, "text", s.slice_bytes):
             found, counts = with_end(*encoder.encode(batch.column("text")), s.end_id)
             stops = np.cumsum(counts)
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], stops)).astype(np.int32)), pa.array(found.view(np.int32)))
@@ -59,8 +64,9 @@ def write(docs: DataFrame, path: str, s: Settings = Settings()) -> None:
             )
             seen += int(stops[-1])
 
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")).repartitionByRange("doc_id", "h")
-    rows = dealt.sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text").mapInArrow(encoded, STORED)
+    # the third key parts rows that share id and text; it decides nothing else, as such rows are alike
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"), F.rand(7).alias("r"))
+    rows = keyed.repartitionByRange("doc_id", "h", "r").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text").mapInArrow(encoded, STORED)
     (
         rows.write.option("orc.stripe.size", s.stripe_bytes)
         .option("orc.row.index.stride", s.index_stride)

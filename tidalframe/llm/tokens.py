@@ -6,11 +6,17 @@ between two such places always has the same ids, so Arrow splits a batch and fin
 distinct pieces, the library encodes those that the worker hasn't met, and numpy puts
 the ids of the texts together. Where white space is part of the tokens, texts with
 other white space, or two such characters in a row, are encoded as they are.
+
+What spells a special token in a text is ordinary text, as the vocabularies' guide
+encodes (`special_strings=False`, the library's `encode_special_tokens`). With
+`special_strings=True` such strings are the special tokens, as in the library's plain
+call; texts that have one are then encoded as they are.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -26,6 +32,8 @@ _UNUSUAL = "[\\t\\v\\f\\r\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000
 _LETTER_LAST = "[A-Za-z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{12f}\\x{131}-\\x{17f}]$"
 _SIGNS = ".,;:!?*%$#&|"
 _JOINED = 1000
+#: Longer pieces are not remembered, so that a cache's entries bound its bytes.
+_LONGEST = 64
 
 
 class CachedEncoder:
@@ -34,16 +42,17 @@ class CachedEncoder:
     word_mode: the vocabulary drops white space (else each piece keeps it and is lossless in bytes).
     """
 
-    def __init__(self, tokenizer: Tokenizer, word_mode: bool, capacity: int = 400_000):
+    def __init__(self, tokenizer: Tokenizer, word_mode: bool, capacity: int = 100_000):
         self.tokenizer = tokenizer
         self.tokenizer.model._resize_cache(0)
         self.word_mode, self.capacity, self.cache = word_mode, capacity, {"": b""}
+        named = [] if tokenizer.encode_special_tokens else [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
+        self.special = f"(?i){'|'.join(sorted(named))}" if named else None
         if word_mode:
             self.mark, self.mark_id = next((c, ids[0]) for c in "•¿¤§¶" if len(ids := self._ids([c])[0]) == 1)
         else:
-            vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-            self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
-            for token, i in vocabulary.items():
+            self.width = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.int64)
+            for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
                 self.width[i] = len(token)  # one character stands for one byte
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
@@ -87,7 +96,7 @@ class CachedEncoder:
             self.cache = {"": b""}
         for i, ids in zip(missing, self._pieces([keys[i] for i in missing])):
             found[i] = ids
-        self.cache.update((keys[i], found[i]) for i in missing if uses[i] > 1)
+        self.cache.update((keys[i], found[i]) for i in missing if uses[i] > 1 and len(keys[i]) <= _LONGEST)
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -95,13 +104,11 @@ class CachedEncoder:
         texts = pc.fill_null(texts, "")
         if not len(texts):
             return np.empty(0, np.uint32), np.empty(0, np.int64)
-        whole: list[int] = []
-        if self.word_mode:
-            lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-        else:
-            unusual = pc.match_substring_regex(texts, _UNUSUAL)
-            whole = np.flatnonzero(unusual.to_numpy(zero_copy_only=False)).tolist()
-            lists = pc.split_pattern(pc.replace_substring(pc.if_else(unusual, "", texts), "\n", " \n"), " ")
+        odd = [pc.match_substring_regex(texts, r) for r in (None if self.word_mode else _UNUSUAL, self.special) if r]
+        unusual = odd[0] if len(odd) == 1 else pc.or_(*odd) if odd else None
+        whole = [] if unusual is None else np.flatnonzero(unusual.to_numpy(zero_copy_only=False)).tolist()
+        cut = texts if unusual is None else pc.if_else(unusual, "", texts)
+        lists = pc.split_pattern(pc.replace_substring(cut, "\n", " " if self.word_mode else " \n"), " ")
         counts = pc.list_value_length(lists).to_numpy()
         first = np.cumsum(counts) - counts
         pieces = lists.flatten().dictionary_encode()
@@ -126,12 +133,15 @@ class CachedEncoder:
         tail[at] = len(named) + tails.indices.to_numpy()
         uses = np.bincount(stem[codes], minlength=len(keys)) + np.bincount(tail[at], minlength=len(keys))
         raw = [*self._looked_up(keys, uses), b""]
-        if whole:
-            for i, ids in zip(whole, self._alone(texts.take(pa.array(whole)).to_pylist())):
-                raw[stem[codes[first[i]]]] = ids
         flat, sizes = _gather(np.frombuffer(b"".join(raw), "<u4"), np.fromiter(map(len, raw), np.int64, len(raw)) // 4, np.stack((stem, tail), 1).ravel())
         flat, sizes = _gather(flat, sizes.reshape(-1, 2).sum(axis=1), codes)
-        return flat, np.add.reduceat(sizes, first)
+        totals = np.add.reduceat(sizes, first)
+        if whole:  # their places are empty so far
+            ids = self._alone(texts.take(pa.array(whole)).to_pylist())
+            found = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            flat = np.insert(flat, np.repeat((np.cumsum(totals) - totals)[whole], found), np.frombuffer(b"".join(ids), "<u4"))
+            totals[whole] = found
+        return flat, totals
 
 
 def _gather(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,10 +152,10 @@ def _gather(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.
 
 
 @lru_cache(maxsize=4)
-def cached_encoder(path: str, word_mode: bool) -> CachedEncoder:
+def cached_encoder(path: str, word_mode: bool, special_strings: bool = False) -> CachedEncoder:
     """One per worker process: Spark reuses its Python workers, and so the words learned."""
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = not special_strings
     return CachedEncoder(tokenizer, word_mode)
 
 
