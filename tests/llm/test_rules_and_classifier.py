@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import re
 
 import pytest
@@ -63,11 +64,49 @@ def test_sketches_merge_to_within_a_bin(spark):
     values = [((i * 7919) % 100_003) // 7 for i in range(4000)]
     rows = spark.createDataFrame([("l", "s", v, v, v) for v in values], "lang string, source string, symbol_rate long, dup_line_rate long, char_rate long")
     sketch = quality_rules.sketches(rows)
-    got = quality_rules.fences(sketch, ["lang"], spread=0.0).first()
+    got = quality_rules.fences(sketch, ["lang"], dict.fromkeys(quality_rules.RATES, 0)).first()
     exact = sorted(values)[len(values) // 2 - 1]
     assert exact <= got["symbol_rate"] <= exact * (1 + 1 / 32) + 1
 
 
+def exact_bin(x):
+    shift = max(x.bit_length() - 6, 0)
+    return (x >> shift) << shift, ((x >> shift) + 1 << shift) - 1
+
+
+def test_fences_come_from_each_groups_own_quantiles(spark):
+    """Brute force over all rows of documents: no cutoff but what the group's own rates give."""
+    rows = quality_rules.query(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "lang", "source"), "doc_id").toPandas()
+    found = set()
+    for r, (measure, k) in quality_rules.RATES.items():
+        rows[r] = [v * 1000 // n if n else 0 for v, n in zip(rows[measure].tolist(), rows["n_words"].tolist())]
+        groups = [rows[rows.lang == lang] for lang in set(rows.lang)]
+        groups = [g for big in groups for g in [*[x for _, x in big.groupby("source") if len(x) >= 200], big[big.groupby("source")["doc_id"].transform("size") < 200]] if len(g)]
+        for g in groups:
+            of = g if g.source.nunique() == 1 and len(g) >= 200 else rows[rows.lang == g.lang.iloc[0]]
+            ordered = sorted(of[r].tolist())
+            at = lambda q: ordered[math.ceil(q * len(ordered)) - 1]  # noqa: E731, B023
+            low, last = exact_bin(at(0.5))
+            fence = last + k * max(exact_bin(at(0.75))[0] - low, last - low + 1)
+            assert set(g[f"fence_{r}"]) == {fence}
+            found.add((r, fence))
+    assert len({f for r, f in found if r == "char_rate"}) > 1
+
+
+def test_adaptive_fences_tell_labelled_documents_apart(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    out = quality_rules.query(spark, sf).where("not base_failed").join(labels, "doc_id")
+    share = {r["quality"]: r["k"] for r in out.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
+    assert share[1] > 0.99 and share[0] < 0.1
+
+
+def test_a_char_rate_outlier_goes(spark):
+    plain = [(i, " ".join(f"word{k}" + "x" * ((k + i) % 3) for k in range(40 + i % 5)), "en", "web", "", 1, "") for i in range(300)]
+    odd = [(900, " ".join(f"k{k}" + "y" * 40 for k in range(40)), "en", "web", "", 1, "")]
+    assert {r["doc_id"] for r in quality_rules.kept_only(spark.createDataFrame(plain + odd, DOCS)).collect()} == set(range(300))
+
+
 def test_classifier_tells_held_out_documents_apart(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")

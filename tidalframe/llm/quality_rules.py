@@ -5,12 +5,16 @@ in a written table. Rates per thousand words go into a mergeable quantile sketch
 every power of two (a value is off by at most 1/32). Sketches merge by adding counts,
 so the sketch of a language and of everything are sums of the finer ones, and a group
 with too few documents to trust is judged by the next wider one. A rate may reach the
-fence, median + `spread` * (upper quantile - median) of its group (the median as the
-last value of its bin, so that a rate all documents share is within it), which is
-never below the rate's floor. Measures and fences are then joined and the rules applied.
+fence, median + k * (upper quantile - median) of its group, k being the rate's number of
+spreads (the median as the last value of its bin, so that a rate all documents share is
+within it). No rate has a fixed cutoff: where a group is so uniform that both quantiles
+share a bin, the spread is that bin's width, the sketch's resolution. Measures and
+fences are then joined and the rules applied.
 
 Nulls and edges: a null or blank text has no words and fails the base rule; null
-languages or sources form groups of their own; repeated rows are judged one by one.
+languages or sources form groups of their own; repeated rows are judged one by one, and
+equal rates get equal verdicts; an empty table gives one. A column of docs that has the
+name of a struct made here makes that name take an underscore in front.
 """
 
 from __future__ import annotations
@@ -21,8 +25,8 @@ from pyspark.sql import functions as F
 from tidalframe.llm.common import fresh, written
 
 _SPACES = " \t\n\x0b\x0c\r"
-#: rate -> (measure that it is taken from, floor of its fence), both per thousand words
-RATES = {"symbol_rate": ("n_symbols", 100), "dup_line_rate": ("n_dup_lines", 50), "char_rate": ("word_chars", 20_000)}
+#: rate per thousand words -> (measure that it is taken from, spreads from the median to the fence)
+RATES = {"symbol_rate": ("n_symbols", 8), "dup_line_rate": ("n_dup_lines", 24), "char_rate": ("word_chars", 8)}
 
 
 def _words(text: Column) -> Column:
@@ -95,8 +99,9 @@ def sketches(rates: DataFrame) -> DataFrame:
     return long.groupBy("lang", "source", "measure", "bin").agg(F.count("*").alias("n"))
 
 
-def fences(sketch: DataFrame, by: list[str], spread: float = 6.0, upper: float = 0.75) -> DataFrame:
+def fences(sketch: DataFrame, by: list[str], spreads: dict[str, float] | None = None, upper: float = 0.75) -> DataFrame:
     """Merge sketches over what is not in `by` and read each measure's fence off the merged ones."""
+    spreads = spreads or {r: k for r, (_, k) in RATES.items()}
     merged = sketch.groupBy(*by, "measure", "bin").agg(F.sum("n").alias("n"))
     # a sketch has a bounded number of bins: sorted in one array per group, then walked
     grouped = merged.groupBy(*by, "measure").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("rows"))
@@ -105,8 +110,9 @@ def fences(sketch: DataFrame, by: list[str], spread: float = 6.0, upper: float =
         f"struct(a.seen + e.n as seen, case when a.bin is null and a.seen + e.n >= {q} * rows then e.bin else a.bin end as bin)).bin"
     )
     middle, high, top = _bin_floor(at(0.5)), _bin_floor(at(upper)), _bin_last(at(0.5))
-    floor = F.element_at(F.create_map(*[F.lit(x) for r, (_, f) in RATES.items() for x in (r, f)]), F.col("measure"))
-    fence = F.greatest(floor.cast("double"), top + spread * (high - middle))
+    spread = F.greatest(high - middle, top - middle + 1)
+    times = F.element_at(F.create_map(*[F.lit(x) for r, k in spreads.items() for x in (r, float(k))]), F.col("measure"))
+    fence = top + times * spread
     return grouped.select(*by, "measure", "rows", fence.alias("fence")).groupBy(*by).agg(
         F.max("rows").alias("rows"), *[F.max(F.when(F.col("measure") == r, F.col("fence"))).alias(r) for r in RATES]
     )
@@ -177,7 +183,7 @@ merged as (select 1 as k, lang, source, measure, bin, n from sk
 run as (select *, sum(n) over (partition by k, lang, source, measure order by bin) as seen, sum(n) over (partition by k, lang, source, measure) as rows from merged),
 q as (select k, lang, source, measure, max(rows)::bigint as rows, min(bin) filter (where seen >= 0.5 * rows) as q50, min(bin) filter (where seen >= 0.75 * rows) as q75 from run group by all),
 fl as (select k, lang, source, measure, rows, (q50 % 64) << (q50 // 64)::int as m, ((q50 % 64 + 1) << (q50 // 64)::int) - 1 as top, (q75 % 64) << (q75 // 64)::int as h from q),
-fe as (select k, lang, source, measure, rows, greatest(case measure when 'symbol_rate' then 100 when 'dup_line_rate' then 50 else 20000 end, top + 6 * (h - m))::double as fence from fl),
+fe as (select k, lang, source, measure, rows, (top + case measure when 'dup_line_rate' then 24 else 8 end * greatest(h - m, top - m + 1))::double as fence from fl),
 pick as (select a.lang, a.source, a.measure, case when a.rows >= 200 then a.fence when b.rows >= 200 then b.fence else c.fence end as fence
      from fe a join fe b on a.k = 1 and b.k = 2 and a.lang is not distinct from b.lang and a.measure = b.measure join fe c on c.k = 3 and c.measure = a.measure),
 fences as (select lang, source, max(fence) filter (where measure = 'symbol_rate') as fence_symbol_rate, max(fence) filter (where measure = 'dup_line_rate') as fence_dup_line_rate,
