@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidalframe import config
@@ -223,3 +224,42 @@ def test_a_long_session_is_exported_line_by_line(spark):
     for session in (1, 2):
         mine = [i for i in kept if (i % 1000 == 0) == (session == 2)]
         assert [(r["pos"], r["id"], bytes(r["blob"]).decode()) for r in rows.where(F.col("session") == session).orderBy("pos").collect()] == [(n, i, str(i) * 20) for n, i in enumerate(mine)]
+
+
+def test_short_signals_have_one_padded_frame(spark):
+    rows = spark.createDataFrame([(r, i, 1.0) for r, n in ((1, 1), (2, 15), (3, 16), (4, 24)) for i in range(n)], "rec_id long, idx long, v double")
+    got = signals.frames(rows, 16, 8, at_least_one=True).groupBy("rec_id", "frame").count().collect()
+    assert {(r["rec_id"], r["frame"]): r["count"] for r in got} == {(1, 0): 1, (2, 0): 15, (3, 0): 16, (4, 0): 16, (4, 1): 16}
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_numbers_have_no_gaps_and_lose_no_row(spark, adaptive):
+    """Wide rows over many ranges: every row keeps its place, and all of them are there."""
+    n, before = 250_000, spark.conf.get("spark.sql.shuffle.partitions")
+    rows = spark.range(0, n, 1, 16).selectExpr("(id * 7919) % 250007 as k", "repeat(md5(cast(id as string)), 6) as wide", "id as other")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        for got in (documents.numbered(rows, "k", "place"), sampling.positions(rows, [F.desc("k")], "place").withColumn("place", n - F.col("place"))):
+            r = got.selectExpr("count(*) as n", "count(distinct place) as d", "min(place) as a", "max(place) as z", "count(distinct k) as keys").first()
+            assert (r["n"], r["d"], r["a"], r["z"], r["keys"]) == (n, n, 1, n, n)
+            wrong = got.withColumn("k2", F.lead("k").over(Window.partitionBy((F.col("place") / 50).cast("long")).orderBy("place"))).where("k2 <= k")
+            assert wrong.count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_upsert_keeps_one_row_per_key(spark):
+    table = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], "id long, name string")
+    changes = spark.createDataFrame([(2, "x", 5), (2, "y", 9), (2, "z", 1), (3, "new", 0), (3, "new", 0)], "id long, name string, at int")
+    got = lambda df: sorted((r["id"] or 0, r["name"]) for r in df.collect())
+    assert got(documents.upsert(table, changes, order="at")) == [(0, "n"), (1, "a"), (2, "y"), (3, "new")]
+    assert got(documents.upsert(table, changes)) == [(0, "n"), (1, "a"), (2, "z"), (3, "new")]
+
+
+def test_fingerprints_ignore_order_but_not_repeats(spark):
+    rows = [(1, "a", None, b"x"), (1, "b", None, b"y"), (2, "b", None, b"y"), (2, "a", None, b"x"), (3, "a", None, b"x"), (4, "a", None, b"x"), (4, "a", None, b"x"), (5, None, None, None)]
+    df = spark.createDataFrame(rows, "session long, name string, date string, blob binary")
+    got = {r["session"]: r["fingerprint"] for r in documents.fingerprints(df).collect()}
+    assert got[1] == got[2] and len({got[i] for i in (1, 3, 4, 5)}) == 4

@@ -10,10 +10,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidalframe.operators.sampling import positions
 
-def upsert(table: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    """table with the rows of changes put in place of those with their keys; of several changes the last by `key` order stays as given."""
-    return table.join(changes.select(key), key, "left_anti").unionByName(changes.select(*table.columns))
+
+def upsert(table: DataFrame, changes: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """table with the rows of changes put in place of those with their keys.
+
+    Of several changes to one key the one with the largest `order` counts (a column of
+    changes), or, without it, the largest row by its columns from left to right, so there
+    is one row per changed key. A null key replaces nothing and is put in as it is, once.
+    """
+    columns = [F.col(c) for c in table.columns]
+    last = F.max_by(F.struct(*columns), F.struct(*([F.col(order)] if order else []), *columns)).alias("_last")
+    chosen = changes.groupBy(F.col(key).alias("_key")).agg(last).select("_last.*")
+    return table.join(chosen.select(key), key, "left_anti").select(*table.columns).unionByName(chosen)
 
 
 def deleted(table: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
@@ -33,11 +43,13 @@ def content_groups(recordings: DataFrame) -> DataFrame:
 def fingerprints(entries: DataFrame) -> DataFrame:
     """(session, name, date, blob) -> session, fingerprint: equal for the same recordings in any order.
 
-    Each part is hashed first, so a session's group holds 64 characters a recording.
+    It rests on the number of recordings and two sums of 60 bits of each one's hash, which
+    merge in any order, so a session's rows are added up where they lie.
     """
     part = F.sha2(F.concat_ws("|", F.coalesce("name", F.lit("")), F.coalesce(F.col("date").cast("string"), F.lit("")), digest(F.col("blob"))), 256)
-    parts = F.array_sort(F.collect_list("part"))
-    return entries.select("session", part.alias("part")).groupBy("session").agg(F.sha2(F.array_join(parts, "||"), 256).alias("fingerprint"))
+    bits = lambda at: F.sum(F.conv(F.substring("part", at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    rows = entries.select("session", part.alias("part")).groupBy("session").agg(F.count("*").alias("n"), bits(1).alias("a"), bits(16).alias("b"))
+    return rows.select("session", F.sha2(F.concat_ws("|", F.col("n").cast("string"), "a", "b"), 256).alias("fingerprint"))
 
 
 def import_map(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -61,12 +73,7 @@ def import_map(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     """df with a gapless number from 1 in the order of a unique column, without one task for all rows."""
-    parts = df.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
-    within = F.row_number().over(Window.partitionBy("_p").orderBy(order))
-    rows = parts.withColumn("_r", within)
-    before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = rows.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(before, F.lit(0)).alias("_b"))
-    return rows.join(offsets, "_p").withColumn(name, F.col("_b") + F.col("_r")).drop("_p", "_r", "_b")
+    return positions(df, [order], name).withColumn(name, F.col(name) + 1)
 
 
 def remapped(refs: DataFrame, mapping: DataFrame, column: str = "recording") -> DataFrame:

@@ -117,10 +117,10 @@ def explained_variance(rows: DataFrame, vec: str, mean: list[float], components:
 
 
 def covariance_table(rows: DataFrame, vec: str) -> DataFrame:
-    """i, j, cov for i <= j, as grouped aggregates; for narrow vectors (d * d cells a row)."""
-    cells = rows.select(F.posexplode(vec).alias("i", "x"), F.col(vec).alias("v"))
-    pairs = cells.select("i", "x", F.posexplode("v").alias("j", "y")).where("i <= j")
-    return pairs.groupBy("i", "j").agg(F.covar_samp("x", "y").alias("cov"))
+    """i, j, cov for i <= j: d (d + 1) / 2 rows, from the merged state of all rows."""
+    cov = gather(rows, vec).covariance
+    cells = [(i, j, float(cov[i, j])) for i in range(len(cov)) for j in range(i, len(cov))]
+    return rows.sparkSession.createDataFrame(cells, "i long, j long, cov double")
 
 
 def diagnosis(model: Model, degenerate: float = 1e-6) -> dict:

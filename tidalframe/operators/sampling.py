@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidalframe.sources.work import written
+
 
 def energy_filter(frames: DataFrame, ratio: float, least: float) -> DataFrame:
     """rms >= max(ratio * largest rms of all recordings, least). The maximum is one row, so it is broadcast."""
@@ -68,18 +70,19 @@ def preview(df: DataFrame, order: list[str | Column], most: int, n: int) -> Data
     return positions(df, order).where(F.col("pos") % step == 0)
 
 
-def positions(df: DataFrame, order: list[str | Column]) -> DataFrame:
-    """Adds `pos`, the row's place (from 0) in the total order; no task sees all rows.
+def positions(df: DataFrame, order: list[str | Column], name: str = "pos") -> DataFrame:
+    """Adds `name`, the row's place (from 0) in the total order; no task sees all rows.
 
-    Rows are dealt by ranges and sorted; each partition's size, a row per partition, gives its offset.
+    Rows are dealt by ranges, sorted and numbered within their range, and written with those
+    numbers; each range's size, a row per range, is read off the written table. Both sides of
+    the join thus see the same ranges: dealt twice, rows may fall into other ones.
     """
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
-    part = F.shiftright("_row", 33)
-    sizes = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
+    rows = written(dealt, "ranges").withColumn("_part", F.shiftright("_row", 33))
     before = F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    placed = dealt.withColumn("_part", part).join(F.broadcast(offsets), "_part")  # one row per partition
-    return placed.withColumn("pos", F.col("_before") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))).drop("_row", "_part", "_before")
+    offsets = rows.groupBy("_part").agg(F.count("*").alias("_size")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    placed = rows.join(F.broadcast(offsets), "_part")  # one row per partition
+    return placed.withColumn(name, F.col("_before") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))).drop("_row", "_part", "_before")
 
 
 def keep_silence(frames: DataFrame, fraction: float) -> DataFrame:

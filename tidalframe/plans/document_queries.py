@@ -34,8 +34,9 @@ def import_sessions_dedup(spark, sf_dir):
 
 def import_id_map(spark, sf_dir):
     r = recordings(spark, sf_dir)
-    incoming = r.where("id % 2 = 1").withColumn("id", F.col("id") - 1)
-    return documents.import_map(r.where("id % 4 = 0"), incoming)
+    # even ids are there, odd ones come in, half of them under ids that are in use
+    incoming = r.where("id % 2 = 1").withColumn("id", F.when(F.col("id") % 4 == 1, F.col("id") - 1).otherwise(F.col("id")))
+    return documents.import_map(r.where("id % 2 = 0"), incoming)
 
 
 def upsert_rows(spark, sf_dir):
@@ -79,7 +80,7 @@ def next_trimmed_name(spark, sf_dir):
 
 def export_session_json(spark, sf_dir):
     e = _entries(spark, sf_dir)
-    rec = e.select((F.col("session") * 1000 + F.col("pos")).alias("id"), "name", "blob").where("id % 10 <> 3")
+    rec = e.select((F.col("session") * 1000 + F.col("pos")).alias("id"), "name", "blob")
     refs = e.select("session", "pos", (F.col("session") * 1000 + F.col("pos")).alias("recording"))
     sessions = e.select("session", F.concat(F.lit("s"), F.col("session").cast("string")).alias("name")).distinct()
     names, rows = documents.import_sessions(documents.export_sessions(sessions, refs, rec))
@@ -102,7 +103,7 @@ def html_escape(spark, sf_dir):
 
 def file_names(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
-    return p.select("page_id", documents.file_name(F.substring("html", 1, 60)).alias("file_name"), documents.title_of_file(F.col("url")).alias("title"))
+    return p.select("page_id", documents.file_name(F.col("html")).alias("file_name"), documents.title_of_file(F.col("url")).alias("title"))
 
 
 def date_format(spark, sf_dir):
@@ -118,15 +119,16 @@ def hex_rgba(spark, sf_dir):
 
 def session_order(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    from tidalframe.operators.documents import numbered
-
     # dates repeat: the key makes the order total
     order = F.struct((-F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))).alias("t"), "o_orderkey")
-    return numbered(o.withColumn("order", order), "order", "place").select("o_orderkey", "place")
+    return documents.numbered(o.withColumn("order", order), "order", "place").select("o_orderkey", "place")
 
 
 ENT = "en as (select conv_id as session, turn as pos, role as name, text from conversations)"
-FP = "select session, sha256(array_to_string(list_sort(list(sha256(concat_ws('|', coalesce(name, ''), '', sha256(text))))), '||')) as fingerprint from {0} group by session"
+FP = (
+    "select session, sha256(concat_ws('|', count(*), sum(('0x' || h[1:15])::bigint), sum(('0x' || h[16:30])::bigint))) as fingerprint "
+    "from (select session, sha256(concat_ws('|', coalesce(name, ''), '', sha256(text))) as h from {0}) group by session"
+)
 TRIMMED = "(?i)\\s+trimmed(?:\\s+(\\d+))?$"
 
 SQL = {
@@ -137,7 +139,7 @@ SQL = {
         select="select session + 100000 as session, pos from en where session in (select session from ok)",
     ),
     "import_id_map": sql(
-        "hv as (select doc_id as id, sha256(text) as h from documents where doc_id % 4 = 0)", "nw as (select doc_id - 1 as old_id, sha256(text) as h from documents where doc_id % 2 = 1)",
+        "hv as (select doc_id as id, sha256(text) as h from documents where doc_id % 2 = 0)", "nw as (select case when doc_id % 4 = 1 then doc_id - 1 else doc_id end as old_id, sha256(text) as h from documents where doc_id % 2 = 1)",
         "j as (select old_id, h, (select min(id) from hv where hv.h = nw.h) as known from nw)", "f as (select h, min(old_id) as first from j where known is null group by h)",
         "g as (select h, first, first in (select id from hv) as taken from f)", "k as (select h, row_number() over (order by first) + greatest((select max(id) from hv), (select max(old_id) from nw)) as fresh from g where taken union all select h, first from g where not taken)",
         select="select old_id, coalesce(known, fresh) as new_id, known is null as is_new from j left join k using (h)",
@@ -153,11 +155,11 @@ SQL = {
         f"u as (select regexp_replace(name, '{TRIMMED}', '') as base, case when regexp_matches(name, '{TRIMMED}') then coalesce(try_cast(regexp_extract(name, '{TRIMMED}', 1) as bigint), 1) else 0 end as n from n)",
         select="select min(base) as base, min(base) || ' Trimmed ' || (max(n) + 1) as next_name from u group by lower(base)",
     ),
-    "export_session_json": sql(ENT, "k as (select session, 's' || session as session_name, session * 1000 + pos as id, pos, name, text from en where (session * 1000 + pos) % 10 <> 3)", select="select session, session_name, row_number() over (partition by session order by pos) - 1 as pos, id, name, text from k"),
+    "export_session_json": sql(ENT, "k as (select session, 's' || session as session_name, session * 1000 + pos as id, pos, name, text from en)", select="select session, session_name, row_number() over (partition by session order by pos) - 1 as pos, id, name, text from k"),
     "backup_counts": "select count(*) as recordings, sum(octet_length(encode(text)))::bigint as bytes, (select count(distinct conv_id) from conversations) as sessions from documents where text is not null",
     "base64_text": "select doc_id as id, base64(encode(text)) as b64 from documents",
     "html_escape": "select page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') as html from pages",
-    "file_names": "select page_id, regexp_replace(substring(html, 1, 60), '\\s+', '_', 'g') as file_name, regexp_replace(url, '\\.[^/.]+$', '') as title from pages",
+    "file_names": "select page_id, regexp_replace(html, '\\s+', '_', 'g') as file_name, regexp_replace(url, '\\.[^/.]+$', '') as title from pages",
     "date_format": "select o_orderkey, case when o_orderkey % 5 = 0 then 'no date' else strftime(o_orderdate, '%d/%m/%Y %H:%M:%S') end as shown from orders",
     "hex_rgba": "select p_partkey, 'rgba(' || (n // 65536) || ',' || (n // 256 % 256) || ',' || (n % 256) || ',0.5)' as rgba from (select p_partkey, p_partkey * 7919 % 16777216 as n from part)",
     "session_order": "select o_orderkey, row_number() over (order by epoch(o_orderdate)::bigint desc, o_orderkey) as place from orders",

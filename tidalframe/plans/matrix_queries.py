@@ -1,26 +1,28 @@
 """Scaling, statistics, components and clusters over the embeddings, each with its SQL.
 
-A vector is an embedding's first places; its label is the recording it belongs to.
+A vector is a whole embedding; its label is the recording it belongs to.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from tidalframe.operators import cluster, diagnostics, normalise, pca, sampling
 from tidalframe.plans.adapters import r6, sql, table
 
-D = 4
-CENTROIDS = [[-0.11, 0.05, 0.013, 0.1], [0.12, 0.017, 0.0, -0.09], [0.021, 0.13, -0.14, 0.03]]
-MEAN = [0.01, -0.02, 0.03, 0.0]
-AXES = [[0.5, 0.5, 0.5, 0.5], [0.7, -0.1, -0.7, 0.1]]
+D = 64
+CENTROIDS = [[round(0.13 * math.cos((c + 1) * (i + 1)), 3) for i in range(D)] for c in range(3)]
+MEAN = [round(0.03 * math.sin(i), 3) for i in range(D)]
+AXES = [[0.125] * D, [round(0.17 * math.cos(2 * i + 1), 3) for i in range(D)]]
 
 
 def rows(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").where("embedding is not null")
     frame = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    vec = F.transform(F.slice("embedding", 1, D), lambda x: x.cast("double"))
+    vec = F.transform("embedding", lambda x: x.cast("double"))
     return e.select("vec_id", F.col("label").cast("long").alias("rec_id"), frame.cast("long").alias("frame"), vec.alias("vec"))
 
 
@@ -125,7 +127,7 @@ def low_variance_dims(spark, sf_dir):
 
 
 def covariance(spark, sf_dir):
-    return pca.covariance_table(rows(spark, sf_dir), "vec").select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), r6("cov").alias("cov"))
+    return pca.covariance_table(rows(spark, sf_dir), "vec").select("i", "j", r6("cov").alias("cov"))
 
 
 def total_variance(spark, sf_dir):
@@ -152,7 +154,8 @@ def classify_projected(spark, sf_dir):
 
 def _feature_row(spark, sf_dir):
     v = F.col("vec")
-    out = rows(spark, sf_dir).select("vec_id", "rec_id", F.slice(v, 1, 2).alias("mel"), F.abs(v[2]).alias("rms"), (F.abs(v[3]) * 100).alias("centroid"), F.abs(v[3]).alias("zcr"))
+    rms, centroid, zcr = (F.abs(v[D - k]) for k in (3, 2, 1))
+    out = rows(spark, sf_dir).select("vec_id", "rec_id", F.slice(v, 1, D - 3).alias("mel"), rms.alias("rms"), (centroid * 100).alias("centroid"), zcr.alias("zcr"))
     return out.withColumn("peak", F.max("rms").over(Window.partitionBy("rec_id")))
 
 
@@ -188,7 +191,7 @@ def context_stack(spark, sf_dir):
 
 def _zscored(spark, sf_dir, scope):
     r = rows(spark, sf_dir)
-    return long(normalise.zscored(r, "vec", normalise.scaler(r, "vec", scope, 2)), "vec_id")
+    return long(normalise.zscored(r, "vec", normalise.scaler(r, "vec", scope, D - 3)), "vec_id")
 
 
 def zscore_all(spark, sf_dir):
@@ -220,9 +223,9 @@ def sample_frames(spark, sf_dir):
 
 
 def _holed(spark, sf_dir):
-    """Some cells are NaN or infinite."""
+    """Some cells, at any place, are NaN or infinite."""
     hole = F.when(F.col("vec_id") % 7 == 0, float("nan")).when(F.col("vec_id") % 11 == 0, float("inf"))
-    return rows(spark, sf_dir).withColumn("vec", F.transform("vec", lambda x, i: F.when(i == 1, F.coalesce(hole, x)).otherwise(x)))
+    return rows(spark, sf_dir).withColumn("vec", F.transform("vec", lambda x, i: F.when(i == F.col("vec_id") % D, F.coalesce(hole, x)).otherwise(x)))
 
 
 def nan_inf_count(spark, sf_dir):
@@ -244,24 +247,25 @@ def _list(values) -> str:
 
 
 def _d2(a: str, b: str) -> str:
-    return " + ".join(f"({a}[{i}] - {b}[{i}]) * ({a}[{i}] - {b}[{i}])" for i in range(1, D + 1))
+    return f"pow(list_distance({a}, {b}), 2)"
 
 
-M = "m as (select vec_id, label::bigint as rec_id, row_number() over (partition by label order by vec_id) - 1 as frame, list_transform(embedding[1:4], lambda x: x::double) as vec from embeddings where embedding is not null)"
+M = "m as (select vec_id, label::bigint as rec_id, row_number() over (partition by label order by vec_id) - 1 as frame, list_transform(embedding, lambda x: x::double) as vec from embeddings where embedding is not null)"
 C0 = f"c0 as (select * from (values {', '.join(f'({i}::bigint, {_list(c)})' for i, c in enumerate(CENTROIDS))}) t(c, cv))"
 NEAR = "{0} as (select vec_id, rec_id, vec, c as cluster, d2 from (select *, row_number() over (partition by vec_id order by d2, c) as r from (select vec_id, rec_id, vec, c, {2} as d2 from m cross join {1})) where r = 1)"
 N0 = NEAR.format("n0", "c0", _d2("vec", "cv"))
-CELLS = "cells as (select vec_id, rec_id, i - 1 as place, vec[i] as x from m cross join range(1, 5) t(i))"
+CELLS = "cells as (select vec_id, rec_id, i - 1 as place, vec[i] as x from m cross join range(1, 65) t(i))"
 ROUND = "round({0}, 6) + 0.0"
-MEANS = "select cluster, i - 1 as place, avg(vec[i]) as x, count(*) as n from {0} cross join range(1, 5) t(i) group by all"
+MEANS = "select cluster, i - 1 as place, avg(vec[i]) as x, count(*) as n from {0} cross join range(1, 65) t(i) group by all"
 STATS = "st as (select place, count(*) as n, avg(x) as mean, var_samp(x) as var, var_pop(x) as var_pop, min(x) as low, max(x) as high from cells group by place)"
 SWEEP = "sw as (select l_linenumber::bigint as K, sum(l_quantity) as inertia, round(avg(l_discount), 6) as silhouette from lineitem group by 1)"
 CHORD = "ch as (select arg_min(sw.K, (-abs((sw.K - a.K) * (z.inertia - a.inertia) - (sw.inertia - a.inertia) * (z.K - a.K)), sw.K)) as K from sw, (select * from sw order by K limit 1) a, (select * from sw order by K desc limit 1) z where sw.K <> a.K and sw.K <> z.K)"
-Z = "z as (select vec_id, rec_id, frame, vec, [" + ", ".join(" + ".join(f"(vec[{i + 1}] - ({m!r}::double)) * ({a!r}::double)" for i, (m, a) in enumerate(zip(MEAN, axis))) for axis in AXES) + "] as z from m)"
-FEAT = "ft as (select vec_id, rec_id, [vec[1], vec[2]] as mel, abs(vec[3]) as rms, abs(vec[4]) * 100 as centroid, abs(vec[4]) as zcr, max(abs(vec[3])) over (partition by rec_id) as peak from m)"
-LOGS = "[ln(1 + greatest(mel[1], 0)), ln(1 + greatest(mel[2], 0))]"
+CENTRED = f"list_transform(vec, lambda x, i: x - {_list(MEAN)}[i])"
+Z = "z as (select vec_id, rec_id, frame, vec, [" + ", ".join(f"list_inner_product({CENTRED}, {_list(axis)})" for axis in AXES) + "] as z from m)"
+FEAT = "ft as (select vec_id, rec_id, vec[1:61] as mel, abs(vec[62]) as rms, abs(vec[63]) * 100 as centroid, abs(vec[64]) as zcr, max(abs(vec[62])) over (partition by rec_id) as peak from m)"
+LOGS = "list_transform(mel, lambda x: ln(1 + greatest(x, 0)))"
 FRAMES = "fr as (select rec_id, frame, abs(vec[1]) / 20 as rms, list_sum(list_transform(vec, lambda x: greatest(x, 0))) as mel_sum, frame / 4 as time_sec from m)"
-HOLED = "hl as (select vec_id, place, case when place = 1 and vec_id % 7 = 0 then 'nan'::double when place = 1 and vec_id % 11 = 0 then 'inf'::double else x end as x from cells)"
+HOLED = "hl as (select vec_id, place, case when place = vec_id % 64 and vec_id % 7 = 0 then 'nan'::double when place = vec_id % 64 and vec_id % 11 = 0 then 'inf'::double else x end as x from cells)"
 ZS = "select vec_id, place, " + ROUND.format("case when {0} then (x - mean) / sqrt(greatest(var, 1e-12)) else x end") + " as x from cells join st using (place)"
 
 
@@ -271,19 +275,19 @@ def _unnested(column: str, keys: str, source: str, n: int) -> str:
 
 SQL = {
     "nearest_centroid": sql(M, C0, N0, select="select vec_id, cluster, round(d2, 6) as d2 from n0"),
-    "nearest_2d": sql(M, C0, NEAR.format("n2", "c0", "(vec[1] - cv[1]) * (vec[1] - cv[1]) + (vec[2] - cv[2]) * (vec[2] - cv[2])"), select="select vec_id, cluster, round(d2, 6) as d2 from n2"),
+    "nearest_2d": sql(M, C0, NEAR.format("n2", "c0", _d2("vec[1:2]", "cv[1:2]")), select="select vec_id, cluster, round(d2, 6) as d2 from n2"),
     "inertia": sql(M, C0, N0, select="select round(sum(d2), 6) as inertia from n0"),
     "cluster_sizes": sql(M, C0, N0, select="select c as cluster, count(vec_id) as n from c0 left join n0 on c = cluster group by c"),
     "cluster_pivot": sql(M, C0, N0, select="select rec_id, " + ", ".join(f"count(*) filter (where cluster = {c}) as c{c}" for c in range(3)) + " from n0 group by rec_id"),
-    "lloyd_step": sql(M, C0, N0, select=f"select c as cluster, i - 1 as place, {ROUND.format('coalesce(x, cv[i])')} as x from c0 cross join range(1, 5) t(i) left join ({MEANS.format('n0')}) q on q.cluster = c and q.place = i - 1"),
+    "lloyd_step": sql(M, C0, N0, select=f"select c as cluster, i - 1 as place, {ROUND.format('coalesce(x, cv[i])')} as x from c0 cross join range(1, 65) t(i) left join ({MEANS.format('n0')}) q on q.cluster = c and q.place = i - 1"),
     "lloyd_two_steps": sql(
-        M, C0, N0, f"c1 as (select c, list(coalesce(x, cv[i]) order by i) as cv from c0 cross join range(1, 5) t(i) left join ({MEANS.format('n0')}) q on q.cluster = c and q.place = i - 1 group by c)",
+        M, C0, N0, f"c1 as (select c, list(coalesce(x, cv[i]) order by i) as cv from c0 cross join range(1, 65) t(i) left join ({MEANS.format('n0')}) q on q.cluster = c and q.place = i - 1 group by c)",
         NEAR.format("n1", "c1", _d2("vec", "cv")),
-        select=f"select c as cluster, i - 1 as place, {ROUND.format('coalesce(x, cv[i])')} as x from c1 cross join range(1, 5) t(i) left join ({MEANS.format('n1')}) q on q.cluster = c and q.place = i - 1",
+        select=f"select c as cluster, i - 1 as place, {ROUND.format('coalesce(x, cv[i])')} as x from c1 cross join range(1, 65) t(i) left join ({MEANS.format('n1')}) q on q.cluster = c and q.place = i - 1",
     ),
     "online_kmeans_compat": sql(M, "cf as (select row_number() over (order by vec_id) - 1 as c, vec as cv from m order by vec_id limit 3)", NEAR.format("nf", "cf", _d2("vec", "cv")), select=f"select cluster, place, {ROUND.format('x')} as x, n * 3 as count from ({MEANS.format('nf')})"),
     "calinski_harabasz": sql(
-        M, C0, N0, "g as (select list(a order by i) as gm from (select i, avg(vec[i]) as a from m cross join range(1, 5) t(i) group by i))", "s as (select c, cv, count(*) as n, sum(d2) as w from n0 join c0 on c = cluster group by all)",
+        M, C0, N0, "g as (select list(a order by i) as gm from (select i, avg(vec[i]) as a from m cross join range(1, 65) t(i) group by i))", "s as (select c, cv, count(*) as n, sum(d2) as w from n0 join c0 on c = cluster group by all)",
         select=f"select round(sum(n * ({_d2('cv', 'gm')})) * (sum(n) - 3) / (sum(w) * 2), 6) as ch from s cross join g",
     ),
     "davies_bouldin": sql(
@@ -307,28 +311,28 @@ SQL = {
     "validate_dims": sql(M, CELLS, HOLED, select="select place, round(avg(case when isfinite(x) then x else 0 end), 6) + 0.0 as mean, round(var_samp(case when isfinite(x) then x else 0 end), 6) + 0.0 as var, bool_and(isfinite(x)) as valid from hl group by place"),
     "top_variance_dims": sql(M, CELLS, STATS, select="select place, round(var, 6) as var from st order by st.var desc, place limit 2"),
     "low_variance_dims": sql(M, CELLS, STATS, select="select place, round(var_pop, 6) as var_pop from st where st.var_pop > 0 order by st.var_pop, place limit 2"),
-    "covariance": sql(M, select="select i - 1 as i, j - 1 as j, round(covar_samp(vec[i], vec[j]), 6) + 0.0 as cov from m cross join range(1, 5) a(i) cross join range(1, 5) b(j) where i <= j group by all"),
+    "covariance": sql(M, select="select i - 1 as i, j - 1 as j, round(covar_samp(vec[i], vec[j]), 6) + 0.0 as cov from m cross join range(1, 65) a(i) cross join range(1, 65) b(j) where i <= j group by all"),
     "total_variance": sql(M, CELLS, STATS, select="select min(n) as n, round(sum(var), 6) as trace from st"),
     "pca_project_fixed": sql(M, Z, select=_unnested("z", "vec_id", "z", 2)),
     "explained_variance_fixed": sql(
         M, Z, "v as (select i - 1 as component, var_samp(z[i]) as variance from z cross join range(1, 3) t(i) group by i)",
-        "t as (select sum(" + " + ".join(f"(vec[{i + 1}] - ({x!r}::double)) ** 2" for i, x in enumerate(MEAN)) + ") / (count(*) - 1) as total from m)",
+        f"t as (select sum({_d2('vec', _list(MEAN))}) / (count(*) - 1) as total from m)",
         select="select component, round(variance, 6) as variance, round(variance / total, 6) as ratio, round(sum(variance / total) over (order by component), 6) as cumulative from v cross join t",
     ),
     "classify_projected": sql(
         M, Z, "c as (select * from (values (0::bigint, [0.0::double, 0.1::double]), (1, [-0.1::double, 0.0::double]), (2, [0.1::double, -0.1::double])) t(c, cv))",
         select="select vec_id, frame, c as cluster from (select *, row_number() over (partition by vec_id order by (z[1] - cv[1]) ** 2 + (z[2] - cv[2]) ** 2, c) as r from z cross join c where frame / 4 between 1 and 9) where r = 1",
     ),
-    "log1p_mel": sql(M, FEAT, select=_unnested(LOGS, "vec_id", "ft", 2)),
-    "mel_index_centroid": sql(M, "p as (select vec_id, list_transform(vec, lambda x: greatest(x, 0)) as p from m)", select="select vec_id, round(case when list_sum(p) > 0 then (p[2] + 2 * p[3] + 3 * p[4]) / list_sum(p) else 2 end, 6) as centroid from p"),
+    "log1p_mel": sql(M, FEAT, select=_unnested(LOGS, "vec_id", "ft", 61)),
+    "mel_index_centroid": sql(M, "p as (select vec_id, list_transform(vec, lambda x: greatest(x, 0)) as p from m)", select="select vec_id, round(case when list_sum(p) > 0 then list_sum(list_transform(p, lambda x, i: x * (i - 1))) / list_sum(p) else 32 end, 6) as centroid from p"),
     "mel_sum": sql(M, select="select vec_id, round(list_sum(list_transform(vec, lambda x: greatest(x, 0))), 6) as mel_sum from m"),
-    "training_vectors": sql(M, FEAT, select=_unnested(f"list_concat({LOGS}, [rms / greatest(peak, 1e-12), centroid / 16, zcr])", "vec_id", "ft", 5)),
-    "serving_vectors": sql(M, FEAT, select=_unnested(f"list_concat({LOGS}, [rms, centroid / 16, zcr])", "vec_id", "ft", 5)),
+    "training_vectors": sql(M, FEAT, select=_unnested(f"list_concat({LOGS}, [rms / greatest(peak, 1e-12), centroid / 16, zcr])", "vec_id", "ft", 64)),
+    "serving_vectors": sql(M, FEAT, select=_unnested(f"list_concat({LOGS}, [rms, centroid / 16, zcr])", "vec_id", "ft", 64)),
     "context_stack": sql(
-        M, "s as (select rec_id, frame, list_concat(coalesce(lag(vec) over w, [0, 0, 0, 0]), vec, coalesce(lead(vec) over w, [0, 0, 0, 0])) as v from m window w as (partition by rec_id order by frame))", select=_unnested("v", "rec_id, frame", "s", 12)
+        M, "s as (select rec_id, frame, list_concat(coalesce(lag(vec) over w, list_transform(vec, lambda x: 0.0)), vec, coalesce(lead(vec) over w, list_transform(vec, lambda x: 0.0))) as v from m window w as (partition by rec_id order by frame))", select=_unnested("v", "rec_id, frame", "s", 192)
     ),
     "zscore_all": sql(M, CELLS, STATS, select=ZS.format("true")),
-    "zscore_mel": sql(M, CELLS, STATS, select=ZS.format("place < 2")),
+    "zscore_mel": sql(M, CELLS, STATS, select=ZS.format("place < 61")),
     "pre_diagnostics": sql(
         M, FRAMES,
         select="select count(*) as frames, " + ", ".join(f"round({f}({c}), 6) + 0.0 as {c}_{n}" for c in ("rms", "mel_sum") for n, f in (("min", "min"), ("max", "max"), ("mean", "avg"))) + ", "

@@ -30,7 +30,7 @@ def frame_signal(spark, sf_dir):
 
 
 def frame_signal_padded(spark, sf_dir):
-    framed = signals.frames(signal(spark, sf_dir).where("idx < 12 + rec_id % 30"), FFT, HOP, at_least_one=True)
+    framed = signals.frames(signal(spark, sf_dir), FFT, HOP, at_least_one=True)
     return framed.groupBy("rec_id", "frame").agg(F.count("*").alias("samples"), r6(F.sum("v")).alias("total"))
 
 
@@ -141,10 +141,9 @@ SQL = {
     "frame_signal": sql(*BASE, select="select rec_id, frame, k, round(v, 6) + 0.0 as v from fr"),
     "frame_signal_padded": sql(
         SIG,
-        "s2 as (select * from sig where idx < 12 + rec_id % 30)",
-        "l2 as (select rec_id, greatest(1, floor((count(*) - 16) / 8.0) + 1)::bigint as f from s2 group by rec_id)",
+        "l2 as (select rec_id, greatest(1, floor((count(*) - 16) / 8.0) + 1)::bigint as f from sig group by rec_id)",
         "f2 as (select rec_id, unnest(range(0, f)) as frame from l2)",
-        select="select f2.rec_id, frame, count(*) as samples, round(sum(v), 6) + 0.0 as total from f2 join s2 on s2.rec_id = f2.rec_id and idx between frame * 8 and frame * 8 + 15 group by all",
+        select="select f2.rec_id, frame, count(*) as samples, round(sum(v), 6) + 0.0 as total from f2 join sig s2 on s2.rec_id = f2.rec_id and idx between frame * 8 and frame * 8 + 15 group by all",
     ),
     "hann_frames": sql(*BASE, WIN, select="select rec_id, frame, k, round(v, 6) + 0.0 as v from win"),
     "frame_rms": sql(*BASE, WIN, RMS, select="select rec_id, frame, round(rms, 6) as rms from rms"),
