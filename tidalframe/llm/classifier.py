@@ -55,7 +55,7 @@ class Words(dict):
         self.buckets = buckets
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         found = self[word] = xxhash.xxh32_intdigest(word) % self.buckets
         return found

@@ -1,40 +1,20 @@
-"""Shared helpers: the work folder all executors see, and written tables that cut lineage."""
+"""Helpers that several operators share."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A word is a run of anything but ASCII white space.
-SPACE_CLASS = "[\\x20\\x09-\\x0D]"
-
-_own_root: str | None = None
-
-
-def work_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary one of our own where that is unset and Spark runs in one process."""
-    global _own_root
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if _own_root is None or not os.path.isdir(_own_root):
-        _own_root = tempfile.mkdtemp(prefix="tidalframe-")
-    return _own_root
+from tidalframe.sources.work import work_path, written
 
+__all__ = ["SPACE_CLASS", "as_bytes", "fresh", "remainder", "sampled", "slices", "work_path", "written"]
 
-def work_path(spark: SparkSession, label: str) -> str:
-    return f"{work_root(spark)}/tidalframe-{label}-{uuid.uuid4().hex}"
-
+#: A word is a run of anything but ASCII white space.
+SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 
 def fresh(df: DataFrame, name: str) -> str:
     """name, with underscores in front until df has no such column."""
@@ -43,14 +23,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a written table: its lineage ends here, a lost executor costs only a
-    reread, and the planner knows its true size when it chooses a join."""
-    path = work_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def remainder(id_column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
