@@ -21,6 +21,10 @@ def _packed(values: np.ndarray, width: int) -> np.ndarray:
     return np.concatenate([*out, np.zeros(9, np.uint8)])
 
 
+#: _PLACE[b, k] is the place of the k-th (from 0) set bit of the byte b.
+_PLACE = np.array([[*[i for i in range(8) if b >> i & 1], *[0] * 8][:8] for b in range(256)], np.int64)
+
+
 class EliasFano:
     """A monotone sequence of unsigned 64-bit integers."""
 
@@ -45,11 +49,15 @@ class EliasFano:
     def _select(self, k: np.ndarray, before: np.ndarray, flip: bool) -> np.ndarray:
         """Place of the k-th (from 0) set bit, or unset bit if flip."""
         word = np.searchsorted(before, k, "right") - 1
-        bits = np.unpackbits(np.ascontiguousarray(self.high[word]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        raw = np.ascontiguousarray(self.high[word]).view(np.uint8).reshape(-1, 8)
         if flip:
-            bits = 1 - bits
-        nth = (k - before[word] + 1)[:, None]
-        return word * 64 + (np.cumsum(bits, axis=1, dtype=np.uint8) == nth).argmax(axis=1)
+            raw = ~raw
+        seen = np.cumsum(np.bitwise_count(raw), axis=1, dtype=np.uint8)
+        nth = k - before[word]
+        byte = (seen <= nth[:, None]).sum(axis=1)
+        row = np.arange(k.size)
+        nth = nth - np.where(byte > 0, seen[row, byte - 1], 0)
+        return word * 64 + byte * 8 + _PLACE[raw[row, byte], nth]
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -71,18 +79,24 @@ class EliasFano:
         out[inside] = self._select(high[inside] - 1, self.zeros_before, True) - (high[inside] - 1)
         return out
 
-    def successor(self, x: np.ndarray, step: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
-        """For each x the index of the first value >= x (n if there is none), and whether it equals x."""
+    def successor(self, x: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None, step: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+        """For each x the index of the first value >= x (n if there is none), and whether it equals x.
+
+        begin, end: search only the values from begin to end (exclusive); end if none there is >= x.
+        """
         at, same = np.empty(x.size, np.int64), np.empty(x.size, bool)
         for a in range(0, x.size, step):
-            at[a : a + step], same[a : a + step] = self._successor(x[a : a + step].astype(np.uint64))
+            part = slice(a, a + step)
+            at[part], same[part] = self._successor(x[part].astype(np.uint64), *(None if r is None else r[part] for r in (begin, end)))
         return at, same
 
-    def _successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _successor(self, x: np.ndarray, begin: np.ndarray | None, end: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         high = np.minimum(x >> np.uint64(self.width), np.uint64(self.top + 1)).astype(np.int64)
         low = x & np.uint64((1 << self.width) - 1)
         at, stop = self._starts(high), self._starts(high + 1)
-        end = stop.copy()
+        if begin is not None:
+            at, stop = np.clip(at, begin, end), np.clip(stop, begin, end)
+        last = stop.copy()
         open_ = np.flatnonzero(at < stop)
         while open_.size:  # halves the run of values with this high part
             middle = (at[open_] + stop[open_]) >> 1
@@ -91,10 +105,20 @@ class EliasFano:
             stop[open_[~below]] = middle[~below]
             open_ = open_[at[open_] < stop[open_]]
         same = np.zeros(x.size, bool)
-        inside = np.flatnonzero(at < end)
+        inside = np.flatnonzero(at < last)
         same[inside] = self.lows(at[inside]) == low[inside]
         return at, same
 
+    def saved(self) -> dict[str, np.ndarray]:
+        return {p: np.asarray(getattr(self, p)) for p in (*self.PARTS, "n", "width", "top")}
+
+    @classmethod
+    def loaded(cls, parts: dict[str, np.ndarray]) -> EliasFano:
+        out = cls.__new__(cls)
+        for p, value in parts.items():
+            setattr(out, p, value if p in cls.PARTS else int(value))
+        return out
+
 
 def mapped(sequences: list[EliasFano], others: list[np.ndarray]) -> list[np.ndarray]:
     """Move all parts to one memory-mapped scratch file, unlinked at once, so pages can leave memory

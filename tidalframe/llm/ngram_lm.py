@@ -1,83 +1,79 @@
 """Operator 10: language-model scores from an Elias-Fano n-gram trie.
 
-The model is a word bigram model: every word of the training texts is a context and a
-successor of its own, so what is counted grows with the input. START stands before a
+The model is a word trigram model: every word of the training texts is a context and a
+successor of its own, so what is counted grows with the input. Two STARTs stand before a
 text. With training counts c, N tokens and V distinct ones,
 
-    P1(w)    = (c(w) + 0.5) / (N + 0.5 (V + 1)), also for the one unknown word
-    P(w | h) = (c(h, w) + mu P1(w)) / (c(h) + mu)
-
-so every context's probabilities sum to one. Without `Settings.whole` words below
-1 / 2**share_bits of the tokens share one class RARE instead, as context and as
-successor, with P(w | h) = P(RARE | h) P1(w) / P1(RARE); the query doesn't use this.
-
-Plan. One pass counts words (written, with their counts). The frequent ones (at least
-1 / 2**share_bits of the tokens, so 2**share_bits words at most) are broadcast with their
-counts and are called classes; this is a shortcut for the hot keys and changes no
-probability. A second pass deals everything else once: each task packs, for a run of
-texts (a batch), the distinct keys with their training counts and where they occur, one
-row per shard:
-
-    WORDS   a rare word, dealt by its hash
-    PAIRS   a class after a class, dealt by the pair's hash
-    BEFORE  what stands before a rare word, dealt as that word
-    AFTER   a class after a rare word, dealt as that word
-
-A pair with a rare word lies where that word's count is, and a rare word has at most
-N / 2**share_bits of them; a pair of classes lies anywhere. Keys stand once per batch, so
-no context or successor is hot. A shard adds up the counts, builds its trie in a
-memory-mapped scratch file and answers the questions of all batches; answers are sums per
-text (numerators and contexts' denominators apart), one per batch and shard, so they come
-back small, and are added up batch by batch.
-
-Trie of a shard: the words level has the rare words' hashes as an Elias-Fano sequence,
-with exact counts as an Elias-Fano sequence of running sums. A word's place in it begins
-the keys of its successors (then the class) and of its predecessors (then as many bits of
-their hash as fit in 64), Elias-Fano sequences with exact counts. Classes have, for each
-context, a monotone pointer to its successors; a successor is stored relative to its
-context (context * classes + class keeps the level monotone), and the smoothed log10
-probability as a 16-bit code. A question looks up the context's range and searches the
-successor in it.
-
-Words are told apart by a 64-bit hash. Nulls and edges: a null text counts as empty and
-has the end token only. A null id's remainder is that of empty text. Without training
-texts every token is unknown.
+    P1(w)      = (c(w) + 0.5) / (N + 0.5 (V + 1)), also for the one unknown word
+    P2(w | v)  = (c(v, w) + mu2 P1(w)) / (c(v) + mu2)
+    P(w | u v) = (c(u, v, w) + mu3 P2(w | v)) / (c(u, v) + mu3)
+
+so every context's probabilities sum to one.
+
+Plan. A first pass finds the hot words: those that make up at least 1 / hot_share of the
+corpus. The second packs, for a run of texts (a batch), the distinct n-grams with their
+training counts, one row per shard; words are dealt by their hash, bigrams by theirs, and
+a trigram lies with its first two words, its context. A context of two hot words is
+split by its successors into parts, each an entry of its own, as many as its share of the
+shards can be. Keys stand once per batch and shard, so no word, bigram or context is hot.
+A shard adds up the counts, builds its trie in a memory-mapped scratch file, and answers
+every batch's row in its order. A batch's texts come along as places in its list of
+words; with all shards' answers they are scored text by text.
+
+Trie of a shard: words and contexts are Elias-Fano sequences of hashes, with exact counts
+as Elias-Fano sequences of running sums. A monotone pointer leads from each context to its
+successors, which are stored relative to it (context's place, then 40 bits of the word's
+hash) with a 16-bit code of the smoothed share c(u, v, w) / (c + mu3), c the context's or
+part's count. A question looks up the context, and searches its successors only, between
+its pointer and the next.
+
+`fit` stores the tries of all shards as a table, and `score` applies it to other texts;
+`scored`, which the query uses, does both in one exchange and stores nothing.
+
+Words are told apart by 64 bits of a hash, bigrams by 56, a context's successors by 40. Nulls and
+edges: a null text counts as empty and has the end token only; a null id's remainder is
+that of empty text; repeated rows are scored each; an empty table gives one; other columns
+of docs, whatever their names, take no part. Without training texts every token is unknown.
+A long text is a batch of its own, so a task must hold its tokens.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidalframe.llm.common import as_bytes, remainder, slices, written
+from tidalframe.llm.common import as_bytes, remainder, slices
 from tidalframe.llm.elias_fano import EliasFano, mapped
 
-START, RARE = 0, 1
 END = b"\n"  # no word has a newline
+START_KEY = np.uint64(xxhash.xxh64_intdigest(b"\n\n"))
+RELATIVE = 40  # bits of a successor's hash
 
 
 @dataclass(frozen=True)
 class Settings:
-    share_bits: int = 16
-    mu: float = 20.0
-    batch_bytes: int = 4 << 20
-    shard_tokens: int = 1 << 20
+    mu2: float = 100.0
+    mu3: float = 20.0
+    batch_bytes: int = 8 << 20
+    shard_tokens: int = 2 << 20
+    hot_share: int = 1 << 14
     lowest: float = -12.0
-    whole: bool = False  # every word is a context and a successor of its own
 
 
 class Keys(dict):
     """word -> 64-bit hash, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word)
         return found
@@ -85,7 +81,7 @@ class Keys(dict):
 
 def token_keys(texts: pa.Array, keys: Keys) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the tokens of all texts, and how many each has; the end token is the last of each."""
-    parts, counts, end = [], [], np.array([keys[END]], np.uint64)
+    parts, counts, end = [], [], np.array([xxhash.xxh64_intdigest(END)], np.uint64)
     for text in as_bytes(texts):
         words = text.lower().split()  # bytes: A-Z only, ASCII white space only
         parts.append(np.fromiter(map(keys.__getitem__, words), np.uint64, len(words)))
@@ -94,371 +90,381 @@ def token_keys(texts: pa.Array, keys: Keys) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.empty(0, np.uint64), *parts]), np.array(counts, np.int64)
 
 
-def word_counts(docs: DataFrame, is_training: Column, s: Settings) -> DataFrame:
-    """(key, n) of every distinct token of the training texts."""
+def _packed(*columns: tuple[np.ndarray, int]) -> bytes:
+    """(unsigned integers, bytes of each that count) -> their bytes, all first ones, then all second ones, ..., compressed."""
+    raw = [np.ascontiguousarray(v.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :w].T).tobytes() for v, w in columns]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(raw))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, seen, counts, held = Keys(), [], [], 0
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            found, at = np.unique(np.concatenate(seen), return_inverse=True)
-            return found, np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
+def _unpacked(body: bytes, *columns: tuple[int, int]) -> list[np.ndarray]:
+    """_packed() undone; columns: (how many, bytes of each)."""
+    raw, out, at = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8), [], 0
+    for n, w in columns:
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :w] = raw[at : at + n * w].reshape(w, n).T
+        out.append(wide.view("<u8").ravel())
+        at += n * w
+    return out
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each pair."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+@dataclass
+class Deal:
+    """What all tasks know: how many shards there are, and the hot words (at most 2 * hot_share) with their shares."""
+
+    shards: int
+    hot: np.ndarray  # sorted hashes
+    share: np.ndarray  # of all tokens, at most
 
-        def row(found: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["key", "n"])
+    def shares(self, words: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.hot, words), max(0, self.hot.size - 1))
+        return np.where(self.hot[at] == words, self.share[at], 0.0) if self.hot.size else np.zeros(words.size)
 
+    def home(self, keys: np.ndarray, bits: int) -> np.ndarray:
+        """The shard of each key of so many bits; ascends with the keys."""
+        return (((keys >> np.uint64(bits - 32)) * np.uint64(self.shards)) >> np.uint64(32)).astype(np.int64)
+
+
+def dealt(docs: DataFrame, s: Settings) -> Deal:
+    """Counts, batch by batch, the words that make up 1 / hot_share of it: their sums miss less than that share of the corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = Keys()
         for batch in slices(batches, "text", s.batch_bytes):
-            found, n = np.unique(token_keys(batch.column("text"), keys)[0], return_counts=True)
-            seen.append(found), counts.append(n)
-            held += found.size
-            if held > 3_000_000:
-                a, b = merged()
-                if a.size > 1_500_000:
-                    yield row(a, b)
-                    seen, counts, held = [], [], 0
-                else:
-                    seen, counts, held = [a], [b], a.size
-        if seen:
-            yield row(*merged())
-
-    return docs.where(is_training).select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+            words, n = np.unique(token_keys(batch.column("text"), keys)[0], return_counts=True)
+            often = n * s.hot_share >= n.sum()
+            names = pa.array([None, *words[often].view(np.int64).tolist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([names, pa.array([int(n.sum()), *n[often].tolist()], pa.int64())], ["key", "n"])
+
+    sums = docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    total = F.max(F.when(F.col("key").isNull(), F.col("n"))).alias("total")
+    top = sums.join(F.broadcast(sums.agg(total))).where(F.col("n") * (2 * s.hot_share) >= F.col("total"))  # one row is joined
+    rows = sorted((r["key"], r["n"]) for r in top.where("key is not null").collect())  # at most 2 * hot_share
+    tokens = sums.agg(total).first()["total"] or 0
+    hot = np.array([k for k, _ in rows], np.int64).view(np.uint64)
+    share = np.array([n for _, n in rows]) / max(1, tokens) + 1 / s.hot_share
+    order = np.argsort(hot)
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tokens // s.shard_tokens))
+    return Deal(shards, hot[order], share[order])
 
 
 @dataclass
-class Tables:
-    """What is broadcast: the frequent words and the probabilities of classes; bounded by 2**share_bits."""
-
-    frequent: np.ndarray  # sorted keys; class = index + 2
-    total: int  # N
-    distinct: int  # V
-    class_counts: np.ndarray  # as contexts: START, RARE, frequent words
-    class_base: np.ndarray  # P1 of each class; 0 for START
-
-    @property
-    def classes(self) -> int:
-        return self.class_counts.size
-
-    def base(self, counts: np.ndarray) -> np.ndarray:
-        """log10 P1 of words with these training counts."""
-        return np.log10((counts + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
-
-
-def tables(counts: DataFrame, n_texts: int, s: Settings) -> Tables:
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = max(2, -(-total // (1 << s.share_bits)))
-    top = counts.where(F.col("n") >= least).collect()  # at most 2**share_bits rows
-    keys = np.array([r["key"] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    n = np.array([r["n"] for r in top], np.int64)[order]
-    scale = total + 0.5 * (distinct + 1)
-    own = (n + 0.5) / scale
-    # counts from 1 to least - 1, and the unknown word
-    rare = (total - int(n.sum()) + 0.5 * (distinct - n.size + 1)) / scale
-    # end tokens stand before nothing, and each text has one
-    end_is_rare = np.uint64(xxhash.xxh64_intdigest(END)) not in keys
-    contexts = np.concatenate(([n_texts, total - int(n.sum()) - n_texts * end_is_rare], n))
-    return Tables(keys[order], total, distinct, contexts, np.concatenate(([0.0, rare], own)))
-
-
-def _planes(values: np.ndarray) -> bytes:
-    """The bytes of an array, all first ones, then all second ones, ...: small numbers compress well so."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(values.size, values.itemsize).T).tobytes()
-
-
-def _values(raw: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
-WORDS, PAIRS, LOCAL, BEFORE, AFTER = 0, 1, 2, 3, 4
-START_KEY = np.uint64(xxhash.xxh64_intdigest(b"\n\n"))  # no word has a newline
-PACKED = "shard int, batch long, kind int, keys binary, trained binary, uses binary, texts binary, times binary, owners binary"
-ANSWER = "batch long, texts binary, score binary, base binary, known binary, ids binary, missing binary, tokens binary, held binary"
-
-
-def _shard_of(keys: np.ndarray, kind: int, shards: int) -> np.ndarray:
-    mixed = keys if kind == WORDS else keys * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
-
-
-def _packed(items: np.ndarray, texts: np.ndarray, training: np.ndarray, kind: int, described) -> Iterator[tuple]:
-    """One row per shard: distinct keys, their training counts, in how many texts each is, which, how often.
-
-    items: a number per occurrence; described(distinct items) -> their shards, keys and owners (None if they have none).
-    """
-    if not items.size:
-        return
-    distinct, at = np.unique(items, return_inverse=True)
-    shard, keys, owners = described(distinct)
-    n_texts = training.size
-    where, times = np.unique(at * n_texts + texts, return_counts=True)
-    key_of, text_of = where // n_texts, where % n_texts
-    trained = np.bincount(key_of, weights=times * training[text_of], minlength=distinct.size).astype(np.uint32)
-    uses = np.bincount(key_of, minlength=distinct.size).astype(np.uint32)
-    order = np.argsort(shard, kind="stable")
-    # the uses of each key, in the keys' new order
-    starts = np.cumsum(uses, dtype=np.int64) - uses
-    moved = uses[order]
-    pick = np.repeat(starts[order] - (np.cumsum(moved, dtype=np.int64) - moved), moved) + np.arange(where.size)
-    text_of, times = text_of[pick].astype(np.uint32), times[pick].astype(np.uint32)
-    cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
-    stops = np.append(cuts[1:], order.size)
-    ends = np.cumsum(moved, dtype=np.int64)
-    for a, b in zip(cuts.tolist(), stops.tolist()):
-        x, y = int(ends[a] - moved[a]), int(ends[b - 1])
-        mine = order[a:b]
-        yield (int(shard[mine[0]]), kind, _planes(keys[mine]), _planes(trained[mine]), _planes(moved[a:b]), _planes(text_of[x:y]), _planes(times[x:y]), None if owners is None else _planes(owners[mine]))
-
-
-def _asked(docs: DataFrame, shared, s: Settings, shards: int) -> DataFrame:
-    """docs (doc_id, training, text) -> rows of PACKED."""
+class Grams:
+    """The distinct n-grams of a batch in the order in which they are dealt, and where each position's are."""
+
+    last: np.ndarray  # per position: the word before it, as a place in words; their number for START
+    entries: np.ndarray  # ascending 56-bit keys of bigrams, and of the parts of split contexts
+    start: int  # the entry of the context START START
+    bigram: np.ndarray  # per position: the entry of its bigram
+    context: np.ndarray  # per position: the entry of the bigram before it
+    holder: np.ndarray  # per position: the entry that its trigram lies with, the context or its part
+    trigram: np.ndarray  # per position: its place in successors
+    fan: np.ndarray  # successors of each entry
+    successors: np.ndarray  # their hashes' first bits, ascending within an entry
+
+
+def grams(words: np.ndarray, at: np.ndarray, counts: np.ndarray, deal: Deal) -> Grams:
+    """words: ascending hashes; at: places in words, text after text; counts: of tokens."""
+    d, first = words.size, np.cumsum(counts) - counts
+    last = np.concatenate(([d], at[:-1]))
+    last[first] = d
+    pairs, pair = np.unique(last * (d + 1) + at, return_inverse=True)
+    context = np.concatenate(([0], pair[:-1]))
+    context[first] = pairs.size
+    u, v = np.append(pairs // (d + 1), d), np.append(pairs % (d + 1), d)
+    hashes, shares = np.append(words, START_KEY), np.append(deal.shares(words), 1.0)
+    keys = _mixed(hashes[u], hashes[v]) >> np.uint64(8)
+    threes, three = np.unique(context * d + at, return_inverse=True)
+    holder, w = threes // d, threes % d
+    parts = np.minimum(deal.shards, np.ceil(2 * deal.shards * np.minimum(shares[u], shares[v]))).astype(np.int64)
+    split = np.flatnonzero(parts[holder] > 1)
+    if split.size:
+        salt = (_mixed(hashes[w[split]], keys[:1] * np.uint64(0)) % parts[holder[split]].astype(np.uint64)).astype(np.int64)
+        pieces, piece = np.unique(holder[split] * deal.shards + salt, return_inverse=True)
+        holder[split] = keys.size + piece
+        keys = np.append(keys, _mixed(keys[pieces // deal.shards], (pieces % deal.shards).astype(np.uint64)) >> np.uint64(8))
+    order = np.argsort(keys, kind="stable")
+    rank = np.empty(order.size, np.int64)
+    rank[order] = np.arange(order.size)
+    holder = rank[holder]
+    by = np.argsort(holder, kind="stable")  # words ascend within a context already
+    place = np.empty(by.size, np.int64)
+    place[by] = np.arange(by.size)
+    fan = np.bincount(holder, minlength=keys.size)
+    return Grams(last, keys[order], int(rank[pairs.size]), rank[pair], rank[context], holder[three], place[three], fan, hashes[w[by]] >> np.uint64(64 - RELATIVE))
+
+
+PACKED = "shard int, batch long, texts int, words int, tokens long, entries int, successors int, body binary"
+_LOCAL = -1  # the shard of a row that a batch sends itself
+
+
+def _asked(docs: DataFrame, shared, s: Settings) -> DataFrame:
+    """docs (doc_id, training, text) -> rows of PACKED: of each batch one for every shard, and its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t: Tables = shared.value
-        keys, number = Keys(), TaskContext.get().partitionId() << 32
-        base = np.concatenate(([0.0, 0.0], np.log10(t.class_base[2:])))
+        deal, keys, number = shared.value, Keys(), TaskContext.get().partitionId() << 32
         for batch in slices(batches, "text", s.batch_bytes):
-            ids = batch.column("doc_id")
-            training = batch.column("training").to_numpy(zero_copy_only=False).astype(bool)
             tokens, counts = token_keys(batch.column("text"), keys)
-            text = np.repeat(np.arange(counts.size), counts)
             words, at = np.unique(tokens, return_inverse=True)
-            found = np.searchsorted(t.frequent, words)
-            known = np.zeros(words.size, bool)
-            if t.frequent.size:
-                known = t.frequent[np.minimum(found, t.frequent.size - 1)] == words
-            rare = words[~known]
-            rank, home = np.cumsum(~known) - 1, _shard_of(rare, WORDS, shards)
-            kind, known = np.where(known, found + 2, RARE)[at], known[at]
-            context, first = np.concatenate(([START], kind[:-1])), np.cumsum(counts) - counts
-            context[first] = START
-            # places whose pair is one of classes, has a rare successor, or a rare context only
-            pair, before, after = np.ones(tokens.size, bool), ~known, known & (context == RARE)
-            if s.whole:
-                pair = ~before & ~after
-            rows = [*_packed(rank[at[~known]], text[~known], training, WORDS, lambda d: (home[d], rare[d], None))]
-            pairs = context[pair].astype(np.uint64) * np.uint64(t.classes) + kind[pair].astype(np.uint64)
-            rows += _packed(pairs, text[pair], training, PAIRS, lambda d: (_shard_of(d, PAIRS, shards), d, None))
-            sums = np.zeros(counts.size)
-            if s.whole:
-                # an owner is known by its place in the batch's row of words for its shard
-                order = np.argsort(home, kind="stable")
-                place = np.empty(rare.size, np.uint32)
-                place[order] = np.arange(rare.size) - np.searchsorted(home[order], home[order])
-                last, keys_of = np.concatenate(([0], at[:-1])), np.append(words, START_KEY)
-                last[first] = words.size
-                n = words.size + 1
-                rows += _packed(rank[at[before]] * n + last[before], text[before], training, BEFORE, lambda d: (home[d // n], keys_of[d % n], place[d // n]))
-                owned = rank[last[after]] * t.classes + kind[after]
-                rows += _packed(owned, text[after], training, AFTER, lambda d: (home[d // t.classes], (d % t.classes).astype(np.uint32), place[d // t.classes]))
-                mixed = before & (context != RARE)  # the denominators of classes before rare words
-                sums = np.bincount(text[mixed], weights=-np.log10(t.class_counts[context[mixed]] + s.mu), minlength=counts.size)
-            # what needs no other shard: frequent words' base scores, and the ids
-            bases = np.bincount(text, weights=base[kind], minlength=counts.size)
-            hits = np.bincount(text, weights=known, minlength=counts.size).astype(np.int64)
-            missing = ids.is_null().to_numpy(zero_copy_only=False)
-            values = ids.fill_null(0).to_numpy()
-            rows.append((number % shards, LOCAL, _planes(values), _planes(missing.view(np.uint8)), _planes(counts), _planes(bases), _planes(hits) + _planes((~training).view(np.uint8)), _planes(sums)))
-            columns = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array(columns[1], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[2:]]],
-                ["shard", "batch", "kind", "keys", "trained", "uses", "texts", "times", "owners"],
-            )
+            g = grams(words, at, counts, deal)
+            training = batch.column("training").to_numpy(zero_copy_only=False).astype(bool)
+            learned = np.repeat(training, counts)
+            sums = lambda where, n, of: np.bincount(where, weights=of, minlength=n).astype(np.uint64)
+            away = g.holder != g.context
+            trained = sums(g.bigram, g.entries.size, learned) + sums(g.holder[away], g.entries.size, learned[away])
+            trained[g.start] = training.sum()
+            of_words, of_threes = sums(at, words.size, learned), sums(g.trigram, g.successors.size, learned)
+            every, ends = np.arange(deal.shards + 1), np.concatenate(([0], np.cumsum(g.fan)))
+            a, b = np.searchsorted(deal.home(words, 64), every), np.searchsorted(deal.home(g.entries, 56), every)
+            ids = batch.column("doc_id")
+            flags = ids.is_null().to_numpy(zero_copy_only=False) + 2 * training
+            own = _packed((ids.fill_null(0).to_numpy().view(np.uint64), 8), (flags, 1), (counts, 5), (words, 8), (at, 4))
+            rows = [(_LOCAL, number, counts.size, words.size, at.size, 0, 0, own)]
+            for i in range(deal.shards):
+                w, e = slice(a[i], a[i + 1]), slice(b[i], b[i + 1])
+                f = slice(ends[b[i]], ends[b[i + 1]])
+                body = _packed((words[w], 8), (of_words[w], 5), (g.entries[e], 7), (trained[e], 5), (g.fan[e], 4), (g.successors[f], 5), (of_threes[f], 5))
+                rows.append((i, number, 0, w.stop - w.start, 0, e.stop - e.start, f.stop - f.start, body))
+                if len(rows) == 256:
+                    yield _rows(rows, PACKED)
+                    rows = []
+            if rows:
+                yield _rows(rows, PACKED)
             number += 1
 
     return docs.mapInArrow(run, PACKED)
 
 
-class Trie:
-    """A shard's n-grams: words level and successors level."""
-
-    def __init__(self, words: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray], t: Tables, s: Settings):
-        self.t, self.s = t, s
-        seen = words[1] > 0
-        self.words, self.running = EliasFano(words[0][seen]), EliasFano(np.concatenate(([0], np.cumsum(words[1][seen]))))
-        seen = pairs[1] > 0
-        keys, counts = pairs[0][seen], pairs[1][seen]
-        contexts = (keys // np.uint64(t.classes)).astype(np.int64)
-        self.pointers = EliasFano(np.searchsorted(contexts, np.arange(t.classes + 1)))
-        self.successors = EliasFano(keys)
-        exact = self.smoothed(contexts, (keys % np.uint64(t.classes)).astype(np.int64), counts)
-        codes = np.clip(np.round((exact - s.lowest) / -s.lowest * 65535), 0, 65535).astype(np.uint16)
-        (self.codes,) = mapped([self.words, self.running, self.pointers, self.successors], [codes])
-
-    def smoothed(self, context: np.ndarray, kind: np.ndarray, counts: np.ndarray | int) -> np.ndarray:
-        t, mu = self.t, self.s.mu
-        return np.log10((counts + mu * t.class_base[kind]) / (t.class_counts[context] + mu))
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 
-    def word_counts(self, keys: np.ndarray) -> np.ndarray:
-        """Training count of each key, 0 if the level hasn't it."""
-        at, there = self.words.successor(keys)
-        out = np.zeros(keys.size, np.int64)
-        hit = at[there]
-        for a in range(0, hit.size, 1 << 16):  # in blocks, as selecting bits takes room
-            part = hit[a : a + (1 << 16)]
-            out[np.flatnonzero(there)[a : a + (1 << 16)]] = (self.running.get(part + 1) - self.running.get(part)).astype(np.int64)
-        return out
 
-    def pair_scores(self, keys: np.ndarray) -> np.ndarray:
-        """log10 P(class | context) of each pair."""
-        context, kind = (keys // np.uint64(self.t.classes)).astype(np.int64), (keys % np.uint64(self.t.classes)).astype(np.int64)
-        out = self.smoothed(context, kind, 0)  # as if never seen
-        heads, place = np.unique(context, return_inverse=True)
-        begin, end = self.pointers.get(heads).astype(np.int64), self.pointers.get(heads + 1).astype(np.int64)
-        asked = np.flatnonzero(begin[place] < end[place])  # contexts with successors here
-        at, there = self.successors.successor(keys[asked])
-        there &= (at >= begin[place][asked]) & (at < end[place][asked])
-        out[asked[there]] = self.s.lowest - self.s.lowest / 65535 * self.codes[at[there]].astype(np.float64)
-        return out
+def _rows(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    names, kinds = zip(*(c.split() for c in ddl.split(", ")))
+    columns = list(zip(*rows)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array([int(x) if k != "binary" else x for x in c], _ARROW[k]) for c, k in zip(columns, kinds)], list(names))
 
 
-class Neighbours:
-    """Successors or predecessors of the words level: keys that begin with the word's place, with exact counts."""
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct keys with their summed counts, without those never counted."""
+    keys, counts = keys[counts > 0], counts[counts > 0]
+    distinct, at = np.unique(keys, return_inverse=True)
+    return distinct, np.bincount(at, weights=counts, minlength=distinct.size).astype(np.int64)
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        seen = counts > 0
-        self.keys = EliasFano(keys[seen])
-        (self.counts,) = mapped([self.keys], [counts[seen].astype(np.uint32)])
 
-    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        at, there = self.keys.successor(keys)
-        out = np.zeros(keys.size, np.int64)
-        out[there] = self.counts[at[there]]
-        return out
+class Trie:
+    """A shard's words, contexts and successors; see the module's text."""
+
+    SEQUENCES = ("words", "word_sums", "contexts", "context_sums", "pointers", "successors")
+
+    def __init__(self, words: tuple[np.ndarray, np.ndarray], contexts: tuple[np.ndarray, np.ndarray], s: Settings):
+        """words and contexts: keys and training counts; learn() adds the successors."""
+        self.s = s
+        running = lambda counts: EliasFano(np.concatenate(([0], np.cumsum(counts))))
+        (w, n), (c, m) = _summed(*words), _summed(*contexts)
+        if c.size >= 1 << (64 - RELATIVE):
+            raise ValueError(f"{c.size} contexts in a shard: lower shard_tokens")
+        self.words, self.word_sums, self.contexts, self.context_sums = EliasFano(w), running(n), EliasFano(c), running(m)
+        self.total, self.distinct = int(n.sum()), w.size
+
+    @staticmethod
+    def _counts(level: EliasFano, sums: EliasFano, keys: np.ndarray, step: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each key in a level (-1 if it isn't there) and its training count."""
+        at, there = level.successor(keys)
+        out, hits = np.zeros(keys.size, np.int64), np.flatnonzero(there)
+        for a in range(0, hits.size, step):  # in blocks, as selecting bits takes room
+            part = hits[a : a + step]
+            out[part] = (sums.get(at[part] + 1) - sums.get(at[part])).astype(np.int64)
+        return np.where(there, at, -1), out
 
+    def word_counts(self, keys: np.ndarray) -> np.ndarray:
+        return self._counts(self.words, self.word_sums, keys)[1]
+
+    def context_counts(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self._counts(self.contexts, self.context_sums, keys)
+
+    @staticmethod
+    def relative(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return context.astype(np.uint64) << np.uint64(RELATIVE) | word
+
+    def learn(self, context: np.ndarray, word: np.ndarray, counts: np.ndarray) -> None:
+        """context: places (-1: none); word: the first bits of a hash."""
+        known = context >= 0
+        keys, n = _summed(self.relative(context[known], word[known]), counts[known])
+        owner = (keys >> np.uint64(RELATIVE)).astype(np.int64)
+        self.pointers, self.successors = EliasFano(np.searchsorted(owner, np.arange(self.contexts.n + 1))), EliasFano(keys)
+        every = np.arange(self.contexts.n)
+        sizes = (self.context_sums.get(every + 1) - self.context_sums.get(every)).astype(np.int64)
+        share = np.log10(n / (sizes[owner] + self.s.mu3))
+        self.codes = (1 + np.clip(np.round((share - self.s.lowest) / -self.s.lowest * 65534), 0, 65534)).astype(np.uint16)
+        self.map()
+
+    def map(self) -> None:
+        (self.codes,) = mapped([getattr(self, x) for x in self.SEQUENCES], [self.codes])
+
+    def shares(self, context: np.ndarray, word: np.ndarray, step: int = 1 << 15) -> np.ndarray:
+        """The code of each word after its context (a place, -1: none), 0 if it was never seen there."""
+        out, asked = np.zeros(context.size, np.uint16), np.flatnonzero(context >= 0)
+        for a in range(0, asked.size, step):
+            part = asked[a : a + step]
+            begin, end = (self.pointers.get(context[part] + i).astype(np.int64) for i in (0, 1))
+            at, there = self.successors.successor(self.relative(context[part], word[part]), begin, end)
+            out[part[there]] = self.codes[at[there]]
+        return out
 
-def _owned(r: dict, places: np.ndarray, n_words: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in Neighbours of a row's pairs, and whether the owner is in the words level (else it has none)."""
-    owner = places[r["owners"]]
-    if r["kind"] == AFTER:
-        keys = np.maximum(owner, 0).astype(np.uint64) * np.uint64(classes) + r["keys"].astype(np.uint64)
-    else:
-        cut = np.uint64(max(1, n_words).bit_length())
-        keys = (np.maximum(owner, 0).astype(np.uint64) << (np.uint64(64) - cut)) | (r["keys"] >> cut)
-    return keys, owner >= 0
+    def saved(self) -> bytes:
+        out = io.BytesIO()
+        arrays = {f"{x}.{p}": v for x in self.SEQUENCES for p, v in getattr(self, x).saved().items()}
+        np.savez(out, codes=self.codes, total=self.total, distinct=self.distinct, **arrays)
+        return zstandard.ZstdCompressor(level=1).compress(out.getvalue())
+
+    @classmethod
+    def loaded(cls, body: bytes, s: Settings) -> Trie:
+        out = cls.__new__(cls)
+        with np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(body))) as saved:
+            for x in cls.SEQUENCES:
+                setattr(out, x, EliasFano.loaded({p: saved[f"{x}.{p}"] for p in (*EliasFano.PARTS, "n", "width", "top")}))
+            out.s, out.codes, out.total, out.distinct = s, saved["codes"], int(saved["total"]), int(saved["distinct"])
+        out.map()
+        return out
 
 
-def _level(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of all batches with their summed training counts."""
-    keys = np.concatenate([np.empty(0, np.uint64), *[r["keys"] for r in rows]])
-    trained = np.concatenate([np.empty(0, np.uint32), *[r["trained"] for r in rows]])
-    distinct, at = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(at, weights=trained, minlength=distinct.size).astype(np.int64)
-
-
-def _answers(shared, s: Settings):
-    end = np.uint64(xxhash.xxh64_intdigest(END))
-
-    def run(table: pa.Table) -> pa.Table:
-        t: Tables = shared.value
-        batches, out = {}, []
-        for r in (x for part in table.to_batches(max_chunksize=64) for x in part.to_pylist()):
-            if r["kind"] == LOCAL:
-                n = len(r["uses"]) // 8
-                out.append({"batch": r["batch"], "ids": r["keys"], "missing": r["trained"], "tokens": r["uses"], "base": r["texts"], "score": r["owners"], "known": r["times"][: 8 * n], "held": r["times"][8 * n :]})
-            else:
-                row = {"kind": r["kind"], "keys": _values(r["keys"], "<u4" if r["kind"] == AFTER else "<u8"), "trained": _values(r["trained"], "<u4"), "uses": _values(r["uses"], "<u4"), "texts": r["texts"], "times": r["times"]}
-                if r["owners"] is not None:
-                    row["owners"] = _values(r["owners"], "<u4")
-                batches.setdefault(r["batch"], {})[r["kind"]] = row
-        of = lambda kind: [b[kind] for b in batches.values() if kind in b]
-        trie = Trie(_level(of(WORDS)), _level(of(PAIRS)), t, s)
-        for b in batches.values():
-            if WORDS in b:
-                b["counts"], (at, there) = trie.word_counts(b[WORDS]["keys"]), trie.words.successor(b[WORDS]["keys"])
-                b["places"] = np.where(there, at, -1)
-            for kind in (BEFORE, AFTER):
-                if kind in b:
-                    b[kind]["found"] = _owned(b[kind], b["places"], trie.words.n, t.classes)
-                    if kind == BEFORE:
-                        del b[kind]["keys"]  # the found ones stand for them
-        neighbours = {}
-        for kind in (BEFORE, AFTER):
-            rows = [{"keys": r["found"][0][r["found"][1]], "trained": r["trained"][r["found"][1]]} for r in of(kind)]
-            neighbours[kind] = Neighbours(*_level(rows))
-
-        def pair_counts(r: dict) -> np.ndarray:
-            keys, there = r["found"]
-            return np.where(there, neighbours[r["kind"]].pair_counts(keys), 0)
-
-        for number, b in batches.items():
-            rows = [b[kind] for kind in (WORDS, PAIRS, BEFORE, AFTER) if kind in b]
-            at = [_values(r["texts"], "<u4") for r in rows]
-            size = max(int(x.max()) for x in at) + 1
-            score, base, known, there = np.zeros(size), np.zeros(size), np.zeros(size), np.zeros(size, bool)
-            for r, texts in zip(rows, at):
-                times = _values(r["times"], "<u4")
-                add = lambda values: np.bincount(texts, weights=np.repeat(values, r["uses"]) * times, minlength=size)  # noqa: E731, B023
-                there[texts] = True
-                if r["kind"] == WORDS:
-                    of_words = t.base(b["counts"])
-                    base += add(of_words)
-                    known += add(b["counts"] > 0)
-                    if s.whole:  # a rare word stands before something, unless it is the end token
-                        score += add(np.where(r["keys"] == end, 0.0, -np.log10(b["counts"] + s.mu)))
-                    else:  # a rare word's share of its class: its P1 over the class's
-                        score += add(of_words - np.log10(t.class_base[RARE]))
-                elif r["kind"] == PAIRS:
-                    score += add(trie.pair_scores(r["keys"]))
-                elif r["kind"] == BEFORE:
-                    score += add(np.log10(pair_counts(r) + s.mu * 10 ** t.base(b["counts"][r["owners"]])))
-                else:
-                    score += add(np.log10(pair_counts(r) + s.mu * t.class_base[r["keys"]]))
-            pick = np.flatnonzero(there)
-            out.append({"batch": number, "texts": _planes(pick.astype("<u4")), "score": _planes(score[pick]), "base": _planes(base[pick]), "known": _planes(known[pick].astype("<u4"))})
-        names = ["batch", "texts", "score", "base", "known", "ids", "missing", "tokens", "held"]
-        return pa.table({n: pa.array([r.get(n) for r in out], pa.int64() if n == "batch" else pa.binary()) for n in names})
-
-    return run
-
-
-def _summed(shared):
-    def run(table: pa.Table) -> pa.Table:
-        """All answers for one batch of texts; their number is bounded by its tokens."""
-        t: Tables = shared.value
-        rows = table.to_pylist()
-        local = next(r for r in rows if r["ids"] is not None)
-        ids, missing = _values(local["ids"], "<i8"), _values(local["missing"], "u1").astype(bool)
-        base, known, tokens = _values(local["base"], "<f8").copy(), _values(local["known"], "<i8").copy(), _values(local["tokens"], "<i8")
-        score = _values(local["score"], "<f8").copy()
-        order = lambda r: (r["score"], r["base"], r["texts"])  # noqa: E731  sums don't depend on arrival
-        for r in sorted((r for r in rows if r["ids"] is None), key=order):
-            at = _values(r["texts"], "<u4")
-            score[at] += _values(r["score"], "<f8")
-            base[at] += _values(r["base"], "<f8")
-            known[at] += _values(r["known"], "<u4")
-        n = ids.size
-        return pa.table(
-            {
-                "doc_id": pa.array(ids, mask=missing),
-                "held_out": pa.array(_values(local["held"], "u1").astype(bool)),
-                "n_tokens": pa.array(tokens),
-                "n_known": pa.array(known),
-                "train_tokens": pa.array(np.full(n, t.total)),
-                "base_score": pa.array(base),
-                "score": pa.array(score),
-            }
-        )
-
-    return run
+ANSWER = "batch long, shard int, total long, distinct long, texts int, words int, tokens long, entries int, successors int, body binary"
+MODEL = "shard int, body binary"
+
+
+def _questions(table: pa.Table) -> tuple[list[dict], dict[str, np.ndarray]]:
+    """A shard's rows without their bodies, and the bodies' columns, all rows' one after the other."""
+    rows, columns = [], {x: [np.empty(0, np.uint64)] for x in ("words", "word_n", "entries", "entry_n", "fan", "successors", "successor_n")}
+    for r in (x for part in table.to_batches(max_chunksize=64) for x in part.to_pylist()):
+        n, m, k = r["words"], r["entries"], r["successors"]
+        found = _unpacked(r.pop("body"), (n, 8), (n, 5), (m, 7), (m, 5), (m, 4), (k, 5), (k, 5))
+        for column, values in zip(columns.values(), found):
+            column.append(values)
+        rows.append(r)
+    return rows, {x: np.concatenate(v) for x, v in columns.items()}
+
+
+def _trie(q: dict[str, np.ndarray], s: Settings) -> Trie:
+    trie = Trie((q["words"], q["word_n"]), (q["entries"], q["entry_n"]), s)
+    place, _ = trie.context_counts(q["entries"])
+    trie.learn(np.repeat(place, q["fan"].astype(np.int64)), q["successors"], q["successor_n"])
+    return trie
+
+
+def _answers(table: pa.Table, s: Settings, trie: Trie | None = None) -> pa.Table:
+    """Answers to a shard's rows, by a trie of their own training counts unless one is given."""
+    if table.num_rows and table.column("shard")[0].as_py() == _LOCAL:
+        own = [(r["batch"], _LOCAL, 0, 0, r["texts"], r["words"], r["tokens"], 0, 0, r["body"]) for r in table.to_pylist()]
+        return pa.Table.from_batches([_rows(own, ANSWER)])
+    rows, q = _questions(table)
+    trie = trie or _trie(q, s)
+    words = trie.word_counts(q["words"])
+    place, contexts = trie.context_counts(q["entries"])
+    codes = trie.shares(np.repeat(place, q["fan"].astype(np.int64)), q["successors"])
+    out, a, b, c = [], 0, 0, 0
+    for r in rows:
+        n, m, k = r["words"], r["entries"], r["successors"]
+        body = _packed((words[a : a + n], 6), (contexts[b : b + m], 6), (codes[c : c + k], 2))
+        out.append((r["batch"], r["shard"], trie.total, trie.distinct, 0, n, 0, m, k, body))
+        a, b, c = a + n, b + m, c + k
+    return pa.Table.from_batches([_rows(out, ANSWER)])
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def _scores(table: pa.Table, deal: Deal, s: Settings) -> pa.Table:
+    """A batch's texts, from its own row and all shards' answers."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["shard"])
+    own, rows = rows[0], rows[1:]
+    ids, flags, counts, words, at = _unpacked(own["body"], (own["texts"], 8), (own["texts"], 1), (own["texts"], 5), (own["words"], 8), (own["tokens"], 4))
+    counts, at = counts.astype(np.int64), at.astype(np.int64)
+    total, distinct = sum(r["total"] for r in rows), sum(r["distinct"] for r in rows)
+    found = [_unpacked(r["body"], (r["words"], 6), (r["entries"], 6), (r["successors"], 2)) for r in rows]
+    of_words, of_entries, codes = (np.concatenate(x).astype(np.int64) for x in zip(*found))
+    g = grams(words, at, counts, deal)
+    p1 = (of_words + 0.5) / (total + 0.5 * (distinct + 1))
+    before = np.append(of_words, of_entries[g.start])[g.last]
+    p2 = (of_entries[g.bigram] + s.mu2 * p1[at]) / (before + s.mu2)
+    code = codes[g.trigram]
+    seen = np.where(code > 0, 10 ** (s.lowest - s.lowest / 65534 * (code - 1)), 0.0) * (of_entries[g.holder] + s.mu3)
+    p3 = (seen + s.mu3 * p2) / (of_entries[g.context] + s.mu3)
+    text = np.repeat(np.arange(counts.size), counts)
+    per_text = lambda x: np.bincount(text, weights=x, minlength=counts.size)
+    return pa.table(
+        {
+            "doc_id": pa.array(ids.view(np.int64), mask=(flags & np.uint64(1)) > 0),
+            "held_out": pa.array(flags < 2),
+            "n_tokens": pa.array(counts),
+            "n_known": pa.array(per_text(of_words[at] > 0).astype(np.int64)),
+            "train_tokens": pa.array(np.full(counts.size, total)),
+            "base_score": pa.array(per_text(np.log10(p1)[at])),
+            "score": pa.array(per_text(np.log10(p3))),
+        }
+    )
+
+
+def _light(docs: DataFrame, is_training: Column) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(is_training, F.lit(False)).alias("training"), "text")
+
+
+def _by_batch(answers: DataFrame, shared, s: Settings) -> DataFrame:
+    return answers.groupBy("batch").applyInArrow(lambda table: _scores(table, shared.value, s), SCORES)
+
+
 def scored(docs: DataFrame, is_training: Column, s: Settings = Settings()) -> DataFrame:
     """docs (doc_id, text), learning from the rows that fulfil is_training -> one row of SCORES per row of docs."""
-    spark = docs.sparkSession
-    counts = written(word_counts(docs, is_training, s), "words")
-    t = tables(counts, docs.where(is_training).count(), s)
-    shared = spark.sparkContext.broadcast(t)
-    # answers are one per text and shard, so no more shards than tasks and a task's memory need
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-t.total // s.shard_tokens))
-    asked = _asked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_training.alias("training"), "text"), shared, s, shards)
-    answers = asked.groupBy("shard").applyInArrow(_answers(shared, s), ANSWER)
-    return answers.groupBy("batch").applyInArrow(_summed(shared), SCORES)
+    shared = docs.sparkSession.sparkContext.broadcast(dealt(docs, s))
+    # a batch's own row goes to a group of its own, on its way to the others of the batch
+    group = F.when(F.col("shard") == _LOCAL, -1 - F.col("batch")).otherwise(F.col("shard").cast("long"))
+    asked = _asked(_light(docs, is_training), shared, s).groupBy(group)
+    return _by_batch(asked.applyInArrow(lambda key, table: _answers(table, s), ANSWER), shared, s)
+
+
+def fit(docs: DataFrame, path: str, s: Settings = Settings()) -> None:
+    """Learn from docs (text) and store the model at path: how n-grams are dealt, and a trie per shard."""
+    deal = dealt(docs, s)
+    shared = docs.sparkSession.sparkContext.broadcast(deal)
+    rows = docs.select(F.lit(None).cast("long").alias("doc_id"), F.lit(True).alias("training"), "text")
+    asked = _asked(rows, shared, s).where(F.col("shard") != _LOCAL)
+
+    def stored(table: pa.Table) -> pa.Table:
+        body = _trie(_questions(table)[1], s).saved()
+        return pa.table({"shard": table.column("shard")[:1].combine_chunks(), "body": pa.array([body], pa.binary())})
+
+    asked.groupBy("shard").applyInArrow(stored, MODEL).write.parquet(f"{path}/tries")
+    head = {"shards": [deal.shards], "hot": [deal.hot.view(np.int64).tolist()], "share": [deal.share.tolist()], **{k: [v] for k, v in asdict(s).items()}}
+    kinds = ", ".join(f"{k} {'double' if isinstance(v, float) else 'long'}" for k, v in asdict(s).items())
+    docs.sparkSession.createDataFrame(list(zip(*head.values())), f"shards long, hot array<long>, share array<double>, {kinds}").write.parquet(f"{path}/head")
+
+
+def score(docs: DataFrame, path: str) -> DataFrame:
+    """docs (doc_id, text) by the model that fit() stored at path -> rows of SCORES, all held out."""
+    spark: SparkSession = docs.sparkSession
+    head = spark.read.parquet(f"{path}/head").first().asDict()
+    deal = Deal(head.pop("shards"), np.array(head.pop("hot"), np.int64).view(np.uint64), np.array(head.pop("share"), float))
+    s = Settings(**head)
+    shared = spark.sparkContext.broadcast(deal)
+    asked = _asked(_light(docs, F.lit(False)), shared, s)
+    own = asked.where(F.col("shard") == _LOCAL).selectExpr("batch", "shard", "0L as total", "0L as distinct", "texts", "words", "tokens", "entries", "successors", "body")
+    tries = spark.read.parquet(f"{path}/tries").groupBy("shard")
+
+    def answered(questions: pa.Table, tries: pa.Table) -> pa.Table:
+        if not questions.num_rows:
+            return pa.Table.from_batches([_rows([], ANSWER)])
+        body = tries.column("body")[0].as_py() if tries.num_rows else None  # no shard is missing unless nothing was learned
+        return _answers(questions, s, Trie.loaded(body, s) if body else None)
+
+    answers = asked.where(F.col("shard") != _LOCAL).groupBy("shard").cogroup(tries).applyInArrow(answered, ANSWER)
+    return _by_batch(own.unionByName(answers), shared, s)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return scored(docs, remainder("doc_id", 5) != 1, Settings(whole=True))
+    return scored(docs, remainder("doc_id", 5) != 1)
