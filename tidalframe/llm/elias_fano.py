@@ -62,10 +62,15 @@ class EliasFano:
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
             return np.zeros(i.size, np.uint64)
+        words = np.ndarray((self.low.size - 7,), "<u8", self.low, strides=(1,))  # eight bytes from each byte on
         bit = i.astype(np.int64) * self.width
-        raw = self.low[(bit >> 3)[:, None] + np.arange(8)]
-        value = np.ascontiguousarray(raw).view("<u8").ravel() >> (bit & 7).astype(np.uint64)
-        return value & np.uint64((1 << self.width) - 1)
+        return (words[bit >> 3] >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.width) - 1)
+
+    def values(self, step: int = 1 << 18) -> np.ndarray:
+        """All values, for whoever needs most of them."""
+        ones = np.flatnonzero(np.unpackbits(np.ascontiguousarray(self.high).view(np.uint8), bitorder="little"))
+        high = (ones[: self.n] - np.arange(self.n)).astype(np.uint64) << np.uint64(self.width)
+        return high | np.concatenate([np.empty(0, np.uint64), *[self.lows(np.arange(a, min(a + step, self.n))) for a in range(0, self.n, step)]])
 
     def get(self, i: np.ndarray) -> np.ndarray:
         high = self._select(i, self.ones_before, False) - i
@@ -73,12 +78,21 @@ class EliasFano:
 
     def _starts(self, high: np.ndarray) -> np.ndarray:
         """Index of the first value whose high part is at least high."""
+        if self._directory is not None:
+            return self._directory[np.minimum(high, self.top + 1)]
         out = np.full(high.size, self.n, np.int64)
         out[high <= 0] = 0
         inside = (high > 0) & (high <= self.top)
         out[inside] = self._select(high[inside] - 1, self.zeros_before, True) - (high[inside] - 1)
         return out
 
+    _directory: np.ndarray | None = None
+
+    def direct(self) -> None:
+        """Keep the starts of all high parts (about 8 bytes a value), for many searches."""
+        zeros = np.flatnonzero(np.unpackbits(np.ascontiguousarray(~self.high).view(np.uint8), bitorder="little"))[: self.top]
+        self._directory = np.concatenate(([0], zeros - np.arange(zeros.size), [self.n]))
+
     def successor(self, x: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None, step: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
         """For each x the index of the first value >= x (n if there is none), and whether it equals x.
 

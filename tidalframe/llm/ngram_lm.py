@@ -22,7 +22,7 @@ words; with all shards' answers they are scored text by text.
 
 Trie of a shard: words and contexts are Elias-Fano sequences of hashes, with exact counts
 as Elias-Fano sequences of running sums. A monotone pointer leads from each context to its
-successors, which are stored relative to it (context's place, then 40 bits of the word's
+successors, which are stored relative to it (context's place, then 32 bits of the word's
 hash) with a 16-bit code of the smoothed share c(u, v, w) / (c + mu3), c the context's or
 part's count. A question looks up the context, and searches its successors only, between
 its pointer and the next.
@@ -30,8 +30,9 @@ its pointer and the next.
 `fit` stores the tries of all shards as a table, and `score` applies it to other texts;
 `scored`, which the query uses, does both in one exchange and stores nothing.
 
-Words are told apart by 64 bits of a hash, bigrams by 56, a context's successors by 40. Nulls and
-edges: a null text counts as empty and has the end token only; a null id's remainder is
+Words are told apart by 64 bits of a hash, bigrams by 20 bits more than the number of
+tokens has (so that at any size about one question in a million could meet a stranger's
+count), a context's successors by 32. Nulls and edges: a null text counts as empty and has the end token only; a null id's remainder is
 that of empty text; repeated rows are scored each; an empty table gives one; other columns
 of docs, whatever their names, take no part. Without training texts every token is unknown.
 A long text is a batch of its own, so a task must hold its tokens.
@@ -45,18 +46,19 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidalframe.llm.common import as_bytes, remainder, slices
+from tidalframe.llm.common import remainder, slices, written
 from tidalframe.llm.elias_fano import EliasFano, mapped
 
 END = b"\n"  # no word has a newline
-START_KEY = np.uint64(xxhash.xxh64_intdigest(b"\n\n"))
-RELATIVE = 40  # bits of a successor's hash
+START_KEY = np.uint64(xxhash.xxh64_intdigest(b"\n\n")) >> np.uint64(16)
+RELATIVE = 32  # bits of a successor's hash
 
 
 @dataclass(frozen=True)
@@ -69,25 +71,26 @@ class Settings:
     lowest: float = -12.0
 
 
-class Keys(dict):
-    """word -> 64-bit hash, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 100_000:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-
-def token_keys(texts: pa.Array, keys: Keys) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the tokens of all texts, and how many each has; the end token is the last of each."""
-    parts, counts, end = [], [], np.array([xxhash.xxh64_intdigest(END)], np.uint64)
-    for text in as_bytes(texts):
-        words = text.lower().split()  # bytes: A-Z only, ASCII white space only
-        parts.append(np.fromiter(map(keys.__getitem__, words), np.uint64, len(words)))
-        parts.append(end)
-        counts.append(len(words) + 1)
-    return np.concatenate([np.empty(0, np.uint64), *parts]), np.array(counts, np.int64)
+def token_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ascending hashes of the distinct tokens of all texts; each token's place among
+    them, text after text, the end token last in each; and how many tokens each text has."""
+    lowered = pc.ascii_lower(pc.fill_null(texts, ""))
+    for other in "\t\n\v\f\r":
+        lowered = pc.replace_substring(lowered, other, " ")
+    lists = pc.split_pattern(lowered, " ")
+    pieces = lists.flatten().dictionary_encode()
+    names = pieces.dictionary.cast(pa.binary()).to_pylist()
+    hashes = np.array([*map(xxhash.xxh64_intdigest, names), xxhash.xxh64_intdigest(END)], np.uint64)
+    sizes = pc.list_value_length(lists).to_numpy()
+    text = np.repeat(np.arange(sizes.size), sizes)
+    codes, real = pieces.indices.to_numpy(), np.array([*map(len, names)], np.int64) > 0
+    if not real.all():  # between two spaces there is no word
+        text, codes = text[real[codes]], codes[real[codes]]
+    counts = np.bincount(text, minlength=sizes.size) + 1
+    order = np.argsort(hashes[np.append(real, True)])
+    rank = np.empty(hashes.size, np.int64)
+    rank[np.flatnonzero(np.append(real, True))[order]] = np.arange(order.size)
+    return hashes[np.append(real, True)][order], np.insert(rank[codes], np.cumsum(counts - 1), rank[-1]), counts
 
 
 def _packed(*columns: tuple[np.ndarray, int]) -> bytes:
@@ -114,12 +117,32 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _ordered(values: np.ndarray, bits: int) -> np.ndarray:
+    """np.argsort of integers below 2**bits; values and places are sorted as one number where that fits."""
+    room = max(1, values.size - 1).bit_length()
+    if bits + room > 63:
+        return np.argsort(values, kind="stable")
+    return np.sort(values.astype(np.int64) << room | np.arange(values.size)) & ((1 << room) - 1)
+
+
+def _distinct(values: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique with the inverse."""
+    order = _ordered(values, below.bit_length())
+    ascending = values[order]
+    new = np.append(True, ascending[1:] != ascending[:-1])[: values.size]
+    inverse = np.empty(values.size, np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return ascending[new], inverse
+
+
 @dataclass
 class Deal:
-    """What all tasks know: how many shards there are, and the hot words (at most 2 * hot_share) with their shares."""
+    """What all tasks know: how many shards there are, how long a bigram's key is, and the hot
+    words (at most 2 * hot_share) with their shares."""
 
     shards: int
-    hot: np.ndarray  # sorted hashes
+    width: int  # bytes of a bigram's key
+    hot: np.ndarray  # sorted first 48 bits of hashes
     share: np.ndarray  # of all tokens, at most
 
     def shares(self, words: np.ndarray) -> np.ndarray:
@@ -135,23 +158,21 @@ def dealt(docs: DataFrame, s: Settings) -> Deal:
     """Counts, batch by batch, the words that make up 1 / hot_share of it: their sums miss less than that share of the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = Keys()
         for batch in slices(batches, "text", s.batch_bytes):
-            words, n = np.unique(token_keys(batch.column("text"), keys)[0], return_counts=True)
-            often = n * s.hot_share >= n.sum()
+            words, at, _ = token_codes(batch.column("text"))
+            n = np.bincount(at)
+            often = n * s.hot_share >= at.size
             names = pa.array([None, *words[often].view(np.int64).tolist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([names, pa.array([int(n.sum()), *n[often].tolist()], pa.int64())], ["key", "n"])
-
-    sums = docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    total = F.max(F.when(F.col("key").isNull(), F.col("n"))).alias("total")
-    top = sums.join(F.broadcast(sums.agg(total))).where(F.col("n") * (2 * s.hot_share) >= F.col("total"))  # one row is joined
-    rows = sorted((r["key"], r["n"]) for r in top.where("key is not null").collect())  # at most 2 * hot_share
-    tokens = sums.agg(total).first()["total"] or 0
-    hot = np.array([k for k, _ in rows], np.int64).view(np.uint64)
-    share = np.array([n for _, n in rows]) / max(1, tokens) + 1 / s.hot_share
+            yield pa.RecordBatch.from_arrays([names, pa.array([at.size, *n[often].tolist()], pa.int64())], ["key", "n"])
+
+    sums = written(docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "hot-words")
+    tokens = sums.where("key is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    rows = sums.where(F.col("key").isNotNull() & (F.col("n") * (2 * s.hot_share) >= tokens)).collect()  # at most 2 * hot_share
+    hot = np.array([r["key"] for r in rows], np.int64).view(np.uint64) >> np.uint64(16)
+    share = np.array([r["n"] for r in rows]) / max(1, tokens) + 1 / s.hot_share
     order = np.argsort(hot)
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tokens // s.shard_tokens))
-    return Deal(shards, hot[order], share[order])
+    return Deal(shards, min(8, max(5, -(-(tokens.bit_length() + 20) // 8))), hot[order], share[order])
 
 
 @dataclass
@@ -159,7 +180,7 @@ class Grams:
     """The distinct n-grams of a batch in the order in which they are dealt, and where each position's are."""
 
     last: np.ndarray  # per position: the word before it, as a place in words; their number for START
-    entries: np.ndarray  # ascending 56-bit keys of bigrams, and of the parts of split contexts
+    entries: np.ndarray  # keys of bigrams, and of the parts of split contexts; they ascend in their first 40 bits
     start: int  # the entry of the context START START
     bigram: np.ndarray  # per position: the entry of its bigram
     context: np.ndarray  # per position: the entry of the bigram before it
@@ -170,34 +191,35 @@ class Grams:
 
 
 def grams(words: np.ndarray, at: np.ndarray, counts: np.ndarray, deal: Deal) -> Grams:
-    """words: ascending hashes; at: places in words, text after text; counts: of tokens."""
-    d, first = words.size, np.cumsum(counts) - counts
+    """words: first 48 bits of ascending hashes; at: places in words, text after text; counts: of tokens."""
+    d, first, cut = words.size, np.cumsum(counts) - counts, np.uint64(64 - 8 * deal.width)
     last = np.concatenate(([d], at[:-1]))
     last[first] = d
-    pairs, pair = np.unique(last * (d + 1) + at, return_inverse=True)
+    pairs, pair = _distinct(last * (d + 1) + at, (d + 1) ** 2)
     context = np.concatenate(([0], pair[:-1]))
     context[first] = pairs.size
     u, v = np.append(pairs // (d + 1), d), np.append(pairs % (d + 1), d)
     hashes, shares = np.append(words, START_KEY), np.append(deal.shares(words), 1.0)
-    keys = _mixed(hashes[u], hashes[v]) >> np.uint64(8)
-    threes, three = np.unique(context * d + at, return_inverse=True)
+    keys = _mixed(hashes[u], hashes[v]) >> cut
+    threes, three = _distinct(context * d + at, (pairs.size + 1) * d)
     holder, w = threes // d, threes % d
     parts = np.minimum(deal.shards, np.ceil(2 * deal.shards * np.minimum(shares[u], shares[v]))).astype(np.int64)
     split = np.flatnonzero(parts[holder] > 1)
     if split.size:
-        salt = (_mixed(hashes[w[split]], keys[:1] * np.uint64(0)) % parts[holder[split]].astype(np.uint64)).astype(np.int64)
-        pieces, piece = np.unique(holder[split] * deal.shards + salt, return_inverse=True)
+        salt = (_mixed(hashes[w[split]], hashes[w[split]]) % parts[holder[split]].astype(np.uint64)).astype(np.int64)
+        pieces, piece = _distinct(holder[split] * deal.shards + salt, keys.size * deal.shards)
         holder[split] = keys.size + piece
-        keys = np.append(keys, _mixed(keys[pieces // deal.shards], (pieces % deal.shards).astype(np.uint64)) >> np.uint64(8))
-    order = np.argsort(keys, kind="stable")
+        keys = np.append(keys, _mixed(keys[pieces // deal.shards], (pieces % deal.shards).astype(np.uint64)) >> cut)
+    # a few bits fewer than the keys have, so that numbers and places sort together; ties may stand in any order
+    order = _ordered(keys >> np.uint64(8 * deal.width - 40), 40)
     rank = np.empty(order.size, np.int64)
     rank[order] = np.arange(order.size)
     holder = rank[holder]
-    by = np.argsort(holder, kind="stable")  # words ascend within a context already
+    by = _ordered(holder, keys.size.bit_length())  # words ascend within a context already
     place = np.empty(by.size, np.int64)
     place[by] = np.arange(by.size)
     fan = np.bincount(holder, minlength=keys.size)
-    return Grams(last, keys[order], int(rank[pairs.size]), rank[pair], rank[context], holder[three], place[three], fan, hashes[w[by]] >> np.uint64(64 - RELATIVE))
+    return Grams(last, keys[order], int(rank[pairs.size]), rank[pair], rank[context], holder[three], place[three], fan, hashes[w[by]] >> np.uint64(48 - RELATIVE))
 
 
 PACKED = "shard int, batch long, texts int, words int, tokens long, entries int, successors int, body binary"
@@ -208,11 +230,10 @@ def _asked(docs: DataFrame, shared, s: Settings) -> DataFrame:
     """docs (doc_id, training, text) -> rows of PACKED: of each batch one for every shard, and its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        deal, keys, number = shared.value, Keys(), TaskContext.get().partitionId() << 32
+        deal, number = shared.value, TaskContext.get().partitionId() << 32
         for batch in slices(batches, "text", s.batch_bytes):
-            tokens, counts = token_keys(batch.column("text"), keys)
-            words, at = np.unique(tokens, return_inverse=True)
-            g = grams(words, at, counts, deal)
+            words, at, counts = token_codes(batch.column("text"))
+            g = grams(words >> np.uint64(16), at, counts, deal)
             training = batch.column("training").to_numpy(zero_copy_only=False).astype(bool)
             learned = np.repeat(training, counts)
             sums = lambda where, n, of: np.bincount(where, weights=of, minlength=n).astype(np.uint64)
@@ -221,15 +242,15 @@ def _asked(docs: DataFrame, shared, s: Settings) -> DataFrame:
             trained[g.start] = training.sum()
             of_words, of_threes = sums(at, words.size, learned), sums(g.trigram, g.successors.size, learned)
             every, ends = np.arange(deal.shards + 1), np.concatenate(([0], np.cumsum(g.fan)))
-            a, b = np.searchsorted(deal.home(words, 64), every), np.searchsorted(deal.home(g.entries, 56), every)
+            a, b = np.searchsorted(deal.home(words, 64), every), np.searchsorted(deal.home(g.entries, 8 * deal.width), every)
             ids = batch.column("doc_id")
             flags = ids.is_null().to_numpy(zero_copy_only=False) + 2 * training
-            own = _packed((ids.fill_null(0).to_numpy().view(np.uint64), 8), (flags, 1), (counts, 5), (words, 8), (at, 4))
+            own = _packed((ids.fill_null(0).to_numpy().view(np.uint64), 8), (flags, 1), (counts, 5), *_by_use(at, words.size))
             rows = [(_LOCAL, number, counts.size, words.size, at.size, 0, 0, own)]
             for i in range(deal.shards):
                 w, e = slice(a[i], a[i + 1]), slice(b[i], b[i + 1])
                 f = slice(ends[b[i]], ends[b[i + 1]])
-                body = _packed((words[w], 8), (of_words[w], 5), (g.entries[e], 7), (trained[e], 5), (g.fan[e], 4), (g.successors[f], 5), (of_threes[f], 5))
+                body = _packed((words[w], 8), (of_words[w], 5), (g.entries[e], 8), (trained[e], 5), (g.fan[e], 4), (g.successors[f], 4), (of_threes[f], 5))
                 rows.append((i, number, 0, w.stop - w.start, 0, e.stop - e.start, f.stop - f.start, body))
                 if len(rows) == 256:
                     yield _rows(rows, PACKED)
@@ -241,6 +262,14 @@ def _asked(docs: DataFrame, shared, s: Settings) -> DataFrame:
     return docs.mapInArrow(run, PACKED)
 
 
+def _by_use(at: np.ndarray, n: int) -> list[tuple[np.ndarray, int]]:
+    """Places in n words as columns to pack: how often each is used, and their ranks by it, which are small numbers."""
+    uses = np.bincount(at, minlength=n)
+    rank = np.empty(n, np.int64)
+    rank[np.argsort(-uses, kind="stable")] = np.arange(n)
+    return [(uses, 4), (rank[at], 4)]
+
+
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 
 
@@ -252,9 +281,11 @@ def _rows(rows: list[tuple], ddl: str) -> pa.RecordBatch:
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ascending distinct keys with their summed counts, without those never counted."""
-    keys, counts = keys[counts > 0], counts[counts > 0]
-    distinct, at = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(at, weights=counts, minlength=distinct.size).astype(np.int64)
+    keys, counts = keys[counts > 0], counts[counts > 0].astype(np.int64)
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: keys.size])
+    return keys[first], np.add.reduceat(counts[order], first) if first.size else counts
 
 
 class Trie:
@@ -273,14 +304,12 @@ class Trie:
         self.total, self.distinct = int(n.sum()), w.size
 
     @staticmethod
-    def _counts(level: EliasFano, sums: EliasFano, keys: np.ndarray, step: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+    def _counts(level: EliasFano, sums: EliasFano, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The place of each key in a level (-1 if it isn't there) and its training count."""
+        level.direct()
         at, there = level.successor(keys)
-        out, hits = np.zeros(keys.size, np.int64), np.flatnonzero(there)
-        for a in range(0, hits.size, step):  # in blocks, as selecting bits takes room
-            part = hits[a : a + step]
-            out[part] = (sums.get(at[part] + 1) - sums.get(at[part])).astype(np.int64)
-        return np.where(there, at, -1), out
+        counts = np.append(np.diff(sums.values()), 0).astype(np.int64)  # a shard's questions ask for most of them
+        return np.where(there, at, -1), np.where(there, counts[np.where(there, at, -1)], 0)
 
     def word_counts(self, keys: np.ndarray) -> np.ndarray:
         return self._counts(self.words, self.word_sums, keys)[1]
@@ -298,8 +327,7 @@ class Trie:
         keys, n = _summed(self.relative(context[known], word[known]), counts[known])
         owner = (keys >> np.uint64(RELATIVE)).astype(np.int64)
         self.pointers, self.successors = EliasFano(np.searchsorted(owner, np.arange(self.contexts.n + 1))), EliasFano(keys)
-        every = np.arange(self.contexts.n)
-        sizes = (self.context_sums.get(every + 1) - self.context_sums.get(every)).astype(np.int64)
+        sizes = np.diff(self.context_sums.values()).astype(np.int64)
         share = np.log10(n / (sizes[owner] + self.s.mu3))
         self.codes = (1 + np.clip(np.round((share - self.s.lowest) / -self.s.lowest * 65534), 0, 65534)).astype(np.uint16)
         self.map()
@@ -307,14 +335,16 @@ class Trie:
     def map(self) -> None:
         (self.codes,) = mapped([getattr(self, x) for x in self.SEQUENCES], [self.codes])
 
-    def shares(self, context: np.ndarray, word: np.ndarray, step: int = 1 << 15) -> np.ndarray:
-        """The code of each word after its context (a place, -1: none), 0 if it was never seen there."""
+    def shares(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The code of each word after its context (a place, -1: none), 0 if it was never seen there.
+
+        Only the context's own successors are searched, between its pointer and the next.
+        """
         out, asked = np.zeros(context.size, np.uint16), np.flatnonzero(context >= 0)
-        for a in range(0, asked.size, step):
-            part = asked[a : a + step]
-            begin, end = (self.pointers.get(context[part] + i).astype(np.int64) for i in (0, 1))
-            at, there = self.successors.successor(self.relative(context[part], word[part]), begin, end)
-            out[part[there]] = self.codes[at[there]]
+        pointers = self.pointers.values().astype(np.int64)
+        self.successors.direct()
+        at, there = self.successors.successor(self.relative(context[asked], word[asked]), pointers[context[asked]], pointers[context[asked] + 1])
+        out[asked[there]] = self.codes[at[there]]
         return out
 
     def saved(self) -> bytes:
@@ -343,7 +373,7 @@ def _questions(table: pa.Table) -> tuple[list[dict], dict[str, np.ndarray]]:
     rows, columns = [], {x: [np.empty(0, np.uint64)] for x in ("words", "word_n", "entries", "entry_n", "fan", "successors", "successor_n")}
     for r in (x for part in table.to_batches(max_chunksize=64) for x in part.to_pylist()):
         n, m, k = r["words"], r["entries"], r["successors"]
-        found = _unpacked(r.pop("body"), (n, 8), (n, 5), (m, 7), (m, 5), (m, 4), (k, 5), (k, 5))
+        found = _unpacked(r.pop("body"), (n, 8), (n, 5), (m, 8), (m, 5), (m, 4), (k, 4), (k, 5))
         for column, values in zip(columns.values(), found):
             column.append(values)
         rows.append(r)
@@ -352,8 +382,9 @@ def _questions(table: pa.Table) -> tuple[list[dict], dict[str, np.ndarray]]:
 
 def _trie(q: dict[str, np.ndarray], s: Settings) -> Trie:
     trie = Trie((q["words"], q["word_n"]), (q["entries"], q["entry_n"]), s)
-    place, _ = trie.context_counts(q["entries"])
-    trie.learn(np.repeat(place, q["fan"].astype(np.int64)), q["successors"], q["successor_n"])
+    q["place"], q["contexts"] = trie.context_counts(q["entries"])
+    q["owner"] = np.repeat(q["place"], q["fan"].astype(np.int64))
+    trie.learn(q["owner"], q["successors"], q["successor_n"])
     return trie
 
 
@@ -363,14 +394,16 @@ def _answers(table: pa.Table, s: Settings, trie: Trie | None = None) -> pa.Table
         own = [(r["batch"], _LOCAL, 0, 0, r["texts"], r["words"], r["tokens"], 0, 0, r["body"]) for r in table.to_pylist()]
         return pa.Table.from_batches([_rows(own, ANSWER)])
     rows, q = _questions(table)
-    trie = trie or _trie(q, s)
-    words = trie.word_counts(q["words"])
-    place, contexts = trie.context_counts(q["entries"])
-    codes = trie.shares(np.repeat(place, q["fan"].astype(np.int64)), q["successors"])
+    if trie is None:
+        trie = _trie(q, s)
+    else:
+        place, q["contexts"] = trie.context_counts(q["entries"])
+        q["owner"] = np.repeat(place, q["fan"].astype(np.int64))
+    words, codes = trie.word_counts(q["words"]), trie.shares(q["owner"], q["successors"])
     out, a, b, c = [], 0, 0, 0
     for r in rows:
         n, m, k = r["words"], r["entries"], r["successors"]
-        body = _packed((words[a : a + n], 6), (contexts[b : b + m], 6), (codes[c : c + k], 2))
+        body = _packed((q["words"][a : a + n] >> np.uint64(16), 6), (words[a : a + n], 6), (q["contexts"][b : b + m], 6), (codes[c : c + k], 2))
         out.append((r["batch"], r["shard"], trie.total, trie.distinct, 0, n, 0, m, k, body))
         a, b, c = a + n, b + m, c + k
     return pa.Table.from_batches([_rows(out, ANSWER)])
@@ -383,11 +416,12 @@ def _scores(table: pa.Table, deal: Deal, s: Settings) -> pa.Table:
     """A batch's texts, from its own row and all shards' answers."""
     rows = sorted(table.to_pylist(), key=lambda r: r["shard"])
     own, rows = rows[0], rows[1:]
-    ids, flags, counts, words, at = _unpacked(own["body"], (own["texts"], 8), (own["texts"], 1), (own["texts"], 5), (own["words"], 8), (own["tokens"], 4))
-    counts, at = counts.astype(np.int64), at.astype(np.int64)
+    ids, flags, counts, uses, at = _unpacked(own["body"], (own["texts"], 8), (own["texts"], 1), (own["texts"], 5), (own["words"], 4), (own["tokens"], 4))
+    counts, at = counts.astype(np.int64), np.argsort(-uses.astype(np.int64), kind="stable")[at]  # ranks by use to places
     total, distinct = sum(r["total"] for r in rows), sum(r["distinct"] for r in rows)
-    found = [_unpacked(r["body"], (r["words"], 6), (r["entries"], 6), (r["successors"], 2)) for r in rows]
-    of_words, of_entries, codes = (np.concatenate(x).astype(np.int64) for x in zip(*found))
+    found = [_unpacked(r["body"], (r["words"], 6), (r["words"], 6), (r["entries"], 6), (r["successors"], 2)) for r in rows]
+    words, *others = (np.concatenate(x) for x in zip(*found))
+    of_words, of_entries, codes = (x.astype(np.int64) for x in others)
     g = grams(words, at, counts, deal)
     p1 = (of_words + 0.5) / (total + 0.5 * (distinct + 1))
     before = np.append(of_words, of_entries[g.start])[g.last]
@@ -439,16 +473,16 @@ def fit(docs: DataFrame, path: str, s: Settings = Settings()) -> None:
         return pa.table({"shard": table.column("shard")[:1].combine_chunks(), "body": pa.array([body], pa.binary())})
 
     asked.groupBy("shard").applyInArrow(stored, MODEL).write.parquet(f"{path}/tries")
-    head = {"shards": [deal.shards], "hot": [deal.hot.view(np.int64).tolist()], "share": [deal.share.tolist()], **{k: [v] for k, v in asdict(s).items()}}
+    head = {"shards": [deal.shards], "width": [deal.width], "hot": [deal.hot.view(np.int64).tolist()], "share": [deal.share.tolist()], **{k: [v] for k, v in asdict(s).items()}}
     kinds = ", ".join(f"{k} {'double' if isinstance(v, float) else 'long'}" for k, v in asdict(s).items())
-    docs.sparkSession.createDataFrame(list(zip(*head.values())), f"shards long, hot array<long>, share array<double>, {kinds}").write.parquet(f"{path}/head")
+    docs.sparkSession.createDataFrame(list(zip(*head.values())), f"shards long, width long, hot array<long>, share array<double>, {kinds}").write.parquet(f"{path}/head")
 
 
 def score(docs: DataFrame, path: str) -> DataFrame:
     """docs (doc_id, text) by the model that fit() stored at path -> rows of SCORES, all held out."""
     spark: SparkSession = docs.sparkSession
     head = spark.read.parquet(f"{path}/head").first().asDict()
-    deal = Deal(head.pop("shards"), np.array(head.pop("hot"), np.int64).view(np.uint64), np.array(head.pop("share"), float))
+    deal = Deal(head.pop("shards"), head.pop("width"), np.array(head.pop("hot"), np.int64).view(np.uint64), np.array(head.pop("share"), float))
     s = Settings(**head)
     shared = spark.sparkContext.broadcast(deal)
     asked = _asked(_light(docs, F.lit(False)), shared, s)
