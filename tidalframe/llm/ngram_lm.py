@@ -30,8 +30,8 @@ its pointer and the next.
 `fit` stores the tries of all shards as a table, and `score` applies it to other texts;
 `scored`, which the query uses, does both in one exchange and stores nothing.
 
-Words are told apart by 64 bits of a hash, bigrams by 20 bits more than the number of
-tokens has (so that at any size about one question in a million could meet a stranger's
+Words and bigrams are told apart by 20 bits of hash more than the number of tokens has, in
+whole bytes (so that at any size about one question in a million could meet a stranger's
 count), a context's successors by 32. Nulls and edges: a null text counts as empty and has the end token only; a null id's remainder is
 that of empty text; repeated rows are scored each; an empty table gives one; other columns
 of docs, whatever their names, take no part. Without training texts every token is unknown.
@@ -57,7 +57,7 @@ from tidalframe.llm.common import remainder, slices, written
 from tidalframe.llm.elias_fano import EliasFano, mapped
 
 END = b"\n"  # no word has a newline
-START_KEY = np.uint64(xxhash.xxh64_intdigest(b"\n\n")) >> np.uint64(16)
+START_KEY = np.uint64(xxhash.xxh64_intdigest(b"\n\n"))
 RELATIVE = 32  # bits of a successor's hash
 
 
@@ -66,7 +66,7 @@ class Settings:
     mu2: float = 100.0
     mu3: float = 20.0
     batch_bytes: int = 8 << 20
-    shard_tokens: int = 2 << 20
+    shard_tokens: int = 1 << 20
     hot_share: int = 1 << 14
     lowest: float = -12.0
 
@@ -130,28 +130,35 @@ def _distinct(values: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
     order = _ordered(values, below.bit_length())
     ascending = values[order]
     new = np.append(True, ascending[1:] != ascending[:-1])[: values.size]
-    inverse = np.empty(values.size, np.int64)
-    inverse[order] = np.cumsum(new) - 1
+    inverse = np.empty(values.size, np.int32)
+    inverse[order] = np.cumsum(new, dtype=np.int32) - 1
     return ascending[new], inverse
 
 
 @dataclass
 class Deal:
-    """What all tasks know: how many shards there are, how long a bigram's key is, and the hot
-    words (at most 2 * hot_share) with their shares."""
+    """What all tasks know: how many shards there are, how long keys are, and the hot words (at
+    most 2 * hot_share) with their shares."""
 
     shards: int
-    width: int  # bytes of a bigram's key
-    hot: np.ndarray  # sorted first 48 bits of hashes
+    width: int  # bytes of a word's or bigram's key, the first ones of its hash
+    hot: np.ndarray  # ascending keys
     share: np.ndarray  # of all tokens, at most
 
+    @property
+    def bits(self) -> int:
+        return 8 * self.width
+
+    def keys(self, hashes: np.ndarray) -> np.ndarray:
+        return hashes >> np.uint64(64 - self.bits)
+
     def shares(self, words: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.hot, words), max(0, self.hot.size - 1))
         return np.where(self.hot[at] == words, self.share[at], 0.0) if self.hot.size else np.zeros(words.size)
 
-    def home(self, keys: np.ndarray, bits: int) -> np.ndarray:
-        """The shard of each key of so many bits; ascends with the keys."""
-        return (((keys >> np.uint64(bits - 32)) * np.uint64(self.shards)) >> np.uint64(32)).astype(np.int64)
+    def home(self, keys: np.ndarray) -> np.ndarray:
+        """The shard of each key; ascends with the keys."""
+        return (((keys >> np.uint64(self.bits - 32)) * np.uint64(self.shards)) >> np.uint64(32)).astype(np.int64)
 
 
 def dealt(docs: DataFrame, s: Settings) -> Deal:
@@ -168,11 +175,13 @@ def dealt(docs: DataFrame, s: Settings) -> Deal:
     sums = written(docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "hot-words")
     tokens = sums.where("key is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     rows = sums.where(F.col("key").isNotNull() & (F.col("n") * (2 * s.hot_share) >= tokens)).collect()  # at most 2 * hot_share
-    hot = np.array([r["key"] for r in rows], np.int64).view(np.uint64) >> np.uint64(16)
+    hot = np.array([r["key"] for r in rows], np.int64).view(np.uint64)
     share = np.array([r["n"] for r in rows]) / max(1, tokens) + 1 / s.hot_share
     order = np.argsort(hot)
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tokens // s.shard_tokens))
-    return Deal(shards, min(8, max(5, -(-(tokens.bit_length() + 20) // 8))), hot[order], share[order])
+    deal = Deal(shards, min(8, max(5, -(-(tokens.bit_length() + 20) // 8))), hot[order], share[order])
+    deal.hot = deal.keys(deal.hot)
+    return deal
 
 
 @dataclass
@@ -191,35 +200,38 @@ class Grams:
 
 
 def grams(words: np.ndarray, at: np.ndarray, counts: np.ndarray, deal: Deal) -> Grams:
-    """words: first 48 bits of ascending hashes; at: places in words, text after text; counts: of tokens."""
-    d, first, cut = words.size, np.cumsum(counts) - counts, np.uint64(64 - 8 * deal.width)
-    last = np.concatenate(([d], at[:-1]))
+    """words: ascending keys; at: places in words, text after text; counts: of tokens."""
+    d, first = words.size, np.cumsum(counts) - counts
+    last = np.concatenate(([d], at[:-1])).astype(np.int32)
     last[first] = d
-    pairs, pair = _distinct(last * (d + 1) + at, (d + 1) ** 2)
-    context = np.concatenate(([0], pair[:-1]))
+    pairs, pair = _distinct(last.astype(np.int64) * (d + 1) + at, (d + 1) ** 2)
+    context = np.concatenate(([0], pair[:-1])).astype(np.int32)
     context[first] = pairs.size
-    u, v = np.append(pairs // (d + 1), d), np.append(pairs % (d + 1), d)
-    hashes, shares = np.append(words, START_KEY), np.append(deal.shares(words), 1.0)
-    keys = _mixed(hashes[u], hashes[v]) >> cut
-    threes, three = _distinct(context * d + at, (pairs.size + 1) * d)
-    holder, w = threes // d, threes % d
-    parts = np.minimum(deal.shards, np.ceil(2 * deal.shards * np.minimum(shares[u], shares[v]))).astype(np.int64)
+    hashes, shares = np.append(words, deal.keys(START_KEY)), np.append(deal.shares(words), 1.0)
+    u, v = np.append(pairs // (d + 1), d).astype(np.int32), np.append(pairs % (d + 1), d).astype(np.int32)
+    keys = deal.keys(_mixed(hashes[u], hashes[v]))
+    parts = np.minimum(deal.shards, np.ceil(2 * deal.shards * np.minimum(shares[u], shares[v]))).astype(np.int32)
+    del u, v, pairs
+    threes, three = _distinct(context.astype(np.int64) * d + at, keys.size * d)
+    holder, w = (threes // d).astype(np.int32), (threes % d).astype(np.int32)
+    start, homes = keys.size - 1, keys.size
+    del threes
     split = np.flatnonzero(parts[holder] > 1)
     if split.size:
         salt = (_mixed(hashes[w[split]], hashes[w[split]]) % parts[holder[split]].astype(np.uint64)).astype(np.int64)
-        pieces, piece = _distinct(holder[split] * deal.shards + salt, keys.size * deal.shards)
-        holder[split] = keys.size + piece
-        keys = np.append(keys, _mixed(keys[pieces // deal.shards], (pieces % deal.shards).astype(np.uint64)) >> cut)
+        pieces, piece = _distinct(holder[split].astype(np.int64) * deal.shards + salt, homes * deal.shards)
+        holder[split] = homes + piece
+        keys = np.append(keys, deal.keys(_mixed(keys[pieces // deal.shards], (pieces % deal.shards).astype(np.uint64))))
     # a few bits fewer than the keys have, so that numbers and places sort together; ties may stand in any order
-    order = _ordered(keys >> np.uint64(8 * deal.width - 40), 40)
-    rank = np.empty(order.size, np.int64)
+    order = _ordered(keys >> np.uint64(deal.bits - 40), 40)
+    rank = np.empty(order.size, np.int32)
     rank[order] = np.arange(order.size)
     holder = rank[holder]
     by = _ordered(holder, keys.size.bit_length())  # words ascend within a context already
-    place = np.empty(by.size, np.int64)
+    place = np.empty(by.size, np.int32)
     place[by] = np.arange(by.size)
     fan = np.bincount(holder, minlength=keys.size)
-    return Grams(last, keys[order], int(rank[pairs.size]), rank[pair], rank[context], holder[three], place[three], fan, hashes[w[by]] >> np.uint64(48 - RELATIVE))
+    return Grams(last, keys[order], int(rank[start]), rank[pair], rank[context], holder[three], place[three], fan, hashes[w[by]] >> np.uint64(deal.bits - RELATIVE))
 
 
 PACKED = "shard int, batch long, texts int, words int, tokens long, entries int, successors int, body binary"
@@ -233,7 +245,8 @@ def _asked(docs: DataFrame, shared, s: Settings) -> DataFrame:
         deal, number = shared.value, TaskContext.get().partitionId() << 32
         for batch in slices(batches, "text", s.batch_bytes):
             words, at, counts = token_codes(batch.column("text"))
-            g = grams(words >> np.uint64(16), at, counts, deal)
+            words = deal.keys(words)
+            g = grams(words, at, counts, deal)
             training = batch.column("training").to_numpy(zero_copy_only=False).astype(bool)
             learned = np.repeat(training, counts)
             sums = lambda where, n, of: np.bincount(where, weights=of, minlength=n).astype(np.uint64)
@@ -242,10 +255,10 @@ def _asked(docs: DataFrame, shared, s: Settings) -> DataFrame:
             trained[g.start] = training.sum()
             of_words, of_threes = sums(at, words.size, learned), sums(g.trigram, g.successors.size, learned)
             every, ends = np.arange(deal.shards + 1), np.concatenate(([0], np.cumsum(g.fan)))
-            a, b = np.searchsorted(deal.home(words, 64), every), np.searchsorted(deal.home(g.entries, 8 * deal.width), every)
+            a, b = np.searchsorted(deal.home(words), every), np.searchsorted(deal.home(g.entries), every)
             ids = batch.column("doc_id")
             flags = ids.is_null().to_numpy(zero_copy_only=False) + 2 * training
-            own = _packed((ids.fill_null(0).to_numpy().view(np.uint64), 8), (flags, 1), (counts, 5), *_by_use(at, words.size))
+            own = _packed((ids.fill_null(0).to_numpy().view(np.uint64), 8), (flags, 1), (counts, 5), *((x, 4) for x in _by_use(at, words.size)))
             rows = [(_LOCAL, number, counts.size, words.size, at.size, 0, 0, own)]
             for i in range(deal.shards):
                 w, e = slice(a[i], a[i + 1]), slice(b[i], b[i + 1])
@@ -262,12 +275,12 @@ def _asked(docs: DataFrame, shared, s: Settings) -> DataFrame:
     return docs.mapInArrow(run, PACKED)
 
 
-def _by_use(at: np.ndarray, n: int) -> list[tuple[np.ndarray, int]]:
-    """Places in n words as columns to pack: how often each is used, and their ranks by it, which are small numbers."""
+def _by_use(at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often each of n words is used, and the words' ranks by use at each place: small numbers."""
     uses = np.bincount(at, minlength=n)
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
     rank[np.argsort(-uses, kind="stable")] = np.arange(n)
-    return [(uses, 4), (rank[at], 4)]
+    return uses, rank[at]
 
 
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
@@ -403,7 +416,7 @@ def _answers(table: pa.Table, s: Settings, trie: Trie | None = None) -> pa.Table
     out, a, b, c = [], 0, 0, 0
     for r in rows:
         n, m, k = r["words"], r["entries"], r["successors"]
-        body = _packed((q["words"][a : a + n] >> np.uint64(16), 6), (words[a : a + n], 6), (q["contexts"][b : b + m], 6), (codes[c : c + k], 2))
+        body = _packed((q["words"][a : a + n], 8), (words[a : a + n], 6), (q["contexts"][b : b + m], 6), (codes[c : c + k], 2))
         out.append((r["batch"], r["shard"], trie.total, trie.distinct, 0, n, 0, m, k, body))
         a, b, c = a + n, b + m, c + k
     return pa.Table.from_batches([_rows(out, ANSWER)])
@@ -419,7 +432,7 @@ def _scores(table: pa.Table, deal: Deal, s: Settings) -> pa.Table:
     ids, flags, counts, uses, at = _unpacked(own["body"], (own["texts"], 8), (own["texts"], 1), (own["texts"], 5), (own["words"], 4), (own["tokens"], 4))
     counts, at = counts.astype(np.int64), np.argsort(-uses.astype(np.int64), kind="stable")[at]  # ranks by use to places
     total, distinct = sum(r["total"] for r in rows), sum(r["distinct"] for r in rows)
-    found = [_unpacked(r["body"], (r["words"], 6), (r["words"], 6), (r["entries"], 6), (r["successors"], 2)) for r in rows]
+    found = [_unpacked(r["body"], (r["words"], 8), (r["words"], 6), (r["entries"], 6), (r["successors"], 2)) for r in rows]
     words, *others = (np.concatenate(x) for x in zip(*found))
     of_words, of_entries, codes = (x.astype(np.int64) for x in others)
     g = grams(words, at, counts, deal)
