@@ -462,7 +462,7 @@ def _light(docs: DataFrame, is_training: Column) -> DataFrame:
 
 
 def _by_batch(answers: DataFrame, shared, s: Settings) -> DataFrame:
-    return answers.groupBy("batch").applyInArrow(lambda table: _scores(table, shared.value, s), SCORES)
+    return answers.repartition(shared.value.shards, "batch").groupBy("batch").applyInArrow(lambda table: _scores(table, shared.value, s), SCORES)
 
 
 def scored(docs: DataFrame, is_training: Column, s: Settings = Settings()) -> DataFrame:
@@ -470,7 +470,9 @@ def scored(docs: DataFrame, is_training: Column, s: Settings = Settings()) -> Da
     shared = docs.sparkSession.sparkContext.broadcast(dealt(docs, s))
     # a batch's own row goes to a group of its own, on its way to the others of the batch
     group = F.when(F.col("shard") == _LOCAL, -1 - F.col("batch")).otherwise(F.col("shard").cast("long"))
-    asked = _asked(_light(docs, is_training), shared, s).groupBy(group)
+    asked = _asked(_light(docs, is_training), shared, s).withColumn("to", group)
+    # as many partitions as shards, so that a task's share doesn't grow with the input
+    asked = asked.repartition(shared.value.shards, "to").groupBy("to")
     return _by_batch(asked.applyInArrow(lambda key, table: _answers(table, s), ANSWER), shared, s)
 
 
@@ -485,7 +487,7 @@ def fit(docs: DataFrame, path: str, s: Settings = Settings()) -> None:
         body = _trie(_questions(table)[1], s).saved()
         return pa.table({"shard": table.column("shard")[:1].combine_chunks(), "body": pa.array([body], pa.binary())})
 
-    asked.groupBy("shard").applyInArrow(stored, MODEL).write.parquet(f"{path}/tries")
+    asked.repartition(deal.shards, "shard").groupBy("shard").applyInArrow(stored, MODEL).write.parquet(f"{path}/tries")
     head = {"shards": [deal.shards], "width": [deal.width], "hot": [deal.hot.view(np.int64).tolist()], "share": [deal.share.tolist()], **{k: [v] for k, v in asdict(s).items()}}
     kinds = ", ".join(f"{k} {'double' if isinstance(v, float) else 'long'}" for k, v in asdict(s).items())
     docs.sparkSession.createDataFrame(list(zip(*head.values())), f"shards long, width long, hot array<long>, share array<double>, {kinds}").write.parquet(f"{path}/head")
