@@ -69,9 +69,25 @@ def test_hot_blocks_lose_no_link(spark):
     near = [int(c) ^ int(np.bitwise_or.reduce(1 << rng.choice(48, rng.integers(0, 4), replace=False).astype(np.int64))) if k else int(c) for c in centre for k in range(60)]
     values = sorted({*near, *[v & ~0xFFFF for v in near]})
     rows = spark.createDataFrame([(v,) for v in values], "fp long")
-    found = {r["node"]: r["root"] for r in components(simhash.links(rows, hot=20)).collect()}
     want = groups(values)
-    assert all((found.get(values[i], values[i]) == found.get(values[j], values[j])) == (want[i] == want[j]) for i in range(len(values)) for j in range(i))
+    for levels in (1, 2, 4):
+        found = {r["node"]: r["root"] for r in components(simhash.links(rows, hot=20, levels=levels)).collect()}
+        assert all((found.get(values[i], values[i]) == found.get(values[j], values[j])) == (want[i] == want[j]) for i in range(len(values)) for j in range(i))
+
+
+def test_blocks_cover_all_bits_of_every_path():
+    paths = [tuple(range(64))]
+    for _ in range(4):
+        cuts = [simhash._block_masks(bits, 4) for bits in paths]
+        for bits, cut in zip(paths, cuts):
+            assert sum(mask % (1 << 64) for mask, _ in cut) == sum(1 << i for i in bits)
+        paths = [rest for cut in cuts for _, rest in cut]
+    assert all(len(rest) < 32 for rest in paths)
+
+
+def test_near_duplicates_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert simhash.near_duplicates(docs).count() == 0
 
 
 def test_one_of_each_keeps_the_smallest_id_and_all_columns(spark):

@@ -4,20 +4,24 @@
 2. Equal fingerprints collapse, so a group of copies is one row from here on.
 3. A fingerprint is dealt to one bucket per 16-bit block (radius + 1 blocks). Two
    fingerprints that differ in at most `radius` bits agree in a whole block, so no
-   link is lost. A bucket over `hot` rows is dealt on by bit count and salt: each
-   pair of parts whose bit counts differ by at most the radius is a task of its own.
+   link is lost. The rows of a bucket over `hot` rows are dealt on in the same way by
+   the bits that its block doesn't have: a link differs in at most `radius` of those
+   too. Rows thus grow by a factor a level, not with the square of a bucket.
 4. A task gathers whole buckets, sorts them by bit count, cuts tiles and compares
    tile pairs by exclusive-or and bit counts; tile pairs whose bit counts lie more
    than the radius apart are skipped. Only a spanning forest of the links leaves it.
 5. Components of the forest are the groups.
 
-Nulls: a null text counts as empty; texts without words have fingerprint zero and link
-like any other. A null id stays in the result; a group's id is its smallest non-null id.
+Nulls and edges: a null text counts as empty; texts without words have fingerprint zero
+and link like any other. A null id stays in the result; a group's id is its smallest
+non-null id. Repeated rows are rows of their own, of one group; an empty table has none;
+a long text is hashed in blocks. Extra columns take no part, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -125,30 +129,35 @@ def _forests(radius: int, tile: int, least: int):
     return run
 
 
-def links(distinct: DataFrame, radius: int = 3, tile: int = 512, hot: int = 16_384) -> DataFrame:
-    """distinct (fp long) -> (u, v) links that join exactly what pairs within the radius join."""
-    blocks = radius + 1
-    width = BITS // blocks
-    block = lambda b: F.shiftrightunsigned("fp", b * width).bitwiseAND(F.lit((1 << width) - 1))
-    dealt = distinct.select(
-        "fp", F.posexplode(F.array(*[block(b) for b in range(blocks)])).alias("b", "value")
-    ).select("fp", (F.col("b").cast("long") * (1 << width) + F.col("value")).alias("block"))
-    sizes = written(dealt.groupBy("block").count().where(F.col("count") > hot), "hot-blocks")
-    dealt = dealt.join(sizes, "block", "left")
-    # a part of a hot block: (bit count, salt); partners: parts at most `radius` bit counts away
-    salts = F.ceil(F.col("count") / hot).cast("long")
-    part = F.bit_count("fp").cast("long") * salts + F.pmod(F.xxhash64("fp"), salts)
-    partner = F.explode(
-        F.when(F.col("count").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(
-            F.sequence(
-                F.greatest(F.bit_count("fp") - radius, F.lit(0)) * salts,
-                (F.bit_count("fp") + radius + 1) * salts - 1,
-            )
-        )
-    )
-    dealt = dealt.select("fp", "block", F.when(F.col("count").isNotNull(), part).otherwise(-1).alias("part"), partner.alias("partner"))
-    bucket = F.xxhash64("block", F.least("part", "partner"), F.greatest("part", "partner")).alias("bucket")
-    sorted_in = dealt.select("fp", bucket).repartition("bucket").sortWithinPartitions("bucket")
+def _block_masks(bits: tuple[int, ...], blocks: int) -> list[tuple[int, tuple[int, ...]]]:
+    """bits cut into blocks: (mask of the block as a signed 64-bit number, the other bits) of each."""
+    cut = [len(bits) * i // blocks for i in range(blocks + 1)]
+    parts = [bits[a:b] for a, b in zip(cut, cut[1:])]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    return [(signed(sum(1 << i for i in part)), tuple(i for i in bits if i not in part)) for part in parts]
+
+
+def links(distinct: DataFrame, radius: int = 3, tile: int = 512, hot: int = 16_384, levels: int = 4) -> DataFrame:
+    """distinct (fp long) -> (u, v) links that join exactly what pairs within the radius join.
+
+    After `levels` blocks a bucket's fingerprints agree in over half their bits; what is
+    still together there is compared as it is.
+    """
+    blocks, paths = radius + 1, [tuple(range(BITS))]
+    rows, ready = distinct.select("fp", F.lit(0).cast("long").alias("bucket"), F.lit(0).alias("path")), []
+    for level in range(levels):
+        masks = [_block_masks(bits, blocks) for bits in paths]
+        paths = [rest for cut in masks for _, rest in cut]
+        of_path = F.array(*[F.array(*[F.lit(mask) for mask, _ in cut]) for cut in masks])
+        dealt = rows.select("fp", "bucket", "path", F.posexplode(F.get(of_path, F.col("path"))).alias("b", "mask"))
+        step = F.col("path") * blocks + F.col("b")
+        rows = dealt.select("fp", F.xxhash64("bucket", step, F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"), step.alias("path"))
+        over = written(rows.groupBy("bucket").count().where(F.col("count") > hot).select("bucket"), "hot-blocks")
+        if level == levels - 1 or over.isEmpty():
+            break
+        ready.append(rows.join(over, "bucket", "left_anti").select("fp", "bucket"))
+        rows = rows.join(over, "bucket", "left_semi")
+    sorted_in = reduce(DataFrame.unionByName, ready, rows.select("fp", "bucket")).repartition("bucket").sortWithinPartitions("bucket")
     return sorted_in.mapInArrow(_forests(radius, tile, 8 * tile), "u long, v long")
 
 
