@@ -33,6 +33,20 @@ def test_top_k_equals_brute_force(spark, blocks):
     assert topk.top_k(table.where("false"), F.lit(True)).count() == 0
 
 
+def test_blocks_compact_survivors_and_lose_none():
+    """Decaying mass per dimension and clustered vectors, so that most candidates go early; ties by rank."""
+    rng = np.random.default_rng(8)
+    centres = rng.integers(-200, 200, (6, 48)) * (0.9 ** np.arange(48))
+    vectors = np.floor(centres[rng.integers(0, 6, 3000)] + rng.normal(0, 2, (3000, 48)))
+    vectors[500:520] = vectors[0]
+    rank, asked = rng.permutation(3000), np.concatenate((np.arange(0, 3000, 60), [500, 501]))
+    dense = vectors[asked] @ vectors.T
+    got = topk.best_of_block(np.ascontiguousarray(vectors.T), vectors[asked], asked, 5, rank, batch=8)
+    for row, (q, (places, scores)) in enumerate(zip(asked, got)):
+        want = sorted((i for i in range(3000) if i != q), key=lambda i: (-dense[row, i], rank[i]))[:5]
+        assert places.tolist() == want and scores.tolist() == dense[row, want].tolist()
+
+
 def test_large_scores_stay_exact(spark):
     rows = [(i, [float(2**22 + i), float(-(2**22) + 3 * i), 1.5]) for i in range(12)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

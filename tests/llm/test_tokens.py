@@ -119,9 +119,20 @@ def test_byte_bpe_query(spark, sf_dir):
     for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
         ids = TIKTOKEN.encode_ordinary(r["text"] or "")
         x = got[r["doc_id"]]
+        ends = np.cumsum([len(TIKTOKEN.decode_single_token_bytes(i)) for i in ids], dtype=np.int64).astype("<u4")
+        assert x["byte_ends_sha256"] == hashlib.sha256(ends.tobytes()).hexdigest()
         assert (x["n_tokens"], x["ids_sha256"], x["decoded_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest())
 
 
+def test_byte_bpe_edges(spark):
+    assert byte_bpe.encoded(table(spark).where("false"), decoded=True).count() == 0
+    twice = spark.createDataFrame([(None, None, 1), (None, None, 1), (5, "", 1), (5, "same", 1), (5, "same", 1)], "doc_id long, text string, n_tokens int")
+    got = byte_bpe.encoded(twice).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in got) == [(0, 0), (0, 0), (5, 0), (5, 1), (5, 1)]
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        assert byte_bpe.byte_table(byte_bpe.Settings()) == [base64.b64decode(line.split()[0]) for line in f]
+
+
 def test_token_store_round_trip(spark, tmp_path):
     docs, path = table(spark), str(tmp_path / "tokens")
     token_store.write(docs, path)

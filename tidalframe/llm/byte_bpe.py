@@ -7,11 +7,14 @@ piece that is itself a token is taken whole. Each match of the pattern is encode
 itself.
 
 encoded() gives ids and the byte at which each token ends, so a token's place in the
-UTF-8 text is known even where it holds part of a character. decoded() reverses the
-byte table; the bytes are exact, and the text joins characters that tokens split.
-
-Nulls and edges: a null text counts as empty and has no ids. A null id column value is
-passed on. Ids outside the table raise an error.
+UTF-8 text is known even where it holds part of a character. decode() reverses the
+byte-to-character table, so the vocabulary's printable tokens become bytes again; the
+bytes are exact, and the text joins characters that tokens split.
+
+Nulls and edges: a null text counts as empty and has no ids. A null doc_id is passed on;
+repeated rows are encoded each; an empty table gives one; a long text is a batch of its
+own. Extra columns take no part, whatever their names. Ids outside the vocabulary raise
+an error.
 """
 
 from __future__ import annotations
@@ -69,11 +72,12 @@ def encoder(s: Settings) -> CachedEncoder:
 
 @lru_cache(maxsize=2)
 def byte_table(s: Settings) -> list[bytes]:
-    """id -> bytes."""
-    ranks = read_ranks(s.ranks)
-    table = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        table[rank] = token
+    """id -> bytes: the vocabulary's characters, each turned back into the byte that it stands for."""
+    byte_of = {c: b for b, c in enumerate(byte_characters())}
+    vocabulary = encoder(s).tokenizer.get_vocab()
+    table = [b""] * (max(vocabulary.values()) + 1)
+    for token, i in vocabulary.items():
+        table[i] = bytes(map(byte_of.__getitem__, token))
     return table
 
 
@@ -126,5 +130,6 @@ def decode(s: Settings = Settings(), kind: str = "binary"):
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    ids = encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"), offsets=False, decoded=True)
-    return ids.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Besides the contract's columns, the digest of the bytes at which tokens end."""
+    ids = encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"), decoded=True)
+    return ids.select("doc_id", "n_tokens", *[F.sha2(c, 256).alias(f"{c}_sha256") for c in ("ids", "decoded", "byte_ends")])

@@ -2,19 +2,22 @@
 
 Candidates and queries are cut into blocks by row number, so no key can make a block
 large. Each (candidate block, query block) pair is one group: the candidates lie in
-vertical layout (a row per dimension). A query adds up its scores one block of
-dimensions after the other, those with the most mass first; after each it keeps only
-the candidates whose partial score plus the product of the remaining masses (the norms
-over the dimensions not yet seen) can still reach its k-th best, and the survivors are
-compacted. The k-th best so far comes from candidates scored in full at the start.
-Integers are summed in doubles, which is exact below 2**53; beyond, in Python integers.
+vertical layout (a row per dimension), dimensions with the most mass first, and each
+candidate's remaining mass (the norm over the dimensions not yet seen) after each block
+of dimensions is computed once for all queries. A batch of queries adds up its scores
+one block of dimensions after the other; after each, only those candidates stay that
+for some query of the batch can still reach its k-th best, by partial score plus the
+product of remaining masses; the survivors are compacted. The k-th best so far comes
+from candidates scored in full at the start. Integers are summed in doubles, which is
+exact below 2**53; beyond, in Python integers.
 
 Then each query's best of all blocks are ranked. Ties go to the smaller vec_id.
 
 Nulls and edges: a vector that is null, empty or has null or non-finite components
 takes no part; vectors meet only those of their own length. Rows that share a vec_id
 are rows of their own: a query skips only its own row. A null vec_id is no query, and
-as a candidate loses ties. A score that a long can't hold raises an error.
+as a candidate loses ties. A score that a long can't hold raises an error. Extra columns
+take no part, whatever their names; without queries or candidates there are no rows.
 """
 
 from __future__ import annotations
@@ -38,35 +41,38 @@ def integral(vector: str, scale: int = 256) -> Column:
     return F.when(usable, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("double")))
 
 
-def best_of_block(layout: np.ndarray, query: np.ndarray, own: int, k: int, rank: np.ndarray, step: int = 16, seeds: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """(places, scores) of the k best columns of layout (dimensions x candidates), without column `own` (-1: none).
+def best_of_block(layout: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, rank: np.ndarray, step: int = 16, batch: int = 32, seeds: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query (places, scores) of the k best columns of layout (dimensions x candidates), without its column `own` (-1: none).
 
     rank orders candidates with equal scores.
     """
     dims, n = layout.shape
-    order = np.argsort(-np.abs(query), kind="stable")
-    alive = np.arange(n) if own < 0 else np.delete(np.arange(n), own)
-    if alive.size == 0:
-        return alive, np.empty(0)
-    first = alive[:: max(1, alive.size // seeds)]
-    full = query @ layout[:, first]
-    reach = np.partition(full, -k)[-k] if full.size >= k else -np.inf
-    partial = np.zeros(alive.size)
-    left = (layout[:, alive] ** 2).sum(axis=0)
-    query_left = float(query @ query)
-    for at in range(0, dims, step):
-        part = order[at : at + step]
-        seen = layout[np.ix_(part, alive)]
-        partial += query[part] @ seen
-        left -= (seen**2).sum(axis=0)
-        query_left -= float(query[part] @ query[part])
-        if at + step < dims and alive.size > 4 * k:
-            # a little slack: roots are rounded, integer scores are not
-            bound = partial + np.sqrt(np.maximum(left, 0) * max(query_left, 0)) * (1 + 1e-9) + 1e-6
-            keep = bound >= reach
-            alive, partial, left = alive[keep], partial[keep], left[keep]
-    top = np.lexsort((rank[alive], -partial))[:k]
-    return alive[top], partial[top]
+    order = np.argsort(-(queries**2).sum(axis=0), kind="stable")
+    layout, queries, cuts = layout[order], queries[:, order], range(0, dims, step)
+    # masses over the dimensions from each cut on: of all candidates, and of all queries
+    tails = lambda squares: np.sqrt(np.array([squares[a:].sum(axis=0) for a in cuts]))
+    masses, asked = tails(layout**2), tails(queries.T**2)
+    first, out = np.arange(0, n, max(1, n // seeds)), []
+    for at in range(0, len(queries), batch):
+        some, mine = queries[at : at + batch], own[at : at + batch]
+        full = np.where(first == mine[:, None], -np.inf, some @ layout[:, first])
+        reach = np.partition(full, -k, axis=1)[:, -k] if first.size >= k else np.full(len(some), -np.inf)
+        alive, partial, rows = np.arange(n), np.zeros((len(some), n)), layout
+        for i, a in enumerate(cuts):
+            partial += some[:, a : a + step] @ rows[a : a + step]
+            if i + 1 < len(cuts):
+                # a little slack: roots are rounded, integer scores are not
+                bound = partial + asked[i + 1, at : at + batch, None] * masses[i + 1, alive] * (1 + 1e-9) + 1e-6
+                keep = (bound >= reach[:, None]).any(axis=0)
+                if keep.sum() * 2 < alive.size:
+                    alive, partial, rows = alive[keep], partial[:, keep], rows[:, keep]
+        partial[alive == mine[:, None]] = -np.inf
+        for scores in partial:
+            last = np.partition(scores, -k)[-k] if scores.size > k else -np.inf
+            places = np.flatnonzero((scores >= last) & (scores > -np.inf))
+            top = places[np.lexsort((rank[alive[places]], -scores[places]))][:k]
+            out.append((alive[top], scores[top]))
+    return out
 
 
 def _exact_block(layout: np.ndarray, query: np.ndarray, own: int, k: int, rank: np.ndarray) -> tuple[np.ndarray, list[int]]:
@@ -77,7 +83,7 @@ def _exact_block(layout: np.ndarray, query: np.ndarray, own: int, k: int, rank:
     return np.array(top, np.int64), [scores[i] for i in top]
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, candidate_block: int = 16_384, query_block: int = 2_048) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, candidate_block: int = 32_768, query_block: int = 2_048) -> DataFrame:
     """vectors (vec_id long, embedding) -> (query_row, query_id, rank, vec_id, score) of the rows that fulfil is_query.
 
     The data that moves is (candidates x query blocks + queries x candidate blocks) / block
@@ -112,9 +118,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, candidate_block: int
                 names = some.column("vec_id").to_pylist()
                 wants = matrix(asked, size)
                 small = size * float(np.abs(layout).max()) * float(np.abs(wants).max()) < EXACT and size * float(np.abs(layout).max()) ** 2 < EXACT
-                find = best_of_block if small else _exact_block
-                for row, name, want in zip(asked.column("row").to_pylist(), asked.column("vec_id").to_pylist(), wants):
-                    found, scores = find(layout, want, place.get(row, -1), k, order)
+                own = np.array([place.get(r, -1) for r in asked.column("row").to_pylist()])
+                best = best_of_block(layout, wants, own, k, order) if small else [_exact_block(layout, w, o, k, order) for w, o in zip(wants, own)]
+                for row, name, (found, scores) in zip(asked.column("row").to_pylist(), asked.column("vec_id").to_pylist(), best):
                     out["query_row"] += [row] * len(found)
                     out["query_id"] += [name] * len(found)
                     out["vec_id"] += [names[i] for i in found]
@@ -132,9 +138,9 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+with v as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
-r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s)
+s as (select q.r, q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score from v q join v c on q.r <> c.r where q.vec_id % 50 = 0),
+r as (select query_id, row_number() over (partition by r order by score desc, vec_id)::int as rank, vec_id, score from s)
 select query_id, rank, vec_id, score from r where rank <= 5
 """
