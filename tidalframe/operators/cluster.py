@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,6 +78,63 @@ def lloyd(rows: DataFrame, vec: str, centroids: Centroids, iterations: int = 200
     return Model(now, sum(s for _, s in counts.values()), [counts.get(c, (0, 0))[0] for c in range(len(now))], done)
 
 
+def lloyd_all(rows: DataFrame, vec: str, starts: Sequence[Centroids], iterations: int = 200, tol: float = 1e-4) -> list[Model]:
+    """lloyd() from many starts at once: each iteration is one pass for all runs that still move.
+
+    A task leaves a row of sums per run and cluster; Spark adds them up, and only
+    runs x clusters rows reach the driver.
+    """
+    now = [np.array(c, float) for c in starts]
+    points, shared = rows.select(F.transform(vec, lambda x: x.cast("double")).alias("x")), rows.sparkSession.sparkContext
+
+    def sums(runs: list[int]) -> dict[tuple[int, int], tuple[int, float, np.ndarray]]:
+        sent = shared.broadcast({r: now[r] for r in runs})
+
+        def partial(batches):
+            total: dict = {}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                for r, c in sent.value.items():
+                    d2 = ((x[:, None, :] - c) ** 2).sum(axis=2)
+                    label, least = d2.argmin(axis=1), d2.min(axis=1)
+                    for k in range(len(c)):
+                        mine = label == k
+                        n, s, v = total.get((r, k), (0, 0.0, 0.0))
+                        total[r, k] = n + int(mine.sum()), s + float(least[mine].sum()), v + x[mine].sum(axis=0)
+            out = [(r, k, n, s, np.asarray(v, float).tolist()) for (r, k), (n, s, v) in total.items()]
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 5, kinds)], ["run", "cluster", "n", "d2", "v"])
+
+        parts = points.mapInArrow(partial, "run int, cluster int, n long, d2 double, v array<double>")
+        cells = parts.select("run", "cluster", "n", "d2", F.posexplode("v").alias("dim", "x")).groupBy("run", "cluster", "dim").agg(F.sum("n").alias("n"), F.sum("d2").alias("d2"), F.sum("x").alias("x"))
+        found: dict = {}
+        for r in cells.collect():  # runs x clusters x dimensions numbers
+            n, d2, v = found.setdefault((r["run"], r["cluster"]), [r["n"], r["d2"], np.zeros(now[r["run"]].shape[1])])
+            v[r["dim"]] = r["x"]
+        return found
+
+    moving, done = list(range(len(now))), [0] * len(now)
+    for _ in range(iterations):
+        if not moving:
+            break
+        found, still = sums(moving), []
+        for r in moving:
+            new = now[r].copy()
+            for k in range(len(new)):
+                n, _, v = found.get((r, k), (0, 0.0, None))
+                if n:
+                    new[k] = v / n
+            moved, now[r], done[r] = float(((new - now[r]) ** 2).sum()), new, done[r] + 1
+            if moved >= tol:
+                still.append(r)
+        moving = still
+    found = sums(list(range(len(now)))) if now else {}
+    cell = lambda r, k: found.get((r, k), (0, 0.0, None))
+    return [Model(c.tolist(), sum(cell(r, k)[1] for k in range(len(c))), [cell(r, k)[0] for k in range(len(c))], done[r]) for r, c in enumerate(now)]
+
+
 def spread_seeds(points: np.ndarray, k: int, seed: int) -> np.ndarray:
     """k-means++ over a bounded sample held by the driver; k may not exceed the points."""
     if len(points) < k:
@@ -98,12 +156,16 @@ def seed_sample(rows: DataFrame, vec: str, key: str, limit: int = 5000) -> np.nd
     return np.array([r["x"] for r in picked.collect()], float)
 
 
-def sweep(rows: DataFrame, vec: str, key: str, k_min: int = 2, k_max: int = 8, n_init: int = 5, iterations: int = 200, tol: float = 1e-4, sample: int = 1500) -> list[dict]:
-    """For each K the best of n_init runs by inertia, with silhouette, CH and DB. Cache rows before."""
+def sweep(rows: DataFrame, vec: str, key: str, k_min: int = 2, k_max: int = 8, n_init: int = 5, iterations: int = 200, tol: float = 1e-4, sample: int | None = 1500) -> list[dict]:
+    """For each K the best of n_init runs by inertia (the first of equals), with silhouette, CH and DB.
+
+    All runs share their passes. sample: rows that the silhouette takes, None for all.
+    """
     points, out = seed_sample(rows, vec, key), []
-    n = rows.count()
-    for k in range(max(2, k_min), min(k_max, len(points)) + 1):
-        best = min((lloyd(rows, vec, spread_seeds(points, k, 1000 * k + i).tolist(), iterations, tol) for i in range(n_init)), key=lambda m: m.inertia)
+    every = [(k, spread_seeds(points, k, 1000 * k + i).tolist()) for k in range(max(2, k_min), min(k_max, len(points)) + 1) for i in range(n_init)]
+    models = lloyd_all(rows, vec, [start for _, start in every], iterations, tol)
+    for k in dict.fromkeys(k for k, _ in every):
+        best = min((m for (at, _), m in zip(every, models) if at == k), key=lambda m: m.inertia)
         labelled = assigned(rows, vec, best.centroids)
         out.append(
             {
@@ -114,15 +176,16 @@ def sweep(rows: DataFrame, vec: str, key: str, k_min: int = 2, k_max: int = 8, n
                 "db": davies_bouldin(labelled, vec, best.centroids).first()["db"],
                 "centroids": best.centroids,
                 "sizes": best.sizes,
-                "n": n,
+                "n": sum(best.sizes),
             }
         )
     return out
 
 
-def first_rows_kmeans(rows: DataFrame, vec: str, order: list[str], k: int, epochs: int = 3) -> tuple[DataFrame, Centroids]:
+def first_rows_kmeans(rows: DataFrame, vec: str, order: list[str], k: int) -> tuple[DataFrame, Centroids]:
     """Compatibility mode of online training: rows are labelled by the nearest of the first k
-    rows and centroids are their groups' means, counted once per epoch. -> labelled rows, the k seeds."""
+    rows, and centroids are their groups' means: one pass, whatever the number of epochs, as
+    later epochs only count the same rows again. -> labelled rows, the k seeds."""
     seeds = [list(map(float, r[vec])) for r in rows.orderBy(*order).limit(k).collect()]
     if len(seeds) < k:
         raise ValueError(f"{len(seeds)} rows for {k} clusters")
@@ -202,15 +265,32 @@ def elbow_by_chord(results: DataFrame) -> DataFrame:
     return rows.agg(F.min_by("K", F.struct(-off, F.col("K"))).alias("K"))
 
 
-def recommended(results: DataFrame) -> DataFrame:
+def recommended(results: DataFrame, elbow: str = "chord") -> DataFrame:
     """At most three K with their order: the best silhouette; the best of those at least 2 away
-    from it, else the second best; the chord elbow if it is new; then by silhouette. Ties go to the lower K."""
+    from it, else the second best; the elbow (by "chord" or "bend") if it is new; then by
+    silhouette. Ties go to the lower K."""
     w = Window.orderBy(F.desc("silhouette"), "K")
     ranked = results.select("K", "silhouette", F.row_number().over(w).alias("r"))
     first = F.broadcast(ranked.where("r = 1").select(F.col("K").alias("k1")))
     far = ranked.join(first).where("r > 1").withColumn("near", F.abs(F.col("K") - F.col("k1")) < 2)
     second = far.agg(F.min_by("K", F.struct("near", "r")).alias("k2"))
-    elbow = elbow_by_chord(results).withColumnRenamed("K", "k3")
-    rows = ranked.join(F.broadcast(second)).join(F.broadcast(elbow))
+    third = (elbow_by_chord if elbow == "chord" else elbow_by_bend)(results).withColumnRenamed("K", "k3")
+    rows = ranked.join(F.broadcast(second)).join(F.broadcast(third))
     place = F.when(F.col("r") == 1, 1).when(F.col("K") == F.col("k2"), 2).when(F.col("K") == F.col("k3"), 3).otherwise(4)
     return rows.withColumn("pick", F.row_number().over(Window.orderBy(place, "r"))).where("pick <= 3").select("pick", "K", "silhouette")
+
+
+def bounding_box(points: DataFrame, x: str, y: str) -> DataFrame:
+    """One row: x_low, x_high, y_low, y_high of the finite points; a side without extent is from -1 to 1."""
+    good = points.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y) & (F.abs(x) < float("inf")) & (F.abs(y) < float("inf")))
+    b = good.agg(*[f(c).alias(f"{c}{n}") for c in (x, y) for n, f in (("_a", F.min), ("_z", F.max))])
+    side = lambda c: F.coalesce(F.col(f"{c}_a") == F.col(f"{c}_z"), F.lit(True))
+    return b.select(*[F.when(side(c), v).otherwise(F.col(f"{c}{n}")).alias(f"{name}{end}") for c, name in ((x, "x"), (y, "y")) for n, end, v in (("_a", "_low", -1.0), ("_z", "_high", 1.0))])
+
+
+def from_json(body: dict) -> Model:
+    """A model as the store keeps it, ready for assigned()."""
+    centroids = [list(map(float, c)) for c in body["centroids"]]
+    if any(len(c) != body["dim"] for c in centroids) or len(centroids) != body["k"]:
+        raise ValueError("centroids don't fit k and dim")
+    return Model(centroids, float(body.get("inertia", 0.0)), list(body.get("sizes", [0] * len(centroids))), 0)

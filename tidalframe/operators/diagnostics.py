@@ -62,3 +62,12 @@ def summary(frames: DataFrame) -> DataFrame:
     """Per recording: frames, mean mel_sum, mean rms and the first six times."""
     times = F.slice(F.array_sort(F.collect_list(F.when(F.col("frame") < 6, F.col("time_sec")))), 1, 6)
     return frames.groupBy("rec_id").agg(F.count("*").alias("frames"), F.avg("mel_sum").alias("mel_sum_mean"), F.avg("rms").alias("rms_mean"), times.alias("first_times"))
+
+
+def variance_report(rows: DataFrame, vec: str, k: int = 5, most: int = 15) -> DataFrame:
+    """One row: mean_variance, the k dimensions of largest and of smallest non-zero variance, and the
+    first `most` dimensions without variance (arrays of dim). There is one row per dimension to sort."""
+    stats = dimension_stats(rows, vec).select("dim", "var_pop").withColumn("flat", F.col("var_pop") <= 1e-12)
+    pick = lambda keep, sign: F.transform(F.slice(F.array_sort(F.collect_list(F.when(keep, F.struct((sign * F.col("var_pop")).alias("v"), "dim")))), 1, k), lambda x: x["dim"])
+    none = F.slice(F.array_sort(F.collect_list(F.when(F.col("flat"), F.col("dim")))), 1, most)
+    return stats.agg(F.avg("var_pop").alias("mean_variance"), pick(F.lit(True), -1).alias("largest"), pick(~F.col("flat"), 1).alias("smallest"), none.alias("without"), F.count_if("flat").alias("n_without"))

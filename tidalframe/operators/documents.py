@@ -90,6 +90,53 @@ def new_sessions(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return incoming.join(chosen.select("session"), "session", "left_semi")
 
 
+def pool_join_typed(pool: DataFrame, recordings: DataFrame) -> DataFrame:
+    """(pos, rec_id) with the recordings of that id; ids of another type than the recordings' meet none."""
+    same = pool.schema["rec_id"].dataType == recordings.schema["id"].dataType
+    return pool.join(recordings, F.col("rec_id") == F.col("id") if same else F.lit(False))
+
+
+def import_backup(existing: DataFrame, existing_refs: DataFrame, incoming: DataFrame, incoming_refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Recordings (id, name, blob) and refs (session, pos, recording) of both -> what to add: recordings under
+    their new ids, and refs with those ids.
+
+    Content that is there already is not added; its refs lead to it. Sessions that are there
+    already, or earlier among the incoming ones, are passed over; unmapped refs stay.
+    """
+    mapping = import_map(existing, incoming)
+    new = incoming.join(mapping.where("is_new").select(F.col("old_id").alias("id"), "new_id"), "id")
+    added = new.groupBy("new_id").agg(F.min_by(F.struct("name", "blob"), "id").alias("r")).select(F.col("new_id").alias("id"), "r.name", "r.blob")
+    entries = lambda refs, recs: refs.join(recs.select(F.col("id").alias("recording"), "name", "blob"), "recording").select("session", "name", F.lit(None).cast("string").alias("date"), "blob")
+    fresh = new_sessions(entries(existing_refs, existing), entries(incoming_refs, incoming)).select("session").distinct()
+    return added, remapped(incoming_refs.join(fresh, "session", "left_semi"), mapping)
+
+
+def trimmed_copies(recordings: DataFrame, trimmed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """recordings (id, name) and trimmed (rec_id, idx, v) -> the copies to add (id, name) and their samples.
+
+    Copies take the ids after the largest; their names are the next free '<base> Trimmed N',
+    those of one base in the order of their ids.
+    """
+    base = F.regexp_replace("name", "(?i)\\s+trimmed(?:\\s+\\d+)?$", "")
+    mine = recordings.join(trimmed.select(F.col("rec_id").alias("id")).distinct(), "id", "left_semi").withColumn("k", F.lower(base))
+    placed = numbered(mine, "id", "n")
+    top = F.broadcast(recordings.agg(F.max("id").alias("top")))  # one row
+    free = next_trimmed_name(recordings).select(F.lower("base").alias("k"), "base", F.regexp_extract("next_name", "(\\d+)$", 1).cast("long").alias("free"))
+    nth = F.row_number().over(Window.partitionBy("k").orderBy("id")) - 1
+    new = placed.join(top).withColumn("nth", nth).join(free, "k").select("id", (F.col("top") + F.col("n")).alias("new_id"), F.concat("base", F.lit(" Trimmed "), (F.col("free") + F.col("nth")).cast("string")).alias("name"))
+    samples = trimmed.join(new.select(F.col("id").alias("rec_id"), "new_id"), "rec_id").select(F.col("new_id").alias("rec_id"), "idx", "v")
+    return new.select(F.col("new_id").alias("id"), "name"), samples
+
+
+def fixed(x: Column, places: int) -> Column:
+    return F.format_string(f"%.{places}f", x)
+
+
+def exponential(x: Column, places: int) -> Column:
+    """d.dde+n, the exponent without leading zeros."""
+    return F.regexp_replace(F.format_string(f"%.{places}e", x), "e([+-])0+(?=\\d)", "e$1")
+
+
 def pool_join(pool: DataFrame, recordings: DataFrame) -> DataFrame:
     """(pos, rec_id) with the first recording of that id as text, in pool order (column pos); ids without one are dropped."""
     first = recordings.withColumn("_r", F.row_number().over(Window.partitionBy(F.col("id").cast("string")).orderBy("id"))).where("_r = 1").drop("_r")

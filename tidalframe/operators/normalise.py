@@ -38,6 +38,11 @@ def serving_vector(mel: Column, rms: Column, centroid: Column, zcr: Column, samp
     return F.concat(log_mel(mel), F.array(loud, or_zero(centroid) / max(1e-6, sample_rate / 2), or_zero(zcr)))
 
 
+def diagnostic_vector(mel: Column, rms: Column, centroid: Column, zcr: Column, sample_rate: float) -> Column:
+    """serving_vector() with every negative value as 0."""
+    return F.transform(serving_vector(mel, rms, centroid, zcr, sample_rate), lambda x: F.greatest(x, F.lit(0.0)))
+
+
 def mel_index_centroid(mel: Column) -> Column:
     """Mean band index weighted by positive bands; half the number of bands if there are none."""
     positive = F.transform(mel, lambda x: F.greatest(or_zero(x), F.lit(0.0)))

@@ -144,3 +144,25 @@ def orthogonal(w: np.ndarray, seed: int = 0) -> np.ndarray:
             row = rng.normal(size=row.size)
         out.append(row / norm)
     return np.array(out)
+
+
+def to_json(model: Model) -> dict:
+    """A model as the store keeps it."""
+    arrays = {c: getattr(model, c).tolist() for c in ("mean", "components", "eigenvalues", "explained")}
+    return {**arrays, "n": model.n, "warnings": model.warnings, "scaler": model.scaler and [list(x) for x in model.scaler]}
+
+
+def from_json(body: dict) -> Model:
+    """to_json() undone; the model projects as before."""
+    mean, components = np.array(body["mean"], float), np.array(body["components"], float)
+    if components.ndim != 2 or components.shape[1] != mean.size:
+        raise ValueError("components don't fit the mean")
+    scaler = body.get("scaler")
+    return Model(mean, components, np.array(body["eigenvalues"], float), np.array(body["explained"], float), body.get("n", 0), list(body.get("warnings", [])), scaler and tuple(scaler))
+
+
+def fit_table(rows: DataFrame, vec: str, k: int = 8) -> DataFrame:
+    """component, place, loading, eigenvalue, explained: fit() over all rows; at most k x d rows."""
+    m = fit(gather(rows, vec), k)
+    cells = [(c, i, float(x), float(m.eigenvalues[c]), float(m.explained[c])) for c, axis in enumerate(m.components) for i, x in enumerate(axis)]
+    return rows.sparkSession.createDataFrame(cells, "component long, place long, loading double, eigenvalue double, explained double")

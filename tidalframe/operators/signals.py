@@ -2,7 +2,7 @@
 
 A recording is never gathered in one row or task: frames, bins and bands are rows, and
 sums over them are grouped aggregates that Spark combines before it shuffles. For real
-audio sizes `features.extract` does the same per block of samples with numpy.
+audio sizes `features.extract` does the same per block of frames with numpy's FFT.
 """
 
 from __future__ import annotations

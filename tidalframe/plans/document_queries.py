@@ -65,6 +65,19 @@ def pool_unique(spark, sf_dir):
     return documents.pool_set(o)
 
 
+def pool_lookup_typed(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_custkey").alias("rec_id"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    as_text = documents.pool_join_typed(o.withColumn("rec_id", F.col("rec_id").cast("string")), c)  # meets none
+    return documents.pool_join_typed(o, c).select("pos", "id", "name").unionByName(as_text.select("pos", "id", "name"))
+
+
+def number_formats(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    x = F.col("p_retailprice").cast("double") / 8192
+    return p.select("p_partkey", documents.fixed(x, 3).alias("fixed"), documents.exponential(x * F.when(F.col("p_partkey") % 2 == 0, 1e-14).otherwise(1e9), 2).alias("exponential"))
+
+
 def name_lookup(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") * 2).alias("rec_id"))
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 4 == 0, "").otherwise(F.col("c_name")).alias("name"))
@@ -149,6 +162,8 @@ SQL = {
     "point_lookup": "select c_custkey, c_name from customer where c_custkey = 42",
     "pool_lookup": "select o_orderkey as pos, o_custkey * 2 as rec_id, c_custkey as id, c_name as name from orders join customer on o_custkey * 2 = c_custkey",
     "pool_unique": "select row_number() over (order by min(o_orderkey)) - 1 as pos, o_custkey as rec_id from orders where o_custkey % 7 <> 0 group by o_custkey",
+    "pool_lookup_typed": "select o_orderkey as pos, c_custkey as id, c_name as name from orders join customer on o_custkey = c_custkey",
+    "number_formats": "select p_partkey, printf('%.3f', p_retailprice::double / 8192) as fixed, regexp_replace(printf('%.2e', p_retailprice::double / 8192 * case when p_partkey % 2 = 0 then 1e-14 else 1e9 end), 'e([+-])0+(\\d)', 'e\\1\\2') as exponential from part",
     "name_lookup": "select o_orderkey, o_custkey * 2 as rec_id, coalesce(case when c_custkey % 4 = 0 then null else c_name end, (o_custkey * 2)::varchar) as name from orders left join customer on o_custkey * 2 = c_custkey",
     "next_trimmed_name": sql(
         "n as (select p_brand || case p_partkey % 4 when 0 then '' when 1 then ' Trimmed' else ' tRimmed ' || p_size end as name from part)",

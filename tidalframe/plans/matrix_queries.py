@@ -66,13 +66,13 @@ def lloyd_step(spark, sf_dir):
 
 
 def lloyd_two_steps(spark, sf_dir):
-    return _centroids(spark, cluster.lloyd(rows(spark, sf_dir).cache(), "vec", CENTROIDS, iterations=2, tol=0.0).centroids)
+    return _centroids(spark, cluster.lloyd(rows(spark, sf_dir), "vec", CENTROIDS, iterations=2, tol=0.0).centroids)
 
 
 def online_kmeans_compat(spark, sf_dir):
     labelled, _ = cluster.first_rows_kmeans(rows(spark, sf_dir), "vec", ["vec_id"], 3)
     found = cluster.means(labelled, "vec")
-    return found.select(F.col("cluster").cast("long").alias("cluster"), F.col("dim").cast("long").alias("place"), r6("mean").alias("x"), (F.col("size") * 3).alias("count"))
+    return found.select(F.col("cluster").cast("long").alias("cluster"), F.col("dim").cast("long").alias("place"), r6("mean").alias("x"), F.col("size").alias("count"))
 
 
 def calinski_harabasz(spark, sf_dir):
@@ -92,6 +92,49 @@ def _sweep(spark, sf_dir):
     return items.agg(F.sum("l_quantity").alias("inertia"), r6(F.avg("l_discount")).alias("silhouette"))
 
 
+def recommend_k_bend(spark, sf_dir):
+    return cluster.recommended(_sweep(spark, sf_dir), "bend").select(F.col("pick").cast("long").alias("pick"), "K", "silhouette")
+
+
+def _scatter(spark, sf_dir):
+    return rows(spark, sf_dir).select("rec_id", pca.project("vec", MEAN, AXES, D).alias("z")).select("rec_id", F.col("z")[0].alias("a"), F.col("z")[1].alias("b"))
+
+
+def scatter_box(spark, sf_dir):
+    box = cluster.bounding_box(_scatter(spark, sf_dir), "a", "b")
+    return box.select(*[r6(c).alias(c) for c in box.columns])
+
+
+def point_counts(spark, sf_dir):
+    return _scatter(spark, sf_dir).groupBy("rec_id").agg(F.count("*").alias("n"))
+
+
+def zscore_projected(spark, sf_dir):
+    z = rows(spark, sf_dir).select("vec_id", pca.project("vec", MEAN, AXES, D).alias("z"))
+    return long(normalise.zscored(z, "z", normalise.scaler(z, "z")), "vec_id", vec="z")
+
+
+def diagnostic_vectors(spark, sf_dir):
+    vec = normalise.diagnostic_vector(*_parts(), 32.0)
+    return long(_feature_row(spark, sf_dir).select("vec_id", vec.alias("vec")), "vec_id")
+
+
+def mel_sum_filter(spark, sf_dir):
+    return sampling.mel_sum_filter(_frames(spark, sf_dir), 0.75).select("rec_id", "frame", r6("mel_sum").alias("mel_sum"))
+
+
+def variance_report(spark, sf_dir):
+    out = diagnostics.variance_report(rows(spark, sf_dir), "vec")
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return out.select(r6("mean_variance").alias("mean_variance"), joined("largest"), joined("smallest"), "n_without")
+
+
+def diagnostic_warnings(spark, sf_dir):
+    quiet = F.col("under_0_005") * 3
+    stats = diagnostics.before_training(_frames(spark, sf_dir)).join(F.broadcast(diagnostics.variance_report(rows(spark, sf_dir), "vec")))
+    return stats.select(F.array_join(diagnostics.warnings(quiet, F.col("mel_sum_mean"), F.col("n_without")), "; ").alias("warnings"))
+
+
 def elbow_bend(spark, sf_dir):
     return cluster.elbow_by_bend(_sweep(spark, sf_dir))
 
@@ -285,7 +328,7 @@ SQL = {
         NEAR.format("n1", "c1", _d2("vec", "cv")),
         select=f"select c as cluster, i - 1 as place, {ROUND.format('coalesce(x, cv[i])')} as x from c1 cross join range(1, 65) t(i) left join ({MEANS.format('n1')}) q on q.cluster = c and q.place = i - 1",
     ),
-    "online_kmeans_compat": sql(M, "cf as (select row_number() over (order by vec_id) - 1 as c, vec as cv from m order by vec_id limit 3)", NEAR.format("nf", "cf", _d2("vec", "cv")), select=f"select cluster, place, {ROUND.format('x')} as x, n * 3 as count from ({MEANS.format('nf')})"),
+    "online_kmeans_compat": sql(M, "cf as (select row_number() over (order by vec_id) - 1 as c, vec as cv from m order by vec_id limit 3)", NEAR.format("nf", "cf", _d2("vec", "cv")), select=f"select cluster, place, {ROUND.format('x')} as x, n as count from ({MEANS.format('nf')})"),
     "calinski_harabasz": sql(
         M, C0, N0, "g as (select list(a order by i) as gm from (select i, avg(vec[i]) as a from m cross join range(1, 65) t(i) group by i))", "s as (select c, cv, count(*) as n, sum(d2) as w from n0 join c0 on c = cluster group by all)",
         select=f"select round(sum(n * ({_d2('cv', 'gm')})) * (sum(n) - 3) / (sum(w) * 2), 6) as ch from s cross join g",
@@ -306,6 +349,28 @@ SQL = {
         "pk as (select K, silhouette, row_number() over (order by case when r = 1 then 1 when K = (select k2 from tw) then 2 when K = (select K from ch) then 3 else 4 end, r) as pick from rk)",
         select="select pick, K, silhouette from pk where pick <= 3",
     ),
+    "recommend_k_bend": sql(
+        SWEEP, "be as (select K from (select K, lag(inertia) over w - 2 * inertia + lead(inertia) over w as bend from sw window w as (order by K)) order by bend desc nulls last, K limit 1)",
+        "rk as (select K, silhouette, row_number() over (order by silhouette desc, K) as r from sw)",
+        "tw as (select arg_min(K, ((abs(K - (select K from rk where r = 1)) < 2)::int, r)) as k2 from rk where r > 1)",
+        "pk as (select K, silhouette, row_number() over (order by case when r = 1 then 1 when K = (select k2 from tw) then 2 when K = (select K from be) then 3 else 4 end, r) as pick from rk)",
+        select="select pick, K, silhouette from pk where pick <= 3",
+    ),
+    "scatter_box": sql(M, Z, select="select " + ", ".join(f"round({f}(z[{i}]), 6) as {n}" for i, f, n in ((1, "min", "x_low"), (1, "max", "x_high"), (2, "min", "y_low"), (2, "max", "y_high"))) + " from z"),
+    "point_counts": sql(M, Z, select="select rec_id, count(*) as n from z group by rec_id"),
+    "zscore_projected": sql(M, Z, "zs as (select i, avg(z[i]) as mean, sqrt(greatest(var_samp(z[i]), 1e-12)) as sd from z cross join range(1, 3) t(i) group by i)", select="select vec_id, i - 1 as place, round((z[i] - mean) / sd, 6) + 0.0 as x from z cross join zs"),
+    "diagnostic_vectors": sql(M, FEAT, select=_unnested(f"list_transform(list_concat({LOGS}, [rms, centroid / 16, zcr]), lambda x: greatest(x, 0))", "vec_id", "ft", 64)),
+    "mel_sum_filter": sql(M, FRAMES, select="select rec_id, frame, round(mel_sum, 6) as mel_sum from (select *, max(mel_sum) over (partition by rec_id) as top from fr) where mel_sum >= 0.75 * top"),
+    "variance_report": sql(
+        M, CELLS, STATS,
+        select="select round(avg(var_pop), 6) as mean_variance, (select string_agg(place::varchar, ',' order by r) from (select place, row_number() over (order by st.var_pop desc, place) as r from st) where r <= 5) as largest, "
+        "(select string_agg(place::varchar, ',' order by r) from (select place, row_number() over (order by st.var_pop, place) as r from st where st.var_pop > 1e-12) where r <= 5) as smallest, count(*) filter (where var_pop <= 1e-12) as n_without from st",
+    ),
+    "diagnostic_warnings": sql(
+        M, FRAMES, CELLS, STATS,
+        select="select concat_ws('; ', case when (select round(count(*) filter (where rms < 0.005) * 100 / count(*), 2) * 3 from fr) > 40 then 'over 40 % of frames are quiet' end, "
+        "case when (select avg(mel_sum) from fr) < 1e-4 then 'band energy is very low' end, case when (select count(*) from st where st.var_pop <= 1e-12) > 0 then (select count(*) from st where st.var_pop <= 1e-12) || ' dimensions without variance' end) as warnings",
+    ),
     "column_means": sql(M, CELLS, select="select place, round(avg(x), 6) + 0.0 as x from cells group by place"),
     "dim_stats": sql(M, CELLS, STATS, select="select place, n, " + ", ".join(f"{ROUND.format(c)} as {c}" for c in ("mean", "var", "var_pop", "low", "high")) + " from st"),
     "validate_dims": sql(M, CELLS, HOLED, select="select place, round(avg(case when isfinite(x) then x else 0 end), 6) + 0.0 as mean, round(var_samp(case when isfinite(x) then x else 0 end), 6) + 0.0 as var, bool_and(isfinite(x)) as valid from hl group by place"),

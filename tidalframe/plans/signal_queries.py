@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidalframe.functions.signal import colour, decibels, hz_to_mel, pcm16, soft_limit
-from tidalframe.operators import signals
-from tidalframe.plans.adapters import FFT, FILT, FR, HOP, LEN, MEL, MELPTS, MELS, RATE, RMS, SIG, SPEC, WIN, r6, signal, sql
+from tidalframe.operators import features, signals
+from tidalframe.plans.adapters import CENT, FFT, FILT, FR, HOP, LEN, MEL, MELPTS, MELS, RATE, RMS, SIG, SPEC, WIN, ZCR, r6, signal, spectral, sql
 
 BASE = (SIG, LEN, FR)
 SPECTRA = (*BASE, WIN, SPEC)
@@ -63,10 +63,23 @@ def spectral_centroid(spark, sf_dir):
 
 
 def feature_frames(spark, sf_dir):
+    f = features.extract(signal(spark, sf_dir), FFT, HOP, MELS, RATE)
+    return f.select("rec_id", "frame", r6("time_sec").alias("time_sec"), *[r6(F.col("mel")[i]).alias(f"mel_{i}") for i in range(MELS)], r6("rms").alias("rms"), r6("centroid").alias("centroid"), r6("zcr").alias("zcr"))
+
+
+def feature_frames_grouped(spark, sf_dir):
+    """The same as feature_frames, by grouped aggregates."""
     f = signals.features(signal(spark, sf_dir), FFT, HOP, MELS, RATE)
     return f.select("rec_id", "frame", r6("time_sec").alias("time_sec"), *[r6(F.col("mel")[i]).alias(f"mel_{i}") for i in range(MELS)], r6("rms").alias("rms"), r6("centroid").alias("centroid"), r6("zcr").alias("zcr"))
 
 
+def feature_frames_64(spark, sf_dir):
+    """64 bands of frames of 64 samples."""
+    f = features.extract(signal(spark, sf_dir), 64, 16, 64, RATE, block=2)
+    bands = F.posexplode("mel").alias("mel", "energy")
+    return f.select("rec_id", "frame", bands, "rms", "centroid", "zcr").select("rec_id", "frame", F.col("mel").cast("long").alias("mel"), *[r6(c).alias(c) for c in ("energy", "rms", "centroid", "zcr")])
+
+
 def to_db(spark, sf_dir):
     return _bands(spark, sf_dir).select("rec_id", "frame", F.col("mel").cast("long").alias("mel"), r6(decibels(F.col("energy"))).alias("db"))
 
@@ -133,8 +146,6 @@ def chunk_rms(spark, sf_dir):
     return signals.chunk_rms(signal(spark, sf_dir), 10).select("rec_id", "chunk", r6("rms").alias("rms"))
 
 
-ZCR = "zcr as (select rec_id, frame, sum(case when (v >= 0) <> (before >= 0) then 1 else 0 end) / 16.0 as zcr from (select *, lag(v) over (partition by rec_id, frame order by k) as before from win) group by all)"
-CENT = "cent as (select rec_id, frame, case when sum(mag) > 0 then sum(bin * 1.0 * mag) / sum(mag) else 0 end as centroid from spec group by all)"
 SHAPE = "shape as (select rec_id, max(frame) + 1 as frames, 4 as mels from melt group by rec_id), grid as (select rec_id, frames, x, y, floor((1 - y / 8.0) * 3)::bigint as mel from shape cross join range(0, 12) a(x) cross join range(0, 8) b(y))"
 
 SQL = {
@@ -158,6 +169,11 @@ SQL = {
         "round(coalesce(max(energy) filter (where mel = 2), 0), 6) as mel_2, round(coalesce(max(energy) filter (where mel = 3), 0), 6) as mel_3, round(max(rms), 6) as rms, round(max(centroid), 6) as centroid, round(max(zcr), 6) as zcr "
         "from rms join zcr using (rec_id, frame) join cent using (rec_id, frame) left join melt using (rec_id, frame) group by rec_id, frame",
     ),
+    "feature_frames_64": sql(
+        SIG, LEN, *spectral(64, 16, 64, RATE).values(),
+        select="select rms.rec_id, rms.frame, b.mel, round(coalesce(energy, 0), 6) as energy, round(rms, 6) as rms, round(centroid, 6) as centroid, round(zcr, 6) as zcr "
+        "from rms join zcr using (rec_id, frame) join cent using (rec_id, frame) cross join range(0, 64) b(mel) left join melt m on m.rec_id = rms.rec_id and m.frame = rms.frame and m.mel = b.mel",
+    ),
     "to_db": sql(*BANDS, select="select rec_id, frame, mel, round(20 * log10(greatest(energy, 1e-10)), 6) + 0.0 as db from melt"),
     "hz_mel": "select p_partkey, round(2595 * log10(1 + p_retailprice / 700), 6) as mel, round(700 * (pow(10.0, log10(1 + p_retailprice / 700)) - 1), 6) as back from part",
     "spec_normalize": sql(
@@ -195,4 +211,6 @@ SQL = {
     "chunk_rms": sql(SIG, select="select rec_id, idx // 10 as chunk, round(sqrt(sum(v * v) / count(*)), 6) as rms from sig group by all"),
 }
 
+SQL["feature_frames_grouped"] = SQL["feature_frames"]
+
 QUERIES = {name: globals()[name] for name in SQL}
