@@ -103,6 +103,64 @@ def test_tiles_skip_only_what_cannot_link():
     rng = np.random.default_rng(1)
     values = np.unique(np.concatenate([rng.integers(0, 1 << 63, 300).astype(np.uint64), (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64)) | (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64))]))
     member, root = simhash.tile_forest(values, 3, tile=16)
-    parent = dict(zip(member.tolist(), root.tolist()))
+    parent = dict(zip(values[member].tolist(), values[root].tolist()))
     want = groups(values.tolist())
     assert all((parent.get(a, a) == parent.get(b, b)) == (want[i] == want[j]) for i, a in enumerate(values.tolist()) for j, b in enumerate(values.tolist()[:i]))
+
+
+def shingles(text, k=5):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def test_majority_counts_bits():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 254, 255, 256, 1000):
+        rows = rng.integers(0, 1 << 63, (n, 3)).astype(np.uint64) | (rng.integers(0, 2, (n, 3)).astype(np.uint64) << np.uint64(63))
+        bits = (rows[:, :, None] >> np.arange(64).astype(np.uint64)) & np.uint64(1)
+        want = (bits.sum(axis=0) * 2 > n).astype(np.uint64)
+        assert (simhash.majority(rows) == (want << np.arange(64).astype(np.uint64)).sum(axis=1, dtype=np.uint64)).all()
+
+
+def test_near_copies_of_five_word_shingles_go(spark):
+    """Planted near copies of 0.8 and more, of texts of all lengths, and pairs below 0.6, by brute force."""
+    rng = random.Random(9)
+    out = []
+    for i in range(220):
+        text = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([30, 60, 150, 600, 2500]))]
+        out.append(text)
+        changed = text[:]
+        for _ in range(max(1, len(text) // 60) if i % 3 else max(4, len(text) // 7)):
+            changed[rng.randrange(len(text))] = "changed"
+        out.append(changed)
+    docs = [(i, " ".join(t), "x") for i, t in enumerate(out)]
+    sets = [shingles(t) for _, t, _ in docs]
+    stays = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(docs, "doc_id long, text string, row_number string")).collect()}
+    near = [i for i in range(0, len(out), 2) if jaccard(sets[i], sets[i + 1]) >= 0.8]
+    far = [i for i in range(0, len(out), 2) if jaccard(sets[i], sets[i + 1]) < 0.6]
+    assert len(near) > 100 and len(far) > 20
+    assert sum(i + 1 not in stays for i in near) >= 0.98 * len(near)
+    assert all(i in stays and i + 1 in stays for i in far)
+
+
+def test_stage_finds_the_near_copies_of_documents(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    found = {r["row"]: r["component"] for r in simhash.similar(spark.createDataFrame(rows, "row long, text string")).collect()}
+    sets, holders = {i: shingles(t) for i, t in rows}, defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            holders[x].append(i)
+    pairs = {(a, b) for ids in holders.values() if len(ids) > 1 for a in ids for b in ids if a < b}
+    alike = {p: jaccard(sets[p[0]], sets[p[1]]) for p in pairs}
+    near = [p for p, j in alike.items() if j >= 0.8]
+    assert near and sum(found[a] == found[b] for a, b in near) >= 0.98 * len(near)
+    # no group holds a text that is unlike all others of it
+    members = defaultdict(list)
+    for i, c in found.items():
+        members[c].append(i)
+    for ids in members.values():
+        assert len(ids) == 1 or all(any(j != i and (not (sets[i] | sets[j]) or alike.get((min(i, j), max(i, j)), 0) >= 0.6) for j in ids) for i in ids)

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidalframe.sources.work import work_path, written
 
-__all__ = ["SPACE_CLASS", "as_bytes", "fresh", "remainder", "sampled", "slices", "work_path", "written"]
+__all__ = ["END", "as_bytes", "fresh", "mixed", "remainder", "sampled", "slices", "token_codes", "work_path", "written"]
+
+END = b"\n"  # no word has a newline
 
-#: A word is a run of anything but ASCII white space.
-SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 
 def fresh(df: DataFrame, name: str) -> str:
     """name, with underscores in front until df has no such column."""
@@ -51,3 +53,32 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             held += size
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def token_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ascending hashes of the distinct tokens of all texts; each token's place among
+    them, text after text, the end token last in each; and how many tokens each text has."""
+    lowered = pc.ascii_lower(pc.fill_null(texts, ""))
+    for other in "\t\n\v\f\r":
+        lowered = pc.replace_substring(lowered, other, " ")
+    lists = pc.split_pattern(lowered, " ")
+    pieces = lists.flatten().dictionary_encode()
+    names = pieces.dictionary.cast(pa.binary()).to_pylist()
+    hashes = np.array([*map(xxhash.xxh64_intdigest, names), xxhash.xxh64_intdigest(END)], np.uint64)
+    sizes = pc.list_value_length(lists).to_numpy()
+    text = np.repeat(np.arange(sizes.size), sizes)
+    codes, real = pieces.indices.to_numpy(), np.array([*map(len, names)], np.int64) > 0
+    if not real.all():  # between two spaces there is no word
+        text, codes = text[real[codes]], codes[real[codes]]
+    counts = np.bincount(text, minlength=sizes.size) + 1
+    order = np.argsort(hashes[np.append(real, True)])
+    rank = np.empty(hashes.size, np.int64)
+    rank[np.flatnonzero(np.append(real, True))[order]] = np.arange(order.size)
+    return hashes[np.append(real, True)][order], np.insert(rank[codes], np.cumsum(counts - 1), rank[-1]), counts
+
+
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each pair."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))

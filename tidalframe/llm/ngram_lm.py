@@ -46,17 +46,15 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidalframe.llm.common import remainder, slices, written
+from tidalframe.llm.common import mixed, remainder, slices, token_codes, written
 from tidalframe.llm.elias_fano import EliasFano, mapped
 
-END = b"\n"  # no word has a newline
 START_KEY = np.uint64(xxhash.xxh64_intdigest(b"\n\n"))
 RELATIVE = 32  # bits of a successor's hash
 
@@ -71,28 +69,6 @@ class Settings:
     lowest: float = -12.0
 
 
-def token_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ascending hashes of the distinct tokens of all texts; each token's place among
-    them, text after text, the end token last in each; and how many tokens each text has."""
-    lowered = pc.ascii_lower(pc.fill_null(texts, ""))
-    for other in "\t\n\v\f\r":
-        lowered = pc.replace_substring(lowered, other, " ")
-    lists = pc.split_pattern(lowered, " ")
-    pieces = lists.flatten().dictionary_encode()
-    names = pieces.dictionary.cast(pa.binary()).to_pylist()
-    hashes = np.array([*map(xxhash.xxh64_intdigest, names), xxhash.xxh64_intdigest(END)], np.uint64)
-    sizes = pc.list_value_length(lists).to_numpy()
-    text = np.repeat(np.arange(sizes.size), sizes)
-    codes, real = pieces.indices.to_numpy(), np.array([*map(len, names)], np.int64) > 0
-    if not real.all():  # between two spaces there is no word
-        text, codes = text[real[codes]], codes[real[codes]]
-    counts = np.bincount(text, minlength=sizes.size) + 1
-    order = np.argsort(hashes[np.append(real, True)])
-    rank = np.empty(hashes.size, np.int64)
-    rank[np.flatnonzero(np.append(real, True))[order]] = np.arange(order.size)
-    return hashes[np.append(real, True)][order], np.insert(rank[codes], np.cumsum(counts - 1), rank[-1]), counts
-
-
 def _packed(*columns: tuple[np.ndarray, int]) -> bytes:
     """(unsigned integers, bytes of each that count) -> their bytes, all first ones, then all second ones, ..., compressed."""
     raw = [np.ascontiguousarray(v.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :w].T).tobytes() for v, w in columns]
@@ -110,13 +86,6 @@ def _unpacked(body: bytes, *columns: tuple[int, int]) -> list[np.ndarray]:
     return out
 
 
-def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each pair."""
-    x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
-
-
 def _ordered(values: np.ndarray, bits: int) -> np.ndarray:
     """np.argsort of integers below 2**bits; values and places are sorted as one number where that fits."""
     room = max(1, values.size - 1).bit_length()
@@ -209,7 +178,7 @@ def grams(words: np.ndarray, at: np.ndarray, counts: np.ndarray, deal: Deal) ->
     context[first] = pairs.size
     hashes, shares = np.append(words, deal.keys(START_KEY)), np.append(deal.shares(words), 1.0)
     u, v = np.append(pairs // (d + 1), d).astype(np.int32), np.append(pairs % (d + 1), d).astype(np.int32)
-    keys = deal.keys(_mixed(hashes[u], hashes[v]))
+    keys = deal.keys(mixed(hashes[u], hashes[v]))
     parts = np.minimum(deal.shards, np.ceil(2 * deal.shards * np.minimum(shares[u], shares[v]))).astype(np.int32)
     del u, v, pairs
     threes, three = _distinct(context.astype(np.int64) * d + at, keys.size * d)
@@ -218,10 +187,10 @@ def grams(words: np.ndarray, at: np.ndarray, counts: np.ndarray, deal: Deal) ->
     del threes
     split = np.flatnonzero(parts[holder] > 1)
     if split.size:
-        salt = (_mixed(hashes[w[split]], hashes[w[split]]) % parts[holder[split]].astype(np.uint64)).astype(np.int64)
+        salt = (mixed(hashes[w[split]], hashes[w[split]]) % parts[holder[split]].astype(np.uint64)).astype(np.int64)
         pieces, piece = _distinct(holder[split].astype(np.int64) * deal.shards + salt, homes * deal.shards)
         holder[split] = homes + piece
-        keys = np.append(keys, deal.keys(_mixed(keys[pieces // deal.shards], (pieces % deal.shards).astype(np.uint64))))
+        keys = np.append(keys, deal.keys(mixed(keys[pieces // deal.shards], (pieces % deal.shards).astype(np.uint64))))
     # a few bits fewer than the keys have, so that numbers and places sort together; ties may stand in any order
     order = _ordered(keys >> np.uint64(deal.bits - 40), 40)
     rank = np.empty(order.size, np.int32)

@@ -12,6 +12,10 @@
    than the radius apart are skipped. Only a spanning forest of the links leaves it.
 5. Components of the forest are the groups.
 
+`near_duplicates` is that for 3-word shingles and 64 bits. `one_of_each` takes near copies
+of 0.8 and more on 5-word shingles; at such a distance 64 bits are too few, so it gives
+each text 448, and compares in the same way those that agree in some block.
+
 Nulls and edges: a null text counts as empty; texts without words have fingerprint zero
 and link like any other. A null id stays in the result; a group's id is its smallest
 non-null id. Repeated rows are rows of their own, of one group; an empty table has none;
@@ -20,7 +24,9 @@ a long text is hashed in blocks. Extra columns take no part, whatever their name
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -30,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidalframe.llm.common import as_bytes, fresh, written
+from tidalframe.llm.common import as_bytes, fresh, mixed, slices, token_codes, written
 from tidalframe.llm.graph import components
 
 BITS = 64
@@ -85,46 +91,68 @@ def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def tile_forest(values: np.ndarray, radius: int = 3, tile: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """(member, root) of every value that some chain of links joins to another one."""
-    ones = np.bitwise_count(values)
+    """(member, root): places of every value that some chain of links joins to another one.
+
+    values: 64-bit numbers, or rows of them. Tiles whose bit counts lie more than the radius
+    apart are skipped, and so are tiles that are of one group already, so a large group of
+    near copies takes about one comparison with its first tile.
+    """
+    wide = values.reshape(len(values), -1)
+    ones = np.bitwise_count(wide).sum(axis=1, dtype=np.int64)
     order = np.argsort(ones, kind="stable")
-    values, ones = values[order], ones[order].astype(np.int64)
-    parent = np.arange(values.size)
-    for i in range(0, values.size, tile):
-        left = values[i : i + tile]
-        highest = ones[min(i + tile, values.size) - 1]
-        for j in range(i, values.size, tile):
+    wide, ones, n = wide[order], ones[order], len(wide)
+    parent = np.arange(n)
+    for i in range(0, n, tile):
+        left, mine = wide[i : i + tile], np.arange(i, min(i + tile, n))
+        highest = ones[mine[-1]]
+        for j in range(i, n, tile):
             if ones[j] - highest > radius:
                 break
-            near = np.bitwise_count(left[:, None] ^ values[None, j : j + tile]) <= radius
+            theirs = np.arange(j, min(j + tile, n))
+            groups = _roots(parent, np.concatenate((mine, theirs)))
+            if j > i and (groups == groups[0]).all():
+                continue
+            apart = np.zeros((mine.size, theirs.size), np.uint16)
+            for k in range(wide.shape[1]):
+                apart += np.bitwise_count(left[:, None, k] ^ wide[None, j : j + tile, k])
+            near = apart <= radius
             if i == j:
                 near = np.triu(near, 1)
             rows, columns = np.nonzero(near)
             _unite(parent, rows + i, columns + j)
-    root = _roots(parent, np.arange(values.size))
-    joined = np.flatnonzero(root != np.arange(values.size))
-    return values[joined], values[root[joined]]
+    root = _roots(parent, np.arange(n))
+    joined = np.flatnonzero(root != np.arange(n))
+    return order[joined], order[root[joined]]
 
 
 def _forests(radius: int, tile: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by bucket; whole buckets are gathered until there are `least` rows."""
-
-        def linked(values: np.ndarray) -> pa.RecordBatch:
-            member, root = tile_forest(np.unique(values).view(np.uint64), radius, tile)
-            return pa.RecordBatch.from_arrays([pa.array(member.view(np.int64)), pa.array(root.view(np.int64))], ["u", "v"])
-
-        keys, values = np.empty(0, np.int64), np.empty(0, np.int64)
+        """Rows (bucket, node, fp) come sorted by bucket; whole buckets are gathered until there are
+        `least` rows. fp is a number or a list of numbers; nodes are its distinct values' names."""
+
+        def linked(keys: np.ndarray, nodes: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+            cuts = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1, append=keys[-1] + 1))
+            for a, b in zip(cuts, cuts[1:]) if values.shape[1] > 1 else [(0, keys.size)]:
+                if b - a > 1:  # a narrow value's buckets are compared together: they are small and agree in few bits
+                    mine, at = np.unique(nodes[a:b], return_index=True)
+                    member, root = tile_forest(values[a:b][at], radius, tile)
+                    yield pa.RecordBatch.from_arrays([pa.array(mine[member]), pa.array(mine[root])], ["u", "v"])
+
+        keys, nodes, values = np.empty(0, np.int64), np.empty(0, np.int64), None
         for batch in batches:
+            fp = batch.column("fp")
+            flat = fp.flatten() if pa.types.is_list(fp.type) else fp
+            now = flat.to_numpy(zero_copy_only=False).view(np.uint64).reshape(batch.num_rows, -1)
             keys = np.concatenate((keys, batch.column("bucket").to_numpy(zero_copy_only=False)))
-            values = np.concatenate((values, batch.column("fp").to_numpy(zero_copy_only=False)))
+            nodes = np.concatenate((nodes, batch.column("node").to_numpy(zero_copy_only=False)))
+            values = now if values is None else np.concatenate((values, now))
             if keys.size >= least:
                 whole = int(np.searchsorted(keys, keys[-1]))  # where the last, perhaps unfinished, bucket starts
                 if whole:
-                    yield linked(values[:whole])
-                    keys, values = keys[whole:], values[whole:]
+                    yield from linked(keys[:whole], nodes[:whole], values[:whole])
+                    keys, nodes, values = keys[whole:], nodes[whole:], values[whole:]
         if keys.size:
-            yield linked(values)
+            yield from linked(keys, nodes, values)
 
     return run
 
@@ -158,7 +186,7 @@ def links(distinct: DataFrame, radius: int = 3, tile: int = 512, hot: int = 16_3
         ready.append(rows.join(over, "bucket", "left_anti").select("fp", "bucket"))
         rows = rows.join(over, "bucket", "left_semi")
     sorted_in = reduce(DataFrame.unionByName, ready, rows.select("fp", "bucket")).repartition("bucket").sortWithinPartitions("bucket")
-    return sorted_in.mapInArrow(_forests(radius, tile, 8 * tile), "u long, v long")
+    return sorted_in.select("bucket", F.col("fp").alias("node"), "fp").mapInArrow(_forests(radius, tile, 8 * tile), "u long, v long")
 
 
 def near_duplicates(
@@ -181,17 +209,99 @@ def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: of each group the row with the smallest id stays, whole.
+@dataclass(frozen=True)
+class Similar:
+    """What counts as a near copy: texts whose distinct word shingles are alike by `similarity` (Jaccard).
+
+    With so high a similarity, a bit of a fingerprint differs with the probability that the
+    angle between the sets gives; the radius is its mean plus `slack` standard deviations. A
+    fingerprint is dealt by 12-bit blocks, five of each 64 bits: two texts at 0.8 share one of
+    35 blocks with a probability of 0.995, closer ones more surely.
+    """
+
+    shingle: int = 5
+    similarity: float = 0.8
+    words: int = 7  # 64-bit numbers of a fingerprint
+    slack: float = 2.0
+    block: int = 12
+
+    @property
+    def radius(self) -> int:
+        p, n = math.acos(2 * self.similarity / (1 + self.similarity)) / math.pi, BITS * self.words
+        return math.floor(n * p + self.slack * math.sqrt(n * p * (1 - p)))
+
+
+_LANES = np.uint64(0x0101010101010101)
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """rows of 64-bit numbers -> one row: each bit that is set in over half of them."""
+    n, w = hashes.shape
+    padded = np.concatenate((hashes, np.zeros((-n % 255, w), np.uint64))).reshape(-1, 255, w)
+    ones = np.empty((w, 8, 8), np.int64)
+    for bit in range(8):  # eight counters of a byte in each number; 255 rows can't overflow them
+        lanes = ((padded >> np.uint64(bit)) & _LANES).sum(axis=1, dtype=np.uint64)
+        ones[:, :, bit] = np.ascontiguousarray(lanes).view(np.uint8).reshape(-1, w, 8).sum(axis=0, dtype=np.int64)
+    return np.packbits((ones * 2 > n).reshape(w, 64), axis=1, bitorder="little").view("<u8").ravel()
+
+
+def wide_fingerprints(texts: pa.Array, s: Similar = Similar()) -> np.ndarray:
+    """A row of s.words numbers for each text, from its distinct shingles; zeros without words."""
+    words, at, counts = token_codes(texts)  # an end token closes each text
+    hashes, sizes = words[at], counts - 1
+    size = np.minimum(s.shingle, sizes)
+    starts = np.where(sizes > 0, sizes - size + 1, 0)
+    owner = np.repeat(np.arange(counts.size), starts)
+    start = np.arange(owner.size) + np.repeat(np.cumsum(counts) - counts - (np.cumsum(starts) - starts), starts)
+    found = np.zeros(owner.size, np.uint64)
+    for k in range(s.shingle):
+        inside = np.flatnonzero(size[owner] > k)
+        found[inside] = mixed(found[inside], hashes[start[inside] + k])
+    distinct = np.unique(owner.astype(np.uint64) << np.uint64(44) | found >> np.uint64(20))
+    ends = np.searchsorted(distinct, np.arange(counts.size + 1).astype(np.uint64) << np.uint64(44))
+    out = np.zeros((counts.size, s.words), np.uint64)
+    for t, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist())):
+        if a < b:
+            part = distinct[a:b] & np.uint64((1 << 44) - 1)
+            out[t] = majority(np.stack([mixed(part, np.full(1, k + 1, np.uint64)) for k in range(s.words)], axis=1))
+    return out
+
+
+def similar(docs: DataFrame, s: Similar = Similar()) -> DataFrame:
+    """docs (row long, text) -> row, component: the smallest row that chains of near copies reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 4 << 20):
+            found = wide_fingerprints(batch.column("text"), s).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * s.words, pa.int32()), pa.array(found.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), lists], ["row", "fp"])
+
+    marked = written(docs.select("row", "text").mapInArrow(run, "row long, fp array<long>"), "wide-fingerprints")
+    # equal fingerprints are one node from here on
+    nodes = written(marked.groupBy("fp").agg(F.min("row").alias("node")), "distinct-fingerprints")
+    values = [F.shiftrightunsigned(F.col("fp")[w], k * s.block).bitwiseAND(F.lit((1 << s.block) - 1)) for w in range(s.words) for k in range(BITS // s.block)]
+    dealt = nodes.select("node", "fp", F.posexplode(F.array(*values)).alias("b", "value")).select("node", "fp", F.xxhash64("b", "value").alias("bucket"))
+    sorted_in = dealt.repartition("bucket").sortWithinPartitions("bucket")
+    found = components(sorted_in.mapInArrow(_forests(s.radius, 256, 4096), "u long, v long"))
+    rooted = nodes.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("component"))
+    return marked.join(rooted, "fp").select("row", "component")
+
+
+def one_of_each(docs: DataFrame, s: Similar = Similar()) -> DataFrame:
+    """docs without near copies: of each group the row with the smallest id stays, whole.
 
     A row without an id goes if its group has one with an id. Copies that also share
-    the id are told apart by their place in the scan. Extra columns are kept.
+    the id are told apart by their place in the scan. Null and blank texts are copies of
+    each other. Extra columns are kept, whatever their names; an empty table gives one.
     """
     row = fresh(docs, "row_number")
     docs = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(docs, row).select(F.col("doc_id").alias("row"), "component_id")
+    found = similar(docs.select(F.col(row).alias("row"), "text"), s)
     ids = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id"))
     # groups are named by a row number here; the smallest document id decides who stays
-    first = F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")
-    kept = found.join(ids, "row").groupBy("component_id").agg(first).select(F.col("first.row").alias(row))
-    return docs.join(kept, row, "left_semi").select(*[c for c in docs.columns if c != row])
+    rows = written(found.join(ids, "row"), "groups")
+    first = F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("stays")
+    kept = rows.groupBy("component").agg(first).select(F.col("stays").alias("row"), F.lit(True).alias("kept"))
+    # who goes are few: their written size lets the planner leave the texts where they are
+    gone = written(rows.join(kept, "row", "left").where("kept is null").select(F.col("row").alias(row)), "copies")
+    return docs.join(gone, row, "left_anti").select(*[c for c in docs.columns if c != row])
