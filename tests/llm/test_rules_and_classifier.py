@@ -123,7 +123,7 @@ def test_classifier_scores_every_row(spark, sf_dir):
     got = docs.select("doc_id", classifier.score(docs, model).alias("p")).collect()
     assert len(got) == docs.count() and all(0 <= r["p"] <= 1 for r in got)
     alone = classifier.fit(docs, labels.where("quality = 1"))
-    assert alone.constant == pytest.approx((len(docs.where("doc_id in (3, 7)").collect()) + 1) / (len(docs.where("doc_id in (3, 7)").collect()) + 2))
+    assert alone.constant == pytest.approx((2 + 1) / (2 + 2))  # documents 3 and 7; 3 stands there thrice
     assert classifier.fit(docs.where("false"), labels).constant == 0.5
     assert classifier.accepted(docs, labels).columns == docs.columns
 
@@ -131,3 +131,50 @@ def test_classifier_scores_every_row(spark, sf_dir):
 def test_classifier_gives_the_same_scores_again(spark, sf_dir):
     first = {r["doc_id"]: r["score"] for r in classifier.query(spark, sf_dir).collect()}
     assert first == {r["doc_id"]: r["score"] for r in classifier.query(spark, sf_dir).collect()}
+
+
+def test_context_vectors_equal_plain_sums(spark):
+    """Every neighbour within the window, in all texts, added up one by one."""
+    s = classifier.Settings(buckets=256, dims=12, nonzero=4, window=2)
+    texts = [t for t in TEXTS if t != "w " * 3000 + "end"] + ["One TWO two, three! ÉÉ"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    index, words, want = classifier.index_vectors(s), classifier.Words(s.buckets), [[0] * s.dims for _ in range(s.buckets)]
+    for t in texts:
+        ids = classifier.buckets_of((t or "").encode(), words).tolist()
+        for i, a in enumerate(ids):
+            for j, b in enumerate(ids):
+                if 0 < abs(i - j) <= s.window:
+                    want[a] = [x + int(y) for x, y in zip(want[a], index[b])]
+    norm = [math.sqrt(sum(x * x for x in v)) or 1 for v in want]
+    got = classifier.context_vectors(docs, s)
+    assert all(got[b].tolist() == pytest.approx([x / norm[b] for x in want[b]], abs=1e-6) for b in range(s.buckets))
+
+
+def test_pooling_and_network_equal_plain_ones():
+    rng = __import__("numpy").random.default_rng(1)
+    table, words, n = rng.normal(size=(64, 5)).astype("float32"), classifier.Words(64), None
+    text = "one two two THREE, one four".encode()
+    ids = classifier.buckets_of(text, words).tolist()
+    n, kinds = len(ids), sorted(set(ids))
+    share = {k: ids.count(k) / n for k in kinds}
+    mean = [sum(share[k] * table[k][d] for k in kinds) for d in range(5)]
+    flat = [sum(table[k][d] for k in kinds) / len(kinds) for d in range(5)]
+    alike = [sum(a == b for a, b in zip(ids, ids[k:])) / (n - k) for k in classifier.LAGS]
+    x = classifier.pooled(text, table, words)
+    assert x.tolist() == pytest.approx([*mean, *flat, math.sqrt(sum(v * v for v in share.values())), math.log1p(n), *alike], rel=1e-5)
+    m = classifier.Model(classifier.Settings(), table, *(rng.normal(size=k) for k in (14, 14)), rng.normal(size=(14, 3)), rng.normal(size=3), rng.normal(size=3), 0.3, 1.7)
+    hidden = [max(0.0, sum((x[i] - m.mean[i]) / m.scale[i] * m.w1[i][h] for i in range(14)) + m.b1[h]) for h in range(3)]
+    logit = sum(a * b for a, b in zip(hidden, m.w2)) + m.b2
+    assert m.scores(x[None].astype(float))[0] == pytest.approx(1 / (1 + math.exp(-logit / 1.7)))
+
+
+def test_network_training_lowers_the_loss_and_the_temperature_is_the_best_of_its_grid():
+    np = __import__("numpy")
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 14))
+    y = (x[:, 0] - x[:, 1] + rng.normal(0, 0.5, 400) > 0).astype(float)
+    m = classifier.Model(classifier.Settings(epochs=20), np.zeros((1, 5), np.float32))
+    classifier.train_network(m, x[:300], y[:300])
+    loss = lambda t: np.mean(np.logaddexp(0, np.where(y[300:] > 0, -1, 1) * m.logits(x[300:]) / t))
+    best = classifier.fit_temperature(m.logits(x[300:]), y[300:])
+    assert loss(best) < 0.5 and all(loss(best) <= loss(t) + 1e-12 for t in np.exp(np.linspace(np.log(0.25), np.log(8), 60)))

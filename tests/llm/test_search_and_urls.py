@@ -103,3 +103,32 @@ def test_trees_tell_unseen_urls_apart(spark):
     out = url_filter.judged(spark.createDataFrame(bad + good + new, "page_id long, url string"))
     got = {r["page_id"]: r["verdict"] for r in out.where("rule is null").collect()}
     assert sum(got[5000 + i] == "block" for i in range(20)) >= 18 and sum(got[6000 + i] == "allow" for i in range(20)) >= 18
+
+
+def test_lexical_features_equal_plain_ones(spark):
+    table = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
+    h, p = url_filter.host(F.col("url")), url_filter.path(F.col("url"))
+    found = table.select("page_id", *[c.alias(n) for n, c in url_filter.features(F.col("url"), h, p).items()]).collect()
+    for r in found:
+        url = URLS[r["page_id"]] or ""
+        m = re.search(r"://([^/?#]*)([^?#]*)", url)
+        host, path = (m.group(1), m.group(2)) if m else ("", "")
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        asked = re.search(r"\?([^#]*)", url)
+        n = len(url)
+        assert (r["url_length"], r["host_length"], r["path_length"]) == (n, len(host), len(path))
+        assert r["labels"] == len(host.split(".")) and r["depth"] == sum(x != "" for x in path.split("/"))
+        assert r["digit_ratio"] == pytest.approx(sum(c in "0123456789" for c in url) / n if n else 0)
+        assert r["entropy"] == pytest.approx(-sum(url.count(c) / n * math.log2(url.count(c) / n) for c in set(url)) if n else 0)
+        assert r["parameters"] == sum(x != "" for x in (asked.group(1) if asked else "").split("&"))
+        assert r["hyphens"] == host.count("-") and r["has_fragment"] == ("#" in url) and r["is_secure"] == url.startswith("https")
+
+
+def test_trees_judge_by_the_written_features(spark, sf_dir):
+    """Verdicts follow the probability, which follows what is written and the suffix: equal urls get equal ones, and labels tell."""
+    pages = [(i, f"http://h{i % 7}.net/{'spam' * (i % 2)}{'/x1y2' * (1 + i % 2 * 5)}?{'&'.join(f'p{k}=1' for k in range(i % 2 * 6))}") for i in range(300)]
+    known = [(1000 + i, f"http://a.com/{'fr' if i % 2 else 'de'}/{'x' if i % 2 else '/x1y2' * 6}?{'' if i % 2 else 'p=1&q=1&r=1&s=1'}") for i in range(200)]
+    got = {r["page_id"]: r for r in url_filter.judged(spark.createDataFrame(pages + known, "page_id long, url string")).collect()}
+    assert all((r["verdict"] == "block") == (r["block_probability"] >= 0.5) for r in got.values() if r["rule"] is None)
+    assert all(got[i]["verdict"] == ("block" if i % 2 else "allow") for i in range(300))
+    assert len({got[i]["block_probability"] for i in range(0, 300, 14)}) == 1

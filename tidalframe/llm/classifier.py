@@ -3,18 +3,21 @@
 Words: runs of letters and digits, and runs of other signs, each hashed to one of
 `buckets` rows; an all-capitals word also counts as the word <upper>. Every bucket has
 a fixed sparse random index vector; its context vector is the sum of the index vectors
-of its neighbours in the training texts, gathered in Spark as integer sums, so the
-order of tasks doesn't matter. A text's vector pools its words' index and context
+of its neighbours in all texts (labels take no part in it), gathered in Spark as integer
+sums, so the order of tasks doesn't matter. A text's vector pools its words' index and context
 vectors: their mean over all words and over the distinct ones, with the text's length,
 how far few words make it up and how often neighbours agree. A two-layer numpy network turns it into a score; a temperature fitted
 on rows the network hasn't seen calibrates it.
 
-The fit uses at most about `max_rows` labelled rows (chosen by a hash of the id) with
-their whole texts; every text is scored. Labels, language, source and id are no inputs.
+The network's fit uses at most about `max_rows` labelled documents (chosen by a hash of the
+id) with their whole texts; every text is scored. Labels, language, source and id are no
+inputs.
 
 Nulls and edges: a null or empty text has the zero vector and still gets a score. A
-document labelled more than once counts with its lowest label; null labels are no
-labels. Without rows of both labels the score is the share of label 1 (1/2 if none).
+document labelled more than once counts with its lowest label, and one whose rows repeat
+with its first text in order, once; null labels are no labels. Without rows of both
+labels the score is the share of label 1 (1/2 if none); an empty table gives none. Equal
+texts get equal scores; a long text is pooled whole; columns besides the text go along.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidalframe.llm.common import as_bytes, remainder, sampled, written
+from tidalframe.llm.common import as_bytes, remainder, sampled, slices, written
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]+")
 
@@ -80,32 +83,51 @@ def index_vectors(s: Settings) -> np.ndarray:
 _BLOCK = 1024
 
 
-def context_vectors(train: DataFrame, s: Settings) -> np.ndarray:
-    """Sum, over the training texts, of the index vectors of each bucket's neighbours."""
+def neighbour_sums(ids: np.ndarray, gaps: np.ndarray, index: np.ndarray, s: Settings) -> np.ndarray:
+    """For each bucket the sum of its neighbours' index vectors; ids: buckets, text after text; gaps: the number of each id's text."""
+    pairs = []
+    for k in range(1, s.window + 1):
+        together = np.flatnonzero(gaps[k:] == gaps[:-k])
+        pairs.append(ids[together] * s.buckets + ids[together + k])
+    pairs, n = np.unique(np.concatenate(pairs), return_counts=True)
+    out = np.zeros(s.buckets * s.dims, np.int64)
+    places = np.argsort(index == 0, axis=1, kind="stable")[:, : s.nonzero]
+    signs = np.take_along_axis(index, places, axis=1)
+    for one, other in ((pairs // s.buckets, pairs % s.buckets), (pairs % s.buckets, pairs // s.buckets)):
+        for j in range(s.nonzero):
+            out += np.bincount(one * s.dims + places[other, j], weights=n * signs[other, j], minlength=out.size).astype(np.int64)
+    return out.reshape(s.buckets, s.dims)
+
+
+def context_vectors(docs: DataFrame, s: Settings) -> np.ndarray:
+    """The neighbours' index vectors of each bucket, summed over all texts and brought to length 1."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, words = index_vectors(s), Words(s.buckets)
-        total = np.zeros((s.buckets, s.dims), np.int32)
-        for batch in batches:
-            for text in as_bytes(batch.column("text")):
-                ids = buckets_of(text, words)
-                for k in range(1, s.window + 1):
-                    np.add.at(total, ids[k:], index[ids[:-k]])
-                    np.add.at(total, ids[:-k], index[ids[k:]])
+        total = np.zeros((s.buckets, s.dims), np.int64)
+        for batch in slices(batches, "text", 2 << 20):
+            found = [buckets_of(text, words) for text in as_bytes(batch.column("text"))]
+            if found:
+                total += neighbour_sums(np.concatenate(found), np.repeat(np.arange(len(found)), [x.size for x in found]), index, s)
         used = [b for b in range(0, s.buckets, _BLOCK) if total[b : b + _BLOCK].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([total[b : b + _BLOCK].tobytes() for b in used], pa.binary())], ["block", "sums"])
+        small = np.int32 if np.abs(total).max() < 2**31 else np.int64
+        rows = [used, [small(0).nbytes] * len(used), [total[b : b + _BLOCK].astype(small).tobytes() for b in used]]
+        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary())], ["block", "width", "sums"])
 
     def merge(table: pa.Table) -> pa.Table:
-        sums = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in table.column("sums").to_pylist())
-        return pa.table({"block": table.column("block")[:1].combine_chunks(), "sums": pa.array([np.clip(sums, -(2**31), 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
-
-    # the sample is bounded, so both the number of parts per block and what reaches the driver are
-    parts = train.select("text").repartition(8).mapInArrow(partial, "block int, sums binary")
-    out = np.zeros((s.buckets, s.dims), np.float32)
+        total = np.zeros((), np.int64)
+        for part in table.to_batches(max_chunksize=64):  # one row per task
+            for width, sums in zip(part.column("width").to_pylist(), part.column("sums").to_pylist()):
+                total = total + np.frombuffer(sums, f"<i{width}")
+        return pa.table({"block": table.column("block")[:1].combine_chunks(), "sums": pa.array([total.astype(np.int64).tobytes()], pa.binary())})
+
+    # a task leaves at most buckets x dims numbers, however many texts it has; so do all of them together
+    parts = docs.select("text").mapInArrow(partial, "block int, width int, sums binary")
+    out = np.zeros((s.buckets, s.dims))
     for row in parts.groupBy("block").applyInArrow(merge, "block int, sums binary").collect():
-        block = np.frombuffer(row["sums"], np.int32).reshape(-1, s.dims).astype(np.float32)
+        block = np.frombuffer(row["sums"], np.int64).reshape(-1, s.dims)
         out[row["block"] : row["block"] + len(block)] = block
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)
+    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)).astype(np.float32)
 
 
 LAGS = (1, 2)
@@ -194,8 +216,9 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     labels = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = written(labels.where(sampled("doc_id", s.max_rows, labels.count())), "labels")
     # about max_rows ids: the planner sees the written size before it broadcasts them
-    train = written(docs.select("doc_id", "text").join(chosen, "doc_id"), "training")
-    context = context_vectors(train, s)
+    train = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    train = written(train, "training")
+    context = context_vectors(docs, s)
     model = Model(s, np.concatenate((index_vectors(s).astype(np.float32) / s.nonzero**0.5, context), axis=1))
     shared = train.sparkSession.sparkContext.broadcast(model.table)
 
