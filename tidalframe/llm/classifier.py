@@ -105,7 +105,7 @@ def context_vectors(docs: DataFrame, s: Settings) -> np.ndarray:
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, words = index_vectors(s), Words(s.buckets)
         total = np.zeros((s.buckets, s.dims), np.int64)
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             found = [buckets_of(text, words) for text in as_bytes(batch.column("text"))]
             if found:
                 total += neighbour_sums(np.concatenate(found), np.repeat(np.arange(len(found)), [x.size for x in found]), index, s)
@@ -252,8 +252,7 @@ def score(docs: DataFrame, model: Model, text: str | Column = "text") -> Column:
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model, words = shared.value, Words(shared.value.settings.buckets)
         for texts in batches:
-            raw = as_bytes(texts)
-            x = np.array([pooled(t, model.table, words) for t in raw], np.float64).reshape(len(raw), width(model.table))
+            x = np.array([pooled(t, model.table, words) for t in as_bytes(texts)], np.float64).reshape(len(texts), width(model.table))
             yield pa.array(model.scores(x), pa.float64())
 
     return scored(text if isinstance(text, Column) else F.col(text))

@@ -36,9 +36,12 @@ def sampled(id_column: str, bound: int, n_rows: int) -> Column:
     return F.pmod(F.xxhash64(F.lit("sample"), F.col(id_column)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
 
 
-def as_bytes(column: pa.Array) -> list[bytes]:
-    """UTF-8 bytes of each text; null counts as empty."""
-    return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+def as_bytes(column: pa.Array, step: int = 256) -> Iterator[bytes]:
+    """UTF-8 bytes of each text, of which a few are held at a time; null counts as empty."""
+    raw = column.cast(pa.binary())
+    for a in range(0, len(raw), step):
+        for x in raw.slice(a, step).to_pylist():
+            yield b"" if x is None else x
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
