@@ -51,7 +51,7 @@ class Settings:
     sequence_cost: float = 8.0
     grid: int = 64
     chunk: int = 1 << 19
-    slice_bytes: int = 2 << 20
+    slice_bytes: int = 6 << 20
     special_strings: bool = False
 
 

@@ -42,7 +42,7 @@ class CachedEncoder:
     word_mode: the vocabulary drops white space (else each piece keeps it and is lossless in bytes).
     """
 
-    def __init__(self, tokenizer: Tokenizer, word_mode: bool, capacity: int = 100_000):
+    def __init__(self, tokenizer: Tokenizer, word_mode: bool, capacity: int = 200_000):
         self.tokenizer = tokenizer
         self.tokenizer.model._resize_cache(0)
         self.word_mode, self.capacity, self.cache = word_mode, capacity, {"": b""}
