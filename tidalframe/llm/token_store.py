@@ -42,7 +42,7 @@ class Settings:
     stripe_bytes: int = 16 << 20
     index_stride: int = 1000
     bloom_fpp: float = 0.01
-    slice_bytes: int = 6 << 20
+    slice_bytes: int = 10 << 20
     special_strings: bool = False
 
 
