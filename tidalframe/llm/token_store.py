@@ -53,7 +53,7 @@ def write(docs: DataFrame, path: str, s: Settings = Settings()) -> None:
     """Encode docs (doc_id, text) and write the ids to path."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seen = cached_encoder(s.tokenizer, True, s.special_strings), TaskContext.get().partitionId(), 0
+        encoder, part, seen = cached_encoder(s.tokenizer, True, s.special_strings, 400_000), TaskContext.get().partitionId(), 0
         for batch in slices(batches, "text", s.slice_bytes):
             found, counts = with_end(*encoder.encode(batch.column("text")), s.end_id)
             stops = np.cumsum(counts)

@@ -152,11 +152,11 @@ def _gather(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.
 
 
 @lru_cache(maxsize=4)
-def cached_encoder(path: str, word_mode: bool, special_strings: bool = False) -> CachedEncoder:
+def cached_encoder(path: str, word_mode: bool, special_strings: bool = False, capacity: int = 200_000) -> CachedEncoder:
     """One per worker process: Spark reuses its Python workers, and so the words learned."""
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = not special_strings
-    return CachedEncoder(tokenizer, word_mode)
+    return CachedEncoder(tokenizer, word_mode, capacity)
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
