@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidalframe.llm.common import as_bytes, remainder, sampled, slices, written
+from tidalframe.llm.common import as_bytes, lean, remainder, sampled, slices, written
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]+")
 
@@ -102,6 +102,7 @@ def neighbour_sums(ids: np.ndarray, gaps: np.ndarray, index: np.ndarray, s: Sett
 def context_vectors(docs: DataFrame, s: Settings) -> np.ndarray:
     """The neighbours' index vectors of each bucket, summed over all texts and brought to length 1."""
 
+    @lean
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, words = index_vectors(s), Words(s.buckets)
         total = np.zeros((s.buckets, s.dims), np.int64)
@@ -222,6 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     model = Model(s, np.concatenate((index_vectors(s).astype(np.float32) / s.nonzero**0.5, context), axis=1))
     shared = train.sparkSession.sparkContext.broadcast(model.table)
 
+    @lean
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(s.buckets)
         for batch in batches:
@@ -249,6 +251,7 @@ def score(docs: DataFrame, model: Model, text: str | Column = "text") -> Column:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
+    @lean
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model, words = shared.value, Words(shared.value.settings.buckets)
         for texts in batches:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidalframe.sources.work import work_path, written
 
-__all__ = ["END", "as_bytes", "fresh", "mixed", "remainder", "sampled", "slices", "token_codes", "work_path", "written"]
+__all__ = ["END", "as_bytes", "fresh", "give_back", "lean", "mixed", "remainder", "sampled", "slices", "token_codes", "work_path", "written"]
 
 END = b"\n"  # no word has a newline
 
@@ -36,6 +38,26 @@ def sampled(id_column: str, bound: int, n_rows: int) -> Column:
     return F.pmod(F.xxhash64(F.lit("sample"), F.col(id_column)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
 
 
+def give_back() -> None:
+    """Hand the memory that Arrow and numpy have freed back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, giving its memory back at the end: Spark keeps Python workers for the tasks that follow."""
+
+    @wraps(run)
+    def then_give_back(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return then_give_back
+
+
 def as_bytes(column: pa.Array, step: int = 256) -> Iterator[bytes]:
     """UTF-8 bytes of each text, of which a few are held at a time; null counts as empty."""
     raw = column.cast(pa.binary())

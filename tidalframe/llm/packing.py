@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidalframe.llm.common import slices
+from tidalframe.llm.common import give_back, lean, slices
 from tidalframe.llm.tokens import cached_encoder, with_end
 
 
@@ -124,6 +124,7 @@ def packed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     docs = docs.select("doc_id", "text")
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(PIECES).fields])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = cached_encoder(s.tokenizer, False, s.special_strings)
         ends_sentence = np.zeros(encoder.width.size, bool)
@@ -151,6 +152,7 @@ def packed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             names.append(batch.column("doc_id")), ids.append(found), counts.append(n)
             if sum(x.size for x in ids) >= s.chunk:
                 yield flush()
+                give_back()
         if names:
             yield flush()
 

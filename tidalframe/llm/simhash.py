@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidalframe.llm.common import as_bytes, fresh, mixed, slices, token_codes, written
+from tidalframe.llm.common import as_bytes, fresh, lean, mixed, slices, token_codes, written
 from tidalframe.llm.graph import components
 
 BITS = 64
@@ -65,6 +65,7 @@ def fingerprints(shingle: int = 3):
     """An Arrow function: texts -> signed 64-bit fingerprints."""
 
     @F.arrow_udf("long")
+    @lean
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             found = np.array([fingerprint(t, shingle) for t in as_bytes(texts)], dtype=np.uint64)
@@ -126,6 +127,7 @@ def tile_forest(values: np.ndarray, radius: int = 3, tile: int = 512) -> tuple[n
 
 
 def _forests(radius: int, tile: int, least: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (bucket, node, fp) come sorted by bucket; whole buckets are gathered until there are
         `least` rows. fp is a number or a list of numbers; nodes are its distinct values' names."""
@@ -270,6 +272,7 @@ def wide_fingerprints(texts: pa.Array, s: Similar = Similar()) -> np.ndarray:
 def similar(docs: DataFrame, s: Similar = Similar()) -> DataFrame:
     """docs (row long, text) -> row, component: the smallest row that chains of near copies reach."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
             found = wide_fingerprints(batch.column("text"), s).view(np.int64)
