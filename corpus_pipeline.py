@@ -42,7 +42,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text is an empty document, its end token alone; repeated rows are packed each; a
     long text fills many sequences.
     """
-    return packing.packed(docs)
+    # smaller slices and fewer words than alone: the executors' memory has grown in the stages before
+    return packing.packed(docs, packing.Settings(slice_bytes=2 << 20, remembered=100_000))
 
 
 # All but the last return the columns of docs as they are, extra ones too, whatever their names; of an empty table they return one.

@@ -52,6 +52,7 @@ class Settings:
     grid: int = 64
     chunk: int = 1 << 19
     slice_bytes: int = 6 << 20
+    remembered: int = 200_000  # words of the encoder
     special_strings: bool = False
 
 
@@ -126,7 +127,7 @@ def packed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = cached_encoder(s.tokenizer, False, s.special_strings)
+        encoder = cached_encoder(s.tokenizer, False, s.special_strings, s.remembered)
         ends_sentence = np.zeros(encoder.width.size, bool)
         for token, i in encoder.tokenizer.get_vocab(with_added_tokens=False).items():
             ends_sentence[i] = token[-1] in ".!?Ċ"  # the last is the vocabulary's newline

@@ -147,8 +147,13 @@ class CachedEncoder:
 def _gather(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """flat holds groups of the given sizes; the groups that codes name, one after the other, and their sizes."""
     picked = sizes[codes]
-    shift = (np.cumsum(sizes) - sizes)[codes] - (np.cumsum(picked) - picked)
-    return flat[np.repeat(shift, picked) + np.arange(picked.sum())], picked
+    shift = (np.cumsum(sizes) - sizes)[codes]
+    shift -= np.cumsum(picked)
+    shift += picked
+    at = np.repeat(shift, picked)
+    del shift
+    at += np.arange(at.size)
+    return flat[at], picked
 
 
 @lru_cache(maxsize=4)
