@@ -43,7 +43,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     long text fills many sequences.
     """
     # smaller slices and fewer words than alone: the executors' memory has grown in the stages before
-    return packing.packed(docs, packing.Settings(slice_bytes=2 << 20, remembered=100_000))
+    return packing.packed(docs, packing.Settings(slice_bytes=2 << 20, remembered=100_000, thrifty=True))
 
 
 # All but the last return the columns of docs as they are, extra ones too, whatever their names; of an empty table they return one.

@@ -51,8 +51,9 @@ class Settings:
     sequence_cost: float = 8.0
     grid: int = 64
     chunk: int = 1 << 19
-    slice_bytes: int = 6 << 20
-    remembered: int = 200_000  # words of the encoder
+    slice_bytes: int = 10 << 20
+    remembered: int = 400_000  # words of the encoder
+    thrifty: bool = False  # give freed memory back after every chunk, not just at the end
     special_strings: bool = False
 
 
@@ -153,7 +154,8 @@ def packed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             names.append(batch.column("doc_id")), ids.append(found), counts.append(n)
             if sum(x.size for x in ids) >= s.chunk:
                 yield flush()
-                give_back()
+                if s.thrifty:
+                    give_back()
         if names:
             yield flush()
 
