@@ -6,7 +6,7 @@ grouped aggregate and brings k sums to the driver, so plans don't grow with iter
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidalframe.sources.work import written
+
 Centroids = Sequence[Sequence[float]]
 
 
@@ -54,6 +56,8 @@ def step(rows: DataFrame, vec: str, centroids: Centroids) -> list[list[float]]:
 
 @dataclass
 class Model:
+    """inertia and sizes are those of the last assignment, inertia against the centroids that it led to."""
+
     centroids: list[list[float]]
     inertia: float
     sizes: list[int]
@@ -66,26 +70,65 @@ def inertia(rows: DataFrame, vec: str, centroids: Centroids) -> float:
 
 def lloyd(rows: DataFrame, vec: str, centroids: Centroids, iterations: int = 200, tol: float = 1e-4) -> Model:
     """Steps until the centroids together move less than tol (squared) or iterations are used up."""
-    now, done = [list(map(float, c)) for c in centroids], 0
-    while done < iterations:
-        new = step(rows, vec, now)
-        moved = float(((np.array(new) - np.array(now)) ** 2).sum())
-        now, done = new, done + 1
-        if moved < tol:
-            break
-    labelled = assigned(rows, vec, now)
-    counts = {r["cluster"]: (r["n"], r["s"]) for r in labelled.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("d2").alias("s")).collect()}
-    return Model(now, sum(s for _, s in counts.values()), [counts.get(c, (0, 0))[0] for c in range(len(now))], done)
+    return lloyd_all(rows, vec, [centroids], iterations, tol)[0]
+
+
+def _vectors(rows: DataFrame, vec: str) -> DataFrame:
+    return rows.select(F.transform(vec, lambda x: x.cast("double")).alias("x"))
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def _squares(x: np.ndarray, c: np.ndarray, cells: int = 1 << 22) -> np.ndarray:
+    """Squared distances of all x (n x d) from all c (k x d), by differences, a bounded block at a time."""
+    step = max(1, cells // max(1, c.size))
+    return np.concatenate([((x[a : a + step, None, :] - c) ** 2).sum(axis=2) for a in range(0, len(x), step)]) if len(x) else np.zeros((0, len(c)))
+
+
+def farthest(rows: DataFrame, vec: str, runs: dict[int, np.ndarray], most: dict[int, int]) -> dict[int, list[list[float]]]:
+    """For each run (its centroids) the `most` different vectors that lie farthest from their nearest centroid.
+
+    A task keeps that many of its own; they are ranked by (run) after that, so it is a few rows a task.
+    """
+    kinds = (pa.int32(), pa.float64(), pa.list_(pa.float64()))
+
+    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[float, list[float]]]] = {r: [] for r in runs}
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch)
+                for r, c in runs.items():
+                    d2 = _squares(x, c).min(axis=1)
+                    if d2.size > 4 * most[r]:  # ties at the border stay, they are told apart by their places
+                        spot = np.flatnonzero(d2 >= np.partition(d2, -4 * most[r])[-4 * most[r]])
+                    else:
+                        spot = np.arange(d2.size)
+                    seen = {tuple(v): d for d, v in held[r]} | {tuple(x[i].tolist()): float(d2[i]) for i in spot}
+                    held[r] = [(d, list(v)) for v, d in sorted(seen.items(), key=lambda e: (-e[1], e[0]))[: most[r]]]
+        out = [(r, d, v) for r, pairs in held.items() for d, v in pairs]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 3, kinds)], ["run", "d2", "v"])
+
+    found = _vectors(rows, vec).mapInArrow(far, "run int, d2 double, v array<double>").where("d2 > 0").groupBy("run", "d2", "v").agg(F.lit(1).alias("_"))
+    place = F.row_number().over(Window.partitionBy("run").orderBy(F.desc("d2"), "v"))
+    out: dict[int, list[list[float]]] = {r: [] for r in runs}
+    for row in found.withColumn("place", place).where(F.col("place") <= max(most.values())).orderBy("run", "place").collect():  # at most k a run
+        if row["place"] <= most[row["run"]]:
+            out[row["run"]].append(row["v"])
+    return out
 
 
 def lloyd_all(rows: DataFrame, vec: str, starts: Sequence[Centroids], iterations: int = 200, tol: float = 1e-4) -> list[Model]:
     """lloyd() from many starts at once: each iteration is one pass for all runs that still move.
 
     A task leaves a row of sums per run and cluster; Spark adds them up, and only
-    runs x clusters rows reach the driver.
+    runs x clusters rows reach the driver. Empty clusters are drawn anew from the vectors
+    farthest from their centroids, the farthest first; if there are none, they stay. The
+    inertia against moved centroids follows from the sums, without another pass.
     """
     now = [np.array(c, float) for c in starts]
-    points, shared = rows.select(F.transform(vec, lambda x: x.cast("double")).alias("x")), rows.sparkSession.sparkContext
+    points, shared = _vectors(rows, vec), rows.sparkSession.sparkContext
 
     def sums(runs: list[int]) -> dict[tuple[int, int], tuple[int, float, np.ndarray]]:
         sent = shared.broadcast({r: now[r] for r in runs})
@@ -95,14 +138,15 @@ def lloyd_all(rows: DataFrame, vec: str, starts: Sequence[Centroids], iterations
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                x = _matrix(batch)
                 for r, c in sent.value.items():
-                    d2 = ((x[:, None, :] - c) ** 2).sum(axis=2)
+                    d2 = _squares(x, c)
                     label, least = d2.argmin(axis=1), d2.min(axis=1)
                     for k in range(len(c)):
                         mine = label == k
                         n, s, v = total.get((r, k), (0, 0.0, 0.0))
-                        total[r, k] = n + int(mine.sum()), s + float(least[mine].sum()), v + x[mine].sum(axis=0)
+                        # steps from the centroid instead of sums keep digits
+                        total[r, k] = n + int(mine.sum()), s + float(least[mine].sum()), v + (x[mine] - c[k]).sum(axis=0)
             out = [(r, k, n, s, np.asarray(v, float).tolist()) for (r, k), (n, s, v) in total.items()]
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 5, kinds)], ["run", "cluster", "n", "d2", "v"])
@@ -111,58 +155,134 @@ def lloyd_all(rows: DataFrame, vec: str, starts: Sequence[Centroids], iterations
         cells = parts.select("run", "cluster", "n", "d2", F.posexplode("v").alias("dim", "x")).groupBy("run", "cluster", "dim").agg(F.sum("n").alias("n"), F.sum("d2").alias("d2"), F.sum("x").alias("x"))
         found: dict = {}
         for r in cells.collect():  # runs x clusters x dimensions numbers
-            n, d2, v = found.setdefault((r["run"], r["cluster"]), [r["n"], r["d2"], np.zeros(now[r["run"]].shape[1])])
+            _, _, v = found.setdefault((r["run"], r["cluster"]), [r["n"], r["d2"], np.zeros(now[r["run"]].shape[1])])
             v[r["dim"]] = r["x"]
         return found
 
-    moving, done = list(range(len(now))), [0] * len(now)
-    for _ in range(iterations):
-        if not moving:
-            break
+    moving, done, models = list(range(len(now))), 0, [Model(c.tolist(), 0.0, [0] * len(c), 0) for c in now]
+    while moving:
         found, still = sums(moving), []
+        cell = lambda r, k: found.get((r, k), (0, 0.0, None))
+        bare = {r: sum(cell(r, k)[0] == 0 for k in range(len(now[r]))) for r in moving}
+        drawn = farthest(rows, vec, {r: now[r] for r in moving if bare[r]}, {r: m for r, m in bare.items() if m}) if any(bare.values()) and done < iterations else {}
         for r in moving:
-            new = now[r].copy()
+            new, total, sizes = now[r].copy(), 0.0, []
             for k in range(len(new)):
-                n, _, v = found.get((r, k), (0, 0.0, None))
-                if n:
-                    new[k] = v / n
-            moved, now[r], done[r] = float(((new - now[r]) ** 2).sum()), new, done[r] + 1
-            if moved >= tol:
+                n, d2, v = cell(r, k)
+                sizes.append(n)
+                if n and done < iterations:
+                    new[k] += v / n
+                    total += max(0.0, d2 - float(v @ v) / n)
+                elif n:
+                    total += d2
+                elif drawn.get(r):
+                    new[k] = drawn[r].pop(0)
+            moved, now[r] = float(((new - now[r]) ** 2).sum()), new
+            models[r] = Model(new.tolist(), total, sizes, min(done + 1, iterations))
+            if moved >= tol and done + 1 < iterations:
                 still.append(r)
-        moving = still
-    found = sums(list(range(len(now)))) if now else {}
-    cell = lambda r, k: found.get((r, k), (0, 0.0, None))
-    return [Model(c.tolist(), sum(cell(r, k)[1] for k in range(len(c))), [cell(r, k)[0] for k in range(len(c))], done[r]) for r, c in enumerate(now)]
+        moving, done = still, done + 1
+    return models
 
 
-def spread_seeds(points: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """k-means++ over a bounded sample held by the driver; k may not exceed the points."""
+def spread_seeds(points: np.ndarray, k: int, seed: int, weights: np.ndarray | None = None) -> np.ndarray:
+    """k-means++ over points held by the driver, which may count several times; k may not exceed the points."""
     if len(points) < k:
         raise ValueError(f"{len(points)} points can't seed {k} clusters")
-    rng = np.random.default_rng(seed)
-    chosen = [int(rng.integers(len(points)))]
+    rng, w = np.random.default_rng(seed), np.ones(len(points)) if weights is None else weights
+    draw = lambda p: min(int(np.searchsorted(np.cumsum(p), rng.random() * p.sum(), side="right")), len(points) - 1)
+    chosen = [draw(w)]
     d2 = ((points - points[chosen[0]]) ** 2).sum(axis=1)
     while len(chosen) < k:
-        total = d2.sum()
-        pick = int(rng.integers(len(points))) if total <= 0 else min(int(np.searchsorted(np.cumsum(d2), rng.random() * total)), len(points) - 1)
+        pick = draw(w * d2) if (w * d2).sum() > 0 else int(rng.integers(len(points)))
         chosen.append(pick)
         d2 = np.minimum(d2, ((points - points[pick]) ** 2).sum(axis=1))
     return points[chosen]
 
 
-def seed_sample(rows: DataFrame, vec: str, key: str, limit: int = 5000) -> np.ndarray:
-    """A bounded, repeatable sample of vectors to seed from."""
-    picked = rows.orderBy(F.xxhash64(F.lit(0), F.col(key)), key).limit(limit).select(F.transform(vec, lambda x: x.cast("double")).alias("x"))
-    return np.array([r["x"] for r in picked.collect()], float)
+@dataclass
+class Candidates:
+    """Vectors that stand for all rows when clusters are seeded: each counts for the rows nearest to it."""
+
+    points: np.ndarray
+    weights: np.ndarray
+
+    def seeds(self, k: int, seed: int, rounds: int = 10) -> np.ndarray:
+        """k starts: weighted k-means++ over the candidates, then weighted Lloyd rounds over them."""
+        if self.weights.sum() < k:
+            raise ValueError(f"{int(self.weights.sum())} points can't seed {k} clusters")
+        if len(self.points) < k:  # fewer different rows than clusters: some are taken twice
+            return self.points[np.arange(k) % len(self.points)]
+        c = spread_seeds(self.points, k, seed, self.weights)
+        for _ in range(rounds):
+            label = _squares(self.points, c).argmin(axis=1)
+            n = np.bincount(label, self.weights, k)
+            sums = np.stack([np.bincount(label, self.weights * x, k) for x in self.points.T], axis=1)
+            c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
+        return c
+
+
+def candidates(rows: DataFrame, vec: str, key: str, k: int, runs: int = 1, rounds: int = 5, oversample: float = 2.0, seed: int = 0) -> list[Candidates]:
+    """Candidates of `runs` independent draws, from all rows, for up to k clusters.
+
+    The first is the row with the smallest hash. Each round adds oversample * k rows, drawn
+    without repeats in proportion to their squared distance from the candidates so far: every
+    row has an exponential number over that distance, made from a hash of its key, and the
+    smallest go. A task keeps that many of its own, all runs share their passes, and one more
+    pass counts the rows nearest to each candidate. A null key is a key of its own.
+    """
+    spark, most = rows.sparkSession, max(1, round(oversample * k))
+    hashes = F.array(*[F.xxhash64(F.lit(seed), F.lit(run), F.lit(r), F.coalesce(F.col(key).cast("string"), F.lit(""))) for run in range(runs) for r in range(rounds + 1)])
+    points = rows.select(hashes.alias("h"), F.transform(vec, lambda x: x.cast("double")).alias("x"))
+    chosen: list[list[list[float]]] = [[] for _ in range(runs)]
+    kinds = (pa.int32(), pa.float64(), pa.list_(pa.float64()))
+
+    for at in range(rounds + 1):
+        sent = spark.sparkContext.broadcast([np.array(c, float) for c in chosen])
+
+        def draw(batches: Iterator[pa.RecordBatch], at: int = at) -> Iterator[pa.RecordBatch]:
+            held: list[list[tuple[float, tuple]]] = [[] for _ in range(runs)]
+            limit = 1 if at == 0 else most
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = _matrix(batch)
+                drawn = batch.column("h").flatten().to_numpy().reshape(batch.num_rows, runs, rounds + 1)[:, :, at]
+                uniform = (drawn.astype(np.uint64) >> np.uint64(11)).astype(float) / 2.0**53
+                for run in range(runs):
+                    if at == 0:
+                        number = uniform[:, run]
+                    else:
+                        d2 = _squares(x, sent.value[run]).min(axis=1)
+                        with np.errstate(divide="ignore"):
+                            number = np.where(d2 > 0, -np.log1p(-uniform[:, run]) / d2, np.inf)
+                    spot = np.flatnonzero(np.isfinite(number))
+                    if spot.size > limit:
+                        spot = spot[number[spot] <= np.partition(number[spot], limit - 1)[limit - 1]]
+                    held[run] = sorted([*held[run], *((float(number[i]), tuple(x[i].tolist())) for i in spot)])[:limit]
+            out = [(run, number, v) for run, pairs in enumerate(held) for number, v in pairs]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(list(zip(*out)) or [()] * 3, kinds)], ["run", "number", "v"])
+
+        place = F.row_number().over(Window.partitionBy("run").orderBy("number", "v"))
+        found = points.mapInArrow(draw, "run int, number double, v array<double>").withColumn("place", place)
+        for r in found.where(F.col("place") <= (1 if at == 0 else most)).orderBy("run", "place").collect():  # runs x most rows
+            if r["v"] not in chosen[r["run"]]:
+                chosen[r["run"]].append(r["v"])
+    if not chosen[0]:
+        return [Candidates(np.zeros((0, 0)), np.zeros(0)) for _ in range(runs)]
+    counted = lloyd_all(rows, vec, chosen, iterations=0)
+    return [Candidates(np.array(c, float), np.array(m.sizes, float)) for c, m in zip(chosen, counted)]
 
 
 def sweep(rows: DataFrame, vec: str, key: str, k_min: int = 2, k_max: int = 8, n_init: int = 5, iterations: int = 200, tol: float = 1e-4, sample: int | None = 1500) -> list[dict]:
     """For each K the best of n_init runs by inertia (the first of equals), with silhouette, CH and DB.
 
-    All runs share their passes. sample: rows that the silhouette takes, None for all.
+    All runs share their passes; the i-th run of every K is seeded from the i-th draw of
+    candidates. sample: rows that the silhouette takes, None for all.
     """
-    points, out = seed_sample(rows, vec, key), []
-    every = [(k, spread_seeds(points, k, 1000 * k + i).tolist()) for k in range(max(2, k_min), min(k_max, len(points)) + 1) for i in range(n_init)]
+    stand, out = candidates(rows, vec, key, k_max, n_init), []
+    n = int(stand[0].weights.sum()) if stand else 0
+    every = [(k, stand[i].seeds(k, 1000 * k + i).tolist()) for k in range(max(2, k_min), min(k_max, n) + 1) for i in range(n_init)]
     models = lloyd_all(rows, vec, [start for _, start in every], iterations, tol)
     for k in dict.fromkeys(k for k, _ in every):
         best = min((m for (at, _), m in zip(every, models) if at == k), key=lambda m: m.inertia)
@@ -227,25 +347,57 @@ def davies_bouldin(labelled: DataFrame, vec: str, centroids: Centroids) -> DataF
     return worst.agg((F.coalesce(F.sum("r"), F.lit(0.0)) / k).alias("db"))
 
 
-def silhouette(labelled: DataFrame, vec: str, key: str, limit: int | None = None, block: int = 1024) -> DataFrame:
+def silhouette(labelled: DataFrame, vec: str, key: str, limit: int | None = None, block: int = 2048) -> DataFrame:
     """Mean silhouette (plain Euclidean) of all rows, or of a repeatable sample of at most `limit`.
 
     A single member has a = 0; without another cluster a point is passed over. Rows are dealt
-    into blocks of about `block`; each pair of blocks meets once for either side, and sums of
-    distance per point and cluster are merged by key.
+    into blocks of about `block`; each unordered pair of blocks meets once, as two matrices,
+    and leaves the sums of distances of each point to each cluster. Work is quadratic in the
+    rows, moved data too, but for the block's size.
     """
-    points = labelled.select(F.col(key).alias("key"), "cluster", F.transform(vec, lambda x: x.cast("double")).alias("v"))
+    points = labelled.select(F.col(key).alias("key"), F.col("cluster"), F.transform(vec, lambda x: x.cast("double")).alias("v"))
     if limit is not None:
         points = points.orderBy(F.xxhash64(F.lit(0), F.col("key")), "key").limit(limit)
-    blocks = max(1, -(-points.count() // block))
-    own, every = F.pmod(F.xxhash64("key"), F.lit(blocks)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    left = points.select("key", "cluster", "v", own.alias("i"), every.alias("j"))
-    right = points.select(F.col("key").alias("okey"), F.col("cluster").alias("ocluster"), F.col("v").alias("ov"), own.alias("j"), every.alias("i"))
-    pairs = left.join(right.hint("merge"), ["i", "j"]).where(F.col("key") != F.col("okey"))
-    apart = pairs.groupBy("key", "cluster", "ocluster").agg(F.avg(F.sqrt(distance2(F.col("v"), F.col("ov")))).alias("d"))
-    per = apart.groupBy("key", "cluster").agg(F.coalesce(F.max(F.when(F.col("cluster") == F.col("ocluster"), F.col("d"))), F.lit(0.0)).alias("a"), F.min(F.when(F.col("cluster") != F.col("ocluster"), F.col("d"))).alias("b"))
+    points = written(points.select(F.monotonically_increasing_id().alias("row"), "cluster", "v"), "points")
+    members = {r["cluster"]: r["n"] for r in points.groupBy("cluster").agg(F.count("*").alias("n")).collect()}  # k numbers
+    if not members:
+        return labelled.sparkSession.createDataFrame([(0.0,)], "silhouette double")
+    place = {c: i for i, c in enumerate(members)}
+    blocks = max(1, -(-sum(members.values()) // block))
+    dealt = points.withColumn("own", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    pairs = dealt.withColumn("other", other).select("row", "cluster", "v", (F.col("own") <= F.col("other")).alias("left"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def tile(group: pa.Table) -> pa.Table:
+        left = group.column("left").to_numpy()
+        parts = [group.filter(pa.array(left)), group.filter(pa.array(~left))]
+        alike = not parts[1].num_rows  # a block with itself
+        rows, marks, x = [], [], []
+        for part in parts[:1] if alike else parts:
+            rows.append(part.column("row").to_numpy())
+            mark = np.zeros((part.num_rows, len(place)))
+            mark[np.arange(part.num_rows), [place[c] for c in part.column("cluster").to_pylist()]] = 1
+            marks.append(mark)
+            x.append(part.column("v").combine_chunks().flatten().to_numpy().reshape(part.num_rows, -1))
+        a, z = (x[0], x[0]) if alike else x
+        centre = a.mean(axis=0)  # near the points, products keep their digits
+        a, z = a - centre, z - centre
+        d2 = (a**2).sum(axis=1)[:, None] + (z**2).sum(axis=1) - 2 * a @ z.T
+        if alike:
+            np.fill_diagonal(d2, 0.0)
+        d = np.sqrt(np.maximum(d2, 0.0))
+        sums = [d @ marks[0]] if alike else [d @ marks[1], d.T @ marks[0]]
+        return pa.table({"row": pa.array(np.concatenate(rows)), "sums": pa.array(np.concatenate(sums).tolist(), pa.list_(pa.float64()))})
+
+    sums = pairs.groupBy("i", "j").applyInArrow(tile, "row long, sums array<double>")
+    per = sums.select("row", F.posexplode("sums").alias("at", "s")).groupBy("row", "at").agg(F.sum("s").alias("s"))
+    names = F.create_map(*[F.lit(x) for c, i in place.items() for x in (i, c)])
+    sizes_of = F.create_map(*[F.lit(x) for c, i in place.items() for x in (i, members[c])])
+    own = per.join(points.select("row", "cluster"), "row").withColumn("mine", names[F.col("at")] == F.col("cluster")).withColumn("n", sizes_of[F.col("at")])
+    a = F.coalesce(F.max(F.when(F.col("mine") & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))), F.lit(0.0))
+    both = own.groupBy("row").agg(a.alias("a"), F.min(F.when(~F.col("mine"), F.col("s") / F.col("n"))).alias("b"))
     s = (F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-12))
-    return per.where("b is not null").agg(F.coalesce(F.avg(s), F.lit(0.0)).alias("silhouette"))
+    return both.where("b is not null").agg(F.coalesce(F.avg(s), F.lit(0.0)).alias("silhouette"))
 
 
 def elbow_by_bend(results: DataFrame) -> DataFrame:

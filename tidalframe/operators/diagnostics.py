@@ -9,7 +9,7 @@ from tidalframe.functions.signal import finite
 from tidalframe.operators.normalise import dimension_stats
 
 #: Rms levels whose shares are reported.
-LEVELS = (0.001, 0.002, 0.005, 0.01)
+LEVELS = (0.001, 0.005, 0.01, 0.02)
 
 
 def before_training(frames: DataFrame) -> DataFrame:

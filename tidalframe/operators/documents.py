@@ -7,6 +7,10 @@ only hashes are shuffled.
 
 from __future__ import annotations
 
+import math
+from decimal import ROUND_HALF_UP, Decimal, localcontext
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,13 +132,33 @@ def trimmed_copies(recordings: DataFrame, trimmed: DataFrame) -> tuple[DataFrame
     return new.select(F.col("new_id").alias("id"), "name"), samples
 
 
+def _rounded(places: int, kind: str):
+    """An Arrow function: numbers as text, the exact binary value rounded half away from zero."""
+
+    def text(x: float | None) -> str | None:
+        if x is None or not math.isfinite(x):
+            return x if x is None else "NaN" if math.isnan(x) else "Infinity" if x > 0 else "-Infinity"
+        if x == 0:  # a zero has no exponent of its own, and no sign
+            return f"{0:.{places}f}" + ("e+0" if kind == "e" else "")
+        return f"{Decimal(x):.{places}{kind}}"
+
+    @F.arrow_udf("string")
+    def run(values: pa.Array) -> pa.Array:
+        # the digits of any double fit in the precision
+        with localcontext(prec=1200, rounding=ROUND_HALF_UP, Emax=2000, Emin=-2000):
+            return pa.array([text(x) for x in values.to_pylist()], pa.string())
+
+    return run
+
+
 def fixed(x: Column, places: int) -> Column:
-    return F.format_string(f"%.{places}f", x)
+    """Digits with `places` decimals; of two equally near numbers the one farther from zero. "NaN" and "Infinity" as such."""
+    return _rounded(places, "f")(x.cast("double"))
 
 
 def exponential(x: Column, places: int) -> Column:
-    """d.dde+n, the exponent without leading zeros."""
-    return F.regexp_replace(F.format_string(f"%.{places}e", x), "e([+-])0+(?=\\d)", "e$1")
+    """d.dde+n, the exponent without leading zeros; rounded as fixed() does."""
+    return _rounded(places, "e")(x.cast("double"))
 
 
 def pool_join(pool: DataFrame, recordings: DataFrame) -> DataFrame:

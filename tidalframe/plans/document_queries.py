@@ -163,7 +163,14 @@ SQL = {
     "pool_lookup": "select o_orderkey as pos, o_custkey * 2 as rec_id, c_custkey as id, c_name as name from orders join customer on o_custkey * 2 = c_custkey",
     "pool_unique": "select row_number() over (order by min(o_orderkey)) - 1 as pos, o_custkey as rec_id from orders where o_custkey % 7 <> 0 group by o_custkey",
     "pool_lookup_typed": "select o_orderkey as pos, c_custkey as id, c_name as name from orders join customer on o_custkey = c_custkey",
-    "number_formats": "select p_partkey, printf('%.3f', p_retailprice::double / 8192) as fixed, regexp_replace(printf('%.2e', p_retailprice::double / 8192 * case when p_partkey % 2 = 0 then 1e-14 else 1e9 end), 'e([+-])0+(\\d)', 'e\\1\\2') as exponential from part",
+    # forty more digits than are shown, so that the rounding is by the exact value and ties go up
+    "number_formats": sql(
+        "p as (select p_partkey, p_retailprice::double / 8192 as x, p_retailprice::double / 8192 * case when p_partkey % 2 = 0 then 1e-14 else 1e9 end as y from part)",
+        "d as (select p_partkey, printf('%.43f', x) as f, printf('%.42e', y) as e from p)",
+        "n as (select p_partkey, (f[:-45] || f[-43:-41])::bigint + (f[-40] >= '5')::bigint as f, (e[1] || e[3:4])::bigint + (e[5] >= '5')::bigint as m, regexp_extract(e, 'e(.*)', 1)::bigint as e from d)",
+        select="select p_partkey, (f // 1000) || '.' || lpad((f % 1000)::varchar, 3, '0') as fixed, case when m = 1000 then '1.00' else (m // 100) || '.' || lpad((m % 100)::varchar, 2, '0') end "
+        "|| 'e' || case when e + (m = 1000)::bigint < 0 then '-' else '+' end || abs(e + (m = 1000)::bigint) as exponential from n",
+    ),
     "name_lookup": "select o_orderkey, o_custkey * 2 as rec_id, coalesce(case when c_custkey % 4 = 0 then null else c_name end, (o_custkey * 2)::varchar) as name from orders left join customer on o_custkey * 2 = c_custkey",
     "next_trimmed_name": sql(
         "n as (select p_brand || case p_partkey % 4 when 0 then '' when 1 then ' Trimmed' else ' tRimmed ' || p_size end as name from part)",
