@@ -62,15 +62,15 @@ def test_rules_equal_their_sql(spark, sf_dir):
 
 def test_sketches_merge_to_within_a_bin(spark):
     values = [((i * 7919) % 100_003) // 7 for i in range(4000)]
-    rows = spark.createDataFrame([("l", "s", v, v, v) for v in values], "lang string, source string, symbol_rate long, dup_line_rate long, char_rate long")
+    rows = spark.createDataFrame([("l", "s", v, v, v, 5) for v in values], "lang string, source string, symbol_rate long, dup_line_rate long, char_rate long, step long")
     sketch = quality_rules.sketches(rows)
     got = quality_rules.fences(sketch, ["lang"], dict.fromkeys(quality_rules.RATES, 0)).first()
     exact = sorted(values)[len(values) // 2 - 1]
-    assert exact <= got["symbol_rate"] <= exact * (1 + 1 / 32) + 1
+    assert exact <= got["symbol_rate"] <= exact * (1 + 1 / 512) + 1
 
 
 def exact_bin(x):
-    shift = max(x.bit_length() - 6, 0)
+    shift = max(x.bit_length() - 10, 0)
     return (x >> shift) << shift, ((x >> shift) + 1 << shift) - 1
 
 
@@ -81,16 +81,17 @@ def test_fences_come_from_each_groups_own_quantiles(spark):
     for r, (measure, k) in quality_rules.RATES.items():
         rows[r] = [v * 1000 // n if n else 0 for v, n in zip(rows[measure].tolist(), rows["n_words"].tolist())]
         groups = [rows[rows.lang == lang] for lang in set(rows.lang)]
-        groups = [g for big in groups for g in [*[x for _, x in big.groupby("source") if len(x) >= 200], big[big.groupby("source")["doc_id"].transform("size") < 200]] if len(g)]
+        groups = [g for big in groups for g in [*[x for _, x in big.groupby("source") if len(x) >= 50], big[big.groupby("source")["doc_id"].transform("size") < 50]] if len(g)]
         for g in groups:
-            of = g if g.source.nunique() == 1 and len(g) >= 200 else rows[rows.lang == g.lang.iloc[0]]
-            ordered = sorted(of[r].tolist())
-            at = lambda q: ordered[math.ceil(q * len(ordered)) - 1]  # noqa: E731, B023
-            low, last = exact_bin(at(0.5))
-            fence = last + k * max(exact_bin(at(0.75))[0] - low, last - low + 1)
-            assert set(g[f"fence_{r}"]) == {fence}
-            found.add((r, fence))
-    assert len({f for r, f in found if r == "char_rate"}) > 1
+            of = g if g.source.nunique() == 1 and len(g) >= 50 else rows[rows.lang == g.lang.iloc[0]]
+            at = lambda ordered, q: ordered[math.ceil(q * len(ordered)) - 1]
+            low, last = exact_bin(at(sorted(of[r].tolist()), 0.5))
+            step = exact_bin(at(sorted(1_000_000 // n for n in of["n_words"].tolist() if n), 0.75))[0] / 1000
+            fence = last + k * max(exact_bin(at(sorted(of[r].tolist()), 0.75))[0] - low, step)
+            assert g[f"fence_{r}"].nunique() == 1 and g[f"fence_{r}"].iloc[0] == pytest.approx(fence)
+            found.add((r, round(fence, 6)))
+    for r, (_, k) in quality_rules.RATES.items():
+        assert len({f for name, f in found if name == r}) > 20 and float(k) not in {f for name, f in found if name == r}
 
 
 def test_adaptive_fences_tell_labelled_documents_apart(spark):

@@ -158,9 +158,48 @@ def test_stage_finds_the_near_copies_of_documents(spark):
     alike = {p: jaccard(sets[p[0]], sets[p[1]]) for p in pairs}
     near = [p for p, j in alike.items() if j >= 0.8]
     assert near and sum(found[a] == found[b] for a, b in near) >= 0.98 * len(near)
-    # no group holds a text that is unlike all others of it
+    assert not strangers(found, sets)
+
+
+def strangers(found, sets):
+    """Texts without a neighbour of 0.8 in their own group."""
     members = defaultdict(list)
     for i, c in found.items():
         members[c].append(i)
-    for ids in members.values():
-        assert len(ids) == 1 or all(any(j != i and (not (sets[i] | sets[j]) or alike.get((min(i, j), max(i, j)), 0) >= 0.6) for j in ids) for i in ids)
+    return [i for ids in members.values() if len(ids) > 1 for i in ids if not any(j != i and jaccard(sets[i], sets[j]) >= 0.8 for j in ids)]
+
+
+def test_no_document_of_a_group_lacks_a_near_copy_in_it(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").collect()]
+    found = {r["row"]: r["component"] for r in simhash.similar(spark.createDataFrame(rows, "row long, text string").repartition(6)).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    assert len(found) == len(rows) and len(rows) - len(set(found.values())) > 500
+    assert not strangers(found, sets)
+
+
+def test_marked_ones_are_those_of_near_pairs_with_this_first_block():
+    rng, s = np.random.default_rng(6), simhash.Similar()
+    base = rng.integers(0, 1 << 62, (6, s.words)).astype(np.uint64)
+    wide = np.repeat(base, 30, axis=0)
+    flips = rng.random((len(wide), s.words, 64)) < rng.choice([0.0, 0.04, 0.12], (len(wide), 1, 1))
+    wide = wide ^ (flips.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
+    values = simhash.block_values(wide, s)
+    assert values.shape[1] == 35
+    apart = np.bitwise_count(wide[:, None] ^ wide[None]).sum(axis=2, dtype=np.int64)
+    for block in (0, 1, 4, 20):
+        want = [any(i != j and apart[i, j] <= s.radius and (values[i] == values[j]).any() and (values[i] == values[j]).argmax() == block for j in range(len(wide))) for i in range(len(wide))]
+        # a bucket holds those that agree in its block
+        for v in set(values[:, block].tolist()):
+            here = np.flatnonzero(values[:, block] == v)
+            got = simhash.with_near_ones(wide[here], block, s, tile=16)
+            mine = [any(i != j and apart[i, j] <= s.radius and (values[i] == values[j]).argmax() == block for j in here) for i in here]
+            assert got.tolist() == mine
+        assert any(want) == any((values[i] == values[j]).argmax() == block and apart[i, j] <= s.radius for i in range(len(wide)) for j in range(i) if (values[i] == values[j]).any())
+
+
+def test_verified_links_share_their_shingles():
+    s = simhash.Similar()
+    sets = [set(range(100)), set(range(5, 100)), set(range(30, 100)), set(range(100, 103)), set(), set(range(12, 100)), {1000}]
+    wide = np.zeros((len(sets), s.words), np.uint64)  # all near by their fingerprints
+    member, root = simhash.verified_forest(wide, np.concatenate([np.array(sorted(x), np.int64) for x in sets]), np.array([len(x) for x in sets]), s)
+    assert dict(zip(member.tolist(), root.tolist())) == {1: 0, 5: 0}

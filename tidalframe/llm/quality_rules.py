@@ -1,19 +1,22 @@
 """Operator 1: quality rules whose thresholds come from the data, per language and source.
 
 Only DataFrame functions run here. Each text is measured once; the measures are kept
-in a written table. Rates per thousand words go into a mergeable quantile sketch per (language, source): a histogram whose bin widths double with
-every power of two (a value is off by at most 1/32). Sketches merge by adding counts,
-so the sketch of a language and of everything are sums of the finer ones, and a group
-with too few documents to trust is judged by the next wider one. A rate may reach the
-fence, median + k * (upper quantile - median) of its group, k being the rate's number of
-spreads (the median as the last value of its bin, so that a rate all documents share is
-within it). No rate has a fixed cutoff: where a group is so uniform that both quantiles
-share a bin, the spread is that bin's width, the sketch's resolution. Measures and
-fences are then joined and the rules applied.
+in a written table. Rates per thousand words go into a mergeable quantile sketch per
+(language, source): a histogram whose bin widths double with every power of two (a value
+is off by at most 1/512). So does what one occurrence adds to a text's rate, its step,
+which is wide in short texts. Sketches merge by adding counts, so the sketch of a language
+and of everything are sums of the finer ones, and a group with too few documents to trust
+is judged by the next wider one. A rate may reach the fence, median + k * spread of its
+group: the spread is the upper quartile's distance from the median, or the upper quartile
+of the group's steps if that is more (the median as the last value of its bin, so that a
+rate all documents share is within it). Median, spread and steps are the group's own: no
+rate has a fixed cutoff, nor is it measured in bins. Measures and fences are then joined
+and the rules applied.
 
 Nulls and edges: a null or blank text has no words and fails the base rule; null
 languages or sources form groups of their own; repeated rows are judged one by one, and
-equal rates get equal verdicts; an empty table gives one. A column of docs that has the
+equal rates get equal verdicts; an empty table gives one; a very long text is measured whole, in
+one row. A column of docs that has the
 name of a struct made here makes that name take an underscore in front.
 """
 
@@ -26,7 +29,9 @@ from tidalframe.llm.common import fresh, written
 
 _SPACES = " \t\n\x0b\x0c\r"
 #: rate per thousand words -> (measure that it is taken from, spreads from the median to the fence)
-RATES = {"symbol_rate": ("n_symbols", 8), "dup_line_rate": ("n_dup_lines", 24), "char_rate": ("word_chars", 8)}
+RATES = {"symbol_rate": ("n_symbols", 8), "dup_line_rate": ("n_dup_lines", 8), "char_rate": ("word_chars", 8)}
+#: A text's step, per million words, so that it has digits.
+STEP = "step"
 
 
 def _words(text: Column) -> Column:
@@ -75,28 +80,33 @@ def measured(docs: DataFrame, text_column: str = "text", window: int = 5) -> Dat
     )
 
 
+#: Numbers below 2**_DIGITS have a bin each; every power of two from there on has half as many bins.
+_DIGITS = 10
+
+
 def _bin(x: Column) -> Column:
-    """The sketch's bin: exact below 64, then 32 bins for each power of two."""
-    shift = F.greatest(F.length(F.bin(x)) - 6, F.lit(0))
-    return (shift * 64 + F.floor(x / F.pow(F.lit(2.0), shift))).cast("long")
+    """The sketch's bin."""
+    shift = F.greatest(F.length(F.bin(x)) - _DIGITS, F.lit(0))
+    return (shift * (1 << _DIGITS) + F.floor(x / F.pow(F.lit(2.0), shift))).cast("long")
 
 
 def _bin_floor(b: Column) -> Column:
-    shift = F.floor(b / 64)
-    return ((b % 64) * F.pow(F.lit(2.0), shift)).cast("long")
+    shift = F.floor(b / (1 << _DIGITS))
+    return ((b % (1 << _DIGITS)) * F.pow(F.lit(2.0), shift)).cast("long")
 
 
 def _bin_last(b: Column) -> Column:
     """The largest value of a bin."""
-    return ((b % 64 + 1) * F.pow(F.lit(2.0), F.floor(b / 64)) - 1).cast("long")
+    return ((b % (1 << _DIGITS) + 1) * F.pow(F.lit(2.0), F.floor(b / (1 << _DIGITS))) - 1).cast("long")
 
 
 def sketches(rates: DataFrame) -> DataFrame:
-    """(lang, source, symbol_rate, ...) -> (lang, source, measure, bin, n): one mergeable sketch per group and measure."""
+    """(lang, source, symbol_rate, ..., step) -> (lang, source, measure, bin, n): one mergeable sketch per group
+    and measure. A null step, of a text without words, isn't counted."""
     long = rates.select(
-        "lang", "source", F.explode(F.create_map(*[y for r in RATES for y in (F.lit(r), _bin(F.col(r)))])).alias("measure", "bin")
+        "lang", "source", F.explode(F.create_map(*[y for r in (*RATES, STEP) for y in (F.lit(r), _bin(F.col(r)))])).alias("measure", "bin")
     )
-    return long.groupBy("lang", "source", "measure", "bin").agg(F.count("*").alias("n"))
+    return long.where("bin is not null").groupBy("lang", "source", "measure", "bin").agg(F.count("*").alias("n"))
 
 
 def fences(sketch: DataFrame, by: list[str], spreads: dict[str, float] | None = None, upper: float = 0.75) -> DataFrame:
@@ -109,16 +119,14 @@ def fences(sketch: DataFrame, by: list[str], spreads: dict[str, float] | None =
         f"aggregate(bins, struct(cast(0 as long) as seen, cast(null as long) as bin), (a, e) -> "
         f"struct(a.seen + e.n as seen, case when a.bin is null and a.seen + e.n >= {q} * rows then e.bin else a.bin end as bin)).bin"
     )
-    middle, high, top = _bin_floor(at(0.5)), _bin_floor(at(upper)), _bin_last(at(0.5))
-    spread = F.greatest(high - middle, top - middle + 1)
-    times = F.element_at(F.create_map(*[F.lit(x) for r, k in spreads.items() for x in (r, float(k))]), F.col("measure"))
-    fence = top + times * spread
-    return grouped.select(*by, "measure", "rows", fence.alias("fence")).groupBy(*by).agg(
-        F.max("rows").alias("rows"), *[F.max(F.when(F.col("measure") == r, F.col("fence"))).alias(r) for r in RATES]
-    )
+    read = grouped.select(*by, "measure", "rows", _bin_floor(at(0.5)).alias("middle"), _bin_floor(at(upper)).alias("high"), _bin_last(at(0.5)).alias("top"))
+    of = lambda r, x: F.max(F.when(F.col("measure") == r, F.col(x)))
+    step = of(STEP, "high") / 1000
+    fence = lambda r, k: of(r, "top") + F.lit(float(k)) * F.greatest((of(r, "high") - of(r, "middle")).cast("double"), step)
+    return read.groupBy(*by).agg(F.max("rows").alias("rows"), *[fence(r, spreads[r]).alias(r) for r in RATES])
 
 
-def judged(measures: DataFrame, struct: str = "rule_measures", min_rows: int = 200) -> DataFrame:
+def judged(measures: DataFrame, struct: str = "rule_measures", min_rows: int = 50) -> DataFrame:
     """measured rows -> the same with a struct column rule_verdict: base_failed, kept and a fence for each rate.
 
     Needs lang, source and the struct of measured(); other columns go along. min_rows: a
@@ -128,7 +136,8 @@ def judged(measures: DataFrame, struct: str = "rule_measures", min_rows: int = 2
     """
     rates = fresh(measures, "rule_rates")
     rate = lambda x: F.when(F.col(f"{struct}.n_words") > 0, F.floor(F.col(f"{struct}.{x}") * 1000 / F.col(f"{struct}.n_words"))).otherwise(0).cast("long")
-    docs = written(measures.withColumn(rates, F.struct(*[rate(x).alias(r) for r, (x, _) in RATES.items()])), "measures")
+    step = F.when(F.col(f"{struct}.n_words") > 0, F.floor(1_000_000 / F.col(f"{struct}.n_words"))).cast("long")
+    docs = written(measures.withColumn(rates, F.struct(*[rate(x).alias(r) for r, (x, _) in RATES.items()], step.alias(STEP))), "measures")
     sketch = written(sketches(docs.select("lang", "source", f"{rates}.*")), "sketches")
     fine = fences(sketch, ["lang", "source"]).select("lang", "source", F.struct("rows", *RATES).alias("fine"))
     wide = fences(sketch, ["lang"]).select(F.col("lang").alias("wide_lang"), F.struct("rows", *RATES).alias("wide"))
@@ -173,18 +182,20 @@ m as (select d.r, doc_id, lang, source, len(words)::bigint as n_words, coalesce(
         coalesce(rep.n, 0)::bigint as n_repeat_words
       from d join (select r, words, lines from w) using (r) left join rep using (r)),
 f as (select *, case when n_words > 0 then n_symbols * 1000 // n_words else 0 end as a, case when n_words > 0 then n_dup_lines * 1000 // n_words else 0 end as b,
-        case when n_words > 0 then word_chars * 1000 // n_words else 0 end as c from m),
-long as (select lang, source, measure, greatest(length(bin(x)) - 6, 0) as s, x from
-        (select lang, source, unnest(['symbol_rate', 'dup_line_rate', 'char_rate']) as measure, unnest([a, b, c]) as x from f)),
-sk as (select lang, source, measure, s * 64 + (x >> s) as bin, count(*) as n from long group by all),
+        case when n_words > 0 then word_chars * 1000 // n_words else 0 end as c, case when n_words > 0 then 1000000 // n_words end as u from m),
+long as (select lang, source, measure, greatest(length(bin(x)) - 10, 0) as s, x from
+        (select lang, source, unnest(['symbol_rate', 'dup_line_rate', 'char_rate', 'step']) as measure, unnest([a, b, c, u]) as x from f) where x is not null),
+sk as (select lang, source, measure, s * 1024 + (x >> s) as bin, count(*) as n from long group by all),
 merged as (select 1 as k, lang, source, measure, bin, n from sk
      union all select 2, lang, null, measure, bin, sum(n) from sk group by lang, measure, bin
      union all select 3, null, null, measure, bin, sum(n) from sk group by measure, bin),
 run as (select *, sum(n) over (partition by k, lang, source, measure order by bin) as seen, sum(n) over (partition by k, lang, source, measure) as rows from merged),
 q as (select k, lang, source, measure, max(rows)::bigint as rows, min(bin) filter (where seen >= 0.5 * rows) as q50, min(bin) filter (where seen >= 0.75 * rows) as q75 from run group by all),
-fl as (select k, lang, source, measure, rows, (q50 % 64) << (q50 // 64)::int as m, ((q50 % 64 + 1) << (q50 // 64)::int) - 1 as top, (q75 % 64) << (q75 // 64)::int as h from q),
-fe as (select k, lang, source, measure, rows, (top + case measure when 'dup_line_rate' then 24 else 8 end * greatest(h - m, top - m + 1))::double as fence from fl),
-pick as (select a.lang, a.source, a.measure, case when a.rows >= 200 then a.fence when b.rows >= 200 then b.fence else c.fence end as fence
+fl as (select k, lang, source, measure, rows, (q50 % 1024) << (q50 // 1024)::int as m, ((q50 % 1024 + 1) << (q50 // 1024)::int) - 1 as top, (q75 % 1024) << (q75 // 1024)::int as h from q),
+st as (select k, lang, source, h / 1000 as step from fl where measure = 'step'),
+fe as (select fl.k, fl.lang, fl.source, measure, rows, (top + 8.0::double * greatest((h - m)::double, step))::double as fence from fl
+     left join st on fl.k = st.k and fl.lang is not distinct from st.lang and fl.source is not distinct from st.source where measure <> 'step'),
+pick as (select a.lang, a.source, a.measure, case when a.rows >= 50 then a.fence when b.rows >= 50 then b.fence else c.fence end as fence
      from fe a join fe b on a.k = 1 and b.k = 2 and a.lang is not distinct from b.lang and a.measure = b.measure join fe c on c.k = 3 and c.measure = a.measure),
 fences as (select lang, source, max(fence) filter (where measure = 'symbol_rate') as fence_symbol_rate, max(fence) filter (where measure = 'dup_line_rate') as fence_dup_line_rate,
      max(fence) filter (where measure = 'char_rate') as fence_char_rate from pick group by lang, source)

@@ -13,8 +13,9 @@
 5. Components of the forest are the groups.
 
 `near_duplicates` is that for 3-word shingles and 64 bits. `one_of_each` takes near copies
-of 0.8 and more on 5-word shingles; at such a distance 64 bits are too few, so it gives
-each text 448, and compares in the same way those that agree in some block.
+of 0.8 and more on 5-word shingles. At such a distance 64 bits are too few, so it gives
+each text 448, compares in tiles those that agree in some block, and then compares the
+shingles of what is near: only pairs that share 0.8 of theirs become links.
 
 Nulls and edges: a null text counts as empty; texts without words have fingerprint zero
 and link like any other. A null id stays in the result; a group's id is its smallest
@@ -247,8 +248,8 @@ def majority(hashes: np.ndarray) -> np.ndarray:
     return np.packbits((ones * 2 > n).reshape(w, 64), axis=1, bitorder="little").view("<u8").ravel()
 
 
-def wide_fingerprints(texts: pa.Array, s: Similar = Similar()) -> np.ndarray:
-    """A row of s.words numbers for each text, from its distinct shingles; zeros without words."""
+def shingles(texts: pa.Array, s: Similar = Similar()) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct shingles as ascending 64-bit hashes, one text after the other, and how many it has."""
     words, at, counts = token_codes(texts)  # an end token closes each text
     hashes, sizes = words[at], counts - 1
     size = np.minimum(s.shingle, sizes)
@@ -259,16 +260,108 @@ def wide_fingerprints(texts: pa.Array, s: Similar = Similar()) -> np.ndarray:
     for k in range(s.shingle):
         inside = np.flatnonzero(size[owner] > k)
         found[inside] = mixed(found[inside], hashes[start[inside] + k])
-    distinct = np.unique(owner.astype(np.uint64) << np.uint64(44) | found >> np.uint64(20))
-    ends = np.searchsorted(distinct, np.arange(counts.size + 1).astype(np.uint64) << np.uint64(44))
-    out = np.zeros((counts.size, s.words), np.uint64)
+    order = np.lexsort((found, owner))
+    owner, found = owner[order], found[order]
+    new = np.ones(found.size, bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])
+    return found[new], np.bincount(owner[new], minlength=counts.size)
+
+
+def wide_fingerprints(texts: pa.Array, s: Similar = Similar()) -> np.ndarray:
+    """A row of s.words numbers for each text, from its distinct shingles; zeros without words."""
+    distinct, sizes = shingles(texts, s)
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    out = np.zeros((sizes.size, s.words), np.uint64)
     for t, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist())):
         if a < b:
-            part = distinct[a:b] & np.uint64((1 << 44) - 1)
+            part = distinct[a:b]
             out[t] = majority(np.stack([mixed(part, np.full(1, k + 1, np.uint64)) for k in range(s.words)], axis=1))
     return out
 
 
+def block_values(wide: np.ndarray, s: Similar) -> np.ndarray:
+    """The value of each block of each fingerprint."""
+    return np.concatenate([(wide[:, w : w + 1] >> np.arange(0, BITS - s.block + 1, s.block, dtype=np.uint64)) & np.uint64((1 << s.block) - 1) for w in range(s.words)], axis=1).astype(np.int32)
+
+
+def _near(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
+    apart = np.zeros((len(left), len(right)), np.uint16)
+    for k in range(left.shape[1]):
+        apart += np.bitwise_count(left[:, None, k] ^ right[None, :, k])
+    return apart <= radius
+
+
+def with_near_ones(wide: np.ndarray, block: int, s: Similar, tile: int = 256) -> np.ndarray:
+    """Which of a bucket's fingerprints have a near one whose first block in common is this bucket's:
+    a near pair thus counts in one bucket only. Tiles whose bit counts differ by more than the radius,
+    and tiles of fingerprints that are all marked, are skipped."""
+    order = np.argsort(np.bitwise_count(wide).sum(axis=1, dtype=np.int64), kind="stable")
+    wide = wide[order]
+    ones, values = np.bitwise_count(wide).sum(axis=1, dtype=np.int64), block_values(wide, s)
+    marked = np.zeros(len(wide), bool)
+    for i in range(0, len(wide), tile):
+        for j in range(i, len(wide), tile):
+            if ones[j] - ones[min(i + tile, len(wide)) - 1] > s.radius:
+                break
+            if marked[i : i + tile].all() and marked[j : j + tile].all():
+                continue
+            near = _near(wide[i : i + tile], wide[j : j + tile], s.radius)
+            a, z = np.nonzero(np.triu(near, 1) if i == j else near)
+            a, z = a + i, z + j
+            first = (values[a] == values[z]).argmax(axis=1) == block
+            marked[a[first]] = marked[z[first]] = True
+    out = np.zeros(len(wide), bool)
+    out[order] = marked
+    return out
+
+
+def verified_forest(wide: np.ndarray, sets: np.ndarray, sizes: np.ndarray, s: Similar) -> tuple[np.ndarray, np.ndarray]:
+    """(member, root) places of a bucket's texts that chains of pairs join which are near by their
+    fingerprints and share `similarity` of their shingles (sets: those of all texts, one after the other).
+
+    A text is compared with all near ones at once that it isn't joined with already, by marking its
+    shingles and counting marks; near copies of one text take about one comparison with it.
+    """
+    n, ends = len(wide), np.concatenate(([0], np.cumsum(sizes)))
+    codes = np.unique(sets, return_inverse=True)[1]
+    parent, mark = np.arange(n), np.zeros(int(codes.max(initial=0)) + 1, bool)
+    for i in range(n - 1):
+        rivals = np.flatnonzero(_near(wide[i : i + 1], wide[i + 1 :], s.radius)[0]) + i + 1
+        rivals = rivals[_roots(parent, rivals) != _roots(parent, np.array([i]))]
+        if not rivals.size:
+            continue
+        mine = codes[ends[i] : ends[i + 1]]
+        mark[mine] = True
+        shared = np.array([np.count_nonzero(mark[codes[ends[j] : ends[j + 1]]]) for j in rivals.tolist()])
+        mark[mine] = False
+        alike = shared >= s.similarity * (sizes[i] + sizes[rivals] - shared) - 1e-9
+        _unite(parent, np.full(int(alike.sum()), i), rivals[alike])
+    root = _roots(parent, np.arange(n))
+    joined = np.flatnonzero(root != np.arange(n))
+    return joined, root[joined]
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.Table]:
+    """Rows that come sorted by bucket, a whole bucket at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = batch.column("bucket").to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)] if len(keys) else [0]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and keys[a] != last:
+                yield pa.Table.from_batches(held).select(columns)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = keys[a]
+    if held:
+        yield pa.Table.from_batches(held).select(columns)
+
+
+def _wide(column: pa.ChunkedArray, s: Similar) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, s.words)
+
+
 def similar(docs: DataFrame, s: Similar = Similar()) -> DataFrame:
     """docs (row long, text) -> row, component: the smallest row that chains of near copies reach."""
 
@@ -279,13 +372,39 @@ def similar(docs: DataFrame, s: Similar = Similar()) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * s.words, pa.int32()), pa.array(found.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("row"), lists], ["row", "fp"])
 
+    @lean
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket in _buckets(batches, ["bucket", "b", "node", "fp"]):
+            if bucket.num_rows > 1:
+                some = bucket.filter(pa.array(with_near_ones(_wide(bucket.column("fp"), s), bucket.column("b")[0].as_py(), s)))
+                if some.num_rows:
+                    yield from some.combine_chunks().to_batches()
+
+    @lean
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 2 << 20):
+            found, sizes = shingles(batch.column("text"), s)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(found.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), lists], ["row", "shingles"])
+
+    @lean
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket in _buckets(batches, ["node", "fp", "shingles"]):
+            nodes, lists = bucket.column("node").to_numpy(), bucket.column("shingles").combine_chunks()
+            member, root = verified_forest(_wide(bucket.column("fp"), s), lists.flatten().to_numpy(), pa.compute.list_value_length(lists).to_numpy().astype(np.int64), s)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[member]), pa.array(nodes[root])], ["u", "v"])
+
     marked = written(docs.select("row", "text").mapInArrow(run, "row long, fp array<long>"), "wide-fingerprints")
     # equal fingerprints are one node from here on
     nodes = written(marked.groupBy("fp").agg(F.min("row").alias("node")), "distinct-fingerprints")
     values = [F.shiftrightunsigned(F.col("fp")[w], k * s.block).bitwiseAND(F.lit((1 << s.block) - 1)) for w in range(s.words) for k in range(BITS // s.block)]
-    dealt = nodes.select("node", "fp", F.posexplode(F.array(*values)).alias("b", "value")).select("node", "fp", F.xxhash64("b", "value").alias("bucket"))
-    sorted_in = dealt.repartition("bucket").sortWithinPartitions("bucket")
-    found = components(sorted_in.mapInArrow(_forests(s.radius, 256, 4096), "u long, v long"))
+    dealt = nodes.select("node", "fp", F.posexplode(F.array(*values)).alias("b", "value")).select("node", "fp", "b", F.xxhash64("b", "value").alias("bucket"))
+    kinds = "bucket long, b int, node long, fp array<long>"
+    pairs = written(dealt.select("bucket", "b", "node", "fp").repartition("bucket").sortWithinPartitions("bucket", "b").mapInArrow(near, kinds), "near-ones")
+    wanted = docs.join(pairs.select(F.col("node").alias("row")).distinct(), "row", "left_semi").select("row", "text")
+    held = written(wanted.mapInArrow(sets, "row long, shingles array<long>"), "shingles")
+    compared = pairs.join(held, pairs["node"] == held["row"]).select("bucket", "node", "fp", "shingles").repartition("bucket").sortWithinPartitions("bucket")
+    found = components(compared.mapInArrow(link, "u long, v long"))
     rooted = nodes.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("component"))
     return marked.join(rooted, "fp").select("row", "component")
 
