@@ -134,7 +134,9 @@ def test_classifier_gives_the_same_scores_again(spark, sf_dir):
     assert first == {r["doc_id"]: r["score"] for r in classifier.query(spark, sf_dir).collect()}
 
 
-def test_context_vectors_equal_plain_sums(spark):
+@pytest.mark.parametrize("fan", [2, 96])
+def test_context_vectors_equal_plain_sums(spark, monkeypatch, fan):
+    monkeypatch.setattr(classifier, "_FAN", fan)
     """Every neighbour within the window, in all texts, added up one by one."""
     s = classifier.Settings(buckets=256, dims=12, nonzero=4, window=2)
     texts = [t for t in TEXTS if t != "w " * 3000 + "end"] + ["One TWO two, three! ÉÉ"]

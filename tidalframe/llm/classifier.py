@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +82,7 @@ def index_vectors(s: Settings) -> np.ndarray:
 
 
 _BLOCK = 1024
+_FAN, _LEVELS = 96, 3
 
 
 def neighbour_sums(ids: np.ndarray, gaps: np.ndarray, index: np.ndarray, s: Settings) -> np.ndarray:
@@ -112,22 +114,27 @@ def context_vectors(docs: DataFrame, s: Settings) -> np.ndarray:
                 total += neighbour_sums(np.concatenate(found), np.repeat(np.arange(len(found)), [x.size for x in found]), index, s)
         used = [b for b in range(0, s.buckets, _BLOCK) if total[b : b + _BLOCK].any()]
         small = np.int32 if np.abs(total).max() < 2**31 else np.int64
-        rows = [used, [small(0).nbytes] * len(used), [total[b : b + _BLOCK].astype(small).tobytes() for b in used]]
-        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary())], ["block", "width", "sums"])
+        rows = [used, [TaskContext.get().partitionId()] * len(used), [small(0).nbytes] * len(used), [total[b : b + _BLOCK].astype(small).tobytes() for b in used]]
+        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int32()) for x in rows[:3]), pa.array(rows[3], pa.binary())], ["block", "part", "width", "sums"])
 
     def merge(table: pa.Table) -> pa.Table:
         total = np.zeros((), np.int64)
-        for part in table.to_batches(max_chunksize=64):  # one row per task
+        for part in table.to_batches(max_chunksize=64):
             for width, sums in zip(part.column("width").to_pylist(), part.column("sums").to_pylist()):
                 total = total + np.frombuffer(sums, f"<i{width}")
-        return pa.table({"block": table.column("block")[:1].combine_chunks(), "sums": pa.array([total.astype(np.int64).tobytes()], pa.binary())})
+        first = {c: table.column(c)[:1].combine_chunks() for c in ("block", "part")}
+        return pa.table(first | {"width": pa.array([8], pa.int32()), "sums": pa.array([total.astype(np.int64).tobytes()], pa.binary())})
 
     # a task leaves at most buckets x dims numbers, however many texts it has; so do all of them together
-    parts = docs.select("text").mapInArrow(partial, "block int, width int, sums binary")
+    # and the sums of _FAN tasks at a time are merged, in levels, so no group grows with the number of tasks
+    kinds = "block int, part int, width int, sums binary"
+    parts = docs.select("text").mapInArrow(partial, kinds)
+    for _ in range(_LEVELS):
+        parts = parts.withColumn("part", F.floor(F.col("part") / _FAN).cast("int")).groupBy("block", "part").applyInArrow(merge, kinds)
     out = np.zeros((s.buckets, s.dims))
-    for row in parts.groupBy("block").applyInArrow(merge, "block int, sums binary").collect():
+    for row in parts.collect():  # one row a block, or a few beyond _FAN ** _LEVELS tasks
         block = np.frombuffer(row["sums"], np.int64).reshape(-1, s.dims)
-        out[row["block"] : row["block"] + len(block)] = block
+        out[row["block"] : row["block"] + len(block)] += block
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)).astype(np.float32)
 
 
