@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidalframe.functions.signal import finite
 from tidalframe.operators.normalise import dimension_stats
+from tidalframe.operators.ranges import ranked
 
 #: Rms levels whose shares are reported.
 LEVELS = (0.001, 0.005, 0.01, 0.02)
@@ -46,8 +47,7 @@ def invalid_cells(rows: DataFrame, vec: str) -> DataFrame:
 
 def sample_frames(frames: DataFrame, order: list[str]) -> DataFrame:
     """First, middle (floor(n / 2), from 0) and last frame of each recording, in column `which`."""
-    w = Window.partitionBy("rec_id")
-    rows = frames.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
+    rows = ranked(frames, ["rec_id"], order)
     marks = F.array(F.when(F.col("_i") == 0, "first"), F.when(F.col("_i") == F.floor(F.col("_n") / 2), "middle"), F.when(F.col("_i") == F.col("_n") - 1, "last"))
     return rows.withColumn("which", F.explode(F.array_compact(marks))).drop("_i", "_n")
 

@@ -5,10 +5,11 @@ A feature row has mel (array), rms, centroid, zcr; a vector is mel + [rms, centr
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidalframe.functions.signal import clamp, or_zero
+from tidalframe.operators.ranges import with_neighbours
 
 
 def vector() -> Column:
@@ -51,17 +52,11 @@ def mel_index_centroid(mel: Column) -> Column:
     return F.when(mass > 0, moment / mass).otherwise(F.size(mel) / 2)
 
 
-def context_stack(rows: DataFrame, vec: str, c: int) -> DataFrame:
+def context_stack(rows: DataFrame, vec: str, c: int, block: int = 4096) -> DataFrame:
     """Replace vec by the vectors of frames t-c..t+c side by side, zeros beyond the ends. Normalise first, then stack."""
-    w = Window.partitionBy("rec_id").orderBy("frame")
     zeros = F.transform(F.col(vec), lambda x: x * 0)
-    return rows.withColumn(vec, F.concat(*[_at(vec, d, w, zeros) for d in range(-c, c + 1)]))
-
-
-def _at(vec: str, d: int, w, zeros: Column) -> Column:
-    if d == 0:
-        return F.col(vec)
-    return F.coalesce(F.lag(vec, -d).over(w) if d < 0 else F.lead(vec, d).over(w), zeros)
+    at = lambda d, w: F.col(vec) if d == 0 else F.coalesce(F.lag(vec, -d).over(w) if d < 0 else F.lead(vec, d).over(w), zeros)
+    return with_neighbours(rows, ["rec_id"], ["frame"], c, {vec: lambda w: F.concat(*[at(d, w) for d in range(-c, c + 1)])}, block)
 
 
 def dimension_stats(rows: DataFrame, vec: str) -> DataFrame:

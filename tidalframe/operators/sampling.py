@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidalframe.operators.ranges import joined, quantiles, ranked
 from tidalframe.sources.work import written
 
 
@@ -36,11 +37,6 @@ def same_width(df: DataFrame, pool: DataFrame, vector: str) -> DataFrame:
     return df.join(F.broadcast(widths)).where(F.size(vector) == F.col("_w")).drop("_w")
 
 
-def _ranked(df: DataFrame, by: list[str], order: list[str | Column]) -> DataFrame:
-    w = Window.partitionBy(*by)
-    return df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
-
-
 def _picked(i: Column, n: Column, cap: Column) -> Column:
     """True if i is floor(j * (n / cap)) for some j < cap: what a stride of n / cap (in doubles) takes."""
     step = n / cap
@@ -51,14 +47,14 @@ def _picked(i: Column, n: Column, cap: Column) -> Column:
 
 def stride_cap(df: DataFrame, by: list[str], order: list[str | Column], cap: int) -> DataFrame:
     """At most cap rows per group, at fractional strides; all rows of smaller groups."""
-    ranked = _ranked(df, by, order)
-    return ranked.where((F.col("_n") <= cap) | _picked(F.col("_i"), F.col("_n"), F.lit(cap))).drop("_i", "_n")
+    rows = ranked(df, by, order)
+    return rows.where((F.col("_n") <= cap) | _picked(F.col("_i"), F.col("_n"), F.lit(cap))).drop("_i", "_n")
 
 
 def step_cap(df: DataFrame, by: list[str], order: list[str | Column], cap: int) -> DataFrame:
     """Every ceil(n / cap)-th row of a group, from the first."""
-    ranked = _ranked(df, by, order)
-    return ranked.where(F.col("_i") % F.greatest(F.lit(1), F.ceil(F.col("_n") / cap)) == 0).drop("_i", "_n")
+    rows = ranked(df, by, order)
+    return rows.where(F.col("_i") % F.greatest(F.lit(1), F.ceil(F.col("_n") / cap)) == 0).drop("_i", "_n")
 
 
 def preview(df: DataFrame, order: list[str | Column], most: int, n: int) -> DataFrame:
@@ -87,13 +83,10 @@ def positions(df: DataFrame, order: list[str | Column], name: str = "pos") -> Da
 
 def keep_silence(frames: DataFrame, fraction: float) -> DataFrame:
     """labelled frames: all speech, and floor(fraction * frames) silent frames per recording at even strides."""
-    w = Window.partitionBy("rec_id")
-    silent = F.col("type") == "silence"
-    rows = frames.withColumn("_all", F.count("*").over(w)).withColumn("_n", F.count_if(silent).over(w))
-    rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy("rec_id", "type").orderBy("frame")) - 1)
-    want = F.floor(fraction * F.col("_all"))
-    chosen = silent & (want > 0) & _picked(F.col("_i"), F.col("_n"), F.greatest(F.lit(1), want))
-    return rows.where(~silent | chosen).drop("_all", "_n", "_i")
+    want = frames.groupBy("rec_id").agg(F.floor(fraction * F.count("*")).alias("_want")).where("_want > 0")
+    silent = ranked(frames.where("type = 'silence'"), ["rec_id"], ["frame"])
+    chosen = joined(silent, want, ["rec_id"]).where(_picked(F.col("_i"), F.col("_n"), F.col("_want")))
+    return frames.where("type <> 'silence'").unionByName(chosen.select(*frames.columns))
 
 
 def total_limit(df: DataFrame, by: str, pool: DataFrame, order: list[str | Column], limit: int) -> DataFrame:
@@ -105,15 +98,13 @@ def total_limit(df: DataFrame, by: str, pool: DataFrame, order: list[str | Colum
     sizes = df.groupBy(by).agg(F.count("*").alias("_n")).join(pool, by)
     before = F.sum("_n").over(Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
     share = sizes.withColumn("_share", F.lit(limit) - F.coalesce(before, F.lit(0))).where("_share > 0").select(by, "_share")
-    ranked = df.join(share, by).withColumn("_i", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
-    return ranked.where("_i <= _share").drop("_i", "_share")
+    return ranked(df.join(share, by), [by], order).where("_i < _share").drop("_i", "_n", "_share")
 
 
 def loudest(frames: DataFrame, q: float) -> DataFrame:
     """Speech frames at or over the q-quantile of their recording's speech rms."""
     speech = frames.where("type = 'speech'")
-    bar = speech.groupBy("rec_id").agg(F.percentile("rms", q).alias("_bar"))
-    return speech.join(bar, "rec_id").where("rms >= _bar").drop("_bar")
+    return joined(speech, quantiles(speech, ["rec_id"], "rms", q), ["rec_id"]).where("rms >= quantile").drop("quantile")
 
 
 def in_window(df: DataFrame, t0: float | Column, t1: float | Column) -> DataFrame:
@@ -124,9 +115,28 @@ def click_window(t: Column, v0: Column, v1: Column, half: float = 2.0) -> tuple[
     return F.greatest(v0, t - half), F.least(v1, t + half)
 
 
+def reservoir(df: DataFrame, by: list[str], key: list[str], limit: int, seed: int = 0, weight: str | None = None) -> DataFrame:
+    """`limit` rows of each group, the same ones every time; all rows of smaller groups.
+
+    A row's number comes from a seeded hash of its key, so it doesn't depend on the order of
+    rows: the smallest are a sample without repeats that merges. With weight (over 0, else
+    the row takes no part) the number is an exponential one over the weight, so heavier
+    rows are likelier. Each task keeps `limit` rows a group before any is moved.
+    """
+    text = F.concat_ws("-", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key])
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), text), 256)
+    rows = df
+    if weight is not None:
+        rows = df.where(F.col(weight) > 0)
+        uniform = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
+        digest = F.struct((-F.log(uniform) / F.col(weight)).alias("number"), digest.alias("digest"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("_digest", *key))
+    return rows.withColumn("_digest", digest).withColumn("_place", place).where(F.col("_place") <= limit).drop("_digest", "_place")
+
+
 def hashed_sample(df: DataFrame, key: str, limit: int, seed: int = 0) -> DataFrame:
-    """`limit` rows, the same ones every time: those with the smallest seeded hash of the key; all if there are fewer."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(limit)
+    """`limit` rows of all, the same ones every time; all if there are fewer."""
+    return reservoir(df.withColumn("_all", F.lit(0)), ["_all"], [key], limit, seed).drop("_all")
 
 
 def few_frames(frames: DataFrame, least: int = 4) -> DataFrame:

@@ -1,7 +1,7 @@
 """Silence and speech: smoothing, segmentation, and the trims that rest on it.
 
-Frames are rows (rec_id, frame, rms); every ordered step shares one window per
-recording, so Spark shuffles and sorts the frames once.
+Frames are rows (rec_id, frame, rms). Ordered steps run over blocks of a recording, so a
+long recording is many tasks' work.
 """
 
 from __future__ import annotations
@@ -10,21 +10,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidalframe.functions.signal import finite
+from tidalframe.operators.ranges import joined, with_neighbours
+from tidalframe.sources.work import written
 
-def _by():
-    """One window per recording, shared so that frames are shuffled and sorted once."""
-    return Window.partitionBy("rec_id").orderBy("frame")
+BLOCK = 65_536
 
 
-def smoothed(df: DataFrame, value: str, width: int) -> DataFrame:
+def smoothed(df: DataFrame, value: str, width: int, block: int = BLOCK) -> DataFrame:
     """Centred moving average, cut off at both ends; an even width counts as the next odd one."""
     if width <= 1:
         return df
     half = width // 2
-    return df.withColumn(value, F.avg(value).over(_by().rowsBetween(-half, half)))
+    return with_neighbours(df, ["rec_id"], ["frame"], half, {value: lambda w: F.avg(value).over(w.rowsBetween(-half, half))}, max(block, 1))
 
 
-def labelled(df: DataFrame, silence_ratio: float = 0.12, min_silence: int = 5, min_speech: int = 3, peak: Column | None = None) -> DataFrame:
+def labelled(df: DataFrame, silence_ratio: float = 0.12, min_silence: int = 5, min_speech: int = 3, peak: Column | None = None, block: int = BLOCK) -> DataFrame:
     """Adds `segment` (its first frame) and `type`, silence or speech.
 
     A frame below silence_ratio * peak (default: the recording's largest RMS) is
@@ -34,26 +34,60 @@ def labelled(df: DataFrame, silence_ratio: float = 0.12, min_silence: int = 5, m
     at frame 0; after it exactly the runs that are long enough by themselves are kept,
     each up to the next kept one. Neighbours of one type stay apart. If no run is long
     enough the recording is one segment of the last run's type.
+
+    A recording is cut into blocks of frames. Each block's runs are found by themselves; a
+    row for each block (its length, first and last run, last kept run) tells where the runs
+    that cross its borders begin and end, and which kept run goes on into it. Only these
+    rows are ordered within a recording.
     """
-    everything = _by().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    peak = peak if peak is not None else F.max(F.when(finite(F.col("rms")), F.col("rms"))).over(everything)
+    rows = df
+    if peak is None:
+        tops = df.groupBy("rec_id").agg(F.max(F.when(finite(F.col("rms")), F.col("rms"))).alias("_peak"))
+        rows, peak = joined(df, tops, ["rec_id"]), F.col("_peak")
     kind = F.when(F.col("rms") < silence_ratio * peak, "silence").otherwise("speech")
-    rows = df.withColumn("_kind", kind)
-    rows = rows.withColumn("_start", F.coalesce(F.col("_kind") != F.lag("_kind").over(_by()), F.lit(True)))
-    rows = rows.withColumn("_run", F.sum(F.col("_start").cast("int")).over(_by())).withColumn("_n", F.row_number().over(_by()))
-    by_run = Window.partitionBy("rec_id", "_run")
-    rows = rows.withColumn("_len", F.count("*").over(by_run)).withColumn("_upto", F.max("_n").over(by_run))
-    least = F.when(F.col("_kind") == "silence", min_silence).otherwise(min_speech)
+    inside = Window.partitionBy("rec_id", "_block").orderBy("frame")
+    rows = rows.withColumn("_kind", kind).withColumn("_block", F.floor(F.col("frame") / block))
+    turn = F.coalesce(F.col("_kind") != F.lag("_kind").over(inside), F.lit(True))
+    rows = rows.withColumn("_turn", turn.cast("int")).withColumn("_run", F.sum("_turn").over(inside)).drop("_turn")
+    runs = rows.groupBy("rec_id", "_block", "_run").agg(F.min("_kind").alias("kind"), F.min("frame").alias("at"), F.count("*").alias("len"))
+    runs = _whole_runs(written(runs, "runs"))
+    least = F.when(F.col("kind") == "silence", min_silence).otherwise(min_speech)
     # from the first run on whose cumulative length is enough, runs count by their own length
-    rows = rows.withColumn("_enough", F.col("_upto") >= least).withColumn("_first", F.min(F.when(F.col("_enough"), F.col("_run"))).over(everything))
-    kept = (F.col("_run") == F.col("_first")) | ((F.col("_run") > F.col("_first")) & (F.col("_len") >= least))
-    head = F.when(kept & F.col("_start"), F.struct(F.col("frame").alias("at"), F.col("_kind").alias("type")))
-    rows = rows.withColumn("_head", head).withColumn("_seg", F.last("_head", ignorenulls=True).over(_by()))
-    rows = rows.withColumn("_zero", F.first("_head", ignorenulls=True).over(everything)).withColumn("_last", F.last("_kind").over(everything))
-    first_frame = F.min("frame").over(everything)
-    at = F.when(F.col("_seg").isNull() | (F.col("_seg.at") == F.col("_zero.at")), first_frame).otherwise(F.col("_seg.at"))
-    kind = F.coalesce("_seg.type", "_zero.type", "_last")
-    return rows.select(*df.columns, at.alias("segment"), kind.alias("type"))
+    first = runs.groupBy("rec_id").agg(F.min(F.when(F.col("end") >= least, F.col("start.pos"))).alias("first"))
+    runs = joined(runs, first, ["rec_id"])
+    kept = (F.col("start.pos") == F.col("first")) | ((F.col("start.pos") > F.col("first")) & (F.col("end") - F.col("start.pos") >= least))
+    runs = runs.withColumn("head", F.when(kept, F.struct("start.pos", F.col("start.frame").alias("frame"), "kind")))
+    over = Window.partitionBy("rec_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+    carried = runs.groupBy("rec_id", "_block").agg(F.max("head").alias("head")).select("rec_id", "_block", F.last("head", ignorenulls=True).over(over).alias("carried"))
+    edges = runs.groupBy("rec_id").agg(F.min("head").alias("zero"), F.max_by("kind", "start.pos").alias("last"), F.min("at").alias("begin"))
+    runs = joined(joined(runs, carried, ["rec_id", "_block"]), edges, ["rec_id"])
+    own = F.last("head", ignorenulls=True).over(Window.partitionBy("rec_id", "_block").orderBy("_run"))
+    runs = runs.withColumn("seg", F.coalesce(own, "carried"))
+    at = F.when(F.col("seg").isNull() | (F.col("seg.frame") == F.col("zero.frame")), F.col("begin")).otherwise(F.col("seg.frame"))
+    ends = runs.select("rec_id", "_block", "_run", at.alias("_segment"), F.coalesce("seg.kind", "zero.kind", "last").alias("_type"))
+    return joined(rows, ends, ["rec_id", "_block", "_run"]).select(*df.columns, F.col("_segment").alias("segment"), F.col("_type").alias("type"))
+
+
+def _whole_runs(runs: DataFrame) -> DataFrame:
+    """Runs of blocks (rec_id, _block, _run, kind, at, len) with `start` (pos, frame) and `end` (a position) of
+    the whole run that each is a part of; positions count a recording's frames from 0."""
+    run, over = F.struct("kind", "at", "len"), Window.partitionBy("rec_id").orderBy("_block")  # a row per block
+    blocks = runs.groupBy("rec_id", "_block").agg(F.sum("len").alias("n"), F.count("*").alias("runs"), F.min_by(run, "_run").alias("a"), F.max_by(run, "_run").alias("z"))
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    blocks = blocks.withColumn("goes_on", F.coalesce(F.lag("z.kind").over(over) == F.col("a.kind"), F.lit(False))).withColumn("stays", F.coalesce(F.lead("a.kind").over(over) == F.col("z.kind"), F.lit(False)))
+    begins = F.when((F.col("runs") > 1) | ~F.col("goes_on"), F.struct((F.col("before") + F.col("n") - F.col("z.len")).alias("pos"), F.col("z.at").alias("frame")))
+    blocks = blocks.withColumn("begins", begins).withColumn("stops", F.when((F.col("runs") > 1) | ~F.col("stays"), F.col("before") + F.col("a.len")))
+    earlier = F.last("begins", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
+    later = F.first("stops", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing))
+    first_start = F.when(F.col("goes_on"), earlier).otherwise(F.struct(F.col("before").alias("pos"), F.col("a.at").alias("frame")))
+    last_end = F.when(F.col("stays"), later).otherwise(F.col("before") + F.col("n"))
+    blocks = blocks.select("rec_id", "_block", "before", "runs", first_start.alias("first_start"), last_end.alias("last_end"))
+    inside = Window.partitionBy("rec_id", "_block").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    rows = joined(runs.withColumn("skip", F.coalesce(F.sum("len").over(inside), F.lit(0))), blocks, ["rec_id", "_block"])
+    pos = F.col("before") + F.col("skip")
+    start = F.when(F.col("_run") == 1, F.col("first_start")).otherwise(F.struct(pos.alias("pos"), F.col("at").alias("frame")))
+    end = F.when(F.col("_run") == F.col("runs"), F.col("last_end")).otherwise(pos + F.col("len"))
+    return rows.select("rec_id", "_block", "_run", "kind", "at", start.alias("start"), end.alias("end"))
 
 
 def segments(frames: DataFrame) -> DataFrame:
@@ -102,8 +136,8 @@ def leading_silence(chunks: DataFrame, n_samples: DataFrame, sample_rate: float,
     The first chunk over the threshold whose next confirm - 1 chunks, as far as there
     are, are all over it; minus padding samples. Without one, the whole duration.
     """
-    ahead = Window.partitionBy("rec_id").orderBy("chunk").rowsBetween(0, confirm - 1)
-    sound = chunks.withColumn("low", F.min("rms").over(ahead)).where(F.col("low") > threshold).groupBy("rec_id").agg(F.min("chunk").alias("chunk"))
+    ahead = {"low": lambda w: F.min("rms").over(w.rowsBetween(0, confirm - 1))}
+    sound = with_neighbours(chunks, ["rec_id"], ["chunk"], confirm - 1, ahead).where(F.col("low") > threshold).groupBy("rec_id").agg(F.min("chunk").alias("chunk"))
     duration = F.col("n") / sample_rate
     start = F.greatest(F.lit(0), F.col("chunk") * chunk - padding) / sample_rate
     return n_samples.join(sound, "rec_id", "left").select("rec_id", F.when(F.col("chunk").isNull(), duration).otherwise(F.least(duration, start)).alias("silence_end"))
@@ -139,6 +173,5 @@ def trimmed(signal: DataFrame, regions: DataFrame, sample_rate: float) -> DataFr
 
 def durations(frames: DataFrame, fallback: float = 0.02) -> DataFrame:
     """Adds `duration`: time to the next frame; the last repeats the gap before it, or the fallback."""
-    w = Window.partitionBy("rec_id").orderBy("time_sec")
-    after, before = F.lead("time_sec").over(w) - F.col("time_sec"), F.col("time_sec") - F.lag("time_sec").over(w)
-    return frames.withColumn("duration", F.coalesce(after, before, F.lit(fallback)))
+    after, before = lambda w: F.lead("time_sec").over(w) - F.col("time_sec"), lambda w: F.col("time_sec") - F.lag("time_sec").over(w)
+    return with_neighbours(frames, ["rec_id"], ["time_sec"], 1, {"duration": lambda w: F.coalesce(after(w), before(w), F.lit(fallback))})

@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidalframe.operators import cluster, normalise, pca_incremental
-from tidalframe.plans.adapters import r6, sql
+from tidalframe.operators import cluster, normalise, pca_incremental, ranges, sampling
+from tidalframe.plans.adapters import r6, sql, table
 from tidalframe.plans.matrix_queries import C0, CENTROIDS, D, M, N0, MEANS, ROUND, _centroids, rows
 
 BATCHES = 5
@@ -56,11 +56,37 @@ def lloyd_redrawn(spark, sf_dir):
     return _centroids(spark, model.centroids).join(sizes, "cluster").select("cluster", "place", "x", "n", r6(F.lit(model.inertia)).alias("inertia"))
 
 
-QUERIES = {f.__name__: f for f in (incremental_covariance, farthest_vectors, lloyd_redrawn)}
+def reservoir_sample(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem")
+    return sampling.reservoir(items, ["l_returnflag"], ["l_orderkey", "l_linenumber"], 50, 7).select("l_returnflag", "l_orderkey", "l_linenumber")
+
+
+def weighted_sample(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem")
+    return sampling.reservoir(items, ["l_linestatus"], ["l_orderkey", "l_linenumber"], 50, 7, "l_quantity").select("l_linestatus", "l_orderkey", "l_linenumber")
+
+
+def group_ranks(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_shipdate", "l_orderkey", "l_linenumber")
+    out = ranges.ranked(items, ["l_returnflag"], [F.desc("l_shipdate"), "l_orderkey", "l_linenumber"], "place", "n")
+    return out.select("l_returnflag", "l_orderkey", "l_linenumber", "place", "n")
+
+
+def group_quantiles(spark, sf_dir):
+    return ranges.quantiles(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", 0.37).select("l_returnflag", "l_linestatus", r6("quantile").alias("quantile"))
+
+
+QUERIES = {f.__name__: f for f in (incremental_covariance, farthest_vectors, lloyd_redrawn, reservoir_sample, weighted_sample, group_ranks, group_quantiles)}
 #: Components have no SQL; tests compare them with numpy's eigenvectors.
 COMPOSED = {f.__name__: f for f in (pca_incremental_components, pca_wide_components)}
 
+_DIGEST = "sha256('7:' || l_orderkey || '-' || l_linenumber)"
+
 SQL = {
+    "reservoir_sample": f"select l_returnflag, l_orderkey, l_linenumber from lineitem qualify row_number() over (partition by l_returnflag order by {_DIGEST}) <= 50",
+    "weighted_sample": f"select l_linestatus, l_orderkey, l_linenumber from lineitem where l_quantity > 0 qualify row_number() over (partition by l_linestatus order by -ln((('0x' || {_DIGEST}[1:13])::bigint + 0.5::double) / 4503599627370496) / l_quantity) <= 50",
+    "group_ranks": "select l_returnflag, l_orderkey, l_linenumber, row_number() over (partition by l_returnflag order by l_shipdate desc, l_orderkey, l_linenumber) - 1 as place, count(*) over (partition by l_returnflag) as n from lineitem",
+    "group_quantiles": "select l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.37), 6) as quantile from lineitem group by all",
     "incremental_covariance": sql(
         M, "cells as (select vec_id, i, vec[i] as x from m cross join range(1, 65) t(i))",
         select="select a.i - 1 as i, b.i - 1 as j, round(covar_samp(a.x, b.x), 6) + 0.0 as cov from cells a join cells b on a.vec_id = b.vec_id and a.i <= b.i group by all",
