@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidalframe.operators.ranges import ranked
 from tidalframe.operators.sampling import positions
 
 
@@ -126,8 +127,7 @@ def trimmed_copies(recordings: DataFrame, trimmed: DataFrame) -> tuple[DataFrame
     placed = numbered(mine, "id", "n")
     top = F.broadcast(recordings.agg(F.max("id").alias("top")))  # one row
     free = next_trimmed_name(recordings).select(F.lower("base").alias("k"), "base", F.regexp_extract("next_name", "(\\d+)$", 1).cast("long").alias("free"))
-    nth = F.row_number().over(Window.partitionBy("k").orderBy("id")) - 1
-    new = placed.join(top).withColumn("nth", nth).join(free, "k").select("id", (F.col("top") + F.col("n")).alias("new_id"), F.concat("base", F.lit(" Trimmed "), (F.col("free") + F.col("nth")).cast("string")).alias("name"))
+    new = ranked(placed, ["k"], ["id"], "nth", "_of").join(top).join(free, "k").select("id", (F.col("top") + F.col("n")).alias("new_id"), F.concat("base", F.lit(" Trimmed "), (F.col("free") + F.col("nth")).cast("string")).alias("name"))
     samples = trimmed.join(new.select(F.col("id").alias("rec_id"), "new_id"), "rec_id").select(F.col("new_id").alias("rec_id"), "idx", "v")
     return new.select(F.col("new_id").alias("id"), "name"), samples
 

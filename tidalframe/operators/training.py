@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidalframe import config
 from tidalframe.functions.signal import or_zero
 from tidalframe.operators import cluster, normalise, pca, sampling, segments
+from tidalframe.sources.work import written
 
 
 @dataclass
@@ -33,6 +34,7 @@ def prepare(frames: DataFrame, pool: DataFrame, sample_rate: float, min_silence:
     o = config.options("prep", **options)
     own = sampling.same_width(frames.join(pool.select("rec_id"), "rec_id", "left_semi"), pool, "mel")
     own = own.withColumn("rms", or_zero(F.col("rms"))).withColumn("mel_sum", normalise.mel_sum(F.col("mel")))
+    own = written(own, "frames")  # features are computed once, whatever reads them
     tops = own.groupBy("rec_id").agg(F.max("rms").alias("peak"), F.max("mel_sum").alias("mel_top"), F.count("*").alias("n"))
     loud = own.join(tops.where("peak > 1e-9").drop("n"), "rec_id")
     vec = normalise.training_vector(F.col("mel"), F.col("rms"), F.col("centroid"), F.col("zcr"), F.col("peak"), sample_rate, o["clamp"])

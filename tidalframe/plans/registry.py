@@ -7,4 +7,4 @@ from tidalframe.plans import composed_queries, document_queries, matrix_queries,
 _MODULES = (signal_queries, segment_queries, matrix_queries, document_queries, training_queries)
 
 QUERIES = {name: query for m in (*_MODULES, composed_queries) for name, query in m.QUERIES.items()} | training_queries.COMPOSED
-SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}
+SQL = {name: text for m in (*_MODULES, composed_queries) for name, text in m.SQL.items()}

@@ -116,17 +116,23 @@ def low_sample_recordings(spark, sf_dir):
 
 
 BASE = (SIG, LEN, FR, WIN, RMS)
-LAB = (
-    *BASE,
-    f"l0 as (select rec_id, frame, rms, case when rms < {RATIO} * max(rms) over (partition by rec_id) then 'silence' else 'speech' end as kind from rms)",
-    "l1 as (select *, sum(st) over (partition by rec_id order by frame) as run, row_number() over (partition by rec_id order by frame) as n from "
-    "(select *, case when kind is distinct from lag(kind) over (partition by rec_id order by frame) then 1 else 0 end as st from l0))",
-    "l2 as (select *, count(*) over (partition by rec_id, run) as ln, max(n) over (partition by rec_id, run) as upto from l1)",
-    "l3 as (select *, min(case when upto >= 2 then run end) over (partition by rec_id) as fr from l2)",
-    "l4 as (select *, case when st = 1 and (run = fr or (run > fr and ln >= 2)) then frame end as hd from l3)",
-    "l5 as (select *, last_value(hd ignore nulls) over (partition by rec_id order by frame) as sg, min(hd) over (partition by rec_id) as z, last_value(kind) over (partition by rec_id order by frame rows between unbounded preceding and unbounded following) as lk from l4)",
-    "lab as (select a.rec_id, a.frame, a.rms, case when a.sg is null or a.sg = a.z then 0 else a.sg end as segment, coalesce(b.kind, a.lk) as type from l5 a left join l5 b on a.rec_id = b.rec_id and b.frame = coalesce(a.sg, a.z))",
-)
+
+
+def _lab(ratio: float) -> tuple[str, ...]:
+    """Frames with their segment and type, from `rms`."""
+    return (
+        f"l0 as (select rec_id, frame, rms, case when rms < {ratio} * max(rms) over (partition by rec_id) then 'silence' else 'speech' end as kind from rms)",
+        "l1 as (select *, sum(st) over (partition by rec_id order by frame) as run, row_number() over (partition by rec_id order by frame) as n from "
+        "(select *, case when kind is distinct from lag(kind) over (partition by rec_id order by frame) then 1 else 0 end as st from l0))",
+        "l2 as (select *, count(*) over (partition by rec_id, run) as ln, max(n) over (partition by rec_id, run) as upto from l1)",
+        "l3 as (select *, min(case when upto >= 2 then run end) over (partition by rec_id) as fr from l2)",
+        "l4 as (select *, case when st = 1 and (run = fr or (run > fr and ln >= 2)) then frame end as hd from l3)",
+        "l5 as (select *, last_value(hd ignore nulls) over (partition by rec_id order by frame) as sg, min(hd) over (partition by rec_id) as z, last_value(kind) over (partition by rec_id order by frame rows between unbounded preceding and unbounded following) as lk from l4)",
+        "lab as (select a.rec_id, a.frame, a.rms, case when a.sg is null or a.sg = a.z then 0 else a.sg end as segment, coalesce(b.kind, a.lk) as type from l5 a left join l5 b on a.rec_id = b.rec_id and b.frame = coalesce(a.sg, a.z))",
+    )
+
+
+LAB = (*BASE, *_lab(RATIO))
 SUM = (
     "sm as (select rec_id, count(distinct segment) filter (where type = 'speech') as speech_segments, count(distinct segment) filter (where type <> 'speech') as silence_segments, count(*) filter (where type = 'speech') as speech_frames, "
     "count(*) filter (where type <> 'speech') as silence_frames, count(*) filter (where {0}) as selected_frames, 0::bigint as kept_silence_frames from lab group by rec_id)"
