@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidalframe.operators import cluster, diagnostics, documents, pca, pca_incremental
+from tidalframe.operators import cluster, diagnostics, documents, pca, pca_incremental, sampling
 from tidalframe.operators.pca_incremental import Basis, Incremental
 from tidalframe.plans import composed_queries, matrix_queries, training_queries
 
@@ -258,3 +258,11 @@ def test_sweep_query_reports_its_own_rows(spark, sf_dir):
     rows = composed_queries.k_sweep(spark, sf_dir).collect()
     n = matrix_queries.rows(spark, sf_dir).count()
     assert {r["K"] for r in rows} == {3, 4, 5, 6} and all(sum(r["n"] for r in rows if r["K"] == k) == n for k in (3, 4, 5, 6))
+
+
+def test_recordings_of_another_width_are_passed_over(spark):
+    rows = spark.createDataFrame([(1, 0, [1.0, 2.0]), (1, 1, [1.0, 2.0]), (2, 0, [1.0, 2.0, 3.0]), (3, 0, [5.0, 6.0])], "rec_id int, frame int, mel array<double>")
+    pool = spark.createDataFrame([(0, 3), (1, 2), (2, 1)], "pos int, rec_id int")
+    assert sorted((r["rec_id"], r["frame"]) for r in sampling.same_width(rows, pool, "mel").collect()) == [(1, 0), (1, 1), (3, 0)]
+    wide_first = spark.createDataFrame([(0, 2), (1, 3)], "pos int, rec_id int")
+    assert [r["rec_id"] for r in sampling.same_width(rows, wide_first, "mel").collect()] == [2]

@@ -73,6 +73,18 @@ def projected(frames: DataFrame, pool: DataFrame, model: pca.Model, sample_rate:
     return taken.select("rec_id", "frame", "time_sec", pca.project(vec, model.mean.tolist(), axes.tolist()).alias("z"))
 
 
+def point_set(frames: DataFrame, model: pca.Model, sample_rate: float, speech_only: bool = True, silence_ratio: float = 0.05, min_silence: int = 5, min_speech: int = 3) -> DataFrame:
+    """rec_id, frame, time_sec, pc1, pc2: every frame on the first two components, or those of speech, which
+    is measured against the loudest frame of all recordings."""
+    rows = frames.withColumn("rms", or_zero(F.col("rms")))
+    if speech_only:
+        top = F.broadcast(rows.agg(F.greatest(F.coalesce(F.max("rms"), F.lit(0.0)), F.lit(1e-12)).alias("_top")))  # one row
+        rows = segments.labelled(rows.join(top), silence_ratio, min_silence, min_speech, F.col("_top")).where("type = 'speech'")
+    vec = normalise.serving_vector(F.col("mel"), F.col("rms"), F.col("centroid"), F.col("zcr"), sample_rate)
+    scored = rows.select("rec_id", "frame", "time_sec", pca.project(vec, model.mean.tolist(), model.components[:2].tolist(), len(model.mean)).alias("z"))
+    return scored.select("rec_id", "frame", "time_sec", F.col("z")[0].alias("pc1"), F.col("z")[1].alias("pc2"))
+
+
 def auto_k(rows: DataFrame, vec: str, key: str, k_min: int = 3, k_max: int = 10, n_init: int = 10, iterations: int = 200, tol: float = 1e-4, sample: int | None = 1500) -> tuple[list[dict], DataFrame]:
     """The sweep's results, and at most three recommended K in order (pick, K, silhouette)."""
     results = cluster.sweep(rows, vec, key, max(3, k_min), k_max, n_init, iterations, tol, sample)

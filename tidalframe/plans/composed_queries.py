@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidalframe.operators import documents, features, pca, segments, signals, training
@@ -45,6 +46,16 @@ def projected_points(spark, sf_dir):
     return matrix_queries.long(_projected(spark, sf_dir), "rec_id", "frame", vec="z")
 
 
+MEAN7 = [0.4, 0.5, 0.3, 0.2, 0.25, 0.5, 0.3]
+AXES7 = [[0.5, 0.5, 0.5, 0.5, 0.0, 0.0, 0.0], [0.1, -0.2, 0.3, -0.4, 0.5, -0.6, 0.2]]
+
+
+def point_set(spark, sf_dir):
+    model = pca.Model(np.array(MEAN7), np.array(AXES7), np.ones(2), np.ones(2) / 2)
+    out = training.point_set(_frames(spark, sf_dir), model, RATE, silence_ratio=0.4037, min_silence=2, min_speech=2)
+    return out.select("rec_id", "frame", r6("pc1").alias("pc1"), r6("pc2").alias("pc2"))
+
+
 def k_sweep(spark, sf_dir):
     results, _ = training.auto_k(matrix_queries.rows(spark, sf_dir), "vec", "vec_id", 3, 6, n_init=3, iterations=20, sample=None)
     rows = [(r["K"], c, r["inertia"], r["silhouette"], r["ch"], r["db"], n, centroid) for r in results for c, (n, centroid) in enumerate(zip(r["sizes"], r["centroids"]))]
@@ -85,7 +96,7 @@ def trimmed_copies(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (prepared_vectors, prepared_summary, pca_components, projected_points, k_sweep, auto_k, import_backup_recordings, import_backup_refs, trimmed_copies)
+    for f in (prepared_vectors, prepared_summary, pca_components, projected_points, point_set, k_sweep, auto_k, import_backup_recordings, import_backup_refs, trimmed_copies)
 }
 
 _PICKED = "select rec_id, floor(j * (n / {0}))::bigint as i from (select rec_id, n, unnest(range(0, {0}::bigint)) as j from {1})"
@@ -110,7 +121,15 @@ _IMPORTED = (
     "fr as (select h, min(id) as first from nw where h not in (select h from hv) group by h)",
 )
 
+_SCORE = "list_sum(list_transform(list_zip(v, {0}, {1}), lambda p: (p[1] - p[2]) * p[3]))"
+
 SQL = {
+    "point_set": sql(
+        *segment_queries.BASE, SPEC, MELPTS, FILT, MEL, ZCR, CENT, *segment_queries._lab(0.4037, ""),
+        "ms as (select rec_id, frame, list(coalesce(energy, 0) order by mel) as mel from rms cross join range(0, 4) t(mel) left join melt using (rec_id, frame, mel) group by all)",
+        "vc as (select rec_id, frame, list_concat(list_transform(mel, lambda x: ln(1 + greatest(x, 0))), [lab.rms, centroid / 8, zcr]) as v from lab join ms using (rec_id, frame) join zcr using (rec_id, frame) join cent using (rec_id, frame) where type = 'speech')",
+        select=f"select rec_id, frame, round({_SCORE.format(MEAN7, AXES7[0])}, 6) + 0.0 as pc1, round({_SCORE.format(MEAN7, AXES7[1])}, 6) + 0.0 as pc2 from vc",
+    ),
     "prepared_vectors": sql(
         *_PREPARED, "cl as (select rec_id, frame, place - 1 as place, vec[place] as x from tk cross join range(1, 22) t(place))",
         "st as (select place, avg(x) as mean, greatest(coalesce(var_samp(x), 0), 1e-12) as var from cl group by place)",

@@ -118,10 +118,10 @@ def low_sample_recordings(spark, sf_dir):
 BASE = (SIG, LEN, FR, WIN, RMS)
 
 
-def _lab(ratio: float) -> tuple[str, ...]:
-    """Frames with their segment and type, from `rms`."""
+def _lab(ratio: float, of: str = "partition by rec_id") -> tuple[str, ...]:
+    """Frames with their segment and type, from `rms`; of: the rows whose largest rms counts."""
     return (
-        f"l0 as (select rec_id, frame, rms, case when rms < {ratio} * max(rms) over (partition by rec_id) then 'silence' else 'speech' end as kind from rms)",
+        f"l0 as (select rec_id, frame, rms, case when rms < {ratio} * max(rms) over ({of}) then 'silence' else 'speech' end as kind from rms)",
         "l1 as (select *, sum(st) over (partition by rec_id order by frame) as run, row_number() over (partition by rec_id order by frame) as n from "
         "(select *, case when kind is distinct from lag(kind) over (partition by rec_id order by frame) then 1 else 0 end as st from l0))",
         "l2 as (select *, count(*) over (partition by rec_id, run) as ln, max(n) over (partition by rec_id, run) as upto from l1)",
