@@ -49,6 +49,7 @@ def labelled(df: DataFrame, silence_ratio: float = 0.12, min_silence: int = 5, m
     rows = rows.withColumn("_kind", kind).withColumn("_block", F.floor(F.col("frame") / block))
     turn = F.coalesce(F.col("_kind") != F.lag("_kind").over(inside), F.lit(True))
     rows = rows.withColumn("_turn", turn.cast("int")).withColumn("_run", F.sum("_turn").over(inside)).drop("_turn")
+    rows = written(rows, "frames")  # what they come from is computed once
     runs = rows.groupBy("rec_id", "_block", "_run").agg(F.min("_kind").alias("kind"), F.min("frame").alias("at"), F.count("*").alias("len"))
     runs = _whole_runs(written(runs, "runs"))
     least = F.when(F.col("kind") == "silence", min_silence).otherwise(min_speech)
