@@ -89,7 +89,28 @@ def test_pruned_walk_finds_the_nearest(spread):
     spot[tree.order] = np.arange(900)
     tree.centre, tree.order = spot[tree.centre], np.arange(900)
     exact = ((ordered[:, None] - centroids) ** 2).sum(axis=2).argmin(axis=1)
-    assert dual_tree.nearest(ordered, tree, centroids, dual_tree.cover_tree(centroids, 1)).tolist() == exact.tolist()
+    assert dual_tree.nearest(ordered, tree, centroids, dual_tree.cover_tree(centroids, 1, 1)).tolist() == exact.tolist()
+
+
+def test_node_pairs_of_other_clusters_are_pruned(monkeypatch):
+    """Vectors of 20 far groups against a centroid in each: leaves meet hardly any centroid but their own."""
+    rng = np.random.default_rng(5)
+    centroids = rng.integers(-5000, 5000, (20, 16))
+    points = centroids[rng.integers(0, 20, 1000)] + rng.integers(-20, 21, (1000, 16))
+    tree, ctree, compared = dual_tree.cover_tree(points), dual_tree.cover_tree(centroids, 1, 1), [0]
+    assert ctree.centre.size > 20  # down to single centroids
+    ordered, spot, plain = points[tree.order], np.empty(1000, np.int64), dual_tree._apart
+    spot[tree.order] = np.arange(1000)
+    tree.centre, tree.order = spot[tree.centre], np.arange(1000)
+
+    def counted(some, centre):
+        compared[0] += len(some)
+        return plain(some, centre)
+
+    monkeypatch.setattr(dual_tree, "_apart", counted)
+    got = dual_tree.nearest(ordered, tree, centroids, ctree)
+    assert got.tolist() == ((ordered[:, None] - centroids) ** 2).sum(axis=2).argmin(axis=1).tolist()
+    assert compared[0] < 1000 * 20 / 10
 
 
 def test_clusters_equal_their_sql(spark, sf_dir):

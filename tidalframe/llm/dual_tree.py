@@ -67,9 +67,10 @@ def _apart(points: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return np.sqrt(((points - centre) ** 2).sum(axis=1))
 
 
-def cover_tree(points: np.ndarray, leaf: int = 16) -> Tree:
+def cover_tree(points: np.ndarray, leaf: int = 16, least: int = 2) -> Tree:
     """The tree over rows of points. A node is a leaf if it has at most `leaf` points, if they are all
-    equal, or if a smaller scale would not bring them together (it takes a child for every other point)."""
+    equal, or if a smaller scale would not bring them together: its children would have fewer than `least`
+    points on average. Centroids lie apart, so their tree goes down to single points (leaf = least = 1)."""
     points = np.asarray(points, float)
     order = np.arange(len(points))
     nodes, at = [[0, 0.0, 0, len(points), 0, 0]], 0
@@ -85,7 +86,7 @@ def cover_tree(points: np.ndarray, leaf: int = 16) -> Tree:
                 near = gone <= scale
                 parts.append(left[near] if not parts else np.concatenate((head, left[near & (left != head[0])])))
                 left = left[~near]
-                if len(parts) * 2 > stop - start:
+                if len(parts) * least > stop - start:
                     parts = []
                     break
                 if left.size:
@@ -172,7 +173,7 @@ def blocks(vectors: DataFrame, width: int, size: int = 4096) -> DataFrame:
 
 def _labelled(batches: Iterator[pa.RecordBatch], centroids: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """Of each block: ids, points, labels."""
-    ctree = cover_tree(centroids, leaf=1)
+    ctree = cover_tree(centroids, leaf=1, least=1)
     for batch in batches:
         for i in range(batch.num_rows):
             points = batch.column("points")[i].values.to_numpy().astype(np.int64).reshape(-1, centroids.shape[1])
