@@ -14,7 +14,8 @@
 A turn is new in exactly one window. Nulls and edges: a null text or role counts as
 empty; a null conversation is one of its own; null turns come first; rows that share a
 turn number are turns of their own, ordered by role and a hash of the text. Only a first turn of role
-system is retained; later ones are turns like others.
+system is retained; later ones are turns like others. A very long text is formatted whole, in a
+window of its own. Extra columns take no part, whatever their names; an empty table has no windows.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ alphabet.
 
 Nulls and edges: a null url has empty features and gets the trees' verdict like any
 other; repeated rows are judged each. Without labelled urls of both verdicts, urls
-without a rule get the verdict that the labelled ones share, or `allow`.
+without a rule get the verdict that the labelled ones share, or `allow`. A very long url is read
+whole. Extra columns take no part, whatever their names; an empty table gives one.
 """
 
 from __future__ import annotations
