@@ -12,7 +12,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents that the classifier rejects go; it learns from labels outside the held-out quarter.
 
     A null or empty text gets a score like any other, a null id has no label, repeated rows
-    are judged alike, and without labels of both kinds every text gets their share.
+    are judged alike, and without labels of both kinds every text gets their share. A long text
+    is scored whole.
     """
     return classifier.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -21,7 +22,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or lie beyond their group's fences go.
 
     A null or blank text has no words and goes; null languages and sources are groups of
-    their own; repeated rows and equal rates are judged alike.
+    their own; repeated rows and equal rates are judged alike. A long text is measured whole.
     """
     return quality_rules.kept_only(docs)
 
@@ -31,7 +32,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies if their five-word shingles are alike by 0.8.
 
     Null and blank texts are copies of each other, and so are repeated rows; of rows with one
-    id the first of the scan stays; a row without an id stays only if its group has no id.
+    id the first of the scan stays; a row without an id stays only if its group has no id. A long text's shingles all count.
     """
     return simhash.one_of_each(docs)
 
