@@ -124,38 +124,109 @@ def _last_key(doc: Document, start: int, end: int, inside: int, depth: int) -> s
 
 def _records(doc: Document, start: int, end: int, inside: int, depth: int, key: str | None) -> Iterator[tuple[str | None, int, bytes]]:
     """(section, first byte, record) of the records that open in a range; the last one may end beyond it."""
-    held, opened, far = None, 0, end
-    while True:
-        for at, raw, strings, opens, closes in _events(doc, start, far, inside, depth):
-            if start >= end:  # beyond the range: only what still is open
-                strings, opens = strings[:0], opens[:0]
-            marks = sorted([(int(p), 0) for p in strings] + [(int(p), 1) for p in opens] + [(int(p), 2) for p in closes])
-            done = 0
-            for place, kind in marks:
-                if kind == 0:
-                    key = _is_key(doc, at + place) or key
-                elif kind == 1:
-                    held, opened, done = [], at + place, place
-                elif held is not None:
-                    yield key, opened, b"".join([*held, raw[done : place + 1].tobytes()])
-                    held = None
-                    if start >= end:
-                        return
-            if held is not None:
-                held.append(raw[done:].tobytes())
-            last = at + len(raw)
-        if held is None or far >= doc.size:
+    held, opened = None, 0
+    for at, raw, strings, opens, closes in _events(doc, start, doc.size, inside, depth):
+        if at >= end and held is None:
             return
-        # the record goes on: a record that is open is outside of strings at depth 3 or more, as its bytes so far say
-        so_far = np.frombuffer(b"".join(held), np.uint8)
-        inside, depth = _state(so_far)
-        start, far = last, min(doc.size, last + BLOCK)
-
-
-def _state(raw: np.ndarray) -> tuple[int, int]:
-    """Whether the text of a record that isn't complete ends in a string, and at which depth of the document."""
-    place = np.arange(len(raw))
-    last = np.maximum.accumulate(np.where(raw != SLASH, place, -1))
-    before = np.concatenate(([0], (place - last)[:-1]))
-    within = np.cumsum((raw == QUOTE) & (before % 2 == 0)) % 2
-    return int(within[-1]), 2 + int(np.where(within == 0, _steps(raw), 0).sum())
+        done = 0
+        for place, kind in sorted([*((int(p), "key") for p in strings), *((int(p), "open") for p in opens), *((int(p), "close") for p in closes)]):
+            if kind == "close" and held is not None:
+                yield key, opened, b"".join([*held, raw[done : place + 1].tobytes()])
+                held = None
+            elif at + place >= end:
+                if held is None:
+                    return
+            elif kind == "key":
+                key = _is_key(doc, at + place) or key
+            elif kind == "open":
+                held, opened, done = [], at + place, place
+        if held is not None:
+            held.append(raw[done:].tobytes())
+
+
+def _mapped(rows: DataFrame, schema: str, size: int, doc: Document, run) -> DataFrame:
+    """run(doc, start, end, ...) for each row (range, ...) -> rows of schema, a few megabytes a batch."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, weight = [], 0
+        types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
+        kinds = [types[x.split()[1]] for x in schema.split(", ")]
+        ready = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names)
+        for batch in batches:
+            for r, *state in zip(*[c.to_pylist() for c in batch.columns]):
+                for row in run(doc, r, r * size, min(doc.size, (r + 1) * size), *state):
+                    held.append(row)
+                    weight += len(row[-1] or "") if isinstance(row[-1], str) else 64
+                    if weight > 4 * BLOCK:
+                        yield ready()
+                        held, weight = [], 0
+        if held:
+            yield ready()
+
+    return rows.mapInArrow(work, schema)
+
+
+TASKS = 10_000
+
+
+def _starts(spark: SparkSession, doc: Document, size: int) -> DataFrame:
+    """range, inside, depth, key: the state in which each range of the document starts."""
+    n = -(-doc.size // size)
+    scan = lambda doc, r, start, end: [(r, *_scanned(doc, start, end))]
+    found = written(_mapped(spark.range(0, n, 1, max(1, min(n, TASKS))), RANGE, size, doc, scan), "backup")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row of numbers a range
+    total = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    rows = found.withColumn("inside", (total("odd") % 2).cast("int"))
+    pick = lambda what: F.when(F.col("inside") == 1, F.col(f"in_{what}")).otherwise(F.col(f"out_{what}"))
+    rows = rows.select("range", "odd", "inside", pick("delta").alias("delta"), pick("low").alias("low")).withColumn("depth", total("delta"))
+    rows = written(rows, "backup")
+    odd, depth = rows.agg(F.coalesce(F.sum("odd"), F.lit(0)) % 2, F.coalesce(F.sum("delta"), F.lit(0))).first()
+    if odd or depth:
+        raise ValueError(f"not a whole JSON document: it ends {'in a string' if odd else f'at depth {depth}'}")
+    # only ranges that come up to the sections' level have names of sections
+    last = lambda doc, r, start, end, inside, depth: [(r, _last_key(doc, start, end, inside, depth))]
+    high = rows.where(F.col("depth") + F.col("low") <= 1).select("range", "inside", "depth")
+    keys = _mapped(high, "range long, last string", size, doc, last)
+    return rows.join(keys, "range", "left").select("range", "inside", "depth", F.last("last", ignorenulls=True).over(before).alias("key"))
+
+
+def read_backup(spark: SparkSession, path: str, sections: list[str] | None = None, size: int = 64 * BLOCK) -> DataFrame:
+    """section, at, json: the objects and arrays that are elements of a document's sections, each by itself.
+
+    path: a file, or a folder of files that are one document in the order of their names.
+    The document may be laid out in any way, all in one line, too. at: the record's first
+    byte, which gives the order. A task takes `size` bytes and what its last record has
+    beyond them. Other elements (numbers, texts, nulls) are passed over; a section that
+    stands twice is read twice; no bytes: no rows. A document that ends early raises an
+    error, and so does one without JSON's quotes and brackets in balance.
+    """
+    doc = Document(path, files.listed(path))
+
+    def read(doc: Document, r: int, start: int, end: int, inside: int, depth: int, key: str | None):
+        for section, at, raw in _records(doc, start, end, inside, depth, key):
+            if sections is None or section in sections:
+                yield section, at, raw.decode("utf-8")
+
+    starts = _starts(spark, doc, size)
+    n = max(1, min(-(-doc.size // size), TASKS))
+    return _mapped(starts.repartition(n), "section string, at long, json string", size, doc, read)
+
+
+def write_backup(path: str, sections: dict[str, tuple[DataFrame, list[str | Column]]], meta: dict[str, Any] | None = None) -> None:
+    """sections: name -> (rows with a column json, their order). The files' contents, one after the other
+    in the order of their names, are one document; each record is a line.
+
+    Rows are numbered first, as the first of a section has no comma before it. Rows without
+    json are left out; of equal rows each is written. A section without rows is an empty list.
+    """
+    rows, spark = [], next(iter(sections.values()))[0].sparkSession
+    edges = []
+    for s, (name, (df, order)) in enumerate(sections.items()):
+        head = "{" + f'"meta":{json.dumps(meta or {})},' if s == 0 else "],"
+        edges.append((s, -1, f"{head}{json.dumps(name)}:["))
+        placed = positions(df.where("json is not null"), order, "_pos")
+        rows.append(placed.select(F.lit(s).alias("s"), F.col("_pos").alias("pos"), F.concat(F.when(F.col("_pos") > 0, ",").otherwise(""), "json").alias("line")))
+    edges.append((len(sections), -1, "]}"))
+    lines = reduce(DataFrame.unionByName, rows, spark.createDataFrame(edges, "s int, pos long, line string"))
+    lines.orderBy("s", "pos").select("line").write.text(path)
