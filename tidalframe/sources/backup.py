@@ -24,7 +24,9 @@ from tidalframe.sources import files
 from tidalframe.sources.work import written
 
 BLOCK = 1 << 20
-QUOTE, SLASH, COLON = b'"\\:'
+QUOTE, SLASH = b'"\\'
+SIGNS = np.zeros(256, bool)
+SIGNS[list(b'"\\[]{}')] = True
 RANGE = "range long, odd int, out_delta long, out_low long, in_delta long, in_low long"
 
 
@@ -58,29 +60,37 @@ class Document:
                 break
         return n
 
-    def blocks(self, start: int, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(first byte, bytes, true at quotes that no backslash escapes) of a range, block by block."""
+    def blocks(self, start: int, end: int) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first byte, bytes, places of quotes, backslashes and brackets, those signs, true at quotes that no
+        backslash escapes) of a range, block by block."""
         run = self.slashes_before(start)
         for at in range(start, end, BLOCK):
-            raw = np.frombuffer(self.read(at, min(BLOCK, end - at)), np.uint8)
-            place = np.arange(len(raw))
-            last = np.maximum.accumulate(np.where(raw != SLASH, place, -1))  # the last byte that is no backslash
-            runs = np.where(last < 0, place + 1 + run, place - last)  # backslashes up to here
-            before = np.concatenate(([run], runs[:-1]))
-            yield at, raw, (raw == QUOTE) & (before % 2 == 0)
-            run = int(runs[-1])
-
-
-def _steps(raw: np.ndarray) -> np.ndarray:
+            raw = self.read(at, min(BLOCK, end - at))
+            every = np.frombuffer(raw, np.uint8)
+            places = np.flatnonzero(SIGNS[every])
+            signs, nth = every[places], np.arange(len(places))
+            slash = signs == SLASH
+            follows = np.concatenate(([False], slash[:-1] & (np.diff(places) == 1)))[: len(places)]  # right after a backslash
+            first = np.maximum.accumulate(np.where(follows & slash, 0, nth))  # where the run of backslashes began
+            runs = nth - first + 1 + np.where(places[first] == 0, run, 0)
+            before = np.where(follows, np.concatenate(([0], runs[:-1]))[: len(places)], np.where(places == 0, run, 0))
+            yield at, raw, places, signs, (signs == QUOTE) & (before % 2 == 0)
+            ends = len(places) and slash[-1] and places[-1] == len(raw) - 1
+            run = int(runs[-1]) if ends else 0
+
+
+def _steps(signs: np.ndarray) -> np.ndarray:
     """1 where a bracket opens, -1 where one closes."""
-    return ((raw == ord("{")) | (raw == ord("["))).astype(np.int64) - ((raw == ord("}")) | (raw == ord("]")))
+    return ((signs == ord("{")) | (signs == ord("["))).astype(np.int64) - ((signs == ord("}")) | (signs == ord("]")))
 
 
 def _scanned(doc: Document, start: int, end: int) -> tuple[int, ...]:
     """What a range changes: quotes modulo two; change and lowest point of the depth if it starts outside of strings, and inside."""
     odd, deltas, lows = 0, [0, 0], [0, 0]
-    for _, raw, quotes in doc.blocks(start, end):
-        inside, steps = (np.cumsum(quotes) + odd) % 2, _steps(raw)
+    for _, _, places, signs, quotes in doc.blocks(start, end):
+        if not len(places):
+            continue
+        inside, steps = (np.cumsum(quotes) + odd) % 2, _steps(signs)
         for state in (0, 1):
             depth = np.cumsum(np.where(inside == state, steps, 0))
             lows[state] = min(lows[state], deltas[state] + int(depth.min()))
@@ -104,14 +114,15 @@ def _is_key(doc: Document, at: int) -> str | None:
         n *= 4
 
 
-def _events(doc: Document, start: int, end: int, inside: int, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _events(doc: Document, start: int, end: int, inside: int, depth: int) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks with the places where strings open at depth 1, records open (depth 3) and records close."""
-    for at, raw, quotes in doc.blocks(start, end):
+    for at, raw, places, signs, quotes in doc.blocks(start, end):
         within = (np.cumsum(quotes) + inside) % 2
-        steps = np.where(within == 0, _steps(raw), 0)
+        steps = np.where(within == 0, _steps(signs), 0)
         deep = depth + np.cumsum(steps)
-        yield at, raw, np.flatnonzero(quotes & (within == 1) & (deep == 1)), np.flatnonzero((steps == 1) & (deep == 3)), np.flatnonzero((steps == -1) & (deep == 2))
-        inside, depth = int(within[-1]), int(deep[-1])
+        yield at, raw, places[quotes & (within == 1) & (deep == 1)], places[(steps == 1) & (deep == 3)], places[(steps == -1) & (deep == 2)]
+        if len(places):
+            inside, depth = int(within[-1]), int(deep[-1])
 
 
 def _last_key(doc: Document, start: int, end: int, inside: int, depth: int) -> str | None:
@@ -131,7 +142,7 @@ def _records(doc: Document, start: int, end: int, inside: int, depth: int, key:
         done = 0
         for place, kind in sorted([*((int(p), "key") for p in strings), *((int(p), "open") for p in opens), *((int(p), "close") for p in closes)]):
             if kind == "close" and held is not None:
-                yield key, opened, b"".join([*held, raw[done : place + 1].tobytes()])
+                yield key, opened, b"".join([*held, raw[done : place + 1]])
                 held = None
             elif at + place >= end:
                 if held is None:
@@ -141,7 +152,7 @@ def _records(doc: Document, start: int, end: int, inside: int, depth: int, key:
             elif kind == "open":
                 held, opened, done = [], at + place, place
         if held is not None:
-            held.append(raw[done:].tobytes())
+            held.append(raw[done:])
 
 
 def _mapped(rows: DataFrame, schema: str, size: int, doc: Document, run) -> DataFrame:
@@ -191,7 +202,7 @@ def _starts(spark: SparkSession, doc: Document, size: int) -> DataFrame:
     return rows.join(keys, "range", "left").select("range", "inside", "depth", F.last("last", ignorenulls=True).over(before).alias("key"))
 
 
-def read_backup(spark: SparkSession, path: str, sections: list[str] | None = None, size: int = 64 * BLOCK) -> DataFrame:
+def read_backup(spark: SparkSession, path: str, sections: list[str] | None = None, size: int = 16 * BLOCK) -> DataFrame:
     """section, at, json: the objects and arrays that are elements of a document's sections, each by itself.
 
     path: a file, or a folder of files that are one document in the order of their names.

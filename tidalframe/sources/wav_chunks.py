@@ -25,6 +25,7 @@ from tidalframe.sources.wav import pcm_bytes
 CHUNKS = "path string, sample_rate int, start long, samples array<float>, problem string"
 ARROW = pa.schema([("path", pa.string()), ("sample_rate", pa.int32()), ("start", pa.int64()), ("samples", pa.list_(pa.float32())), ("problem", pa.string())])
 PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
+BATCH = 1 << 20  # samples
 
 
 @dataclass
@@ -92,6 +93,17 @@ class WavReader(DataSourceReader):
         return [Pieces(x) for x in files.pieces(list(self.sizes.items()), self.piece)] or [Pieces([])]
 
     def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
+        held, weight = [], 0
+        for row in self._rows(partition):
+            held.append(row)
+            weight += len(row[3]) if row[3] is not None else 0
+            if weight >= BATCH or len(held) >= 4096:
+                yield self._batch(held)
+                held, weight = [], 0
+        if held:
+            yield self._batch(held)
+
+    def _rows(self, partition: Pieces) -> Iterator[tuple]:
         store = files.opened(self.path)[0]
         for path, start, end in partition.found:
             with store.open_input_file(path) as file:
@@ -99,20 +111,19 @@ class WavReader(DataSourceReader):
                     h = header(file, self.sizes[path])
                 except ValueError as problem:
                     if start == 0:  # said once a file
-                        yield self._row(path, None, None, None, str(problem))
+                        yield path, None, None, None, str(problem)
                     continue
                 # the samples whose first byte lies in this range
                 low, high = (-(-(min(max(x, h.data), h.end) - h.data) // h.align) for x in (start, end))
                 if start == 0 and h.data == h.end:
-                    yield self._row(path, h.rate, 0, [], None)
+                    yield path, h.rate, 0, np.zeros(0, np.float32), None
                 for at in range(low, high, self.chunk):
                     file.seek(h.data + at * h.align)
-                    yield self._row(path, h.rate, at, first_channel(file.read(min(self.chunk, high - at) * h.align), h), None)
+                    yield path, h.rate, at, first_channel(file.read(min(self.chunk, high - at) * h.align), h), None
 
     @staticmethod
-    def _row(path, rate, start, samples, problem) -> pa.RecordBatch:
-        held = pa.array([None], ARROW.field("samples").type) if samples is None else pa.ListArray.from_arrays(pa.array([0, len(samples)], pa.int32()), pa.array(samples, pa.float32()))
-        return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([rate], pa.int32()), pa.array([start], pa.int64()), held, pa.array([problem], pa.string())], schema=ARROW)
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ARROW)], schema=ARROW)
 
 
 @dataclass
@@ -227,9 +238,11 @@ def read_recordings(spark: SparkSession, path: str, **options: int) -> DataFrame
 def chunked(signal: DataFrame, size: int = 4096) -> DataFrame:
     """(rec_id, idx, v) -> rec_id, start, samples of `size` places at most; a place without a row is silence, of repeated places the smallest value counts."""
     start = F.floor(F.col("idx") / size) * size
-    held = signal.where("idx is not null").groupBy("rec_id", "idx").agg(F.min("v").alias("v"))
-    rows = held.groupBy("rec_id", start.alias("start")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("idx") - start).alias("k"), "v"))).alias("at"), F.max(F.col("idx") - start).alias("last"))
-    return rows.select("rec_id", "start", F.transform(F.sequence(F.lit(0).cast("long"), "last"), lambda k: F.col("at")[k].cast("double")).alias("samples"))
+    held = signal.where("idx is not null").groupBy("rec_id", "idx").agg(F.min("v").cast("double").alias("v"))
+    rows = held.groupBy("rec_id", start.alias("start")).agg(F.array_sort(F.collect_list(F.struct((F.col("idx") - start).alias("k"), "v"))).alias("at"))
+    before = lambda i: F.when(i > 0, F.col("at")[i - 1]["k"]).otherwise(-1)
+    filled = F.flatten(F.transform("at", lambda x, i: F.concat(F.array_repeat(F.lit(None).cast("double"), (x["k"] - before(i) - 1).cast("int")), F.array(x["v"]))))
+    return rows.select("rec_id", "start", filled.alias("samples"))
 
 
 def samples(chunks: DataFrame) -> DataFrame:
