@@ -263,3 +263,17 @@ def test_fingerprints_ignore_order_but_not_repeats(spark):
     df = spark.createDataFrame(rows, "session long, name string, date string, blob binary")
     got = {r["session"]: r["fingerprint"] for r in documents.fingerprints(df).collect()}
     assert got[1] == got[2] and len({got[i] for i in (1, 3, 4, 5)}) == 4
+
+
+def test_inserted_rows_get_keys_after_the_largest(spark):
+    table = spark.createDataFrame([(4, "a"), (9, "b")], "id long, name string")
+    rows = spark.createDataFrame([(1, "y"), (1, "x"), (1, "x"), (None, None)], "id long, name string").repartition(3)
+    assert {tuple(r) for r in documents.inserted(table, rows, ["name"]).collect()} == {(4, "a"), (9, "b"), (10, None), (11, "x"), (12, "x"), (13, "y")}
+    assert sorted(r["id"] for r in documents.inserted(table.where("id < 0"), rows, ["name"]).collect()) == [1, 2, 3, 4]
+    assert documents.inserted(table, rows.where("id > 1"), ["name"]).count() == 2
+
+
+def test_removed_recordings_leave_no_gap_in_a_session(spark):
+    refs = spark.createDataFrame([(1, 0, 7), (1, 1, 8), (1, 2, 7), (1, 3, 9), (2, 5, 7), (3, 0, 7), (4, 0, None)], "session long, pos int, recording long")
+    removed = spark.createDataFrame([(1, 7), (1, 7), (3, 7), (2, 8), (4, None)], "session long, recording long")
+    assert {tuple(r) for r in documents.without(refs, removed).collect()} == {(1, 0, 8), (1, 1, 9), (2, 0, 7), (4, 0, None)}

@@ -35,6 +35,21 @@ def deleted(table: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
     return table.join(keys.select(key).distinct(), key, "left_anti")
 
 
+def inserted(table: DataFrame, rows: DataFrame, order: list[str | Column], key: str = "id") -> DataFrame:
+    """table and rows, these under keys of their own: the numbers after the largest, in the given order.
+
+    Equal rows get a key each; a key that rows bring is not looked at. Keys of an empty table start at 1.
+    """
+    top = F.broadcast(table.agg(F.coalesce(F.max(key), F.lit(0)).cast("long").alias("_top")))  # one row
+    placed = positions(rows.drop(key), order, "_n").join(top).withColumn(key, F.col("_top") + F.col("_n") + 1)
+    return table.unionByName(placed.drop("_n", "_top"))
+
+
+def without(refs: DataFrame, removed: DataFrame) -> DataFrame:
+    """refs (session, pos, recording) without the (session, recording) pairs of removed; what stays moves up, counted from 0."""
+    return _places(refs.join(removed.select("session", "recording").distinct(), ["session", "recording"], "left_anti").select("session", "pos", "recording"))
+
+
 def digest(blob: Column) -> Column:
     return F.sha2(blob.cast("binary"), 256)
 

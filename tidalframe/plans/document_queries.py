@@ -50,6 +50,18 @@ def delete_rows(spark, sf_dir):
     return documents.deleted(c, c.where("id % 5 = 2"))
 
 
+def insert_rows(spark, sf_dir):
+    """Suppliers put in among the customers, under ids that the table gives them."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return documents.inserted(c, table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name")), ["name"])
+
+
+def session_removals(spark, sf_dir):
+    """Orders as sessions, their parts as recordings; the parts of every third supplier go."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("recording"), "l_suppkey")
+    return documents.without(items.drop("l_suppkey"), items.where("l_suppkey % 3 = 0"))
+
+
 def point_lookup(spark, sf_dir):
     return table(spark, sf_dir, "customer").where("c_custkey = 42").select("c_custkey", "c_name")
 
@@ -159,6 +171,11 @@ SQL = {
     ),
     "upsert_rows": "with ch as (select c_custkey + 500 as id, upper(c_name) as name from customer where c_custkey % 3 = 0) select c_custkey as id, c_name as name from customer where c_custkey not in (select id from ch) union all select id, name from ch",
     "delete_rows": "select c_custkey as id, c_name as name from customer where c_custkey % 5 <> 2",
+    "insert_rows": "select c_custkey as id, c_name as name from customer union all select (select max(c_custkey) from customer) + row_number() over (order by s_name), s_name from supplier",
+    "session_removals": sql(
+        "r as (select distinct l_orderkey, l_partkey from lineitem where l_suppkey % 3 = 0)", "k as (select l_orderkey, l_linenumber, l_partkey from lineitem anti join r using (l_orderkey, l_partkey))",
+        select="select l_orderkey as session, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) - 1 as pos, l_partkey as recording from k",
+    ),
     "point_lookup": "select c_custkey, c_name from customer where c_custkey = 42",
     "pool_lookup": "select o_orderkey as pos, o_custkey * 2 as rec_id, c_custkey as id, c_name as name from orders join customer on o_custkey * 2 = c_custkey",
     "pool_unique": "select row_number() over (order by min(o_orderkey)) - 1 as pos, o_custkey as rec_id from orders where o_custkey % 7 <> 0 group by o_custkey",

@@ -129,6 +129,13 @@ def variance_report(spark, sf_dir):
     return out.select(r6("mean_variance").alias("mean_variance"), joined("largest"), joined("smallest"), "n_without")
 
 
+def flat_dimensions(spark, sf_dir):
+    """The dimensions without variance, of vectors with two constant places before and one after their own."""
+    wider = rows(spark, sf_dir).withColumn("vec", F.concat(F.array(F.lit(0.0), F.lit(2.5)), "vec", F.array(F.lit(-1.0))))
+    out = diagnostics.variance_report(wider, "vec")
+    return out.select(F.array_join(F.col("without").cast("array<string>"), ",").alias("without"), "n_without")
+
+
 def diagnostic_warnings(spark, sf_dir):
     quiet = F.col("under_0_005") * 3
     stats = diagnostics.before_training(_frames(spark, sf_dir)).join(F.broadcast(diagnostics.variance_report(rows(spark, sf_dir), "vec")))
@@ -366,6 +373,10 @@ SQL = {
         select="select round(avg(var_pop), 6) as mean_variance, (select string_agg(place::varchar, ',' order by r) from (select place, row_number() over (order by st.var_pop desc, place) as r from st) where r <= 5) as largest, "
         "(select string_agg(place::varchar, ',' order by r) from (select place, row_number() over (order by st.var_pop, place) as r from st where st.var_pop > 1e-12) where r <= 5) as smallest, count(*) filter (where var_pop <= 1e-12) as n_without from st",
     ),
+    "flat_dimensions": sql(
+        M, "w as (select list_concat([0, 2.5], vec, [-1]) as vec from m)", "c as (select i - 1 as place, vec[i] as x from w cross join range(1, 68) t(i))", "f as (select place from c group by place having var_pop(x) <= 1e-12)",
+        select="select string_agg(place::varchar, ',' order by place) as without, count(*) as n_without from f",
+    ),
     "diagnostic_warnings": sql(
         M, FRAMES, CELLS, STATS,
         select="select concat_ws('; ', case when (select round(count(*) filter (where rms < 0.005) * 100 / count(*), 2) * 3 from fr) > 40 then 'over 40 % of frames are quiet' end, "
