@@ -3,8 +3,6 @@ from __future__ import annotations
 import json
 
 import pytest
-from pyspark.sql import functions as F
-
 from tidalframe.sources import backup
 
 TRICKY = ['plain', 'quote " and \\ slash', '\\\\"', '{"id": [1, 2]}', 'line\nbreak', '\\' * 9, '"}],"sessions":[{', 'é漢😀', '', ']' * 30]
@@ -65,8 +63,13 @@ def test_broken_and_empty_documents(spark, tmp_path):
 def test_what_is_written_is_one_document(spark, tmp_path):
     rows = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(RECORDS)] + [(0, json.dumps({"id": 0})), (99, None)], "id long, json string").repartition(6)
     none = rows.where("id < 0")
-    backup.write_backup(str(tmp_path / "b"), {"recordings": (rows, ["id", F.desc("json")]), "sessions": (none, ["id"]), 'odd "name"': (rows.where("id = 3"), ["id"])}, {"version": 2})
-    text = "".join(p.read_text() for p in sorted((tmp_path / "b").glob("part-*")))
+    backup.write_backup(str(tmp_path / "b"), {"recordings": (rows.where("id < 90"), ["id"]), "sessions": (none, ["id"]), 'odd "name"': (rows.where("id = 3"), ["id"])}, {"version": 2})
+    nulls = spark.createDataFrame([(None, "[1]"), (None, "[1]"), (0, None), (None, None), (3, "{}")], "id long, json string").repartition(4)
+    backup.write_backup(str(tmp_path / "n"), {"x": (nulls, ["id"])})
+    x = json.loads("".join(p.read_text() for p in sorted((tmp_path / "n").rglob("part-*"))))["x"]
+    assert sorted(map(str, x[:3])) == ["None", "[1]", "[1]"]
+    assert x[3:] == [None, {}] and backup.read_backup(spark, str(tmp_path / "n"), ["x"]).count() == 3
+    text = "".join(p.read_text() for p in sorted((tmp_path / "b").rglob("part-*")))
     want = json.loads(text)
     assert want["meta"] == {"version": 2} and want["sessions"] == [] and want['odd "name"'] == [RECORDS[3]]
     assert [r["id"] for r in want["recordings"]] == [0, *range(len(RECORDS))] and all(r in want["recordings"] for r in RECORDS)

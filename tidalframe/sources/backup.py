@@ -16,7 +16,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidalframe.operators.sampling import positions
@@ -205,7 +205,7 @@ def _starts(spark: SparkSession, doc: Document, size: int) -> DataFrame:
 def read_backup(spark: SparkSession, path: str, sections: list[str] | None = None, size: int = 16 * BLOCK) -> DataFrame:
     """section, at, json: the objects and arrays that are elements of a document's sections, each by itself.
 
-    path: a file, or a folder of files that are one document in the order of their names.
+    path: a file, or a folder of files that are one document in the order of their paths.
     The document may be laid out in any way, all in one line, too. at: the record's first
     byte, which gives the order. A task takes `size` bytes and what its last record has
     beyond them. Other elements (numbers, texts, nulls) are passed over; a section that
@@ -224,20 +224,26 @@ def read_backup(spark: SparkSession, path: str, sections: list[str] | None = Non
     return _mapped(starts.repartition(n), "section string, at long, json string", size, doc, read)
 
 
-def write_backup(path: str, sections: dict[str, tuple[DataFrame, list[str | Column]]], meta: dict[str, Any] | None = None) -> None:
-    """sections: name -> (rows with a column json, their order). The files' contents, one after the other
-    in the order of their names, are one document; each record is a line.
+def write_backup(path: str, sections: dict[str, tuple[DataFrame, list[str]]], meta: dict[str, Any] | None = None) -> None:
+    """sections: name -> (rows with a column json, the columns that order them, nulls first).
 
-    Rows are numbered first, as the first of a section has no comma before it. Rows without
-    json are left out; of equal rows each is written. A section without rows is an empty list.
+    The files' contents, one after the other in the order of their paths, are one document;
+    each record is a line. Rows without json are written as null, of equal rows each is
+    written. A section without rows is an empty list.
     """
-    rows, spark = [], next(iter(sections.values()))[0].sparkSession
-    edges = []
+    spark, nth = next(iter(sections.values()))[0].sparkSession, iter(range(2 * len(sections) + 1))
+
+    def put(lines: DataFrame) -> None:
+        lines.write.text(f"{path}/{next(nth):03}")
+
+    head = lambda text: put(spark.createDataFrame([(text,)], "line string").coalesce(1))
     for s, (name, (df, order)) in enumerate(sections.items()):
-        head = "{" + f'"meta":{json.dumps(meta or {})},' if s == 0 else "],"
-        edges.append((s, -1, f"{head}{json.dumps(name)}:["))
-        placed = positions(df.where("json is not null"), order, "_pos")
-        rows.append(placed.select(F.lit(s).alias("s"), F.col("_pos").alias("pos"), F.concat(F.when(F.col("_pos") > 0, ",").otherwise(""), "json").alias("line")))
-    edges.append((len(sections), -1, "]}"))
-    lines = reduce(DataFrame.unionByName, rows, spark.createDataFrame(edges, "s int, pos long, line string"))
-    lines.orderBy("s", "pos").select("line").write.text(path)
+        head(("{" + f'"meta":{json.dumps(meta or {})},' if s == 0 else "],") + f"{json.dumps(name)}:[")
+        # the first record has no comma before it: rows that share its place, mostly one, are numbered
+        first = df.agg(F.min(F.struct(*order))).first()[0]
+        leads = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(None if first is None else first[c])) for c in order])
+        lead = positions(df.where(leads), order, "_pos")
+        rows = df.where(~leads).withColumn("_pos", F.lit(None).cast("long")).unionByName(lead.select(*df.columns, "_pos"))
+        comma = F.when(F.col("_pos") == 0, "").otherwise(",")
+        put(rows.orderBy(*order, "_pos").select(F.concat(comma, F.coalesce("json", F.lit("null"))).alias("line")))
+    head("]}")
