@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidalframe.functions.signal import finite
+from tidalframe.functions.signal import finite, or_zero
 from tidalframe.operators.normalise import dimension_stats
+from tidalframe.operators.pca import Model, project
 from tidalframe.operators.ranges import ranked
 
 #: Rms levels whose shares are reported.
@@ -45,6 +46,27 @@ def invalid_cells(rows: DataFrame, vec: str) -> DataFrame:
     return cells.agg(n.alias("cells"), nan.alias("nan_cells"), inf.alias("infinite_cells"), F.when(n > 0, (nan + inf) / n * 100).otherwise(0.0).alias("invalid_percent"))
 
 
+def checked_recordings(frames: DataFrame, quiet: float = 0.005) -> DataFrame:
+    """Per recording of frames (rec_id, rms, mel_sum): frames, mel_sum_mean, quiet_percent (a missing or
+    unfinished rms is quiet, such a band sum counts as 0), and the warnings about them."""
+    low = F.count_if(~finite(F.col("rms").cast("double")) | (F.col("rms") < quiet)) * 100 / F.count("*")
+    out = frames.groupBy("rec_id").agg(F.count("*").alias("frames"), F.avg(or_zero(F.col("mel_sum").cast("double"))).alias("mel_sum_mean"), low.alias("quiet_percent"))
+    return out.withColumn("warnings", warnings(F.col("quiet_percent"), F.col("mel_sum_mean"), F.lit(0)))
+
+
+def after_training(rows: DataFrame, vec: str, model: Model, small: float = 1e-8) -> DataFrame:
+    """The first, middle and last frame of each recording on a model's components: rec_id, frame, which, z,
+    and all_small, whether the squares of each of the recording's samples sum up to at most `small`.
+
+    rows (rec_id, frame, vec) are normalised as for training. A component without length
+    gives zeros; what is wrong with the components themselves tells pca.diagnosis().
+    """
+    size = F.aggregate("z", F.lit(0.0), lambda a, x: a + x * x)
+    z = F.transform(project(vec, model.mean.tolist(), model.components.tolist(), len(model.mean)), or_zero)
+    sampled = sample_frames(rows, ["frame"]).select("rec_id", "frame", "which", z.alias("z"))
+    return sampled.withColumn("all_small", F.bool_and(size <= small).over(Window.partitionBy("rec_id")))  # three rows each
+
+
 def sample_frames(frames: DataFrame, order: list[str]) -> DataFrame:
     """First, middle (floor(n / 2), from 0) and last frame of each recording, in column `which`."""
     rows = ranked(frames, ["rec_id"], order)

@@ -14,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidalframe.operators.ranges import ranked
+from tidalframe.operators.ranges import joined, ranked
 from tidalframe.operators.sampling import positions
+from tidalframe.sources.work import written
 
 
 def upsert(table: DataFrame, changes: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
@@ -217,7 +218,7 @@ def _places(refs: DataFrame) -> DataFrame:
     rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("session", "_run").orderBy("pos", "recording")) - 1)
     before = F.sum("count").over(Window.partitionBy("session").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1))
     offsets = rows.groupBy("session", "_run").count().select("session", "_run", F.coalesce(before, F.lit(0)).alias("_before"))
-    return rows.join(offsets, ["session", "_run"]).select("session", (F.col("_before") + F.col("_n")).cast("int").alias("pos"), "recording")
+    return joined(rows, offsets, ["session", "_run"]).select("session", (F.col("_before") + F.col("_n")).cast("int").alias("pos"), "recording")
 
 
 def export_sessions(sessions: DataFrame, refs: DataFrame, recordings: DataFrame) -> DataFrame:
@@ -248,6 +249,21 @@ def split_embedded(sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where(~embedded).select("session", "pos", F.col("r.id").alias("recording")), rows.where(embedded).select("session", "pos", "r.name", "r.blob")
 
 
+def migrated(recordings: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """recordings (id, name, blob) and sessions as split_embedded() reads them -> the recordings with the embedded
+    ones among them, and refs (session, pos, recording) of all sessions.
+
+    Embedded ones get the numbers after the largest id, in the order of session and place; a
+    missing name becomes empty. Entries with neither content nor id are dropped and places
+    close up. A content's row moves once, to be numbered.
+    """
+    plain, embedded = split_embedded(sessions)
+    top = F.broadcast(recordings.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("_top")))  # one row
+    placed = written(positions(embedded, ["session", "pos"], "_n").join(top).select("session", "pos", (F.col("_top") + F.col("_n") + 1).alias("id"), F.coalesce("name", F.lit("")).alias("name"), "blob"), "migrated")
+    refs = plain.where("recording is not null").unionByName(placed.select("session", "pos", F.col("id").alias("recording")))
+    return recordings.select("id", "name", "blob").unionByName(placed.select("id", "name", "blob")), _places(refs)
+
+
 def base64(blob: Column) -> Column:
     """One line, whatever the length."""
     return F.regexp_replace(F.base64(blob.cast("binary")), "[\\r\\n]", "")

@@ -61,16 +61,25 @@ def spectrum(framed: DataFrame, fft: int) -> DataFrame:
     return parts.select("rec_id", "frame", "bin", or_zero(F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))).alias("mag"))
 
 
-def mel_filters(spark: SparkSession, n_mels: int, fft: int, sample_rate: float, fmin: float = 0.0, fmax: float | None = None) -> DataFrame:
-    """Triangular filters on mel-equispaced points: mel, bin, weight > 0. n_mels * (fft/2 + 1) rows at most."""
-    low, high = hz_to_mel(F.lit(fmin)), hz_to_mel(F.lit(fmax or sample_rate / 2))
+def mel_filters_by_rate(rates: DataFrame, n_mels: int, fft: int, fmin: float = 0.0, fmax: float | None = None) -> DataFrame:
+    """Triangular filters on mel-equispaced points for each row of rates (sample_rate): sample_rate, mel, bin,
+    weight > 0. n_mels * (fft/2 + 1) rows a rate at most; fmax None: half the rate. A null rate has none."""
+    rate = F.col("sample_rate").cast("double")
+    low, high = hz_to_mel(F.lit(fmin)), hz_to_mel(rate / 2 if fmax is None else F.lit(fmax))
     point = lambda i: mel_to_hz(low + i / (n_mels + 1) * (high - low))
-    table = spark.range(n_mels).select(F.col("id").cast("int").alias("mel"), F.explode(F.sequence(F.lit(0), F.lit(fft // 2))).alias("bin"))
+    every = lambda last: F.explode(F.sequence(F.lit(0), F.lit(last)))
+    table = rates.select("sample_rate", every(n_mels - 1).alias("mel")).select("*", every(fft // 2).alias("bin"))
     lower, centre, upper = point(F.col("mel")), point(F.col("mel") + 1), point(F.col("mel") + 2)
-    f = F.col("bin") * (sample_rate / fft)
+    f = F.col("bin") * (rate / fft)
     width = lambda x: F.when(x == 0, 1e-9).otherwise(x)
     weight = F.when((f >= lower) & (f <= centre), (f - lower) / width(centre - lower)).when((f >= centre) & (f <= upper), (upper - f) / width(upper - centre)).otherwise(0.0)
-    return table.select("mel", "bin", weight.alias("weight")).where("weight > 0")
+    return table.select("sample_rate", "mel", "bin", weight.alias("weight")).where("weight > 0")
+
+
+def mel_filters(spark: SparkSession, n_mels: int, fft: int, sample_rate: float, fmin: float = 0.0, fmax: float | None = None) -> DataFrame:
+    """The filters of one rate: mel, bin, weight > 0."""
+    rate = spark.range(1).select(F.lit(float(sample_rate)).alias("sample_rate"))
+    return mel_filters_by_rate(rate, n_mels, fft, fmin, fmax or None).drop("sample_rate")
 
 
 def mel_energies(spectra: DataFrame, filters: DataFrame) -> DataFrame:

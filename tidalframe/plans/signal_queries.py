@@ -51,7 +51,9 @@ def dft_magnitude(spark, sf_dir):
 
 
 def mel_filterbank(spark, sf_dir):
-    return signals.mel_filters(spark, MELS, FFT, RATE).select(F.col("mel").cast("long").alias("mel"), F.col("bin").cast("long").alias("bin"), r6("weight").alias("weight"))
+    """A filter bank for each rate in the table: a user's samples are taken as those of one second."""
+    rates = signals.lengths(signal(spark, sf_dir)).select(F.col("n").alias("sample_rate")).distinct()
+    return signals.mel_filters_by_rate(rates, MELS, FFT).select("sample_rate", F.col("mel").cast("long").alias("mel"), F.col("bin").cast("long").alias("bin"), r6("weight").alias("weight"))
 
 
 def mel_energy(spark, sf_dir):
@@ -160,7 +162,13 @@ SQL = {
     "frame_rms": sql(*BASE, WIN, RMS, select="select rec_id, frame, round(rms, 6) as rms from rms"),
     "frame_zcr": sql(*BASE, WIN, ZCR, select="select rec_id, frame, round(zcr, 6) as zcr from zcr"),
     "dft_magnitude": sql(*SPECTRA, select="select rec_id, frame, bin, round(mag, 6) as mag from spec"),
-    "mel_filterbank": sql(MELPTS, FILT, select="select mel, bin, round(weight, 6) as weight from filt where weight > 0"),
+    "mel_filterbank": sql(
+        SIG, LEN, "rt as (select distinct n as sample_rate from len)",
+        "mp as (select sample_rate, i, 700 * (pow(10.0, (i / 5.0 * (2595 * log10(1 + sample_rate / 2 / 700))) / 2595) - 1) as hz from rt cross join range(0, 6) t(i))",
+        "f as (select sample_rate, a.i as mel, bin, bin * (sample_rate / 16)::double as hz, a.hz as lower, b.hz as centre, c.hz as upper from mp a join mp b using (sample_rate) join mp c using (sample_rate) cross join range(0, 9) t(bin) where b.i = a.i + 1 and c.i = a.i + 2)",
+        "w as (select *, case when hz between lower and centre then (hz - lower) / (centre - lower) when hz between centre and upper then (upper - hz) / (upper - centre) else 0 end as weight from f)",
+        select="select sample_rate, mel, bin, round(weight, 6) as weight from w where weight > 0",
+    ),
     "mel_energy": sql(*BANDS, select="select rec_id, frame, mel, round(energy, 6) as energy from melt"),
     "spectral_centroid": sql(*SPECTRA, CENT, select="select rec_id, frame, round(centroid, 6) as centroid from cent"),
     "feature_frames": sql(

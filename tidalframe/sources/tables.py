@@ -15,9 +15,16 @@ TIMELINE = ["timeSec", "frameIndex", "cluster"]
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str] = PROJECTIONS) -> None:
-    """One folder of CSV parts with a header; nulls are empty fields, quotes are doubled."""
+    """One folder of CSV parts with a header; nulls are empty fields, quotes are doubled, blanks at either end stay."""
     text = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns])
-    text.write.option("header", True).option("quoteAll", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
+    text.write.option("header", True).option("quoteAll", True).option("quote", '"').option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, columns: list[str] = PROJECTIONS) -> DataFrame:
+    """What write_csv() wrote, as strings; an empty field is null. Values may hold line ends, so a part is read by one task."""
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    found = spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+    return found.select(*[F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns])
 
 
 class ModelStore:
