@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import base64
+import glob
 import hashlib
 import random
 import zlib
@@ -159,6 +160,24 @@ def test_token_store_pushes_the_lookup_down(spark, tmp_path):
     assert "EqualTo(doc_id,12)]" in plan
 
 
+def test_token_files_hold_indexes_filters_and_run_lengths(spark, tmp_path):
+    token_store.write(table(spark), str(tmp_path / "t"))
+    orc, seen = spark._jvm.org.apache.orc, 0
+    for file in glob.glob(str(tmp_path / "t" / "*.orc")):
+        reader = orc.OrcFile.createReader(spark._jvm.org.apache.hadoop.fs.Path(file), orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
+        names, rows = list(reader.getSchema().getFieldNames()), reader.rows()
+        doc_id, ids = names.index("doc_id") + 1, reader.getSchema().findSubtype("ids").getMaximumId()
+        for stripe in reader.getStripes():
+            footer = rows.readStripeFooter(stripe)
+            streams = {(x.getColumn(), x.getKind().toString()) for x in footer.getStreamsList()}
+            assert {(doc_id, "ROW_INDEX"), (doc_id, "BLOOM_FILTER_UTF8"), (ids, "ROW_INDEX")} <= streams
+            assert {c for c, kind in streams if kind.startswith("BLOOM")} == {doc_id}
+            assert footer.getColumns(ids).getKind().toString() == footer.getColumns(doc_id).getKind().toString() == "DIRECT_V2"
+            seen += 1
+        rows.close()
+    assert seen
+
+
 def test_token_store_query(spark, sf_dir):
     plain, at = library("word_bpe_49k.json"), 0
     got = {r["doc_id"]: r for r in token_store.query(spark, sf_dir).collect()}

@@ -14,7 +14,7 @@ bytes are exact, and the text joins characters that tokens split.
 Nulls and edges: a null text counts as empty and has no ids. A null doc_id is passed on;
 repeated rows are encoded each; an empty table gives one; a long text is a batch of its
 own. Extra columns take no part, whatever their names. Ids outside the vocabulary raise
-an error.
+an error, and so does a text of 2**29 ids or more, whose ids no value can hold.
 """
 
 from __future__ import annotations
@@ -100,7 +100,7 @@ def encoded(docs: DataFrame, s: Settings = Settings(), offsets: bool = True, dec
         own = encoder(s)
         for batch in slices(batches, "text", 8 << 20):
             ids, counts = own.encode(batch.column("text"))
-            at = pa.array(np.concatenate(([0], np.cumsum(counts) * 4)).astype(np.int32))
+            at = pa.array(np.concatenate(([0], np.cumsum(counts) * 4))).cast(pa.int32())  # raises an error where it doesn't fit
             binary = lambda x: pa.Array.from_buffers(pa.binary(), counts.size, [None, at.buffers()[1], pa.py_buffer(x.astype("<u4").tobytes())])  # noqa: E731, B023
             columns = [batch.column("doc_id"), pa.array(counts), binary(ids)]
             if offsets:
