@@ -11,10 +11,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidalframe.sources.work import written
+from tidalframe.sources import files
+from tidalframe.sources.work import work_path
 
 Centroids = Sequence[Sequence[float]]
 
@@ -348,56 +350,82 @@ def davies_bouldin(labelled: DataFrame, vec: str, centroids: Centroids) -> DataF
 
 
 def silhouette(labelled: DataFrame, vec: str, key: str, limit: int | None = None, block: int = 2048) -> DataFrame:
-    """Mean silhouette (plain Euclidean) of all rows, or of a repeatable sample of at most `limit`.
+    """Mean silhouette (plain Euclidean) of all rows, or of a repeatable sample of at most `limit`."""
+    return silhouettes(labelled, vec, key, ["cluster"], limit, block).select(F.col("silhouettes")[0].alias("silhouette"))
 
-    A single member has a = 0; without another cluster a point is passed over. Rows are dealt
-    into blocks of about `block`; each unordered pair of blocks meets once, as two matrices,
-    and leaves the sums of distances of each point to each cluster. Work is quadratic in the
-    rows, moved data too, but for the block's size.
+
+def silhouettes(labelled: DataFrame, vec: str, key: str, labels: list[str], limit: int | None = None, block: int = 2048) -> DataFrame:
+    """silhouettes: for each of the label columns the mean silhouette of the rows; distances are measured once for all.
+
+    A single member has a = 0; without another cluster a point is passed over. The rows are
+    written once. A task holds a few blocks of about `block` of them and reads the whole table
+    past them, a batch at a time, so its sums are complete when the table ends: work is
+    quadratic in the rows, but each is shuffled once, and no pairs or partial sums are.
     """
-    points = labelled.select(F.col(key).alias("key"), F.col("cluster"), F.transform(vec, lambda x: x.cast("double")).alias("v"))
+    spark = labelled.sparkSession
+    points = labelled.select(F.col(key).alias("key"), F.array(*[F.col(c).cast("int") for c in labels]).alias("clusters"), F.transform(vec, lambda x: x.cast("double")).alias("v"))
     if limit is not None:
         points = points.orderBy(F.xxhash64(F.lit(0), F.col("key")), "key").limit(limit)
-    points = written(points.select(F.monotonically_increasing_id().alias("row"), "cluster", "v"), "points")
-    members = {r["cluster"]: r["n"] for r in points.groupBy("cluster").agg(F.count("*").alias("n")).collect()}  # k numbers
-    if not members:
-        return labelled.sparkSession.createDataFrame([(0.0,)], "silhouette double")
-    place = {c: i for i, c in enumerate(members)}
-    blocks = max(1, -(-sum(members.values()) // block))
-    dealt = points.withColumn("own", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    pairs = dealt.withColumn("other", other).select("row", "cluster", "v", (F.col("own") <= F.col("other")).alias("left"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    def tile(group: pa.Table) -> pa.Table:
-        left = group.column("left").to_numpy()
-        parts = [group.filter(pa.array(left)), group.filter(pa.array(~left))]
-        alike = not parts[1].num_rows  # a block with itself
-        rows, marks, x = [], [], []
-        for part in parts[:1] if alike else parts:
-            rows.append(part.column("row").to_numpy())
-            mark = np.zeros((part.num_rows, len(place)))
-            mark[np.arange(part.num_rows), [place[c] for c in part.column("cluster").to_pylist()]] = 1
-            marks.append(mark)
-            x.append(part.column("v").combine_chunks().flatten().to_numpy().reshape(part.num_rows, -1))
-        a, z = (x[0], x[0]) if alike else x
-        centre = a.mean(axis=0)  # near the points, products keep their digits
-        a, z = a - centre, z - centre
-        d2 = (a**2).sum(axis=1)[:, None] + (z**2).sum(axis=1) - 2 * a @ z.T
-        if alike:
-            np.fill_diagonal(d2, 0.0)
-        d = np.sqrt(np.maximum(d2, 0.0))
-        sums = [d @ marks[0]] if alike else [d @ marks[1], d.T @ marks[0]]
-        return pa.table({"row": pa.array(np.concatenate(rows)), "sums": pa.array(np.concatenate(sums).tolist(), pa.list_(pa.float64()))})
-
-    sums = pairs.groupBy("i", "j").applyInArrow(tile, "row long, sums array<double>")
-    per = sums.select("row", F.posexplode("sums").alias("at", "s")).groupBy("row", "at").agg(F.sum("s").alias("s"))
-    names = F.create_map(*[F.lit(x) for c, i in place.items() for x in (i, c)])
-    sizes_of = F.create_map(*[F.lit(x) for c, i in place.items() for x in (i, members[c])])
-    own = per.join(points.select("row", "cluster"), "row").withColumn("mine", names[F.col("at")] == F.col("cluster")).withColumn("n", sizes_of[F.col("at")])
-    a = F.coalesce(F.max(F.when(F.col("mine") & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))), F.lit(0.0))
-    both = own.groupBy("row").agg(a.alias("a"), F.min(F.when(~F.col("mine"), F.col("s") / F.col("n"))).alias("b"))
-    s = (F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-12))
-    return both.where("b is not null").agg(F.coalesce(F.avg(s), F.lit(0.0)).alias("silhouette"))
+    path = work_path(spark, "points")
+    points.select(F.monotonically_increasing_id().alias("row"), "clusters", "v").write.parquet(path)
+    points = spark.read.schema("row long, clusters array<int>, v array<double>").parquet(path)
+    counts = points.select(F.posexplode("clusters").alias("run", "cluster")).groupBy("run", "cluster").agg(F.count("*").alias("n")).orderBy("run", "cluster").collect()  # k numbers a run
+    members = [{r["cluster"]: r["n"] for r in counts if r["run"] == i} for i in range(len(labels))]
+    n = sum(members[0].values())
+    if not n:
+        return spark.createDataFrame([([0.0] * len(labels),)], "silhouettes array<double>")
+    ends = np.cumsum([0, *map(len, members)])  # a run's clusters are columns of one matrix
+    found = files.listed(path, ".parquet")
+
+    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return batch.column("row").to_numpy(), batch.column("clusters").flatten().to_numpy().reshape(batch.num_rows, -1), batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
+
+    def columns(clusters: np.ndarray) -> np.ndarray:
+        """Each row's column in every run."""
+        return np.stack([ends[i] + np.searchsorted(list(m), clusters[:, i]) for i, m in enumerate(members)], axis=1)
+
+    def table() -> Iterator[tuple[np.ndarray, ...]]:
+        store = files.opened(path)[0]
+        for name, _ in found:
+            with store.open_input_file(name) as source:
+                for batch in pq.ParquetFile(source).iter_batches(batch_size=block):
+                    row, clusters, z = read(batch)
+                    mark = np.zeros((len(row), ends[-1]))
+                    mark[np.arange(len(row))[:, None], columns(clusters)] = 1
+                    order = np.argsort(row)
+                    yield row[order], mark[order], z[order]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [read(b) for b in batches if b.num_rows]
+        row, clusters, x = map(np.concatenate, zip(*held)) if held else ((),) * 3
+        own, sums = columns(clusters) if held else (), np.zeros((len(row), ends[-1]))
+        slices = [slice(at, at + min(block, 1024)) for at in range(0, len(row), min(block, 1024))]
+        centres = [x[part].mean(axis=0) for part in slices]  # near the points, products keep their digits
+        for there, mark, z in table() if held else ():
+            for part, centre in zip(slices, centres):
+                a, b = x[part] - centre, z - centre
+                d = a @ (-2 * b).T
+                d += (a**2).sum(axis=1)[:, None]
+                d += (b**2).sum(axis=1)
+                spot = np.minimum(np.searchsorted(there, row[part]), len(there) - 1)
+                self = np.flatnonzero(there[spot] == row[part])
+                d[self, spot[self]] = 0.0
+                sums[part] += np.sqrt(np.maximum(d, 0.0, out=d), out=d) @ mark
+        out = []
+        for i, m in enumerate(members):
+            size, mine = np.array(list(m.values())), np.arange(ends[i], ends[i + 1]) == (own[:, i, None] if held else np.zeros((0, 1)))
+            if len(m) > 1:
+                of = sums[:, ends[i] : ends[i + 1]]
+                near = np.where(mine, of / np.maximum(size - 1, 1), 0.0).sum(axis=1)
+                far = np.where(mine, np.inf, of / size).min(axis=1)
+                out.append((far - near) / np.maximum(np.maximum(near, far), 1e-12))
+            else:
+                out.append(np.full(len(row), None))
+        yield pa.RecordBatch.from_arrays([pa.array(list(map(list, zip(*out))), pa.list_(pa.float64()))], ["s"])
+
+    tasks = -(-n // max(block, min(4 * block, n // (2 * spark.sparkContext.defaultParallelism))))
+    each = points.repartition(tasks).mapInArrow(measure, "s array<double>")
+    return each.agg(F.array(*[F.coalesce(F.avg(F.col("s")[i]), F.lit(0.0)) for i in range(len(labels))]).alias("silhouettes"))
 
 
 def elbow_by_bend(results: DataFrame) -> DataFrame:
