@@ -286,14 +286,18 @@ def sweep(rows: DataFrame, vec: str, key: str, k_min: int = 2, k_max: int = 8, n
     n = int(stand[0].weights.sum()) if stand else 0
     every = [(k, stand[i].seeds(k, 1000 * k + i).tolist()) for k in range(max(2, k_min), min(k_max, n) + 1) for i in range(n_init)]
     models = lloyd_all(rows, vec, [start for _, start in every], iterations, tol)
-    for k in dict.fromkeys(k for k, _ in every):
-        best = min((m for (at, _), m in zip(every, models) if at == k), key=lambda m: m.inertia)
+    chosen = {k: min((m for (at, _), m in zip(every, models) if at == k), key=lambda m: m.inertia) for k in dict.fromkeys(k for k, _ in every)}
+    if not chosen:
+        return out
+    marked = rows.select(key, vec, *[nearest(vec, m.centroids)["cluster"].alias(f"_{k}") for k, m in chosen.items()])
+    shapes = silhouettes(marked, vec, key, [f"_{k}" for k in chosen], sample).first()["silhouettes"]
+    for (k, best), shape in zip(chosen.items(), shapes):
         labelled = assigned(rows, vec, best.centroids)
         out.append(
             {
                 "K": k,
                 "inertia": best.inertia,
-                "silhouette": silhouette(labelled, vec, key, sample).first()["silhouette"],
+                "silhouette": shape,
                 "ch": calinski_harabasz(labelled, vec, best.centroids).first()["ch"],
                 "db": davies_bouldin(labelled, vec, best.centroids).first()["db"],
                 "centroids": best.centroids,
