@@ -197,6 +197,24 @@ def test_options_treat_none_as_default():
         config.options("segment", nothing=1)
 
 
+def test_a_frame_is_one_group_of_its_bins(spark):
+    rng = np.random.default_rng(5)
+    samples = [(1, i, float(v)) for i, v in enumerate(rng.normal(size=80))]
+    framed = signals.frames(spark.createDataFrame(samples, "rec_id long, idx long, v double"), 64, 16)
+    want = np.abs(np.fft.rfft(np.array([v for *_, v in samples])[:64] * np.hanning(64)))
+    for at_once in (5, 16, 99):
+        found = signals.spectrum(framed, 64, at_once)
+        got = {r["bin"]: r["mag"] for r in found.where("frame = 0").collect()}
+        assert set(got) == set(range(33)) and np.allclose([got[b] for b in range(33)], want, atol=1e-9)
+    assert "HashAggregate(keys=[rec_id" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", bin#" not in "".join(x for x in plan.splitlines() if "HashAggregate" in x)
+
+
+def test_scaled_computes_its_cells_once(spark):
+    cells = spark.range(20).select((F.col("id") % 3).alias("rec_id"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("mel"), (F.col("id") * 1.5).alias("energy"))
+    for log in (True, False):
+        assert "Generate" not in signals.scaled(cells, "energy", log=log)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_silhouette_measures_every_row(spark):
     rng = np.random.default_rng(12)
     x, c = rng.normal(size=(1700, 3)), rng.integers(0, 3, 1700)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidalframe.functions.signal import finite, hann, hz_to_mel, mel_to_hz, or_zero, soft_limit
+from tidalframe.sources.work import written
 
 
 def lengths(signal: DataFrame) -> DataFrame:
@@ -50,15 +51,20 @@ def frame_zcr(framed: DataFrame, fft: int) -> DataFrame:
     return signs.select("rec_id", "frame", F.when(F.size("s") > 1, changes / F.lit(fft)).otherwise(0.0).alias("zcr"))
 
 
-def spectrum(framed: DataFrame, fft: int) -> DataFrame:
+def spectrum(framed: DataFrame, fft: int, at_once: int = 16) -> DataFrame:
     """Magnitudes of bins 0..fft/2 of each windowed frame, by the transform's definition.
 
-    For short frames; each sample meets fft/2 + 1 bins in its task and is summed before the shuffle.
+    For short frames; a sample meets `at_once` bins in one row, whose sums are columns, so a
+    frame is one group for that many bins.
     """
-    bins = windowed(framed, fft).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(fft // 2))))
-    angle = (F.col("k") * F.col("bin") % fft) * (2 * math.pi / fft)
-    parts = bins.groupBy("rec_id", "frame", "bin").agg(F.sum(F.col("v") * F.cos(angle)).alias("re"), F.sum(F.col("v") * F.sin(angle)).alias("im"))
-    return parts.select("rec_id", "frame", "bin", or_zero(F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))).alias("mag"))
+    bins = fft // 2 + 1
+    width = min(bins, at_once)
+    dealt = windowed(framed, fft).withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(bins - 1), F.lit(width))))
+    angle = lambda j: (F.col("k") * (F.col("first") + j) % fft) * (2 * math.pi / fft)
+    sums = [F.sum(F.col("v") * f(angle(j))).alias(f"{n}{j}") for j in range(width) for n, f in (("re", F.cos), ("im", F.sin))]
+    mags = F.array(*[F.sqrt(F.col(f"re{j}") * F.col(f"re{j}") + F.col(f"im{j}") * F.col(f"im{j}")) for j in range(width)])
+    rows = dealt.groupBy("rec_id", "frame", "first").agg(*sums).select("rec_id", "frame", "first", F.posexplode(mags).alias("j", "mag"))
+    return rows.select("rec_id", "frame", (F.col("first") + F.col("j")).alias("bin"), or_zero(F.col("mag")).alias("mag")).where(F.col("bin") < bins)
 
 
 def mel_filters_by_rate(rates: DataFrame, n_mels: int, fft: int, fmin: float = 0.0, fmax: float | None = None) -> DataFrame:
@@ -110,6 +116,7 @@ def scaled(cells: DataFrame, value: str, dynamic_range: float = 80.0, log: bool
 
     log: decibels against the recording's maximum, floor at the dynamic range; else min-max.
     """
+    cells = written(cells, "cells")  # read three times, computed once
     top = cells.groupBy("rec_id").agg(F.max(F.greatest(F.col(value), F.lit(0.0))).alias("peak"))
     level = cells.join(top, "rec_id")
     if log:
