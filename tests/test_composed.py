@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidalframe.operators import cluster, documents, features, pca, training
 from tidalframe.plans import composed_queries, matrix_queries
@@ -185,6 +187,19 @@ def test_backup_queries_add_each_content_once(spark, sf_dir):
     assert refs and all(r["recording"] == (by_text[text[r["recording"]]] if r["recording"] in ids else r["recording"]) for r in refs)
 
 
+def test_sessions_of_a_backup_meet_hashes_instead_of_bytes(spark):
+    recs = spark.createDataFrame([(1, "a", b"x"), (2, None, b"y"), (3, "c", None)], "id long, name string, blob binary")
+    refs = spark.createDataFrame([(7, 0, 1), (7, 1, 2), (8, 0, 3)], "session long, pos int, recording long")
+    incoming = recs.withColumn("id", F.col("id") + 10)
+    other = spark.createDataFrame([(17, 0, 12), (17, 1, 11), (18, 0, 11), (19, 0, 11)], "session long, pos int, recording long")
+    found = documents.import_backup(recs, refs, incoming, other)[1]
+    assert [tuple(r) for r in found.select("session", "pos", "recording").collect()] == [(18, 0, 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [x for x in plan if "Project [" in x and re.search(r"(\[|, )blob#\d+(,|\])", x)]
+    entries = refs.join(recs.withColumnRenamed("id", "recording"), "recording").withColumn("date", F.lit("d"))
+    assert sorted(map(tuple, documents.fingerprints(documents.marks(entries, "session")).collect())) == sorted(map(tuple, documents.fingerprints(entries).collect()))
+
+
 def test_trimmed_copies_get_the_next_free_names(spark):
     recs = spark.createDataFrame([(1, "a"), (2, "A trimmed 4"), (3, "b Trimmed"), (9, "c")], "id long, name string")
     cut = spark.createDataFrame([(1, 0, 0.5), (2, 0, 0.25), (3, 0, 1.0), (3, 1, 2.0)], "rec_id long, idx long, v double")

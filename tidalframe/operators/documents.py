@@ -61,15 +61,22 @@ def content_groups(recordings: DataFrame) -> DataFrame:
     return marked.join(marked.groupBy("h").agg(F.min("id").alias("kept")), "h").select("id", "kept")
 
 
+def marks(recordings: DataFrame, *keys: str) -> DataFrame:
+    """keys, part: one hash for the name, date and bytes of a recording."""
+    part = F.sha2(F.concat_ws("|", F.coalesce("name", F.lit("")), F.coalesce(F.col("date").cast("string"), F.lit("")), digest(F.col("blob"))), 256)
+    return recordings.select(*keys, part.alias("part"))
+
+
 def fingerprints(entries: DataFrame) -> DataFrame:
-    """(session, name, date, blob) -> session, fingerprint: equal for the same recordings in any order.
+    """(session, name, date, blob), or (session, part) of marks(), -> session, fingerprint: equal for the same
+    recordings in any order.
 
     It rests on the number of recordings and two sums of 60 bits of each one's hash, which
     merge in any order, so a session's rows are added up where they lie.
     """
-    part = F.sha2(F.concat_ws("|", F.coalesce("name", F.lit("")), F.coalesce(F.col("date").cast("string"), F.lit("")), digest(F.col("blob"))), 256)
     bits = lambda at: F.sum(F.conv(F.substring("part", at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
-    rows = entries.select("session", part.alias("part")).groupBy("session").agg(F.count("*").alias("n"), bits(1).alias("a"), bits(16).alias("b"))
+    parts = entries if "part" in entries.columns else marks(entries, "session")
+    rows = parts.groupBy("session").agg(F.count("*").alias("n"), bits(1).alias("a"), bits(16).alias("b"))
     return rows.select("session", F.sha2(F.concat_ws("|", F.col("n").cast("string"), "a", "b"), 256).alias("fingerprint"))
 
 
@@ -104,7 +111,7 @@ def remapped(refs: DataFrame, mapping: DataFrame, column: str = "recording") ->
 
 
 def new_sessions(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming (session, name, date, blob) rows of sessions whose fingerprint is neither known nor that of an earlier incoming one."""
+    """Incoming (session, name, date, blob) or (session, part) rows of sessions whose fingerprint is neither known nor that of an earlier incoming one."""
     prints = fingerprints(incoming)
     first = prints.groupBy("fingerprint").agg(F.min("session").alias("session"))
     chosen = first.join(fingerprints(existing).select("fingerprint"), "fingerprint", "left_anti")
@@ -127,7 +134,9 @@ def import_backup(existing: DataFrame, existing_refs: DataFrame, incoming: DataF
     mapping = import_map(existing, incoming)
     new = incoming.join(mapping.where("is_new").select(F.col("old_id").alias("id"), "new_id"), "id")
     added = new.groupBy("new_id").agg(F.min_by(F.struct("name", "blob"), "id").alias("r")).select(F.col("new_id").alias("id"), "r.name", "r.blob")
-    entries = lambda refs, recs: refs.join(recs.select(F.col("id").alias("recording"), "name", "blob"), "recording").select("session", "name", F.lit(None).cast("string").alias("date"), "blob")
+    # recordings are hashed where they lie, so sessions meet hashes instead of bytes
+    marked = lambda recs: marks(recs.select(F.col("id").alias("recording"), "name", F.lit(None).cast("string").alias("date"), "blob"), "recording")
+    entries = lambda refs, recs: refs.join(marked(recs), "recording").select("session", "part")
     fresh = new_sessions(entries(existing_refs, existing), entries(incoming_refs, incoming)).select("session").distinct()
     return added, remapped(incoming_refs.join(fresh, "session", "left_semi"), mapping)
 
