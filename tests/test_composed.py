@@ -139,6 +139,14 @@ def test_sweep_measures_equal_numpy(spark, sf_dir):
         assert rows[0]["silhouette"] == pytest.approx(np.mean(s), abs=1e-6)
 
 
+def test_projected_points_extract_their_frames_once(spark, sf_dir, monkeypatch):
+    made, plain = [], features.extract
+    monkeypatch.setattr(features, "extract", lambda *a, **k: made.append(1) or plain(*a, **k))
+    plan = composed_queries.projected_points(spark, sf_dir)._jdf.queryExecution().toString()
+    assert len(made) == 1 and "FlatMapGroupsInArrow" not in plan
+    assert "FlatMapGroupsInArrow" not in composed_queries._frames(spark, sf_dir)._jdf.queryExecution().toString()
+
+
 def test_auto_k_recommends_from_the_sweep(spark, sf_dir):
     picks = composed_queries.auto_k(spark, sf_dir).orderBy("pick").collect()
     sweep = {r["K"]: r["silhouette"] for r in composed_queries.k_sweep(spark, sf_dir).collect()}
