@@ -248,3 +248,14 @@ def test_packing_finds_the_cheapest_cuts():
         for j in range(1, points.size):
             best.append(min(best[i] + cost(i, j) for i in range(j) if points[j] - points[i] <= s.capacity))
         assert sum(cost(i, j) for i, j in zip([0, *cuts], cuts)) == pytest.approx(best[-1]) and cuts[-1] == points.size - 1
+
+
+def test_stored_tokens_give_memory_back_after_each_task(spark, tmp_path, monkeypatch):
+    wrapped, plain = [], token_store.lean
+    monkeypatch.setattr(token_store, "lean", lambda run: wrapped.append(run) or plain(run))
+    path = str(tmp_path / "tokens")
+    token_store.write(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), path)
+    rows = token_store.read(spark, path).select("doc_id", "ids", token_store.ids_crc32()("ids").alias("crc")).collect()
+    assert len(wrapped) == 1 and len(rows) == 2
+    assert all(r["crc"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in rows)
+    assert token_store.read(spark, path).where("false").select(token_store.ids_crc32()("ids")).collect() == []

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidalframe.llm.common import slices, work_path, written
+from tidalframe.llm.common import lean, slices, work_path, written
 from tidalframe.llm.tokens import cached_encoder, with_end
 
 
@@ -66,7 +66,7 @@ def write(docs: DataFrame, path: str, s: Settings = Settings()) -> None:
 
     # the third key parts rows that share id and text; it decides nothing else, as such rows are alike
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"), F.rand(7).alias("r"))
-    rows = keyed.repartitionByRange("doc_id", "h", "r").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text").mapInArrow(encoded, STORED)
+    rows = keyed.repartitionByRange("doc_id", "h", "r").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text").mapInArrow(lean(encoded), STORED)
     (
         rows.write.option("orc.stripe.size", s.stripe_bytes)
         .option("orc.row.index.stride", s.index_stride)
@@ -99,7 +99,7 @@ def ids_crc32():
     @F.arrow_udf("long")
     def crc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for ids in batches:
-            raw = ids.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes()
+            raw = ids.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False).view(np.uint8)
             at = (ids.offsets.to_numpy().astype(np.int64) * 4).tolist()
             yield pa.array([zlib.crc32(raw[a:b]) for a, b in zip(at, at[1:])], pa.int64())
 
