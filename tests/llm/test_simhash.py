@@ -6,7 +6,9 @@ from collections import defaultdict
 import numpy as np
 import xxhash
 
-from tidalframe.llm import simhash
+import pytest
+
+from tidalframe.llm import common, simhash
 from tidalframe.llm.graph import components
 
 
@@ -203,3 +205,44 @@ def test_verified_links_share_their_shingles():
     wide = np.zeros((len(sets), s.words), np.uint64)  # all near by their fingerprints
     member, root = simhash.verified_forest(wide, np.concatenate([np.array(sorted(x), np.int64) for x in sets]), np.array([len(x) for x in sets]), s)
     assert dict(zip(member.tolist(), root.tolist())) == {1: 0, 5: 0}
+
+
+def shuffled(spark):
+    """Bytes that the application has shuffled so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_texts_without_near_ones_stay_where_they_are(spark, tmp_path):
+    """Also where no table is small enough for the planner to broadcast it, as in large runs."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(60_000)]
+    alone = [" ".join(rng.choices(words, k=3000)) for _ in range(200)]
+    rows = [(i, t) for i, t in enumerate([*alone, *alone[:8]])]
+    rows += [(1000 + i, " ".join(["changed", *alone[i].split(" ")[1:]])) for i in range(4)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        simhash.one_of_each(spark.read.parquet(str(tmp_path / "docs"))).write.parquet(str(tmp_path / "out"))
+        moved = shuffled(spark) - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(r["doc_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(200))
+    assert 0 < moved < 0.25 * sum(len(t) for _, t in rows)
+
+
+@pytest.mark.parametrize("most", [common._WORDS, 0])
+def test_picked_rows_are_those_of_a_join(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "_WORDS", most)
+    numbers = [*range(-130, 300), 1 << 33, (1 << 33) + 63, (1 << 40) - 1, -(1 << 40), None]
+    docs = spark.createDataFrame([(n, f"t{n}", 1) for n in numbers], "row long, word string, bits int")
+    chosen = [-130, -129, -65, -64, -1, 0, 1, 62, 63, 64, 127, 128, 191, 299, 5000, 1 << 33, (1 << 40) - 1, -(1 << 40), None, 0]
+    rows = spark.createDataFrame([(n,) for n in chosen], "row long")
+    for inside, how in ((True, "left_semi"), (False, "left_anti")):
+        got = common.picked(docs, "row", rows, inside)
+        assert got.columns == docs.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, docs.join(rows, "row", how).select(docs.columns).collect()))
+    assert common.picked(docs, "row", rows.where("false")).count() == 0
+    assert common.picked(docs, "row", rows.where("false"), False).count() == len(numbers)

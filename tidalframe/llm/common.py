@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidalframe.sources.work import work_path, written
 
-__all__ = ["END", "as_bytes", "fresh", "give_back", "lean", "mixed", "remainder", "sampled", "slices", "token_codes", "work_path", "written"]
+__all__ = ["END", "as_bytes", "fresh", "give_back", "lean", "mixed", "picked", "remainder", "sampled", "slices", "token_codes", "work_path", "written"]
 
 END = b"\n"  # no word has a newline
 
@@ -38,6 +38,27 @@ def sampled(id_column: str, bound: int, n_rows: int) -> Column:
     return F.pmod(F.xxhash64(F.lit("sample"), F.col(id_column)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
 
 
+#: Words of row numbers that travel to all tasks: 64 MB, of some 128 million rows.
+_WORDS = 1 << 21
+
+
+def picked(docs: DataFrame, row: str, chosen: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows of docs whose number `row` is among those of chosen (its only column), or isn't; docs isn't shuffled.
+
+    64 numbers in a row are one word of bits, so it takes half a byte a row of docs to tell all
+    tasks who is chosen, at most. Where there are over _WORDS words the planner decides, and
+    docs is shuffled once. Repeated numbers count once; null ones are never chosen.
+    """
+    n = F.col(chosen.columns[0])
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(n, F.lit(64)).cast("int"))
+    words = written(chosen.where(n.isNotNull()).groupBy(F.shiftright(n, 6).alias("word")).agg(F.bit_or(bit).alias("bits")), "picked")
+    if words.count() <= _WORDS:
+        words = F.broadcast(words)
+    marked = docs.join(words, F.shiftright(docs[row], 6) == words["word"], "left")
+    found = F.coalesce(F.getbit(words["bits"], F.pmod(docs[row], F.lit(64)).cast("int")) == 1, F.lit(False))
+    return marked.where(found if inside else ~found).select(docs["*"])
+
+
 def give_back() -> None:
     """Hand the memory that Arrow and numpy have freed back to the system, where the C library can."""
     pa.default_memory_pool().release_unused()

@@ -15,7 +15,8 @@
 `near_duplicates` is that for 3-word shingles and 64 bits. `one_of_each` takes near copies
 of 0.8 and more on 5-word shingles. At such a distance 64 bits are too few, so it gives
 each text 448, compares in tiles those that agree in some block, and then compares the
-shingles of what is near: only pairs that share 0.8 of theirs become links.
+shingles of what is near: only pairs that share 0.8 of theirs become links. Texts without
+a near one are not shuffled.
 
 Nulls and edges: a null text counts as empty; texts without words have fingerprint zero
 and link like any other. A null id stays in the result; a group's id is its smallest
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidalframe.llm.common import as_bytes, fresh, lean, mixed, slices, token_codes, written
+from tidalframe.llm.common import as_bytes, fresh, lean, mixed, picked, slices, token_codes, written
 from tidalframe.llm.graph import components
 
 BITS = 64
@@ -374,22 +375,21 @@ def similar(docs: DataFrame, s: Similar = Similar()) -> DataFrame:
 
     @lean
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket in _buckets(batches, ["bucket", "b", "node", "fp"]):
+        for bucket in _buckets(batches, ["bucket", "node", "fp"]):
             if bucket.num_rows > 1:
-                some = bucket.filter(pa.array(with_near_ones(_wide(bucket.column("fp"), s), bucket.column("b")[0].as_py(), s)))
+                some = bucket.filter(pa.array(with_near_ones(_wide(bucket.column("fp"), s), bucket.column("bucket")[0].as_py() >> s.block, s)))
                 if some.num_rows:
                     yield from some.combine_chunks().to_batches()
 
-    @lean
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
             found, sizes = shingles(batch.column("text"), s)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(found.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), lists], ["row", "shingles"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, ("bucket", "node", "fp")), lists], ["bucket", "node", "fp", "shingles"])
 
     @lean
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket in _buckets(batches, ["node", "fp", "shingles"]):
+        for bucket in _buckets(with_sets(batches), ["node", "fp", "shingles"]):
             nodes, lists = bucket.column("node").to_numpy(), bucket.column("shingles").combine_chunks()
             member, root = verified_forest(_wide(bucket.column("fp"), s), lists.flatten().to_numpy(), pa.compute.list_value_length(lists).to_numpy().astype(np.int64), s)
             yield pa.RecordBatch.from_arrays([pa.array(nodes[member]), pa.array(nodes[root])], ["u", "v"])
@@ -398,12 +398,12 @@ def similar(docs: DataFrame, s: Similar = Similar()) -> DataFrame:
     # equal fingerprints are one node from here on
     nodes = written(marked.groupBy("fp").agg(F.min("row").alias("node")), "distinct-fingerprints")
     values = [F.shiftrightunsigned(F.col("fp")[w], k * s.block).bitwiseAND(F.lit((1 << s.block) - 1)) for w in range(s.words) for k in range(BITS // s.block)]
-    dealt = nodes.select("node", "fp", F.posexplode(F.array(*values)).alias("b", "value")).select("node", "fp", "b", F.xxhash64("b", "value").alias("bucket"))
-    kinds = "bucket long, b int, node long, fp array<long>"
-    pairs = written(dealt.select("bucket", "b", "node", "fp").repartition("bucket").sortWithinPartitions("bucket", "b").mapInArrow(near, kinds), "near-ones")
-    wanted = docs.join(pairs.select(F.col("node").alias("row")).distinct(), "row", "left_semi").select("row", "text")
-    held = written(wanted.mapInArrow(sets, "row long, shingles array<long>"), "shingles")
-    compared = pairs.join(held, pairs["node"] == held["row"]).select("bucket", "node", "fp", "shingles").repartition("bucket").sortWithinPartitions("bucket")
+    dealt = nodes.select("node", "fp", F.posexplode(F.array(*values)).alias("b", "value"))
+    dealt = dealt.select(F.shiftleft(F.col("b").cast("long"), s.block).bitwiseOR(F.col("value")).alias("bucket"), "node", "fp")
+    pairs = written(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(near, "bucket long, node long, fp array<long>"), "near-ones")
+    # only texts that have a near one move, as they are: their shingles take more room
+    wanted = picked(docs.select("row", "text"), "row", pairs.select("node"))
+    compared = pairs.join(wanted, pairs["node"] == wanted["row"]).select("bucket", "node", "fp", "text").repartition("bucket").sortWithinPartitions("bucket")
     found = components(compared.mapInArrow(link, "u long, v long"))
     rooted = nodes.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("component"))
     return marked.join(rooted, "fp").select("row", "component")
@@ -424,6 +424,5 @@ def one_of_each(docs: DataFrame, s: Similar = Similar()) -> DataFrame:
     rows = written(found.join(ids, "row"), "groups")
     first = F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("stays")
     kept = rows.groupBy("component").agg(first).select(F.col("stays").alias("row"), F.lit(True).alias("kept"))
-    # who goes are few: their written size lets the planner leave the texts where they are
-    gone = written(rows.join(kept, "row", "left").where("kept is null").select(F.col("row").alias(row)), "copies")
-    return docs.join(gone, row, "left_anti").select(*[c for c in docs.columns if c != row])
+    gone = rows.join(kept, "row", "left").where("kept is null").select("row")
+    return picked(docs, row, gone, inside=False).select(*[c for c in docs.columns if c != row])
