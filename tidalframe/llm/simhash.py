@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidalframe.llm.common import as_bytes, fresh, lean, mixed, picked, slices, token_codes, written
+from tidalframe.llm.common import as_bytes, fresh, give_back, lean, mixed, picked, slices, token_codes, written
 from tidalframe.llm.graph import components
 
 BITS = 64
@@ -382,10 +382,11 @@ def similar(docs: DataFrame, s: Similar = Similar()) -> DataFrame:
                     yield from some.combine_chunks().to_batches()
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 19):
             found, sizes = shingles(batch.column("text"), s)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(found.view(np.int64)))
             yield pa.RecordBatch.from_arrays([*map(batch.column, ("bucket", "node", "fp")), lists], ["bucket", "node", "fp", "shingles"])
+            give_back()
 
     @lean
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
